@@ -281,3 +281,27 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, that with the smallest id; rows with a null id stay."""
     gone = link_classes(docs, **options).where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') AS w FROM documents
+), t AS (
+  SELECT doc_id, w, array_to_string(w, ' ') AS joined FROM w WHERE len(w) > 0
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < {WORDS} THEN [joined] ELSE list_transform(range(1, len(w) - {WORDS - 2}), i -> array_to_string(w[i:i + {WORDS - 1}], ' ')) END)) AS g FROM t
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c >= {THRESHOLD} * (x.n + y.n - c) - 1e-9
+), r AS (
+  SELECT doc_id AS root, doc_id AS node FROM w UNION SELECT r.root, l.b FROM r JOIN l ON r.node = l.a
+), k AS (
+  SELECT joined, min(doc_id) AS copy_id, count(*) AS n FROM t GROUP BY joined
+)
+SELECT w.doc_id, coalesce(k.copy_id, w.doc_id) AS copy_id, (SELECT min(node) FROM r WHERE root = w.doc_id) AS class_id,
+  coalesce(k.n, 1) AS n_copies, (SELECT count(*) FROM l WHERE a = w.doc_id) AS n_links
+FROM w LEFT JOIN t ON w.doc_id = t.doc_id LEFT JOIN k ON t.joined = k.joined
+"""

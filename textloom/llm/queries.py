@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import language, line_spread, lm_score, packing, tiling, toxicity, url_filter
+from textloom.llm import cotrain, language, line_spread, lm_score, ngram_join, packing, prefix_forest, tiling, toxicity, url_filter
 from textloom.llm.common import read, remainder
 
 
@@ -32,6 +32,25 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.fit(docs.join(good, "doc_id", "left_semi"), docs), ["doc_id"])
 
 
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every 100th row of ``embeddings``."""
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return prefix_forest.search(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return ngram_join.link_classes(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by two views that taught each other."""
+    docs = read(spark, sf_dir, "documents")
+    models = cotrain.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    found = cotrain.classify(docs, models, ["doc_id"])
+    return found.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "meta_score")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt outside the held-out quarter."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -63,9 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_spread": op2_line_spread,
     "op3_lm_score": op3_lm_score,
+    "op4_prefix_forest": op4_prefix_forest,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_cotraining": op6_cotraining,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
 }
-ORACLES: dict[str, str] = {"op2_line_spread": line_spread.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_spread": line_spread.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op10_url_filter": url_filter.ORACLE}
