@@ -1 +1 @@
-""""""
+"""Column expressions and pure-Python code metrics."""
