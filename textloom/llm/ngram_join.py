@@ -244,7 +244,8 @@ def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOL
 
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(large.select("node")).distinct()
     wanted = cut(nodes.join(wanted, "node", "left_semi").select("node", "copy_id"))
-    texts = source.join(wanted.select(F.col("copy_id").alias("doc_id")), "doc_id", "left_semi")
+    # The ids grow with the corpus: the same join at every size.
+    texts = source.join(wanted.select(F.col("copy_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets(size), "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -280,7 +281,7 @@ def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOL
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, that with the smallest id; rows with a null id stay."""
     gone = link_classes(docs, **options).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 ORACLE = f"""
