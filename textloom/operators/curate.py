@@ -50,15 +50,15 @@ def exact_split(samples: DataFrame, share: float, seed: int, key: str) -> DataFr
     return ranked.withColumn("train", F.col("__r") <= F.floor(F.col("__n") * F.lit(float(share)))).drop("__h", "__g", "__c", "__o", "__n", "__r")
 
 
-def ordinals(rows: DataFrame, order: str, width: int = 4096) -> DataFrame:
-    """``rows`` with ``ordinal``: 1 to n by an integer ``order`` column, ranked in ranges of ``width`` values.
+def ordinals(rows: DataFrame, order: str, width: int = 4096, tie: str | None = None) -> DataFrame:
+    """``rows`` with ``ordinal``: 1 to n by an integer ``order`` column (then ``tie``), ranked in ranges of ``width`` values.
 
     The table of ranges has a row for every ``width`` values, so one window over it is small next to the rows.
     """
     ranged = rows.withColumn("__g", F.floor(F.col(order) / F.lit(width)))
     groups = ranged.groupBy("__g").agg(F.count("*").alias("__c"))
     before = groups.select("__g", F.coalesce(F.sum("__c").over(W.orderBy("__g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    return ranged.join(before, "__g").withColumn("ordinal", F.row_number().over(W.partitionBy("__g").orderBy(order)) + F.col("__o")).drop("__g", "__o")
+    return ranged.join(before, "__g").withColumn("ordinal", F.row_number().over(W.partitionBy("__g").orderBy(order, *([tie] if tie else []))) + F.col("__o")).drop("__g", "__o")
 
 
 def sequential_split(tokens: DataFrame, share: float, position: str = "ordinal") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,22 +22,22 @@ def char_vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("id", (F.row_number().over(W.orderBy("token")) - 1).cast("int"))
 
 
-def lookup(vocabulary: DataFrame, reverse: bool = False) -> DataFrame:
-    """One row with the vocabulary as a map, to be sent to all tasks."""
-    key, value = ("id", "token") if reverse else ("token", "id")
-    return F.broadcast(vocabulary.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("__map")))
-
-
 def encode(docs: DataFrame, vocabulary: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the ids of a text's characters; a character outside the vocabulary becomes 0."""
-    coded = docs.join(lookup(vocabulary), F.lit(True), "left")
-    return coded.withColumn(to, F.transform(characters(F.col(text)), lambda c: F.coalesce(F.element_at("__map", c), F.lit(0)))).drop("__map")
+    """``docs`` with the ids of a text's characters; a character outside the vocabulary becomes 0.
+
+    The vocabulary (bounded by Unicode) comes to the driver and becomes a constant array by code point: a character
+    costs one array access, whatever the vocabulary's size.
+    """
+    ids = {ord(x["token"]): x["id"] for x in vocabulary.collect()}
+    table = F.split(F.lit(",".join(str(ids.get(i, 0)) for i in range(max(ids, default=0) + 1))), ",").cast("array<int>")
+    return docs.withColumn(to, F.transform(characters(F.col(text)), lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(0))))
 
 
 def decode(docs: DataFrame, vocabulary: DataFrame, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the text of the ids; an unknown id gives nothing."""
-    coded = docs.join(lookup(vocabulary, reverse=True), F.lit(True), "left")
-    return coded.withColumn(to, F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.element_at("__map", i), F.lit(""))), "")).drop("__map")
+    tokens = {x["id"]: x["token"] for x in vocabulary.collect()}
+    table = F.from_json(F.lit(json.dumps([tokens.get(i, "") for i in range(max(tokens, default=-1) + 1)])), "array<string>")
+    return docs.withColumn(to, F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.get(table, i), F.lit(""))), ""))
 
 
 def truncate(ids: Column, block: int) -> Column:

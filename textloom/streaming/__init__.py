@@ -1 +1 @@
-""""""
+"""No streaming operator is in this engine's scope: its inputs are bounded files; runs' metrics are appended in batches."""
