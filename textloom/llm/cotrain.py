@@ -182,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     others = ids.join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(pool).withColumn("label", F.lit(-1))
     sample = cut(chosen.unionByName(others))
     # The sample is bounded (40,000 ids of 12 bytes by default), so it may be sent to every task.
-    rows = docs.join(F.broadcast(sample), "doc_id").select("label", "text", "lang", "source", F.col("n_chars").cast("bigint"))
+    used = docs.select("doc_id", *(F.col(x).cast("string") for x in ("text", "lang", "source")), F.col("n_chars").cast("bigint"))
+    rows = used.join(F.broadcast(sample), "doc_id").select("label", "text", "lang", "source", "n_chars")
     got = cut(rows.mapInArrow(_views, "label int, text array<float>, meta array<float>")).toArrow()
     label = np.asarray(got.column("label").combine_chunks())
     if len(set(label[label >= 0].tolist())) < 2:

@@ -193,8 +193,9 @@ def viterbi(score: np.ndarray, begins: np.ndarray, switch: float = SWITCH) -> np
     return out
 
 
-def _label(model: LanguageModel, block: pa.RecordBatch, switch: float, spans: bool) -> pa.RecordBatch:
-    items, rows = words(block.column("text"))
+def _label(model: LanguageModel, block: pa.RecordBatch, keys: list[str], switch: float, spans: bool) -> pa.RecordBatch:
+    """The columns ``keys`` of the block, whose text column is named ``__text``, and the results."""
+    items, rows = words(block.column("__text"))
     uniq, index = coded(items)
     n, langs = block.num_rows, len(model.langs)
     begins = bounds(rows, n)
@@ -209,16 +210,17 @@ def _label(model: LanguageModel, block: pa.RecordBatch, switch: float, spans: bo
         total = np.zeros((n, langs))
         for k in range(langs):
             total[:, k] = np.bincount(rows, weights=score[:, k], minlength=n)
-        odds = np.exp(np.clip(total - total[np.arange(n), top][:, None], -60, 60))
-        sure = np.where(letters > 0, share.max(axis=1) / np.maximum(letters, 1) / np.maximum(1.0, odds.sum(axis=1) * (share.max(axis=1) >= letters) + (share.max(axis=1) < letters)), 0.0)
+        main = share.max(axis=1) / np.maximum(letters, 1)
+        posterior = 1 / np.exp(np.clip(total - total[np.arange(n), top][:, None], -60, 60)).sum(axis=1)
+        sure = np.where(main == 1, posterior, main)
         names = [model.langs[k] if a else UNKNOWN for k, a in zip(top, letters > 0, strict=True)]
     if spans:
         turn = np.flatnonzero(np.concatenate(([True], (np.diff(path) != 0) | (np.diff(rows) != 0)))) if len(path) else np.empty(0, int)
-        for a, b in zip(turn, [*turn[1:], len(path)], strict=True):
+        for a, b in zip(turn, np.append(turn[1:], len(path))[: len(turn)], strict=True):
             found[rows[a]].append({"lang": model.langs[path[a]] if langs else UNKNOWN, "first_word": int(a - begins[rows[a]]), "words": int(b - a)})
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())]))
-    kept = [block.column(k) for k, x in enumerate(block.schema.names) if x != "text"]
-    return pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(found if spans else [None] * n, kind)], names=[*(x for x in block.schema.names if x != "text"), "lang_pred", "score", "spans"])
+    kept = [block.column("__text" if x == "text" else x) for x in keys]
+    return pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(sure, pa.float64()), pa.array(found if spans else [None] * n, kind)], names=[*keys, "lang_pred", "score", "spans"])
 
 
 def identify(docs: DataFrame, model: LanguageModel, keys: list[str], switch: float = SWITCH, spans: bool = True) -> DataFrame:
@@ -233,10 +235,11 @@ def identify(docs: DataFrame, model: LanguageModel, keys: list[str], switch: flo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            yield _label(LanguageModel(*sent.value), block.rename_columns([*block.schema.names[:-1], "text"]), switch, spans)
+            yield _label(LanguageModel(*sent.value), block, keys, switch, spans)
 
-    kept = docs.select(*keys, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), "lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>"])
+    kept = docs.select(*(x for x in keys if x != "text"), F.col("text").cast("string").alias("__text"))
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema} | {"text": "string"}
+    schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in keys), "lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>"])
     return kept.mapInArrow(run, schema)
 
 

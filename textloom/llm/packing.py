@@ -95,14 +95,13 @@ class Packer:
         self.items = [x for x, o in zip(items, open_, strict=True) if o]
 
 
-def encoder(path: str, pattern: str):
-    """A byte-level BPE from a file of ranks, with no special tokens: every text is ordinary text."""
+def encoder(lines: bytes, pattern: str):
+    """A byte-level BPE from the lines of a ranks file, with no special tokens: every text is ordinary text."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
     return tiktoken.Encoding("textloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -121,12 +120,16 @@ def pack_documents(
     wait in a bounded pool, so no shuffle is needed and a lost task is packed again alike. Sequence ids hold the
     partition number in their upper bits. Repeated rows are packed once each; a null doc_id stays null; an empty table
     gives no rows; other columns are ignored.
+
+    ``ranks`` is the path of a ranks file; the driver reads it (about 1 MB) and sends it to the tasks.
     """
+    with open(ranks, "rb") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(ranks, pattern).encode_ordinary
+        encode = encoder(sent.value, pattern).encode_ordinary
         packer, totals, number = Packer(capacity, segments, loss_limit), {}, 0
         partition = TaskContext.get().partitionId()
         names = [x.split()[0] for x in _PIECE.split(", ")]

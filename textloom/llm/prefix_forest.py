@@ -17,7 +17,7 @@ TREES, SYMBOLS = 56, 7
 #: Trees are ascended together until they hold this many candidates for a query (all rows, if there are fewer).
 CANDIDATES = 4000
 #: Vectors of which the centre is taken; of one part in the exact check; keys of one shard of a tree.
-SAMPLE, PART_ROWS, SHARD_ROWS = 20_000, 2_000, 1_000_000
+SAMPLE, PART_ROWS, SHARD_ROWS = 5_000, 2_000, 1_000_000
 
 
 class Forest:
