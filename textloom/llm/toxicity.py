@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import blocks, bounds, coded, cut, words
 
+#: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their id.
+LABELLED = 30_000
 #: Word beginnings of these lengths are features besides the words, so an unseen form of a known stem counts.
 STEMS = (4, 5, 6, 7)
 #: A feature has to stand in this share of the toxic documents and in LEAST of them: at most 1/SHARE times the mean
@@ -166,15 +168,17 @@ def _tokens(model: ToxicModel):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, share: float = SHARE, least: int = LEAST) -> ToxicModel:
-    """Learn from all rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) labels 0 or 1.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labelled: int = LABELLED, share: float = SHARE, least: int = LEAST) -> ToxicModel:
+    """Learn from at most ``labelled`` rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) labels 0 or 1.
 
-    Rows with a null id, text or label teach nothing; a document with several labels counts once for each. With no
+    ``usable`` is a rule on doc_id that both have to meet. They are the rows with the smallest hashes of their id, the same each time; being so few (16 bytes each), they are
+    sent to all tasks, and no text is shuffled. Rows with a null id, text or label teach nothing; a document with several labels counts once for each. With no
     label 1 the model finds nothing toxic.
     """
-    spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int"))
-    joined = cut(docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string")).join(known, "doc_id").select("text", "toxic"))
+    usable = F.lit(True) if usable is None else usable
+    known = labels.where(F.col("toxic").isin(0, 1) & usable).select("doc_id", F.col("toxic").cast("int"))
+    known = cut(known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic").limit(labelled))
+    joined = cut(docs.where(F.col("text").isNotNull() & usable).select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("text", "toxic"))
     counted = joined.mapInArrow(_count, "feature string, ones bigint, zeros bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     counted = cut(counted)
     totals = counted.where("feature = ''").toPandas()
@@ -192,7 +196,6 @@ def fit(docs: DataFrame, labels: DataFrame, share: float = SHARE, least: int = L
     scored = score_texts(joined.select("text", "toxic"), model, ["toxic"])
     bins = scored.groupBy(F.round(F.least(F.col("evidence"), F.lit(200.0)), 1).alias("x"), "toxic").count().toPandas()
     model.line = _platt(bins["x"].to_numpy(float), bins["toxic"].to_numpy(float), bins["count"].to_numpy(float))
-    spark.catalog.clearCache()
     return model
 
 
