@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,9 @@ STEMS = (4, 5, 6, 7)
 #: number of features a document are kept, however large the corpus is.
 SHARE, LEAST = 1e-3, 3
 #: Standard errors taken off a log-odds ratio; mass of the prior; most a token may score; what any other token costs.
-ERRORS, PRIOR, MOST, DRIFT = 3.0, 10.0, 6.0, 0.2
-#: Segments with more than this expected number by chance in their document aren't significant.
-EXPECT = 0.1
+ERRORS, PRIOR, MOST, DRIFT = 2.0, 10.0, 6.0, 0.05
+#: Segments that are together likelier than this in a clean document of the length aren't significant.
+CHANCE = 0.1
 _RAW = "evidence double, segments array<struct<first_word:int,words:int,score:double,expect:double>>"
 
 
@@ -96,10 +98,15 @@ class ToxicModel:
     line: tuple[float, float] = (0.0, 1.0)
 
     def word_scores(self, uniq: list[str]) -> np.ndarray:
+        """The best score of each word and its stems, 0 if none has one; few words begin as a feature does."""
         out = np.zeros(len(uniq))
-        for found, place in _features(uniq):
-            got = np.array([self.scores.get(x, 0.0) for x in found] + [0.0])
-            out = np.maximum(out, got[place])
+        if not self.scores or not uniq:
+            return out
+        heads = pa.array(sorted({x.rstrip("*")[: min(STEMS)] for x in self.scores}))
+        some = np.flatnonzero(np.asarray(pc.is_in(pc.utf8_slice_codeunits(pa.array(uniq, pa.string()), 0, min(STEMS)), heads)))
+        for i in some:
+            x = uniq[i]
+            out[i] = max(self.scores.get(x, 0.0), *(self.scores.get(x[:n] + "*", 0.0) for n in STEMS if len(x) > n), 0.0)
         return out
 
 
@@ -119,26 +126,61 @@ def log_odds(frame, share: float = SHARE, least: int = LEAST) -> dict[str, float
     return {k: float(v) for k, v in zip(rest["feature"], lower, strict=True) if v > 0}
 
 
+def _occurrence(key: np.ndarray) -> np.ndarray:
+    """For each item the how many-th of its kind it is, from 1."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(key) else np.empty(0, int)
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key)))) + 1
+    return out
+
+
+def joint_evidence(normal: list[float]) -> tuple[float, int]:
+    """-log of the chance of the best r segments together, by the sum of their normalised scores, and that r.
+
+    ``normal`` are lambda S - log(K n), falling. One segment of x has chance 1 - exp(-exp(-x)); r of sum T have
+    exp(-T) T**(r-1) / (r! (r-1)!), doubled for each segment after the first, as r was chosen.
+    """
+    best, chosen, total = 0.0, 0, 0.0
+    for r, x in enumerate(normal, 1):
+        total += x
+        if x <= 0:
+            break
+        if r == 1:
+            now = -math.log(-math.expm1(-math.exp(-x)))
+        else:
+            now = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2)
+        if now > best:
+            best, chosen = now, r
+    return best, chosen
+
+
 def _scored(model: ToxicModel, block: pa.RecordBatch) -> tuple[list[float], list[list[dict]]]:
     items, rows = words(block.column("text"))
     uniq, index = coded(items)
     evidence, out = [0.0] * block.num_rows, [[] for _ in range(block.num_rows)]
     score = model.word_scores(uniq)[index] if uniq else np.empty(0)
     begins, hot = bounds(rows, block.num_rows), np.flatnonzero(score > 0)
+    score[hot] /= _occurrence(rows[hot] * max(1, len(uniq)) + index[hot])
     by_row = bounds(rows[hot], block.num_rows)
     for row in np.flatnonzero(np.diff(by_row)):
         at = hot[by_row[row] : by_row[row + 1]]
         length = begins[row + 1] - begins[row]
-        for a, b, s in sparse_segments(at - begins[row], score[at], DRIFT):
-            expect = float(model.scale * length * np.exp(-model.rate * s))
-            if expect <= EXPECT:
-                out[row].append({"first_word": a, "words": b - a, "score": float(s), "expect": expect})
-                evidence[row] += model.rate * s - np.log(model.scale * length)
+        found = sorted(sparse_segments(at - begins[row], score[at], DRIFT), key=lambda x: -x[2])
+        normal = [model.rate * x[2] - math.log(model.scale * length) for x in found]
+        evidence[row], best = joint_evidence(normal)
+        if evidence[row] >= -math.log(CHANCE):
+            out[row] = [{"first_word": a, "words": b - a, "score": float(s), "expect": math.exp(-x)} for (a, b, s), x in sorted(zip(found[:best], normal[:best], strict=True))]
     return evidence, out
 
 
 def extreme_values(counts: np.ndarray, score: np.ndarray, words_: float) -> tuple[float, float]:
-    """Lambda: the root of sum p exp(lambda s) = 1 for the tokens of clean documents; K: the share that begins a run."""
+    """Lambda: the root of sum p exp(lambda s) = 1 for the tokens of clean documents, seen ``counts`` times with ``score``.
+
+    K is the least at which K exp(-lambda s) is no less than the share of tokens that score s or more, for each s: no
+    segment is called rarer than the single tokens of its score are in clean text.
+    """
     p = counts / words_
     rest = max(1e-9, 1.0 - p.sum())
 
@@ -151,7 +193,10 @@ def extreme_values(counts: np.ndarray, score: np.ndarray, words_: float) -> tupl
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
-    return max(low, 0.05), max(float(p.sum()), 1 / words_)
+    rate = max(low, 0.05)
+    order = np.argsort(-score)
+    reached = np.cumsum(p[order]) * np.exp(rate * score[order])
+    return rate, max(float(reached.max(initial=0.0)), 1 / words_)
 
 
 def _tokens(model: ToxicModel):
