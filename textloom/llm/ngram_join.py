@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import blocks, bounds, coded, cut, fields
 
-#: Words in a shingle; least similarity; MinHash values, of which ROWS at a time make a band.
+#: Words in a shingle; least similarity; MinHash values (16 bits of each are kept: unequal ones agree once in 65,536),
+#: of which ROWS at a time make a band.
 WORDS, THRESHOLD, HASHES, ROWS = 5, 0.8, 96, 4
 #: Pairs whose posterior probability of reaching the threshold is below this are dropped; values compared at a time.
 TOLERANCE, STEP = 1e-6, 8
@@ -66,9 +67,9 @@ def _signatures(size: int):
         for block in blocks(batches, limit=1 << 20):
             node, shingles, at = _shingled(block, size)
             some = np.flatnonzero(np.diff(at))
-            sig = np.empty((len(some), HASHES), dtype=np.uint32)
+            sig = np.empty((len(some), HASHES), dtype=np.uint16)
             for k in range(HASHES if len(some) else 0):
-                sig[:, k] = np.minimum.reduceat((shingles * mul[k] + add[k]) >> np.uint64(32), at[some])
+                sig[:, k] = np.minimum.reduceat((shingles * mul[k] + add[k]) >> np.uint64(32), at[some]).astype(np.uint16)
             keep = pa.array(some)
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id").take(keep), pa.array(node[some].view(np.int64)), pa.array(np.diff(at)[some], pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())],
@@ -123,7 +124,7 @@ def _small_buckets(threshold: float, tolerance: float):
         held = None
         for batch in _with_end(batches):
             if batch is not None:
-                got = (np.asarray(batch.column("key")), np.asarray(batch.column("band")), np.asarray(batch.column("node")), np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES))
+                got = (np.asarray(batch.column("key")), np.asarray(batch.column("band")), np.asarray(batch.column("node")), np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES))
                 held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
             if held is None or not len(held[0]):
                 continue
@@ -168,7 +169,7 @@ def _block_pair(threshold: float, tolerance: float):
         least = least_matches(threshold, tolerance)
         node, side, copies = (np.asarray(table.column(x).combine_chunks()) for x in ("node", "side", "copies"))
         band = int(table.column("band")[0].as_py())
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
         lists = table.column("shingles").combine_chunks()
         begins = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists)))))
         codes = np.unique(np.asarray(lists.flatten()), return_inverse=True)[1]
@@ -216,7 +217,7 @@ def _join_labels(edges: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): copy_id, class_id, n_copies and n_links.
+    """One row for each row of ``docs`` (doc_id, text): class_id, n_links, copy_id and n_copies.
 
     Texts with the same words (lower-cased, between white space) are copies: copy_id is the smallest id of such a
     group, n_copies its size. Groups whose sets of ``size``-word shingles have a Jaccard similarity of ``threshold`` or
@@ -234,7 +235,7 @@ def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOL
     signed = cut(source.where("doc_id IS NOT NULL").mapInArrow(_signatures(size), "doc_id bigint, node bigint, n bigint, sig binary"))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
-    keys = nodes.select("node", "n", F.posexplode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS * 4} + 1, {ROWS * 4})))")).alias("band", "key"))
+    keys = nodes.select("node", "n", F.posexplode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS * 2} + 1, {ROWS * 2})))")).alias("band", "key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where("size > 1")
     members = cut(keys.drop("n").join(buckets, "key"))
     small, large = members.where(f"size <= {SMALL}"), members.where(f"size > {SMALL}")
@@ -272,10 +273,12 @@ def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOL
     labelled = nodes.select("node", "copy_id", "copies").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = labelled.groupBy("component").agg(F.min("copy_id").alias("class_id"))
     known = labelled.join(classes, "component").join(counted, "node", "left").select("node", "copy_id", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    found = signed.select("doc_id", "node").join(known, "node").select("doc_id", "copy_id", "class_id", F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    known = cut(known)  # so that the join below stands alone, and the rows of a large group of copies can be split
+    found = signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), "copy_id", F.col("copies").alias("n_copies"))
     wordless = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", "")) == 0
     rest = source.where(F.col("doc_id").isNull() | wordless)
-    return found.unionAll(rest.select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("n_copies"), F.lit(0).cast("bigint").alias("n_links")))
+    own = F.col("doc_id")
+    return found.unionAll(rest.select(own, own.alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), own.alias("copy_id"), F.lit(1).cast("bigint").alias("n_copies")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -286,11 +289,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 ORACLE = f"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\v\\f\\r]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') AS w FROM documents
 ), t AS (
   SELECT doc_id, w, array_to_string(w, ' ') AS joined FROM w WHERE len(w) > 0
 ), s AS (
-  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < {WORDS} THEN [joined] ELSE list_transform(range(1, len(w) - {WORDS - 2}), i -> array_to_string(w[i:i + {WORDS - 1}], ' ')) END)) AS g FROM t
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < {WORDS} THEN [joined] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END)) AS g FROM t
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), p AS (
