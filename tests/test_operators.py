@@ -187,3 +187,40 @@ def test_programs(spark):
     train, held = programs.batches(code, vocabulary, 8, 4)
     assert train.count() == 4 and all(len(x.input_ids) == 4 for x in train.collect())
     assert sum(len(x.input_ids) for x in held.collect()) == 2
+
+
+def test_run_store(spark, sf_dir):
+    from textloom.plans.training import QUERIES
+
+    got = {x.key: x for x in QUERIES["run_params_pivot"](spark, sf_dir).collect()}
+    assert set(got) == {"loss", "final"}  # one finished, active run; the failed and the deleted one are left out
+    assert (got["loss"].points, got["loss"].last_value, got["final"].last_value) == (3, 2.0, 1.25)
+    assert (got["loss"].vocab_size, got["loss"].n_layer) == ("500", "6")
+
+
+def test_metric_append(spark, tmp_path):
+    from textloom.sources.runstore import append_metrics
+
+    rows = spark.createDataFrame([("a", "loss", 1, 0, 2.5)], "run_id string, key string, ts long, step long, value double")
+    for _ in range(2):
+        append_metrics(rows, str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+
+
+def test_sessions_and_tables(spark):
+    turns = spark.createDataFrame([(1, 2, "assistant", "b" * 300), (1, 1, "user", "a"), (2, 1, "user", "c")], "conv_id int, turn int, role string, text string")
+    got = {x.conv_id: x for x in runs.sessions(turns).collect()}
+    assert (got[1].steps, got[1].prompt_length, got[1].generated_length, got[1].per_second) == (2, 1, 300, 300.0) and got[2].generated_length == 0
+    assert [s.token_text[0] for s in runs.session_records(turns).where("conv_id = 1").first().steps] == ["a", "b"]
+    assert runs.metric_table(spark.createDataFrame([("loss", 1234.5)], "k string, v double"), "k", "v", 6).first()[0] == "loss   | 1,234.5000"
+
+
+def test_logging(tmp_path):
+    import logging
+
+    from textloom.session import log_to
+
+    before = logging.getLogger().handlers[:], logging.getLogger().level
+    log_to("info", str(tmp_path / "l")).info("hello")
+    logging.getLogger().handlers[:], _ = before[0], logging.getLogger().setLevel(before[1])
+    assert "hello" in (tmp_path / "l").read_text()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import preview, ratio
+from textloom.functions.text import pad_right, preview, ratio
 
 
 def rolling_mean(rows: DataFrame, value: str, order: str, n: int, keys: list[str] = ()) -> DataFrame:
@@ -55,3 +55,14 @@ def sessions(turns: DataFrame, key: str = "conv_id", order: str = "turn", text:
     )
     time = F.col("steps") * F.lit(seconds_a_turn)
     return grouped.select(key, "steps", "prompt_length", "generated_length", time.alias("total_time"), ratio(F.col("generated_length"), time).alias("per_second"), preview(F.col("first_text")).alias("preview"))
+
+
+def session_records(turns: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
+    """A row a session with its steps in order, each with its place, role and text; a session is one generation."""
+    step = F.struct(F.col(order).alias("step"), F.col("role").alias("role"), F.col(text).alias("token_text"))
+    return turns.groupBy(key).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+
+
+def metric_table(rows: DataFrame, name: str, value: str, width: int = 24, digits: int = 4) -> DataFrame:
+    """Fixed-width lines of named values; long names stay whole, and thousands are grouped."""
+    return rows.select(F.concat(pad_right(F.col(name), width), F.lit(" | "), F.format_number(F.col(value), digits)).alias("line"))

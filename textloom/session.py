@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 
@@ -19,3 +20,15 @@ def session(name: str = "textloom", **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names for checkpoints; a temporary one only where it names none (tests)."""
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
+
+
+def log_to(level: str = "INFO", path: str | None = None) -> logging.Logger:
+    """The driver's root logger, set anew: to the console, and to a file if one is named."""
+    root = logging.getLogger()
+    for handler in list(root.handlers):
+        root.removeHandler(handler)
+    for handler in [logging.StreamHandler(), *([logging.FileHandler(path, encoding="utf-8")] if path else [])]:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
+        root.addHandler(handler)
+    root.setLevel(level.upper())
+    return root
