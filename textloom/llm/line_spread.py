@@ -11,6 +11,8 @@ from textloom.llm.common import cut
 MIN_SITES = 6
 #: lg of the sketch's buckets; its relative standard error is 1.04 / sqrt(2**LG).
 LG = 12
+#: A line's rows are dealt out to this many tasks when they meet the boilerplate: one line may hold a third of all.
+SALTS = 32
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -19,6 +21,12 @@ def _lines(docs: DataFrame, site: str) -> DataFrame:
     return one.where(F.trim("line") != "").select("d", "t", "site", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
+def _meet(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """``lines`` joined with the (distinct) hashes of ``keys``; a line's rows are dealt out by their place as well."""
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod(F.hash("d", "pos"), F.lit(SALTS))).join(salted, ["h", "g", "salt"])
+
+
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg: int = LG) -> DataFrame:
     """Hashes (h, g) of lines on ``min_sites`` sites or more, and the smallest id of a document that has the line."""
     lines = _lines(docs, site)
@@ -27,7 +35,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     # A line that stands fewer times than min_sites can't be on so many sites: no sketch is read for it.
     near = cut(spread.where(F.col("n") >= min_sites).withColumn("estimate", F.hll_sketch_estimate("sites")).where(F.col("estimate") >= min_sites - margin).drop("sites", "n"))
     open_ = near.where(F.col("estimate") <= min_sites + margin)
-    exact = lines.select("h", "g", "site").join(open_.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.count_distinct("site").alias("exact"))
+    exact = _meet(lines, open_.select("h", "g")).groupBy("h", "g").agg(F.count_distinct("site").alias("exact"))
     sure = near.where(F.col("estimate") > min_sites + margin).select("h", "g", "keeper")
     return sure.unionByName(open_.join(exact.where(F.col("exact") >= min_sites), ["h", "g"]).select("h", "g", "keeper"))
 
@@ -49,7 +57,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     handed on as it is, whatever its name.
     """
     lines = _lines(docs, site)
-    hit = lines.join(boilerplate(docs, site, min_sites, lg), ["h", "g"]).where(F.col("keeper").isNotNull() & ~F.col("d").eqNullSafe(F.col("keeper")))
+    hit = _meet(lines, boilerplate(docs, site, min_sites, lg)).where(F.col("keeper").isNotNull() & ~F.col("d").eqNullSafe(F.col("keeper")))
     # Repeated rows give the same places; the key is null-safe and holds the text's hash.
     removed = hit.groupBy(F.coalesce(F.col("d").cast("string"), F.lit("null")).alias("__d"), F.col("t").alias("__t")).agg(F.collect_set("pos").alias("__removed"))
     keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__t": F.xxhash64("text")})
