@@ -224,3 +224,19 @@ def test_logging(tmp_path):
     log_to("info", str(tmp_path / "l")).info("hello")
     logging.getLogger().handlers[:], _ = before[0], logging.getLogger().setLevel(before[1])
     assert "hello" in (tmp_path / "l").read_text()
+
+
+@pytest.mark.parametrize("accuracy", [4, 50, 10_000])
+def test_percentiles_are_exact(spark, monkeypatch, accuracy):
+    import numpy as np
+
+    monkeypatch.setattr(stats, "ACCURACY", accuracy)
+    rng = np.random.default_rng(accuracy)
+    groups = {"a": rng.normal(size=900), "b": rng.integers(0, 4, 700).astype(float), None: rng.exponential(size=33), "d": np.array([7.0]), "e": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in groups.items() for v in x] + [("f", None)], "k string, v double")
+    shares = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {x.k: x for x in stats.percentiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert [got[k][n] for n in shares] == pytest.approx([np.percentile(x, 100 * p) for p in shares.values()], abs=1e-12)
+    assert stats.percentiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median(np.concatenate(list(groups.values()))))

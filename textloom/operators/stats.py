@@ -3,29 +3,69 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import ratio
 from textloom.operators import evaluate
 
 
+#: Accuracy of the sketch that brackets a percentile; smaller groups are bracketed by their least and largest value.
+ACCURACY = 10_000
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, a column a share): exact percentiles, linearly interpolated, with no group's values in one task.
+
+    A sketch brackets each percentile; then only the values within its bracket (a few in ten thousand) are ranked, by
+    value and count, and those below it are counted. Nulls are left out; keys may be null.
+    """
+    keys, n = list(keys), F.col("__n")
+    rows = rows.select(*keys, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    ends = [x for p in shares.values() for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
+    base = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__v").alias("__a"), F.max("__v").alias("__z"), F.percentile_approx("__v", ends, ACCURACY).alias("__b"))
+    bracket = lambda i, p, name: F.struct(
+        F.lit(name).alias("__p"), (F.lit(p) * (n - 1)).alias("__h"), F.when(n < 4 * ACCURACY, F.col("__a")).otherwise(F.col("__b")[2 * i]).alias("__lo"), F.when(n < 4 * ACCURACY, F.col("__z")).otherwise(F.col("__b")[2 * i + 1]).alias("__hi")
+    )
+    brackets = base.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.inline(F.array(*(bracket(i, p, name) for i, (name, p) in enumerate(shares.items())))))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    inside = rows.join(brackets, same & (F.col("__v") <= F.col("__hi"))).groupBy(*keys, "__p", "__h", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__w")).agg(F.count("*").alias("__c"))
+    ranked = inside.withColumn("__r", F.sum("__c").over(W.partitionBy(*keys, "__p").orderBy(F.col("__w").asc_nulls_first())))
+    at = lambda rank: F.min(F.when(F.col("__r") > rank, F.col("__w")))
+    found = ranked.groupBy(*keys, "__p", "__h").agg(at(F.floor("__h")).alias("__x"), at(F.ceil("__h")).alias("__y"))
+    found = found.withColumn("__q", F.col("__x") + (F.col("__h") - F.floor("__h")) * (F.col("__y") - F.col("__x")))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("__p") == name, F.col("__q"))).alias(name) for name in shares))
+
+
+def _with(frame: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``frame`` left-joined with ``other``, of one row a key; null keys meet."""
+    named = other.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return frame.join(named, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+
 def timing(samples: DataFrame, keys: list[str] = (), time: str = "execution_time") -> DataFrame:
     """Statistics over times above 0; samples_per_second is all samples by the summed time."""
     t = F.when(F.col(time) > 0, F.col(time).cast("double"))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return samples.groupBy(*keys).agg(
-        F.count("*").alias("total_samples"), F.count(t).alias("timed"), zero(F.sum(t)).alias("total_time"), zero(F.avg(t)).alias("mean_time"), zero(F.percentile(t, F.lit(0.5))).alias("median_time"),
-        zero(F.min(t)).alias("min_time"), zero(F.max(t)).alias("max_time"), zero(F.stddev_pop(t)).alias("std_time"), F.percentile(t, F.lit(0.95)).alias("p95_time"), F.percentile(t, F.lit(0.99)).alias("p99_time"),
-        ratio(F.count("*"), F.sum(t)).alias("samples_per_second"),
+    plain = samples.groupBy(*keys).agg(
+        F.count("*").alias("total_samples"), F.count(t).alias("timed"), zero(F.sum(t)).alias("total_time"), zero(F.avg(t)).alias("mean_time"), zero(F.min(t)).alias("min_time"), zero(F.max(t)).alias("max_time"),
+        zero(F.stddev_pop(t)).alias("std_time"), ratio(F.count("*"), F.sum(t)).alias("samples_per_second"),
     )
+    ranks = percentiles(samples.where(F.col(time) > 0), keys, time, {"median_time": 0.5, "p95_time": 0.95, "p99_time": 0.99})
+    out = _with(plain, ranks, list(keys)).withColumn("median_time", zero(F.col("median_time")))
+    return out.select(*keys, "total_samples", "timed", "total_time", "mean_time", "median_time", "min_time", "max_time", "std_time", "p95_time", "p99_time", "samples_per_second")
 
 
 def lengths(rows: DataFrame, *columns: str) -> DataFrame:
     """A row for each length column: mean, population deviation, least, largest and median; null counts as 0."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(0)).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    return long.groupBy("name").agg(
-        F.count("*").alias("total"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.lit(0.5)).alias("median")
-    )
+    plain = long.groupBy("name").agg(F.count("*").alias("total"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return _with(plain, percentiles(long, ["name"], "v", {"median": 0.5}), ["name"])
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ import logging
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "textloom", **settings: str) -> SparkSession:
@@ -22,6 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in which checkpoints are written; it is set once, to the shared folder."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(spark))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` now and cut its lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def log_to(level: str = "INFO", path: str | None = None) -> logging.Logger:
     """The driver's root logger, set anew: to the console, and to a file if one is named."""
     root = logging.getLogger()
