@@ -59,3 +59,14 @@ def test_held_out_accuracy(spark):
 
 def test_query_covers_all(spark, sf_dir):
     assert queries.op6_cotraining(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_word_measures():
+    classes = cotrain._classes()
+    words = ["Hello,", "ABC!!!!", "x9", "aaaaaa", "aab", "\U0001f600\U0001f600", "\u00e9\u00c9", "z"]
+    length, letters, upper, digits, ends, bucket = cotrain._word_measures(words, classes)
+    assert length.tolist() == [len(w) for w in words] and letters.tolist() == [sum(c.isalpha() for c in w) for w in words]
+    assert upper.tolist() == [sum(c.isupper() for c in w) for w in words] and digits.tolist() == [sum(c.isdigit() for c in w) for w in words]
+    assert ends.tolist() == [float(w[-1] in ".,;:!?") for w in words]
+    assert bucket[3] == bucket[4]  # both are two letters or more
+    assert (cotrain._word_measures(words[::-1], classes)[5] == bucket[::-1]).all()

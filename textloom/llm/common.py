@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,8 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import checkpoint_dir, cut
+
+__all__ = ["BLOCK_BYTES", "blocks", "bounds", "checkpoint_dir", "coded", "cut", "fields", "flat", "in_arrow", "read", "remainder", "words"]
+
 #: Texts are handled in blocks of about this many bytes, so memory doesn't follow the batch size.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 2_000
 
 
 def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -22,19 +26,12 @@ def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none (tests)."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` now and cut its lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_ROWS, as texts may be long; a session's own setting other than the default stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:

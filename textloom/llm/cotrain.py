@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, fields
+from textloom.llm.common import blocks, bounds, coded, cut, fields, in_arrow
 
 #: Labelled and unlabelled rows that the classifiers are fitted on, at most: those with the smallest hashes of their id.
 LABELLED, POOL = 20_000, 20_000
@@ -29,14 +28,39 @@ MEASURES = (
 _META = 4
 
 
-def _shape(word: str) -> str:
-    """A word's kind of characters, runs shortened: Xx, x, X!, 9 and the like."""
-    out = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word)
-    out = re.sub(r"\d", "9", out)
-    return re.sub(r"(.)\1+", r"\1\1", out)[:12]
+def _classes() -> np.ndarray:
+    """For each code point 1 for an upper-case letter, 2 for another letter, 3 for a digit, else 0."""
+    points = map(chr, range(0x110000))
+    return np.fromiter((1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 0 for c in points), dtype=np.uint8, count=0x110000)
 
 
-def text_view(texts: pa.Array) -> np.ndarray:
+def _word_measures(uniq: list[str], classes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each word: length, letters, upper-case letters, digits, whether it ends in a mark, and its shape's bucket.
+
+    A shape is the word's kinds of characters (letters of two cases, digits, the others as they are), with runs cut to
+    two and the whole to twelve.
+    """
+    points = np.frombuffer("".join(uniq).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    length = np.fromiter(map(len, uniq), dtype=np.int64, count=len(uniq))
+    begins = np.concatenate(([0], np.cumsum(length)[:-1]))
+    kind = classes[points]
+    count = lambda x: np.add.reduceat(x.astype(np.float64), begins)
+    ends = np.isin(points[begins + length - 1], [ord(x) for x in ".,;:!?"]).astype(float)
+    drawn = np.where(kind == 0, points, kind).astype(np.uint64)
+    place = np.arange(len(points)) - np.repeat(begins, length)
+    third = np.zeros(len(points), bool)
+    third[2:] = (drawn[2:] == drawn[1:-1]) & (drawn[2:] == drawn[:-2]) & (place[2:] >= 2)
+    kept = np.cumsum(~third)
+    rank = kept - np.repeat(kept[begins], length)
+    weight = np.cumprod(np.full(13, 0x9E3779B97F4A7C15, dtype=np.uint64))
+    mixed = np.where(third | (rank >= 12), np.uint64(0), (drawn + np.uint64(1)) * weight[np.minimum(rank, 12)])
+    shape = np.add.reduceat(mixed, begins)
+    shape ^= shape >> np.uint64(31)
+    bucket = ((shape * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)) % np.uint64(SHAPES)
+    return length.astype(float), count((kind == 1) | (kind == 2)), count(kind == 1), count(kind == 3), ends, bucket.astype(np.int64)
+
+
+def text_view(texts: pa.Array, classes: np.ndarray) -> np.ndarray:
     """Rows x (measures + shapes): how a text is written, from its whole."""
     texts = pc.fill_null(texts.cast("large_string"), "")
     n = len(texts)
@@ -45,11 +69,11 @@ def text_view(texts: pa.Array) -> np.ndarray:
     at = bounds(rows, n)
     count = np.diff(at)
     some = np.maximum(count, 1)
-    length = np.array([len(x) for x in uniq], float)
-    letters = np.array([sum(c.isalpha() for c in x) for x in uniq], float)
-    upper = np.array([sum(c.isupper() for c in x) for x in uniq], float)
-    digits = np.array([sum(c.isdigit() for c in x) for x in uniq], float)
-    ends = np.array([x[-1] in ".,;:!?" for x in uniq], float)
+    if uniq:
+        length, letters, upper, digits, ends, bucket = _word_measures(uniq, classes)
+    else:
+        length = letters = upper = digits = ends = np.empty(0)
+        bucket = np.empty(0, np.int64)
     total = lambda w: np.bincount(rows, weights=w[index], minlength=n) if len(uniq) else np.zeros(n)
     chars = np.maximum(total(length), 1)
     pair = np.unique(rows * max(1, len(uniq)) + index) if len(uniq) else np.empty(0, int)
@@ -65,7 +89,6 @@ def text_view(texts: pa.Array) -> np.ndarray:
         1 - (total(letters) + total(digits)) / chars, total(ends) / some, total((letters == 0).astype(float)) / some, line_repeat,
         total((length > 20).astype(float)) / some, total((length < 3).astype(float)) / some,
     ], axis=1)
-    bucket = np.array([xxhash.xxh32_intdigest(_shape(x)) % SHAPES for x in uniq], dtype=np.int64)
     shapes = np.bincount(rows * SHAPES + bucket[index], minlength=n * SHAPES).reshape(n, SHAPES) / some[:, None] if len(uniq) else np.zeros((n, SHAPES))
     return np.concatenate((dense, np.sqrt(shapes)), axis=1).astype(np.float32)
 
@@ -163,8 +186,9 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
 
 
 def _views(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    classes = _classes()
     for block in blocks(batches):
-        text = text_view(block.column("text"))
+        text = text_view(block.column("text"), classes)
         meta = meta_view(*(block.column(x).to_pylist() for x in ("lang", "source", "n_chars")))
         yield pa.RecordBatch.from_arrays([block.column("label"), pa.array(list(text), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.float32()))], names=["label", "text", "meta"])
 
@@ -184,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     # The sample is bounded (40,000 ids of 12 bytes by default), so it may be sent to every task.
     used = docs.select("doc_id", *(F.col(x).cast("string") for x in ("text", "lang", "source")), F.col("n_chars").cast("bigint"))
     rows = used.join(F.broadcast(sample), "doc_id").select("label", "text", "lang", "source", "n_chars")
-    got = cut(rows.mapInArrow(_views, "label int, text array<float>, meta array<float>")).toArrow()
+    got = cut(rows.transform(in_arrow, _views, "label int, text array<float>, meta array<float>")).toArrow()
     label = np.asarray(got.column("label").combine_chunks())
     if len(set(label[label >= 0].tolist())) < 2:
         return None
@@ -206,17 +230,18 @@ def classify(docs: DataFrame, models: tuple[Logistic, Logistic, np.ndarray] | No
     used = ["__text", "__lang", "__source", "__n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = _classes()
         for block in blocks(batches, "__text"):
             n = block.num_rows
             scores = [np.full(n, 0.5)] * 3
             if sent.value is not None:
                 parts, mix = sent.value
                 a, b = (Logistic(*x) for x in parts)
-                z = np.stack((np.ones(n), a.logit(text_view(block.column("__text"))), b.logit(meta_view(*(block.column(x).to_pylist() for x in used[1:])))), axis=1)
+                z = np.stack((np.ones(n), a.logit(text_view(block.column("__text"), classes)), b.logit(meta_view(*(block.column(x).to_pylist() for x in used[1:])))), axis=1)
                 scores = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (z[:, 1], z[:, 2], z @ mix)]
             kept = [block.column(x) for x in block.schema.names if x not in used]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.float64()) for x in scores)], names=[*(x for x in block.schema.names if x not in used), "text_score", "meta_score", "score"])
 
     kept = docs.select(*keys, F.col("text").cast("string").alias("__text"), F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source"), F.col("n_chars").cast("bigint").alias("__n"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in used), "text_score double, meta_score double, score double"])
-    return kept.mapInArrow(run, schema)
+    return kept.transform(in_arrow, run, schema)
