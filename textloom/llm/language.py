@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, words
+from textloom.llm.common import blocks, bounds, coded, in_arrow, words
 
 UNKNOWN = "und"
 #: Character n-grams (within ``^word$``) are counted in this many hash buckets.
@@ -34,50 +34,50 @@ _COUNTS = "lang string, kind int, item bigint, n bigint"
 
 
 def _points(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of ``^word$`` for each item, and where each begins."""
-    text = "".join(f"^{x}$" for x in items)
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), np.cumsum([0, *(len(x) + 2 for x in items)])
+    """Code points of ``^word$`` for each item, and where each begins (and the last one ends)."""
+    text = f"^{'$^'.join(items)}$" if items else ""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return points, np.cumsum(np.fromiter(map(len, ["", *items]), dtype=np.int64, count=len(items) + 1) + 2) - 2
 
 
-def _grams(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all items and the item of each."""
-    points, begins = _points(items)
-    owner = np.repeat(np.arange(len(items)), np.diff(begins))
-    grams, owners = [], []
+def _grams(points: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the buckets of the n-grams, word by word, and how many each word has."""
+    size = np.diff(begins)
+    owner = np.repeat(np.arange(len(size)), size)
     for n in ORDERS:
-        size = len(points) - n + 1
-        if size <= 0:
+        last = len(points) - n + 1
+        if last <= 0:
             continue
-        h = np.full(size, n, dtype=np.uint64)
+        h = np.full(last, n, dtype=np.uint64)
         for k in range(n):
-            h = (h ^ points[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= points[k : k + last]
+            h *= np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        inside = owner[:size] == owner[n - 1 :]
+        inside = owner[:last] == owner[n - 1 :]
         if n == 1:  # the two word marks say nothing alone
-            inside &= (points != ord("^")) & (points != ord("$"))
-        grams.append((h % np.uint64(BUCKETS)).astype(np.int64)[inside])
-        owners.append(owner[:size][inside])
-    return np.concatenate(grams), np.concatenate(owners)
+            inside[begins[:-1]] = inside[begins[1:] - 1] = False
+        yield (h & np.uint64(BUCKETS - 1)).astype(np.int32)[inside], size - 2 if n == 1 else np.maximum(size - n + 1, 0)
 
 
-def _scripts(items: list[str]) -> np.ndarray:
+def _scripts(points: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """The script of each word: that of its last letter outside ``other``, as a code."""
-    points, begins = _points(items)
+    if len(begins) < 2:
+        return np.empty(0, dtype=np.int64)
     code = _CODES[np.searchsorted(_STARTS, points, side="right") - 1]
     other = _NAMES.index("other")
     at = np.where((code != other) & (points != ord("^")), np.arange(len(points)), -1)
-    last = np.maximum.reduceat(at, begins[:-1]) if len(items) else np.empty(0, int)
+    last = np.maximum.reduceat(at, begins[:-1])
     return np.where(last >= begins[:-1], code[np.maximum(last, 0)], other)
 
 
 def _letters(items: list[str]) -> np.ndarray:
     """Letters in each word."""
-    return np.array([len(x) if x.isalpha() else sum(unicodedata.category(c)[0] == "L" for c in x) for x in items], dtype=np.int64)
+    return np.fromiter((len(x) if x.isalpha() else sum(unicodedata.category(c)[0] == "L" for c in x) for x in items), dtype=np.int64, count=len(items))
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each language what one task has read: n-gram buckets (kind 0), words by script (1), all n-grams (2)."""
-    grams: dict[str, np.ndarray] = {}
+    counts: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for block in blocks(batches):
         items, rows = words(block.column("text"))
@@ -85,15 +85,16 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uniq, index = coded(items)
         if not uniq:
             continue
-        bucket, owner = _grams(uniq)
-        script = _scripts(uniq)
+        points, begins = _points(uniq)
+        found, script = list(_grams(points, begins)), _scripts(points, begins)
         for lang in set(langs.tolist()):
             seen = np.bincount(index[langs == lang], minlength=len(uniq))
-            if lang not in grams:
-                grams[lang], scripts[lang] = np.zeros(BUCKETS), np.zeros(len(_NAMES))
-            grams[lang] += np.bincount(bucket, weights=seen[owner], minlength=BUCKETS)
+            if lang not in counts:
+                counts[lang], scripts[lang] = np.zeros(BUCKETS), np.zeros(len(_NAMES))
+            for bucket, size in found:
+                counts[lang] += np.bincount(bucket, weights=np.repeat(seen, size), minlength=BUCKETS)
             scripts[lang] += np.bincount(script, weights=seen, minlength=len(_NAMES))
-    for lang, count in grams.items():
+    for lang, count in counts.items():
         for kind, values in ((0, count), (1, scripts[lang])):
             at = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([kind] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(values[at].astype(np.int64))], names=["lang", "kind", "item", "n"])
@@ -107,18 +108,23 @@ class LanguageModel:
     table: np.ndarray  # buckets x languages, log shares
     allowed: np.ndarray  # scripts x languages
 
-    def word_scores(self, items: list[str]) -> np.ndarray:
+    def word_scores(self, items: list[str], letters: np.ndarray) -> np.ndarray:
         """Words x languages: log-likelihoods, the best at 0, none below -MOST; a script's languages alone compete."""
-        bucket, owner = _grams(items)
-        score = np.zeros((len(items), len(self.langs)))
-        for k in range(len(self.langs)):
-            score[:, k] = np.bincount(owner, weights=self.table[bucket, k], minlength=len(items))
+        score = np.zeros((len(items), len(self.langs)), dtype=np.float32)
+        if not score.size:
+            return score
+        points, begins = _points(items)
+        for bucket, size in _grams(points, begins):
+            some = np.flatnonzero(size)
+            if len(some):
+                score[some] += np.add.reduceat(self.table[bucket], np.cumsum(size[some]) - size[some], axis=0)
         score /= len(ORDERS) / 2  # n-grams of several orders tell the same letters again
-        allowed = self.allowed[_scripts(items)]
-        some = allowed.any(axis=1, keepdims=True)
-        score = np.where(allowed | ~some, score, -np.inf)
-        score = np.maximum(score - score.max(axis=1, keepdims=True, initial=-np.inf), -MOST) if len(self.langs) else score
-        score[_letters(items) == 0] = 0.0  # digits say nothing
+        allowed = self.allowed[_scripts(points, begins)]
+        allowed |= ~allowed.any(axis=1, keepdims=True)
+        score[~allowed] = -np.inf
+        score -= score.max(axis=1, keepdims=True)
+        np.maximum(score, -MOST, out=score)
+        score[letters == 0] = 0.0  # digits say nothing
         return score
 
 
@@ -128,7 +134,7 @@ def train(docs: DataFrame, share: float = 1e-4) -> LanguageModel:
     Rows with a null text or lang teach nothing. A language may use a script that writes at least ``share`` of its words.
     """
     counted = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    got = counted.mapInArrow(_count, _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toPandas()
+    got = counted.transform(in_arrow, _count, _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique().tolist())
     table, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(_NAMES), len(langs)))
     for k, lang in enumerate(langs):
@@ -154,7 +160,7 @@ def viterbi(score: np.ndarray, begins: np.ndarray, switch: float = SWITCH) -> np
         return out
     size = np.diff(begins)
     some = np.flatnonzero(size)
-    sums = np.add.reduceat(score, begins[some], axis=0)
+    sums = np.add.reduceat(score, begins[some], axis=0, dtype=np.float64)
     best = np.zeros(n, dtype=np.int64)
     best[some] = sums.argmax(axis=1)
     doc = np.repeat(np.arange(n), size)
@@ -162,7 +168,7 @@ def viterbi(score: np.ndarray, begins: np.ndarray, switch: float = SWITCH) -> np
     open_ = np.zeros(n, dtype=bool)
     own = score[np.arange(total), best[doc]]
     for k in range(langs):
-        run = np.cumsum(score[:, k] - own)
+        run = np.cumsum(score[:, k] - own, dtype=np.float64)
         base = np.concatenate(([0.0], run))[begins[some]]
         # Largest rise within a document: a running minimum that starts anew, by an offset that falls with each document.
         far = (np.ptp(run) + 1.0) * np.arange(len(some))
@@ -174,7 +180,7 @@ def viterbi(score: np.ndarray, begins: np.ndarray, switch: float = SWITCH) -> np
     if not len(todo):
         return out
     length, start = size[todo], begins[todo]
-    value = score[start].copy()
+    value = score[start].astype(np.float64)
     back = [None]
     for t in range(1, int(length[0])):
         m = int(np.searchsorted(-length, -t, side="left"))
@@ -199,8 +205,9 @@ def _label(model: LanguageModel, block: pa.RecordBatch, keys: list[str], switch:
     uniq, index = coded(items)
     n, langs = block.num_rows, len(model.langs)
     begins = bounds(rows, n)
-    weights = _letters(uniq)[index] if uniq else np.empty(0, np.int64)
-    score = model.word_scores(uniq)[index] if uniq else np.zeros((0, langs))
+    length = _letters(uniq)
+    weights = length[index] if uniq else np.empty(0, np.int64)
+    score = model.word_scores(uniq, length)[index] if uniq else np.zeros((0, langs), np.float32)
     path = viterbi(score, begins, switch)
     letters = np.bincount(rows, weights=weights, minlength=n)
     names, sure, found = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
@@ -240,7 +247,7 @@ def identify(docs: DataFrame, model: LanguageModel, keys: list[str], switch: flo
     kept = docs.select(*(x for x in keys if x != "text"), F.col("text").cast("string").alias("__text"))
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema} | {"text": "string"}
     schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in keys), "lang_pred string, score double, spans array<struct<lang:string,first_word:int,words:int>>"])
-    return kept.mapInArrow(run, schema)
+    return kept.transform(in_arrow, run, schema)
 
 
 def learnable(docs: DataFrame, rule: Column) -> DataFrame:
