@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks
+from textloom.llm.common import blocks, in_arrow
 
 CAPACITY = 2048
 SEGMENTS = 256
@@ -151,4 +151,4 @@ def pack_documents(
             yield batch_of(pieces)
         yield batch_of(list(packer.finish()))
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _PIECE)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).transform(in_arrow, run, _PIECE)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, in_arrow
 
 #: Trees; symbols in a hash string, and the bits of one.
 TREES, SYMBOLS = 56, 7
@@ -209,7 +209,7 @@ def search(
 
     wanted = queries.select("node").distinct().withColumn("asked", F.lit(True))
     hashed = nodes.select("node", "vector").join(wanted, "node", "left").select("node", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
-    keys = cut(hashed.mapInArrow(_hashed(centre, seed, trees, depth), "tree int, shard bigint, key bigint, node bigint, asked boolean"))
+    keys = cut(hashed.transform(in_arrow, _hashed(centre, seed, trees, depth), "tree int, shard bigint, key bigint, node bigint, asked boolean"))
     names = [f"c{x}" for x in range(1, symbols + 1)]
     counts = keys.groupBy("tree", "shard").applyInArrow(_counts(bits, symbols), "node bigint, " + ", ".join(f"{x} bigint" for x in names))
     total = counts.groupBy("node").agg(*(F.sum(x).alias(x) for x in names))
@@ -222,7 +222,7 @@ def search(
     some = found.groupBy("part", "query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     every = levels.where("level = 0").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("node").alias("query"), F.lit(None).cast("array<bigint>").alias("near"))
     requests = some.unionByName(every).join(nodes.select(F.col("node").alias("query"), "vector"), "query").select("part", "query", "near", "vector")
-    dealt = nodes.select("node", "vector").mapInArrow(_dealt(dim, parts), "part int, node bigint, vector array<double>")
+    dealt = nodes.select("node", "vector").transform(in_arrow, _dealt(dim, parts), "part int, node bigint, vector array<double>")
     checked = dealt.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(_checked(dim, k + 1), "query bigint, node bigint, score double")
 
     near = checked.join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("id"))

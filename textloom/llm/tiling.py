@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, words
+from textloom.llm.common import blocks, bounds, in_arrow, words
 
 #: Shortest tile, in words; also the length of the seeds that a text and an item have to share.
 LEAST_TILE = 5
@@ -159,7 +159,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
 
-        result = result.unionAll(source.mapInArrow(run, _OUT))
+        result = result.unionAll(source.transform(in_arrow, run, _OUT))
     return result
 
 
