@@ -100,3 +100,20 @@ def test_extreme_value_root():
     p = np.array([0.005, 0.002])
     assert (p * np.exp(rate * np.array([1.0, 3.0]))).sum() + 0.993 * np.exp(-rate * toxicity.DRIFT) == pytest.approx(1.0, abs=1e-6)
     assert scale == pytest.approx(max(0.007 * np.exp(rate), 0.002 * np.exp(3 * rate)))
+
+
+def test_joint_evidence():
+    assert toxicity.joint_evidence([]) == (0.0, 0) and toxicity.joint_evidence([-1.0]) == (0.0, 0)
+    assert toxicity.joint_evidence([1e6]) == (1e6, 1)  # no underflow
+    assert toxicity.joint_evidence([4.0]) == (pytest.approx(4.0, abs=0.01), 1)
+    several, n = toxicity.joint_evidence([4.0, 4.0, 4.0])
+    assert n == 3 and 4 < several < 12
+    assert all(toxicity.joint_evidence([x] * 50)[0] >= 0 for x in (0.01, 1.0, 800.0))
+
+
+def test_very_long_toxic_text(spark):
+    texts = clean_and_toxic()
+    docs = odd_documents(spark, [*texts, " ".join(f"vileword foulterm w{i}" for i in range(20_000))])
+    labels = spark.createDataFrame([(100 + i, int(i % 4 == 0), "x") for i in range(len(texts))], LABELS)
+    row = toxicity.detect(docs, toxicity.fit(docs, labels), ["doc_id"]).where(F.col("doc_id") == 100 + len(texts)).first()
+    assert row.score > 0.7 and row.segments

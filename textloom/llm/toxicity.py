@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, words
+from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, words
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their id.
 LABELLED = 30_000
@@ -22,7 +22,9 @@ STEMS = (4, 5, 6, 7)
 #: number of features a document are kept, however large the corpus is.
 SHARE, LEAST = 1e-3, 3
 #: Standard errors taken off a log-odds ratio; mass of the prior; most a token may score; what any other token costs.
-ERRORS, PRIOR, MOST, DRIFT = 2.0, 10.0, 6.0, 0.05
+ERRORS, PRIOR, MOST, DRIFT = 2.0, 10.0, 6.0, 0.02
+#: A feature has to raise the odds so much, in nats: weaker ones are left out.
+STRENGTH = 0.7
 #: Segments that are together likelier than this in a clean document of the length aren't significant.
 CHANCE = 0.1
 _RAW = "evidence double, segments array<struct<first_word:int,words:int,score:double,expect:double>>"
@@ -98,20 +100,20 @@ class ToxicModel:
     line: tuple[float, float] = (0.0, 1.0)
 
     def word_scores(self, uniq: list[str]) -> np.ndarray:
-        """The best score of each word and its stems, 0 if none has one; few words begin as a feature does."""
-        out = np.zeros(len(uniq))
-        if not self.scores or not uniq:
-            return out
-        heads = pa.array(sorted({x.rstrip("*")[: min(STEMS)] for x in self.scores}))
-        some = np.flatnonzero(np.asarray(pc.is_in(pc.utf8_slice_codeunits(pa.array(uniq, pa.string()), 0, min(STEMS)), heads)))
-        for i in some:
-            x = uniq[i]
-            out[i] = max(self.scores.get(x, 0.0), *(self.scores.get(x[:n] + "*", 0.0) for n in STEMS if len(x) > n), 0.0)
-        return out
+        """The best score of each word and its stems, 0 if none has one."""
+        return np.array([max(self.scores.get(x, 0.0), *(self.scores.get(x[:n] + "*", 0.0) for n in STEMS if len(x) > n), 0.0) for x in uniq])
+
+    def hot(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the items that score above 0, their codes (alike for equal items) and their scores."""
+        heads = pa.array(sorted({x.rstrip("*")[: min(STEMS)] for x in self.scores}), items.type)
+        at = np.flatnonzero(np.asarray(pc.is_in(pc.utf8_slice_codeunits(items, 0, min(STEMS)), heads)))
+        uniq, index = coded(items.take(pa.array(at)))
+        score = self.word_scores(uniq)[index] if uniq else np.empty(0)
+        return at[score > 0], index[score > 0], score[score > 0]
 
 
 def log_odds(frame, share: float = SHARE, least: int = LEAST) -> dict[str, float]:
-    """Log-odds ratios with an informative Dirichlet prior, less ERRORS standard errors, of the features above 0.
+    """Log-odds ratios with an informative Dirichlet prior, less ERRORS standard errors, of the features above STRENGTH.
 
     ``frame`` holds feature, ones and zeros, the empty feature the documents. The prior has mass PRIOR, shared as the
     features are in both classes together.
@@ -123,7 +125,7 @@ def log_odds(frame, share: float = SHARE, least: int = LEAST) -> dict[str, float
     prior = PRIOR * (a + b) / max(1.0, one + zero)
     ratio = np.log((a + prior) / (one + PRIOR - a - prior)) - np.log((b + prior) / (zero + PRIOR - b - prior))
     lower = np.minimum(ratio - ERRORS * np.sqrt(1 / (a + prior) + 1 / (b + prior)), MOST)
-    return {k: float(v) for k, v in zip(rest["feature"], lower, strict=True) if v > 0}
+    return {k: float(v) for k, v in zip(rest["feature"], lower, strict=True) if v >= STRENGTH}
 
 
 def _occurrence(key: np.ndarray) -> np.ndarray:
@@ -148,7 +150,7 @@ def joint_evidence(normal: list[float]) -> tuple[float, int]:
         if x <= 0:
             break
         if r == 1:
-            now = -math.log(-math.expm1(-math.exp(-x)))
+            now = -math.log(-math.expm1(-math.exp(-x))) if x < 30 else x
         else:
             now = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2)
         if now > best:
@@ -158,16 +160,15 @@ def joint_evidence(normal: list[float]) -> tuple[float, int]:
 
 def _scored(model: ToxicModel, block: pa.RecordBatch) -> tuple[list[float], list[list[dict]]]:
     items, rows = words(block.column("text"))
-    uniq, index = coded(items)
     evidence, out = [0.0] * block.num_rows, [[] for _ in range(block.num_rows)]
-    score = model.word_scores(uniq)[index] if uniq else np.empty(0)
-    begins, hot = bounds(rows, block.num_rows), np.flatnonzero(score > 0)
-    score[hot] /= _occurrence(rows[hot] * max(1, len(uniq)) + index[hot])
+    hot, code, score = model.hot(items)
+    begins = bounds(rows, block.num_rows)
+    score = score / _occurrence(rows[hot] * (code.max(initial=0) + 1) + code)
     by_row = bounds(rows[hot], block.num_rows)
     for row in np.flatnonzero(np.diff(by_row)):
         at = hot[by_row[row] : by_row[row + 1]]
         length = begins[row + 1] - begins[row]
-        found = sorted(sparse_segments(at - begins[row], score[at], DRIFT), key=lambda x: -x[2])
+        found = sorted(sparse_segments(at - begins[row], score[by_row[row] : by_row[row + 1]], DRIFT), key=lambda x: -x[2])
         normal = [model.rate * x[2] - math.log(model.scale * length) for x in found]
         evidence[row], best = joint_evidence(normal)
         if evidence[row] >= -math.log(CHANCE):
@@ -205,10 +206,8 @@ def _tokens(model: ToxicModel):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             items, _ = words(block.column("text"))
-            uniq, index = coded(items)
-            score = np.round(model.word_scores(uniq), 2)[index] if uniq else np.empty(0)
-            value, n = np.unique(score[score > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([-1.0, *value], pa.float64()), pa.array([len(score), *n], pa.int64())], names=["score", "n"])
+            value, n = np.unique(np.maximum(np.round(model.hot(items)[2], 2), 0.01), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([-1.0, *value], pa.float64()), pa.array([len(items), *n], pa.int64())], names=["score", "n"])
 
     return run
 
@@ -224,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labell
     known = labels.where(F.col("toxic").isin(0, 1) & usable).select("doc_id", F.col("toxic").cast("int"))
     known = cut(known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic").limit(labelled))
     joined = cut(docs.where(F.col("text").isNotNull() & usable).select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("text", "toxic"))
-    counted = joined.mapInArrow(_count, "feature string, ones bigint, zeros bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    counted = joined.transform(in_arrow, _count, "feature string, ones bigint, zeros bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     counted = cut(counted)
     totals = counted.where("feature = ''").toPandas()
     one = float(totals["ones"].sum())
@@ -232,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labell
     model = ToxicModel(log_odds(frame, share, least))
     if not model.scores:
         return model
-    clean = joined.where("toxic = 0").select("text").mapInArrow(_tokens(model), "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
+    clean = joined.where("toxic = 0").select("text").transform(in_arrow, _tokens(model), "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
     total = float(clean.loc[clean["score"] < 0, "n"].sum())
     if total:
         some = clean[clean["score"] > 0]
@@ -278,7 +277,7 @@ def score_texts(docs: DataFrame, model: ToxicModel, keys: list[str]) -> DataFram
 
     kept = docs.select(*keys, F.col("text").cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), _RAW])
-    return kept.mapInArrow(run, schema)
+    return kept.transform(in_arrow, run, schema)
 
 
 def detect(docs: DataFrame, model: ToxicModel, keys: list[str]) -> DataFrame:
