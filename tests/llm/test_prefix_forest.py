@@ -83,3 +83,51 @@ def test_recall_of_the_query(spark):
         d[ids == q] = np.inf
         hits += len(set(ids[np.lexsort((ids, d))[:10]]) & {i for i, _, _ in got[q]})
     assert hits >= 0.9 * 10 * len(got)
+
+
+def test_candidates_are_distinct_and_grow_with_the_table():
+    """At each size queries stop at a prefix that holds its share of distinct vectors, and recall there doesn't fall."""
+    rng = np.random.default_rng(5)
+    forest = prefix_forest.Forest(np.zeros(64))
+    for n in (12_000, 48_000):
+        x = rng.normal(size=(n, 64))
+        trees = prefix_forest.Trees(np.concatenate([forest.keys(x[a : a + 4096]) for a in range(0, n, 4096)]), forest.bits, forest.symbols)
+        asked = x[:50]
+        hits, lengths = 0, set()
+        for y, (length, at) in zip(asked, trees.candidates(forest.keys(asked), prefix_forest.SHARE * n, fallback=False), strict=True):
+            lengths.add(length)
+            assert len(set(at.tolist())) == len(at) and len(at) < n
+            assert length == 1 or len(at) >= prefix_forest.SHARE * n
+            d = ((x - y) ** 2).sum(axis=1)
+            hits += len(set(np.argsort(d)[1:11]) & set(at.tolist()))
+        assert 0 not in lengths and hits >= 0.9 * 500, (n, hits)
+
+
+def test_longer_prefixes_name_their_share():
+    """Vectors in few narrow clusters: longer prefixes hold the share, and the nearest are found there."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(3, 64))
+    x = np.concatenate([c + 0.02 * rng.normal(size=(1000, 64)) for c in centres])
+    forest = prefix_forest.Forest(np.zeros(64))
+    trees = prefix_forest.Trees(forest.keys(x), forest.bits, forest.symbols)
+    got = list(trees.candidates(forest.keys(x[::100]), prefix_forest.SHARE * len(x), fallback=False))
+    assert max(length for length, _ in got) > 1
+    hits = 0
+    for y, (_, at) in zip(x[::100], got, strict=True):
+        assert len(at) >= prefix_forest.SHARE * len(x)
+        hits += len(set(np.argsort(((x - y) ** 2).sum(axis=1))[:10]) & set(at.tolist()))
+    assert hits >= 0.9 * 10 * len(got)
+
+
+def test_recall_without_the_check_of_all(spark):
+    folder = "/root/testdata/sf0.1"
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = vectors.toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
+    got = found(prefix_forest.search(vectors, F.col("vec_id") % 100 == 0, candidates=1, fallback=False))
+    hits = 0
+    for q, near in got.items():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & {i for i, _, _ in near})
+    assert hits >= 0.9 * 10 * len(got)

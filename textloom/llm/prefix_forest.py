@@ -14,10 +14,12 @@ from textloom.llm.common import cut, in_arrow
 
 #: Trees; symbols in a hash string, and the bits of one.
 TREES, SYMBOLS = 56, 7
-#: Trees are ascended together until they hold this many candidates for a query (all rows, if there are fewer).
-CANDIDATES = 4000
-#: Vectors of which the centre is taken; of one part in the exact check; keys of one shard of a tree.
-SAMPLE, PART_ROWS, SHARD_ROWS = 5_000, 2_000, 1_000_000
+#: Trees are ascended together until they hold this many distinct candidates for a query (all rows, if there are fewer),
+#: and this share of all vectors, so that recall doesn't fall as the table grows.
+CANDIDATES, SHARE = 4000, 0.2
+#: Vectors of which the centre is taken; vectors of a part with trees of its own, while there are few parts and at most;
+#: parts from which on they grow; queries of one set.
+SAMPLE, PART_ROWS, PART_MOST, FEW, SET_ROWS = 5_000, 2_000, 32_768, 32, 16_384
 
 
 class Forest:
@@ -52,112 +54,111 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(lists.flatten()).astype(np.float64).reshape(len(lists), dim)
 
 
-def _hashed(centre: np.ndarray, seed: int, trees: int, depth: int):
-    """A row for each vector and tree: the shard (the first ``depth`` symbols) and the key."""
+def part_of(node: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which a node is searched."""
+    h = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def _asked(centre: np.ndarray, seed: int, trees: int, parts: int, sets: int):
+    """Each query with its keys, once for every part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest(centre, seed, trees)
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                keys = forest.keys(_matrix(part.column("vector"), forest.dim))
-                n = len(keys)
-                key = keys.T.reshape(-1)
-                tree = np.repeat(np.arange(trees, dtype=np.int32), n)
-                tile = lambda x: pa.array(np.tile(np.asarray(x), trees))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree), pa.array(key >> (forest.bits * (forest.symbols - depth))), pa.array(key), tile(part.column("node")), tile(part.column("asked").cast("int8")).cast("bool")],
-                    names=["tree", "shard", "key", "node", "asked"],
-                )
-
-    return run
-
-
-def _ranges(table: pa.Table, bits: int, symbols: int):
-    """Sorted nodes of a shard, its asked nodes, and where the prefix of each length (1 to symbols) begins and ends."""
-    key, node = np.asarray(table.column("key").combine_chunks()), np.asarray(table.column("node").combine_chunks())
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    asked = np.flatnonzero(np.asarray(table.column("asked").combine_chunks())[order])
-    begins, ends = [], []
-    for length in range(1, symbols + 1):
-        rest = bits * (symbols - length)
-        prefix = key[asked] >> rest
-        begins.append(np.searchsorted(key, prefix << rest, side="left"))
-        ends.append(np.searchsorted(key, (prefix + 1) << rest, side="left"))
-    return node, asked, np.stack(begins, axis=1), np.stack(ends, axis=1)
-
-
-def _counts(bits: int, symbols: int):
-    """How many keys of the tree share each asked node's prefix, by length; lengths above the shard's are its own size."""
-
-    def run(table: pa.Table) -> pa.Table:
-        node, asked, begins, ends = _ranges(table, bits, symbols)
-        return pa.table({"node": pa.array(node[asked]), **{f"c{k + 1}": pa.array((ends - begins)[:, k].astype(np.int64)) for k in range(symbols)}})
+                some = batch.slice(start, 4096)
+                keys = forest.keys(_matrix(some.column("vector"), forest.dim))
+                key = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, trees, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                own = pa.array(part_of(np.asarray(some.column("node")) ^ 0x5BD1E995, sets))
+                for part in range(parts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, dtype=np.int32)), own, some.column("node"), some.column("vector"), key], names=["part", "set", "query", "vector", "keys"])
 
     return run
 
 
-def _candidates(bits: int, symbols: int, parts: int):
-    """For each asked node the other nodes under its prefix of the length it stopped at, dealt by their part."""
+def _dealt(parts: int, sets: int):
+    """Each vector in its part, once for every set of queries."""
 
-    def run(table: pa.Table) -> pa.Table:
-        node, asked, begins, ends = _ranges(table, bits, symbols)
-        order = np.lexsort((np.asarray(table.column("node").combine_chunks()), np.asarray(table.column("key").combine_chunks())))
-        level = np.asarray(table.column("level").combine_chunks().fill_null(0))[order]
-        part = part_of(node, parts)
-        out: tuple[list, list, list] = ([], [], [])
-        for k, i in enumerate(asked):
-            if level[i] < 1:
-                continue
-            own = slice(begins[k, level[i] - 1], ends[k, level[i] - 1])
-            near, where = node[own], part[own]
-            turn = np.argsort(where, kind="stable")
-            cuts = np.flatnonzero(np.diff(where[turn])) + 1
-            for piece in np.split(turn, cuts):
-                if len(piece):
-                    out[0].append(where[piece[0]])
-                    out[1].append(node[i])
-                    out[2].append(near[piece])
-        return pa.table({"part": pa.array(out[0], pa.int32()), "query": pa.array(out[1], pa.int64()), "near": pa.array(out[2], pa.list_(pa.int64()))})
-
-    return run
-
-
-def part_of(node: np.ndarray, parts: int) -> np.ndarray:
-    """The part in which a node's vector is checked."""
-    h = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
-
-
-def _dealt(dim: int, parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(np.asarray(batch.column("node")), parts)), batch.column("node"), batch.column("vector")], names=["part", "node", "vector"])
+            part = pa.array(part_of(np.asarray(batch.column("node")), parts))
+            for own in range(sets):
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.full(batch.num_rows, own, dtype=np.int32)), batch.column("node"), batch.column("vector")], names=["part", "set", "node", "vector"])
 
     return run
 
 
-def _checked(dim: int, k: int):
-    """The k nearest of a part's vectors, of those named (or all, where none is named), for each query."""
+class Trees:
+    """The keys of some vectors in sorted arrays, one a tree."""
+
+    def __init__(self, keys: np.ndarray, bits: int, symbols: int):
+        self.bits, self.symbols, self.n = bits, symbols, len(keys)
+        self.order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
+        self.sorted = np.take_along_axis(keys.T, self.order, axis=1)
+
+    def candidates(self, asked: np.ndarray, target: float, fallback: bool = True) -> Iterator[tuple[int, np.ndarray | None]]:
+        """For each row of ``asked`` (keys by tree) the longest prefix length at which all trees together hold ``target``
+        distinct vectors, and those vectors: length 0 and None stand for all vectors, where no prefix holds so many
+        (without ``fallback`` length 1 then)."""
+        begins, ends = (np.empty((self.symbols, len(asked), len(self.order)), dtype=np.int32) for _ in range(2))
+        for tree, key in enumerate(self.sorted):
+            for length in range(1, self.symbols + 1):
+                rest = self.bits * (self.symbols - length)
+                prefix = asked[:, tree] >> rest
+                begins[length - 1, :, tree] = np.searchsorted(key, prefix << rest, side="left")
+                ends[length - 1, :, tree] = np.searchsorted(key, (prefix + 1) << rest, side="left")
+        held = (ends - begins).sum(axis=2)
+        for i in range(len(asked)):
+            for length in range(self.symbols, 0, -1):
+                least = length == 1 and not fallback
+                if held[length - 1, i] < target and not least:
+                    continue
+                named = np.zeros(self.n, dtype=bool)
+                for order, a, b in zip(self.order, begins[length - 1, i], ends[length - 1, i], strict=True):
+                    named[order[a:b]] = True
+                at = np.flatnonzero(named)
+                if len(at) >= target or least:
+                    yield length, at
+                    break
+            else:
+                yield 0, None
+
+
+def _nearest(x: np.ndarray, squares: np.ndarray, y: np.ndarray, at: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows ``at`` of x (None: all) the k nearest to y and all that tie with the last one, with their distances."""
+    some, square = (x, squares) if at is None else (x[at], squares[at])
+    if not len(some):
+        return np.empty(0, np.int64), np.empty(0)
+    rough = square - 2 * (some @ y)
+    k = min(k, len(rough))
+    # Rounding errors are far smaller than this; what may be among the k nearest is measured exactly.
+    close = np.flatnonzero(~(rough > np.partition(rough, k - 1)[k - 1] + 1e-9 * (square.max() + y @ y)))
+    score = np.sqrt(((some[close] - y) ** 2).sum(axis=1))
+    best = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
+    return (close if at is None else at[close])[best], score[best]
+
+
+def _checked(centre: np.ndarray, seed: int, trees: int, k: int, share: float, fallback: bool):
+    """The k nearest of a part's vectors, of those its trees name, for each query; ties with the last one stay."""
 
     def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        node = np.asarray(vectors.column("node").combine_chunks())
-        order = np.argsort(node)
-        node, x = node[order], _matrix(vectors.column("vector").combine_chunks(), dim)[order]
+        forest = Forest(centre, seed, trees)
         out: tuple[list, list, list] = ([], [], [])
-        queries = asked.column("query").to_pylist()
-        ys = _matrix(asked.column("vector").combine_chunks(), dim) if len(queries) else np.empty((0, dim))
-        near = asked.column("near").combine_chunks()
-        for i, query in enumerate(queries if len(node) else ()):
-            at = np.searchsorted(node, np.unique(np.asarray(near[i].values))) if near[i].is_valid else np.arange(len(node))
-            score = np.sqrt(((x[at] - ys[i]) ** 2).sum(axis=1))
-            best = at[:0] if not len(at) else np.argpartition(score, min(k, len(at)) - 1)[:k]
-            # All that tie with the last one stay, so that ids can decide.
-            best = np.flatnonzero(score <= score[best].max()) if len(best) else best
-            out[0].append(np.full(len(best), query))
-            out[1].append(node[at[best]])
-            out[2].append(score[best])
+        if vectors.num_rows and asked.num_rows:
+            node = np.asarray(vectors.column("node").combine_chunks())
+            x = _matrix(vectors.column("vector").combine_chunks(), forest.dim)
+            squares = (x * x).sum(axis=1)
+            own = Trees(np.concatenate([forest.keys(x[a : a + 4096]) for a in range(0, len(x), 4096)]), forest.bits, forest.symbols)
+            for start in range(0, asked.num_rows, 1024):
+                some = asked.slice(start, 1024)
+                query, ys = np.asarray(some.column("query").combine_chunks()), _matrix(some.column("vector").combine_chunks(), forest.dim)
+                keys = np.asarray(some.column("keys").combine_chunks().flatten()).reshape(-1, trees)
+                for i, (_, at) in enumerate(own.candidates(keys, share * len(x), fallback)):
+                    best, score = _nearest(x, squares, ys[i], at, k)
+                    out[0].append(np.full(len(best), query[i]))
+                    out[1].append(node[best])
+                    out[2].append(score)
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         return pa.table({"query": pa.array(join(out[0], np.int64), pa.int64()), "node": pa.array(join(out[1], np.int64), pa.int64()), "score": pa.array(join(out[2], np.float64), pa.float64())})
 
@@ -165,7 +166,7 @@ def _checked(dim: int, k: int):
 
 
 def search(
-    vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, trees: int = TREES, candidates: int = CANDIDATES, seed: int = 7
+    vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, trees: int = TREES, candidates: int = CANDIDATES, seed: int = 7, share: float = SHARE, fallback: bool = True
 ) -> DataFrame:
     """The ``k`` nearest rows (Euclidean) to each row of ``vectors`` for which ``asked`` holds: query_id, rank, vec_id, score.
 
@@ -174,9 +175,11 @@ def search(
     also where its row is repeated: rows alike in id and vector count once. Ties go to the smaller id. Other columns
     are ignored.
 
-    Equal vectors are one node, of which the k + 1 smallest ids are kept: no more can be in a result. Each tree is
-    dealt out by the first symbols of its keys. All trees are ascended in step to the longest prefix at which they hold
-    ``candidates`` nodes for a query, counted over all trees; every node under it is compared exactly, none is dropped.
+    Equal vectors are one node, of which the k + 1 smallest ids are kept: no more can be in a result. Nodes are dealt
+    out by chance to parts, and each part has trees of its own. Its trees are ascended in step to the longest prefix at
+    which they hold the part's due of ``candidates`` and of ``share`` of all nodes, counted as distinct nodes; every node
+    under it is compared exactly, none is dropped. Where one symbol holds too few, all nodes of the part are compared,
+    or with ``fallback`` off those few.
     """
     valid = F.col("asked").isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull() & F.expr("NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(v, x -> x <> 0)")
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).where(valid)
@@ -200,30 +203,13 @@ def search(
 
     sample = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(SAMPLE).select("vector").toPandas()["vector"]
     centre = np.stack(sample.to_list()).mean(axis=0) if n > 1 else np.zeros(dim)
-    forest = Forest(centre, seed, trees)
-    bits, symbols = forest.bits, forest.symbols
-    depth = 1
-    while n >> (bits * depth) > SHARD_ROWS and depth < symbols:
-        depth += 1
-    parts = max(1, -(-n // PART_ROWS))
-
-    wanted = queries.select("node").distinct().withColumn("asked", F.lit(True))
-    hashed = nodes.select("node", "vector").join(wanted, "node", "left").select("node", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
-    keys = cut(hashed.transform(in_arrow, _hashed(centre, seed, trees, depth), "tree int, shard bigint, key bigint, node bigint, asked boolean"))
-    names = [f"c{x}" for x in range(1, symbols + 1)]
-    counts = keys.groupBy("tree", "shard").applyInArrow(_counts(bits, symbols), "node bigint, " + ", ".join(f"{x} bigint" for x in names))
-    total = counts.groupBy("node").agg(*(F.sum(x).alias(x) for x in names))
-    # The longest prefix with enough candidates; lengths below the shard's are left to the check of all vectors.
-    level = F.coalesce(*(F.when(F.col(names[x - 1]) >= candidates, F.lit(x)) for x in range(symbols, depth - 1, -1)), F.lit(0))
-    levels = cut(total.select("node", level.alias("level")))
-
-    stopped = keys.join(levels, "node", "left")
-    found = stopped.groupBy("tree", "shard").applyInArrow(_candidates(bits, symbols, parts), "part int, query bigint, near array<bigint>")
-    some = found.groupBy("part", "query").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    every = levels.where("level = 0").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("node").alias("query"), F.lit(None).cast("array<bigint>").alias("near"))
-    requests = some.unionByName(every).join(nodes.select(F.col("node").alias("query"), "vector"), "query").select("part", "query", "near", "vector")
-    dealt = nodes.select("node", "vector").transform(in_arrow, _dealt(dim, parts), "part int, node bigint, vector array<double>")
-    checked = dealt.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(_checked(dim, k + 1), "query bigint, node bigint, score double")
+    wanted = queries.select("node").distinct().join(nodes.select("node", "vector"), "node")
+    parts = max(1, -(-n // PART_MOST), min(FEW, -(-n // PART_ROWS)))
+    sets = max(1, -(-wanted.count() // SET_ROWS))
+    least = max(share, candidates / max(1, n))
+    requests = wanted.transform(in_arrow, _asked(centre, seed, trees, parts, sets), "part int, set int, query bigint, vector array<double>, keys array<bigint>")
+    dealt = nodes.select("node", "vector").transform(in_arrow, _dealt(parts, sets), "part int, set int, node bigint, vector array<double>")
+    checked = dealt.groupBy("part", "set").cogroup(requests.groupBy("part", "set")).applyInArrow(_checked(centre, seed, trees, k + 1, least, fallback), "query bigint, node bigint, score double")
 
     near = checked.join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("id"))
     top = near.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "id"))).where(F.col("r") <= k + 1)
