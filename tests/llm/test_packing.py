@@ -96,3 +96,20 @@ def test_dot_product_takes_the_piece_that_fits_the_room_best():
 def test_limits_have_to_be_positive():
     with pytest.raises(ValueError, match="at least"):
         packing.Packer(loss=0)
+
+
+def test_ids_of_the_unmodified_tokenizer(spark):
+    """Special tokens and very long runs of white space, in the query and in the pipeline's stage."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end, blank = "<|endoftext|>", " " * 1_000_000
+    texts = [f"a{end}b", end, f" {end}  {end}x {end}", "<|endoftext|", f"a{blank}b", f"a{blank}", f"{blank}\u3000{end}{blank}\n", "x" + "\n" * 1_000_000 + "'s", "\x1c" * 20_000 + " y", "w" * 20_000 + blank + "1" + blank + "."]
+    texts += ["a" + " \t\n\r"[k % 4] * n + "b c" for k, n in enumerate((1, 2, 3, packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1))]
+    ids = {k: [*tokenizer.encode(x, add_special_tokens=False).ids, 1] for k, x in enumerate(texts)}
+    assert ids[0] == [64, 50256, 65, 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in corpus_pipeline.packed(spark, docs, "").collect():
+        piece = np.array(ids[row.doc_id][row.start : row.start + row.length], dtype="<u4")
+        assert row.doc_tokens == len(ids[row.doc_id]) and row.length == len(piece) and row.ids_crc32 == zlib.crc32(piece.tobytes())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +20,10 @@ SEGMENTS = 256
 WAITING = 4096
 #: Gaps below this many tokens are padded, not filled by cutting another document.
 LEAST_PIECE = 16
+#: A run of so much white space (as the pattern's ``\s`` has it) is cut out before the pattern sees it: the pattern's
+#: look-ahead needs a stack that grows with the run, and ends the process at a million.
+LONG_RUN = 10_000
+_WHITE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
 
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
@@ -105,13 +111,48 @@ def encoder(lines: bytes, pattern: str):
     return tiktoken.Encoding("textloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, with their ids; only plain ones are known here."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    if told.get("normalizer") or any(x[k] for x in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that stand as they are written are supported")
+    return {x["content"]: x["id"] for x in told["added_tokens"]}
+
+
+def text_encoder(encoding, special: dict[str, int]):
+    """A function from a text to its ids: special tokens where they are written, the pattern and the merges between them.
+
+    The pattern splits a run of white space before its last character, or at the text's end not at all; so long runs
+    are merged as pieces of their own, with the same ids.
+    """
+    at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+    def plain(text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return encoding.encode_ordinary(text)
+        out, start = [], 0
+        for run in _WHITE.finditer(text):
+            out += encoding.encode_ordinary(text[start : run.start()])
+            start = run.end() - (run.end() < len(text))
+            out += encoding._encode_single_piece(text[run.start() : start])
+        return out + encoding.encode_ordinary(text[start:])
+
+    def encode(text: str) -> list[int]:
+        if at is None or not any(x in text for x in special):
+            return plain(text)
+        return [i for part in at.split(text) for i in ([special[part]] if part in special else plain(part))]
+
+    return encode
+
+
 def packed_rows(pieces: Iterable[tuple], partition: int, totals: dict) -> Iterator[tuple]:
     for sequence, offset, (key, number), start, ids, loss in pieces:
         yield key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), totals[number], (partition << 33) + sequence, offset, int(loss.sum())
 
 
 def pack_documents(
-    docs: DataFrame, ranks: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = None, loss_from: int = 0
+    docs: DataFrame, ranks: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = None, loss_from: int = 0, tokenizer: str | None = None
 ) -> DataFrame:
     """Tokenise ``docs`` (doc_id, text) and pack them into sequences; one row a piece.
 
@@ -121,15 +162,18 @@ def pack_documents(
     partition number in their upper bits. Repeated rows are packed once each; a null doc_id stays null; an empty table
     gives no rows; other columns are ignored.
 
-    ``ranks`` is the path of a ranks file; the driver reads it (about 1 MB) and sends it to the tasks.
+    ``ranks`` is the path of a ranks file; the driver reads it (about 1 MB) and sends it to the tasks. ``tokenizer`` is
+    the path of the same vocabulary as a file of ``tokenizers``, whose special tokens count as such in a text, as they
+    do there by default; without it every text is ordinary text.
     """
+    special = special_tokens(tokenizer) if tokenizer else {}
     with open(ranks, "rb") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(sent.value, pattern).encode_ordinary
+        encode = text_encoder(encoder(sent.value, pattern), special)
         packer, totals, number = Packer(capacity, segments, loss_limit), {}, 0
         partition = TaskContext.get().partitionId()
         names = [x.split()[0] for x in _PIECE.split(", ")]
