@@ -117,3 +117,29 @@ def test_very_long_toxic_text(spark):
     labels = spark.createDataFrame([(100 + i, int(i % 4 == 0), "x") for i in range(len(texts))], LABELS)
     row = toxicity.detect(docs, toxicity.fit(docs, labels), ["doc_id"]).where(F.col("doc_id") == 100 + len(texts)).first()
     assert row.score > 0.7 and row.segments
+
+
+def test_passages_are_the_segments_where_no_word_is_repeated():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        at = np.sort(rng.choice(400, size=rng.integers(1, 60), replace=False))
+        score = rng.uniform(0.1, 2.0, len(at))
+        got = toxicity.passages(at, np.arange(len(at)), score, 0.2)
+        assert [x[:2] for x in got] == [x[:2] for x in toxicity.sparse_segments(at, score, 0.2)]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in toxicity.sparse_segments(at, score, 0.2)])
+
+
+def test_each_significant_passage_is_found():
+    """One that is significant alone stays beside a much stronger one, and repeats far away count in full."""
+    import pyarrow as pa
+
+    assert toxicity.significant([50.0, 3.0, -1.0], [50.0, 3.0, -1.0]) == (50.0, [0, 1])
+    assert toxicity.significant([2.0, 2.0, 2.0], [2.0, 2.0, 2.0])[1] == [0, 1, 2]  # together only
+    model = toxicity.ToxicModel({"vile": 4.0, "foul": 4.0, "rank": 4.0}, rate=1.0, scale=0.1)
+    passage, clean = "vile foul rank ", "fine " * 1000
+    text = (passage + clean) * 30
+    _, found = toxicity._scored(model, pa.RecordBatch.from_pydict({"text": [text, passage + "fine " * 3 + passage]}))
+    assert [x["first_word"] for x in found[0]] == [1003 * k for k in range(30)] and {x["score"] for x in found[0]} == {12.0}
+    assert [x["score"] for x in found[1]] == [pytest.approx(18.0 - 3 * toxicity.DRIFT)]  # within a segment they count half

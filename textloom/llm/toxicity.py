@@ -25,7 +25,7 @@ SHARE, LEAST = 1e-3, 3
 ERRORS, PRIOR, MOST, DRIFT = 2.0, 10.0, 6.0, 0.02
 #: A feature has to raise the odds so much, in nats: weaker ones are left out.
 STRENGTH = 0.7
-#: Segments that are together likelier than this in a clean document of the length aren't significant.
+#: Segments that are, alone and together, likelier than this in a clean document of the length aren't significant.
 CHANCE = 0.1
 _RAW = "evidence double, segments array<struct<first_word:int,words:int,score:double,expect:double>>"
 
@@ -90,6 +90,33 @@ def sparse_segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tup
     return [(int(at[a // 2]), int(at[(b - 1) // 2]) + 1, x) for a, b, x in segments(joined)]
 
 
+def passages(at: np.ndarray, code: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float, int, int]]:
+    """As ``sparse_segments``, where the k-th token of a ``code`` in a segment counts 1/k: begin, end, score, and the tokens from and to.
+
+    What stands before a segment has no part in its score, so a passage counts the same wherever a text repeats it. A
+    segment goes on while its sum is above 0 and ends where the sum is highest.
+    """
+    out, i = [], 0
+    gaps = (drift * (np.diff(at, prepend=at[:1] - 1) - 1)).tolist()
+    codes, scores = code.tolist(), score.tolist()
+    while i < len(scores):
+        seen: dict[int, int] = {}
+        total = best = 0.0
+        end = i
+        for j in range(i, len(scores)):
+            if j > i:
+                total -= gaps[j]
+                if total <= 0:
+                    break
+            seen[codes[j]] = seen.get(codes[j], 0) + 1
+            total += scores[j] / seen[codes[j]]
+            if total > best:
+                best, end = total, j
+        out.append((int(at[i]), int(at[end]) + 1, best, i, end + 1))
+        i = end + 1
+    return out
+
+
 @dataclass
 class ToxicModel:
     """Scores of features, the extreme-value parameters (lambda, K) and the calibration (intercept, slope)."""
@@ -158,21 +185,36 @@ def joint_evidence(normal: list[float]) -> tuple[float, int]:
     return best, chosen
 
 
+def significant(normal: list[float], joint: list[float]) -> tuple[float, list[int]]:
+    """The evidence of a text's segments and which of them are significant, by themselves or together.
+
+    ``normal`` are their normalised scores, ``joint`` the same with words discounted across the text: together, repeats
+    of a passage are no independent evidence.
+    """
+    order = sorted(range(len(joint)), key=lambda k: -joint[k])
+    evidence, r = joint_evidence([joint[k] for k in order])
+    single = [joint_evidence([x])[0] for x in normal]
+    least = -math.log(CHANCE)
+    chosen = {k for k, x in enumerate(single) if x >= least} | set(order[:r] if evidence >= least else ())
+    return max([evidence, *single]), sorted(chosen)
+
+
 def _scored(model: ToxicModel, block: pa.RecordBatch) -> tuple[list[float], list[list[dict]]]:
     items, rows = words(block.column("text"))
     evidence, out = [0.0] * block.num_rows, [[] for _ in range(block.num_rows)]
     hot, code, score = model.hot(items)
     begins = bounds(rows, block.num_rows)
-    score = score / _occurrence(rows[hot] * (code.max(initial=0) + 1) + code)
+    less = score / _occurrence(rows[hot] * (code.max(initial=0) + 1) + code)
     by_row = bounds(rows[hot], block.num_rows)
     for row in np.flatnonzero(np.diff(by_row)):
-        at = hot[by_row[row] : by_row[row + 1]]
+        own = slice(by_row[row], by_row[row + 1])
         length = begins[row + 1] - begins[row]
-        found = sorted(sparse_segments(at - begins[row], score[by_row[row] : by_row[row + 1]], DRIFT), key=lambda x: -x[2])
+        found = passages(hot[own] - begins[row], code[own], score[own], DRIFT)
         normal = [model.rate * x[2] - math.log(model.scale * length) for x in found]
-        evidence[row], best = joint_evidence(normal)
-        if evidence[row] >= -math.log(CHANCE):
-            out[row] = [{"first_word": a, "words": b - a, "score": float(s), "expect": math.exp(-x)} for (a, b, s), x in sorted(zip(found[:best], normal[:best], strict=True))]
+        through = np.cumsum(np.append(0.0, less[own]))
+        joint = [model.rate * (through[j] - through[i] - DRIFT * (b - a - (j - i))) - math.log(model.scale * length) for a, b, _, i, j in found]
+        evidence[row], chosen = significant(normal, joint)
+        out[row] = [{"first_word": found[k][0], "words": found[k][1] - found[k][0], "score": float(found[k][2]), "expect": math.exp(-normal[k])} for k in chosen]
     return evidence, out
 
 
