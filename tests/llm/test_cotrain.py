@@ -70,3 +70,27 @@ def test_word_measures():
     assert ends.tolist() == [float(w[-1] in ".,;:!?") for w in words]
     assert bucket[3] == bucket[4]  # both are two letters or more
     assert (cotrain._word_measures(words[::-1], classes)[5] == bucket[::-1]).all()
+
+
+def test_all_unlabelled_rows_may_be_named(spark):
+    """The pool is the whole table, at any size, and a table teaches as the same rows in memory do."""
+    rng = np.random.default_rng(4)
+    n = 45_000
+    truth = rng.integers(0, 2, n)
+    text, meta = (np.stack([truth + rng.normal(0, 0.5, n), rng.normal(size=n)], axis=1).astype(np.float16) for _ in range(2))
+    label = np.where(np.arange(n) < 250, truth, -1)
+    rows = [(text[i].tobytes(), meta[i].tobytes()) for i in range(250, n)]
+    table = cotrain.TablePool(spark.createDataFrame(rows, "text binary, meta binary").repartition(5), (2, 2))
+    here = cotrain.co_train(text.astype(float), meta.astype(float), label)
+    there = cotrain.co_train(text[:250].astype(float), meta[:250].astype(float), label[:250], pool=table)
+    assert table.size == n - 250 > 2 * cotrain.LABELLED
+    assert all(np.allclose(a.weights, b.weights, atol=1e-6) for a, b in zip(here[:2], there[:2], strict=True))
+    named = []
+    surest = cotrain._surest
+    cotrain._surest = lambda counts, ones, zeros: named.append((sum(counts.values()), ones + zeros)) or surest(counts, ones, zeros)
+    try:
+        cotrain.co_train(text.astype(float), meta.astype(float), label)
+    finally:
+        cotrain._surest = surest
+    assert named[0][0] == n - 250 and abs(named[0][1] - 0.05 * (n - 250)) <= 2
+    assert named[-1][0] < 0.9 * named[0][0]  # rounds name rows that weren't named before

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import blocks, bounds, coded, cut, fields, in_arrow
 
-#: Labelled and unlabelled rows that the classifiers are fitted on, at most: those with the smallest hashes of their id.
-LABELLED, POOL = 20_000, 20_000
-#: Rounds, and the share of the pool that each view labels for the other in a round.
+#: Labelled rows that the classifiers are fitted on, at most: those with the smallest hashes of their id.
+LABELLED = 20_000
+#: Rounds, and the share of all unlabelled rows that each view labels for the other in a round.
 ROUNDS, CONFIDENT = 5, 0.05
+#: The weight of a pseudo-label; bins of a logit; tasks whose sums (0.3 MB each) come to the driver as they are, at most,
+#: and rows that a task sums up at least.
+HALF, BINS, SUMS, SUM_ROWS = 0.5, 100, 64, 16_384
 #: Hash buckets of the text view's word shapes and of the metadata view's categories.
 SHAPES, CATEGORIES = 256, 64
 #: Dense measures of a text, in order.
@@ -128,12 +131,6 @@ class Logistic:
                 break
         return beta
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 5.0) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        self.line = (0.0, 1.0)
-        self.weights = self._newton(self._design(x), y, weight, ridge)
-        return self
-
     def _design(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate((np.ones((len(x), 1)), np.clip((x - self.mean) / self.scale, -8, 8)), axis=1)
 
@@ -149,74 +146,209 @@ class Logistic:
         self.line = (float(a), float(max(b, 0.0)))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT) -> tuple[Logistic, Logistic, np.ndarray]:
+Rules = list[list[tuple[np.ndarray, float, float]]]
+
+
+class Pool:
+    """Unlabelled rows, of both views; what is learnt from them are counts and sums, so they may stand anywhere.
+
+    ``rules`` hold, for each view, what the other one taught it in each round: the teacher's weights and the logits from
+    which and up to which it names a row 1 and 0. A row keeps its first pseudo-label.
+    """
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]):
+        self.views, self.size = views, len(views[0])
+
+    def taught(self, bases: list[Logistic], rules: Rules) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The views' designs, and the pseudo-labels of each (-1: none)."""
+        designs = [b._design(x) for b, x in zip(bases, self.views, strict=True)]
+        labels = [np.full(self.size, -1) for _ in rules]
+        for v in (0, 1):
+            for weights, high, low in rules[v]:
+                z = designs[1 - v] @ weights
+                labels[v] = np.where(labels[v] >= 0, labels[v], np.where(z >= high, 1, np.where(z <= low, 0, -1)))
+        return designs, labels
+
+    def counts(self, bases: list[Logistic], rules: Rules, weights: list[np.ndarray]) -> dict[tuple[int, int], int]:
+        """How many rows that view 1 - v has no label for have which logit (in bins) by view v: (v, bin) to count."""
+        designs, labels = self.taught(bases, rules)
+        out = {}
+        for v in (0, 1):
+            z = np.floor(np.clip(designs[v] @ weights[v], -30, 30) * BINS).astype(int)[labels[1 - v] < 0]
+            out |= {(v, int(x)): int(n) for x, n in zip(*np.unique(z, return_counts=True), strict=True)}
+        return out
+
+    def sums(self, bases: list[Logistic], rules: Rules, weights: list[np.ndarray]) -> np.ndarray:
+        """Gradient and curvature (its upper triangle) of the pseudo-labels' likelihood, of both views in a row."""
+        designs, labels = self.taught(bases, rules)
+        out = []
+        for v in (0, 1):
+            x, y = designs[v][labels[v] >= 0], labels[v][labels[v] >= 0]
+            p = 1 / (1 + np.exp(-np.clip(x @ weights[v], -30, 30)))
+            out += [x.T @ (HALF * (y - p)), ((x * (HALF * p * (1 - p))[:, None]).T @ x)[np.triu_indices(x.shape[1])]]
+        return np.concatenate(out)
+
+
+class TablePool:
+    """The same over a table of features (text, meta: float16 as bytes); each task sends its counts or sums."""
+
+    def __init__(self, table: DataFrame, widths: tuple[int, int]):
+        self.widths, self.size = widths, table.count()
+        self.tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-self.size // SUM_ROWS))
+        self.table = table.coalesce(self.tasks)
+
+    def _mapped(self, ask, bases, rules, weights, rows_of, schema: str) -> DataFrame:
+        widths = self.widths
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float16).reshape(-1, w).astype(np.float64) for c, w in zip(("text", "meta"), widths, strict=True)]
+                    total = rows_of(total, getattr(Pool((x[0], x[1])), ask)(bases, rules, weights))
+            if total is not None:
+                yield rows_of(total, None)
+
+        return self.table.transform(in_arrow, run, schema)
+
+    def counts(self, bases, rules, weights) -> dict[tuple[int, int], int]:
+        def rows_of(total, more):
+            if more is None:
+                return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["v", "z", "n"])
+            return {k: (total or {}).get(k, 0) + more.get(k, 0) for k in {*(total or {}), *more}}
+
+        got = self._mapped("counts", bases, rules, weights, rows_of, "v int, z int, n bigint").groupBy("v", "z").agg(F.sum("n").alias("n"))
+        return {(x.v, x.z): x.n for x in got.collect()}
+
+    def sums(self, bases, rules, weights) -> np.ndarray:
+        def rows_of(total, more):
+            if more is None:
+                from pyspark import TaskContext
+
+                return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+            return more if total is None else total + more
+
+        def added(group: pa.Table) -> pa.Table:
+            return pa.table({"sums": pa.array([sum(np.frombuffer(x) for x in group.column("sums").to_pylist()).tobytes()], pa.binary())})
+
+        got = self._mapped("sums", bases, rules, weights, rows_of, "part int, sums binary")
+        if self.tasks > SUMS:
+            got = got.groupBy("part").applyInArrow(added, "sums binary")
+        size = sum((w + 1) * (w + 4) // 2 for w in self.widths)
+        return sum((np.frombuffer(bytes(x.sums)) for x in got.collect()), np.zeros(size))
+
+
+def _fit_both(views, y: np.ndarray, models: list[Logistic], pool, rules: Rules, ridge: float = 5.0) -> None:
+    """Newton's method for both views at once, from 0 in steps of 1 at most: labelled rows here, pseudo-labels by the pool's sums."""
+    for m in models:
+        m.weights = np.zeros_like(m.weights)
+    designs = [m._design(x) for m, x in zip(models, views, strict=True)]
+    for _ in range(25):
+        weights, most = [m.weights for m in models], 0.0
+        more = pool.sums(models, rules, weights) if any(rules) else None
+        at = 0
+        for v in (0, 1):
+            x, beta = designs[v], weights[v]
+            d = len(beta)
+            penalty = np.full(d, ridge)
+            penalty[0] = 1e-6
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            grad, curve = x.T @ (y - p) - penalty * beta, (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+            if more is not None:
+                half, upper = np.zeros((d, d)), d * (d + 1) // 2
+                half[np.triu_indices(d)] = more[at + d : at + d + upper]
+                grad, curve = grad + more[at : at + d], curve + half + np.triu(half, 1).T
+                at += d + upper
+            step = np.linalg.solve(curve, grad)
+            models[v].weights = beta + step / max(1.0, float(np.abs(step).max()))
+            most = max(most, float(np.abs(step).max()))
+        if most < 1e-4:
+            break
+
+
+def _surest(counts: dict[int, int], ones: int, zeros: int) -> tuple[float, float]:
+    """The logits from which and up to which the surest ``ones`` and ``zeros`` rows lie (whole bins, above 1 and below -1)."""
+    high, low = float("inf"), float("-inf")
+    for z in sorted((z for z in counts if z >= BINS), reverse=True):
+        if ones <= 0:
+            break
+        high, ones = z / BINS, ones - counts[z]
+    for z in sorted(z for z in counts if z < -BINS):
+        if zeros <= 0:
+            break
+        low, zeros = np.nextafter((z + 1) / BINS, -np.inf), zeros - counts[z]
+    return high, float(low)
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT, pool=None) -> tuple[Logistic, Logistic, np.ndarray]:
     """Both views' classifiers and the weights (intercept, text, metadata) that combine their calibrated logits.
 
-    ``label`` is 1, 0 or -1 (unlabelled). Every fifth labelled row is held back for calibration. In a round each view
-    is fitted and names its surest unlabelled rows of either class, in the classes' proportion; they join the other
-    view's training rows with half the weight.
+    ``label`` is 1, 0 or -1 (unlabelled); ``pool`` holds the unlabelled rows if they aren't here. Every fifth labelled
+    row is held back for calibration. In a round each view is fitted and names its surest rows of either class among all
+    unlabelled ones, in the classes' proportion; they join the other view's training rows with half the weight. Features
+    are standardised by the labelled training rows.
     """
     known = np.flatnonzero(label >= 0)
     held, train = known[::5], np.setdiff1d(known, known[::5])
     if len(np.unique(label[held])) < 2 or len(np.unique(label[train])) < 2:
         held = train = known
-    pool = np.flatnonzero(label < 0)
+    pool = Pool((text[label < 0], meta[label < 0])) if pool is None else pool
     base = float(label[train].mean())
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels that teach the text view, the metadata view
-    views, models = (text, meta), (Logistic(), Logistic())
-    for _ in range(rounds + 1):
-        for v in (0, 1):
-            rows = np.concatenate((train, np.array(list(extra[v]), dtype=int)))
-            y = np.concatenate((label[train], np.array(list(extra[v].values()), dtype=int)))
-            models[v].fit(views[v][rows], y.astype(float), np.concatenate((np.ones(len(train)), np.full(len(extra[v]), 0.5))))
+    views = (text[train].astype(float), meta[train].astype(float))
+    models = [Logistic(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), np.zeros(x.shape[1] + 1)) for x in views]
+    rules: Rules = [[], []]
+    for r in range(rounds + 1):
+        _fit_both(views, label[train].astype(float), models, pool, rules)
+        if r == rounds or not pool.size:
+            break
+        counts, n = pool.counts(models, rules, [m.weights for m in models]), int(confident * pool.size)
         for v in (0, 1):
-            left = np.array([i for i in pool if i not in extra[1 - v]], dtype=int)
-            if not len(left):
-                continue
-            sure = models[v].logit(views[v][left])
-            order, n = np.argsort(sure, kind="stable"), int(confident * len(pool))
-            ones = [i for i in order[::-1][: round(n * base)] if sure[i] > 1]
-            zeros = [i for i in order[: round(n * (1 - base))] if sure[i] < -1]
-            extra[1 - v].update({int(left[i]): 1 for i in ones} | {int(left[i]): 0 for i in zeros})
+            rules[1 - v].append((models[v].weights, *_surest({z: c for (w, z), c in counts.items() if w == v}, round(n * base), round(n * (1 - base)))))
     y = label[held].astype(float)
     for v in (0, 1):
-        models[v].calibrate(views[v][held], y)
+        models[v].calibrate((text, meta)[v][held], y)
     both = np.stack((np.ones(len(held)), models[0].logit(text[held]), models[1].logit(meta[held])), axis=1)
     return *models, Logistic._newton(both, y, np.ones(len(held)), 1.0)
 
 
-def _views(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    classes = _classes()
-    for block in blocks(batches):
-        text = text_view(block.column("text"), classes)
-        meta = meta_view(*(block.column(x).to_pylist() for x in ("lang", "source", "n_chars")))
-        yield pa.RecordBatch.from_arrays([block.column("label"), pa.array(list(text), pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.float32()))], names=["label", "text", "meta"])
+def _views(kept: str, width=np.float32):
+    """Each row's column ``kept`` and its views, as bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = _classes()
+        for block in blocks(batches):
+            text = text_view(block.column("text"), classes)
+            meta = meta_view(*(block.column(x).to_pylist() for x in ("lang", "source", "n_chars")))
+            plain = lambda x: pa.array([r.tobytes() for r in x.astype(width)], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column(kept), plain(text), plain(meta)], names=[kept, "text", "meta"])
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> tuple[Logistic, Logistic, np.ndarray] | None:
-    """Fit on at most ``labelled`` rows that ``labels`` (doc_id, quality) labels, and ``pool`` others; None if one class is missing.
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[Logistic, Logistic, np.ndarray] | None:
+    """Fit on at most ``labelled`` rows that ``labels`` (doc_id, quality) labels, and all others; None if one class is missing.
 
-    The rows are those with the smallest hashes of their id, so the sample is bounded and the same each time. Rows with
-    a null id or label teach nothing.
+    The labelled rows are those with the smallest hashes of their id, so the sample is bounded and the same each time.
+    All rows without a label may be pseudo-labelled; their views (about 700 bytes a row) are kept for the rounds. Rows
+    with a null id, or labelled but not in the sample, teach nothing.
     """
-    known = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
-    order = F.xxhash64("doc_id", F.lit(11))
-    chosen = known.orderBy(order, "doc_id").limit(labelled)
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL")
-    others = ids.join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(pool).withColumn("label", F.lit(-1))
-    sample = cut(chosen.unionByName(others))
-    # The sample is bounded (40,000 ids of 12 bytes by default), so it may be sent to every task.
-    used = docs.select("doc_id", *(F.col(x).cast("string") for x in ("text", "lang", "source")), F.col("n_chars").cast("bigint"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    sample = cut(known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled))
+    # The sample is bounded (20,000 ids of 12 bytes by default), so it may be sent to every task.
+    used = docs.select("doc_id", *(F.col(x).cast("string") for x in ("text", "lang", "source")), F.col("n_chars").cast("bigint")).where("doc_id IS NOT NULL")
     rows = used.join(F.broadcast(sample), "doc_id").select("label", "text", "lang", "source", "n_chars")
-    got = cut(rows.transform(in_arrow, _views, "label int, text array<float>, meta array<float>")).toArrow()
+    got = cut(rows.transform(in_arrow, _views("label"), "label int, text binary, meta binary")).toArrow()
     label = np.asarray(got.column("label").combine_chunks())
-    if len(set(label[label >= 0].tolist())) < 2:
+    if len(set(label.tolist())) < 2:
         return None
-    matrix = lambda x: np.asarray(got.column(x).combine_chunks().flatten()).reshape(len(label), -1)
-    text, meta = matrix("text"), matrix("meta")
+    text, meta = (np.frombuffer(b"".join(got.column(x).to_pylist()), dtype=np.float32).reshape(len(label), -1) for x in ("text", "meta"))
     # The rows come in no fixed order: sort them, so that the same table gives the same classifiers.
     turn = np.lexsort((*text[:, :4].T, label))
-    return co_train(text[turn], meta[turn], label[turn])
+    kind = dict(docs.dtypes)["doc_id"]
+    viewed = used.transform(in_arrow, _views("doc_id", np.float16), f"doc_id {kind}, text binary, meta binary")
+    # Labels grow with the corpus: the same join at every size.
+    others = cut(viewed.join(known.select("doc_id").hint("merge"), "doc_id", "left_anti").select("text", "meta"))
+    return co_train(text[turn], meta[turn], label[turn], pool=TablePool(others, (text.shape[1], meta.shape[1])))
 
 
 def classify(docs: DataFrame, models: tuple[Logistic, Logistic, np.ndarray] | None, keys: list[str]) -> DataFrame:
