@@ -42,7 +42,7 @@ def random_rows(n, copies):
 def test_exact_where_all_are_candidates(spark):
     odd = [(2000, None), (2010, []), (2020, [0.0] * 4), (2030, [1.0, None, 0.0, 0.0]), (2040, [float("nan"), 1.0, 0.0, 0.0]), (2050, [float("inf"), 1.0, 0.0, 0.0]), (2060, [1.0, 2.0]), (None, [1.0] * 4)]
     rows = random_rows(60, 40) + odd
-    got = found(prefix_forest.search(frame(spark, rows), F.col("vec_id") % 10 == 0))
+    got = found(prefix_forest.search(frame(spark, rows), F.col("vec_id") % 10 == 0, wide=1e9))
     assert got == brute(rows, 10)
 
 
@@ -62,7 +62,7 @@ def test_recall_by_prefixes(spark):
     centres = rng.normal(size=(40, 16)) * 4
     vectors = np.concatenate([c + rng.normal(size=(50, 16)) for c in centres]).astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
-    got = found(prefix_forest.search(df, F.col("vec_id") % 10 == 0, trees=24, candidates=300))
+    got = found(prefix_forest.search(df, F.col("vec_id") % 10 == 0, trees=24))
     hits = 0
     for q, near in got.items():
         d = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
@@ -85,49 +85,55 @@ def test_recall_of_the_query(spark):
     assert hits >= 0.9 * 10 * len(got)
 
 
-def test_candidates_are_distinct_and_grow_with_the_table():
-    """At each size queries stop at a prefix that holds its share of distinct vectors, and recall there doesn't fall."""
+def built(x):
+    forest = prefix_forest.Forest(np.zeros(x.shape[1]))
+    return forest, prefix_forest.Trees(np.concatenate([forest.keys(x[a : a + 4096]) for a in range(0, len(x), 4096)], axis=1), forest.head)
+
+
+def test_candidates_are_distinct_and_recall_holds():
+    """At each size queries stop at a prefix that holds its due of distinct vectors; the root is reached by none."""
     rng = np.random.default_rng(5)
-    forest = prefix_forest.Forest(np.zeros(64))
-    for n in (12_000, 48_000):
+    for n, depth in ((1_000, 1), (12_000, 2), (48_000, 2)):
         x = rng.normal(size=(n, 64))
-        trees = prefix_forest.Trees(np.concatenate([forest.keys(x[a : a + 4096]) for a in range(0, n, 4096)]), forest.bits, forest.symbols)
-        asked = x[:50]
-        hits, lengths = 0, set()
-        for y, (length, at) in zip(asked, trees.candidates(forest.keys(asked), prefix_forest.SHARE * n, fallback=False), strict=True):
-            lengths.add(length)
-            assert len(set(at.tolist())) == len(at) and len(at) < n
-            assert length == 1 or len(at) >= prefix_forest.SHARE * n
+        forest, trees = built(x)
+        due, hits, lengths = prefix_forest.due_share(n) * n, 0, []
+        for y, (length, at) in zip(x[:50], trees.candidates(forest.keys(x[:50]), due), strict=True):
+            lengths.append(length)
+            assert len(set(at.tolist())) == len(at) and due <= len(at) < 1.1 * due + 20
             d = ((x - y) ** 2).sum(axis=1)
             hits += len(set(np.argsort(d)[1:11]) & set(at.tolist()))
-        assert 0 not in lengths and hits >= 0.9 * 500, (n, hits)
+        assert min(lengths) >= 1 and max(lengths) >= depth and hits >= 0.9 * 500, (n, hits, lengths)
+
+
+def test_ranges_are_prefixes():
+    """The ranges of each length are those of a plain comparison of symbols, and the ascent's result is their union."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(size=(300, 8)), 1 + 0.05 * rng.normal(size=(300, 8))))
+    forest, trees = built(x)
+    keys = forest.keys(x)
+    for length in (1, 2, 5, prefix_forest.TAIL + 1):
+        rest = 2 * (prefix_forest.TAIL + 1 - length)
+        begins, ends = trees.ranges(keys[:, :7], np.full(7, length))
+        for tree in range(0, forest.trees, 40):
+            for q in range(7):
+                assert set(trees.order[tree][begins[tree, q] : ends[tree, q]].tolist()) == set(np.flatnonzero(keys[tree] >> rest == keys[tree, q] >> rest).tolist())
+    for q, (length, at) in enumerate(trees.candidates(keys[:, 290:310], 60)):
+        under = lambda n, q=q: set(np.flatnonzero((keys >> 2 * (prefix_forest.TAIL + 1 - n) == (keys[:, 290 + q] >> 2 * (prefix_forest.TAIL + 1 - n))[:, None]).any(axis=0)).tolist())
+        below, through = under(length + 1) if length <= prefix_forest.TAIL else set(), under(length)
+        assert below <= set(at.tolist()) <= through and len(below) < 60 <= len(at)
 
 
 def test_longer_prefixes_name_their_share():
-    """Vectors in few narrow clusters: longer prefixes hold the share, and the nearest are found there."""
+    """Vectors in few narrow clusters: longer prefixes hold the due, and the nearest are found there."""
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(3, 64))
     x = np.concatenate([c + 0.02 * rng.normal(size=(1000, 64)) for c in centres])
-    forest = prefix_forest.Forest(np.zeros(64))
-    trees = prefix_forest.Trees(forest.keys(x), forest.bits, forest.symbols)
-    got = list(trees.candidates(forest.keys(x[::100]), prefix_forest.SHARE * len(x), fallback=False))
-    assert max(length for length, _ in got) > 1
+    forest, trees = built(x)
+    due = prefix_forest.due_share(len(x)) * len(x)
+    got = list(trees.candidates(forest.keys(x[::100]), due))
+    assert min(length for length, _ in got) > 2
     hits = 0
     for y, (_, at) in zip(x[::100], got, strict=True):
-        assert len(at) >= prefix_forest.SHARE * len(x)
+        assert len(at) >= due
         hits += len(set(np.argsort(((x - y) ** 2).sum(axis=1))[:10]) & set(at.tolist()))
     assert hits >= 0.9 * 10 * len(got)
-
-
-def test_recall_without_the_check_of_all(spark):
-    folder = "/root/testdata/sf0.1"
-    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
-    rows = vectors.toPandas()
-    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
-    got = found(prefix_forest.search(vectors, F.col("vec_id") % 100 == 0, candidates=1, fallback=False))
-    hits = 0
-    for q, near in got.items():
-        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
-        d[ids == q] = np.inf
-        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & {i for i, _, _ in near})
-    assert hits >= 0.9 * 10 * len(got)

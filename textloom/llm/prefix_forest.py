@@ -12,41 +12,49 @@ from pyspark.sql import Window as W
 
 from textloom.llm.common import cut, in_arrow
 
-#: Trees; symbols in a hash string, and the bits of one.
-TREES, SYMBOLS = 56, 7
-#: Trees are ascended together until they hold this many distinct candidates for a query (all rows, if there are fewer),
-#: and this share of all vectors, so that recall doesn't fall as the table grows.
-CANDIDATES, SHARE = 4000, 0.2
+#: Trees; half-axes of a first symbol come from at most AXES projections; further symbols, of two bits each.
+TREES, AXES, TAIL = 160, 128, 24
+#: A query is compared with about WIDE * n ** -FALL of n vectors: nearest neighbours of a larger table are nearer, so that
+#: recall holds with a falling share (measured from 2,000 to 1,000,000 isotropic vectors).
+WIDE, FALL = 1.1, 0.17
 #: Vectors of which the centre is taken; vectors of a part with trees of its own, while there are few parts and at most;
 #: parts from which on they grow; queries of one set.
-SAMPLE, PART_ROWS, PART_MOST, FEW, SET_ROWS = 5_000, 2_000, 32_768, 32, 16_384
+SAMPLE, PART_ROWS, PART_MOST, FEW, SET_ROWS = 5_000, 2_000, 32_768, 32, 65_536
 
 
 class Forest:
-    """Hash strings of vectors: each symbol is the nearest of the 2d half-axes after a random rotation of its own.
+    """Hash strings of vectors: a first symbol that cuts finely, then symbols that each cut what is left by four.
 
-    Vectors are centred and scaled to length 1 first. Equal first symbols say that two vectors are near, equal longer
-    prefixes that they are nearer. All of a symbol's bits stand together in a 63-bit number, the first symbol highest.
+    Vectors are centred and scaled to length 1 first. The first symbol is the nearest of the half-axes after a random
+    rotation, each further one the nearest of four in a random plane. All bits stand together in a number, the first
+    symbol's highest, so that equal prefixes are ranges of a sorted array.
     """
 
     def __init__(self, centre: np.ndarray, seed: int = 7, trees: int = TREES):
-        self.centre, self.seed, self.trees, self.dim = centre, seed, trees, len(centre)
-        self.bits = max(1, int(np.ceil(np.log2(2 * self.dim))))
-        self.symbols = max(1, min(SYMBOLS, 62 // self.bits))
+        self.centre, self.trees, self.dim = centre, trees, len(centre)
+        self.axes = min(self.dim, AXES)
+        self.head = max(1, int(np.ceil(np.log2(2 * self.axes))))
+        self.bits = self.head + 2 * TAIL
+        rng = np.random.default_rng(seed)
+        self.turns = []
+        for _ in range(trees):
+            turn = rng.normal(size=(self.dim, self.axes))
+            turn = np.linalg.qr(turn)[0]
+            self.turns.append(np.concatenate((turn, rng.normal(size=(self.dim, 2 * TAIL))), axis=1).astype(np.float32))
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
-        """Vectors x trees."""
+        """Trees x vectors."""
         x = vectors - self.centre
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        out = np.zeros((len(x), self.trees), dtype=np.int64)
-        rng = np.random.default_rng(self.seed)
-        for tree in range(self.trees):
-            for _ in range(self.symbols):
-                turn = np.linalg.qr(rng.normal(size=(self.dim, self.dim)))[0]
-                y = x @ turn
-                axis = np.abs(y).argmax(axis=1)
-                symbol = 2 * axis + (y[np.arange(len(y)), axis] > 0)
-                out[:, tree] = (out[:, tree] << self.bits) | symbol
+        x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).astype(np.float32)
+        out, row = np.empty((self.trees, len(x)), dtype=np.int64), np.arange(len(x))
+        weight = np.int64(1) << np.arange(2 * (TAIL - 1), -1, -2, dtype=np.int64)
+        for tree, turn in enumerate(self.turns):
+            y = x @ turn
+            axis = np.abs(y[:, : self.axes]).argmax(axis=1)
+            plane = y[:, self.axes :].reshape(len(x), TAIL, 2)
+            second = np.abs(plane[:, :, 1]) > np.abs(plane[:, :, 0])
+            symbols = 2 * second + (np.where(second, plane[:, :, 1], plane[:, :, 0]) > 0)
+            out[tree] = ((2 * axis + (y[row, axis] > 0)) << (2 * TAIL)) + symbols @ weight
         return out
 
 
@@ -60,19 +68,14 @@ def part_of(node: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
-def _asked(centre: np.ndarray, seed: int, trees: int, parts: int, sets: int):
-    """Each query with its keys, once for every part."""
+def _asked(parts: int, sets: int):
+    """Each query once for every part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(centre, seed, trees)
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                some = batch.slice(start, 4096)
-                keys = forest.keys(_matrix(some.column("vector"), forest.dim))
-                key = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, trees, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                own = pa.array(part_of(np.asarray(some.column("node")) ^ 0x5BD1E995, sets))
-                for part in range(parts):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, dtype=np.int32)), own, some.column("node"), some.column("vector"), key], names=["part", "set", "query", "vector", "keys"])
+            own = pa.array(part_of(np.asarray(batch.column("node")) ^ 0x5BD1E995, sets))
+            for part in range(parts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, dtype=np.int32)), own, batch.column("node"), batch.column("vector")], names=["part", "set", "query", "vector"])
 
     return run
 
@@ -90,39 +93,59 @@ def _dealt(parts: int, sets: int):
 
 
 class Trees:
-    """The keys of some vectors in sorted arrays, one a tree."""
-
-    def __init__(self, keys: np.ndarray, bits: int, symbols: int):
-        self.bits, self.symbols, self.n = bits, symbols, len(keys)
-        self.order = np.argsort(keys, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(keys.T, self.order, axis=1)
-
-    def candidates(self, asked: np.ndarray, target: float, fallback: bool = True) -> Iterator[tuple[int, np.ndarray | None]]:
-        """For each row of ``asked`` (keys by tree) the longest prefix length at which all trees together hold ``target``
-        distinct vectors, and those vectors: length 0 and None stand for all vectors, where no prefix holds so many
-        (without ``fallback`` length 1 then)."""
-        begins, ends = (np.empty((self.symbols, len(asked), len(self.order)), dtype=np.int32) for _ in range(2))
-        for tree, key in enumerate(self.sorted):
-            for length in range(1, self.symbols + 1):
-                rest = self.bits * (self.symbols - length)
-                prefix = asked[:, tree] >> rest
-                begins[length - 1, :, tree] = np.searchsorted(key, prefix << rest, side="left")
-                ends[length - 1, :, tree] = np.searchsorted(key, (prefix + 1) << rest, side="left")
-        held = (ends - begins).sum(axis=2)
-        for i in range(len(asked)):
-            for length in range(self.symbols, 0, -1):
-                least = length == 1 and not fallback
-                if held[length - 1, i] < target and not least:
-                    continue
-                named = np.zeros(self.n, dtype=bool)
-                for order, a, b in zip(self.order, begins[length - 1, i], ends[length - 1, i], strict=True):
+    """The keys of some vectors (trees x vectors) in sorted arrays, one a tree."""
+
+    def __init__(self, keys: np.ndarray, head: int):
+        self.head, self.n = head, keys.shape[1]
+        self.order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(keys, self.order, axis=1)
+
+    def ranges(self, asked: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each tree holds the first ``length`` (1 at least, by query) symbols of ``asked`` (trees x queries)."""
+        rest = 2 * (TAIL + 1 - length)
+        prefix = asked >> rest
+        return tuple(np.stack([np.searchsorted(key, p, side="left") for key, p in zip(self.sorted, (prefix + k) << rest, strict=True)]) for k in (0, 1))
+
+    def candidates(self, asked: np.ndarray, target: float, least: int = 1) -> Iterator[tuple[int, np.ndarray | None]]:
+        """For each query (a column of ``asked``) the prefix length at which its ascent ended, and the distinct vectors found.
+
+        All trees descend to their longest match and are ascended in step, symbol by symbol, tree after tree in a fixed
+        order, until ``target`` distinct vectors are found. The ascent ends at one symbol, or, where those prefixes hold
+        fewer than ``least`` vectors or all are asked for, at the root: length 0 and None stand for all vectors.
+        """
+        if target >= self.n:
+            yield from [(0, None)] * asked.shape[1]
+            return
+        queries = asked.shape[1]
+        # The longest length at which all trees together hold the target (copies counted): no shorter one is passed by.
+        low, high = np.ones(queries, dtype=np.int64), np.full(queries, TAIL + 1, dtype=np.int64)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            a, b = self.ranges(asked, mid)
+            enough = (b - a).sum(axis=0) >= target
+            low, high = np.where(enough, mid, low), np.where(enough, high, mid - 1)
+        deeper = self.ranges(asked, np.minimum(low + 1, TAIL + 1))
+        now = self.ranges(asked, low)
+        for q in range(queries):
+            named, found, length = np.zeros(self.n, dtype=bool), 0, int(low[q])
+            if length <= TAIL:
+                for order, a, b in zip(self.order, deeper[0][:, q], deeper[1][:, q], strict=True):
                     named[order[a:b]] = True
-                at = np.flatnonzero(named)
-                if len(at) >= target or least:
-                    yield length, at
+                found = int(named.sum())
+            begins, ends = now[0][:, q], now[1][:, q]
+            while True:
+                for order, a, b in zip(self.order, begins, ends, strict=True):
+                    if found >= target:
+                        break
+                    some = order[a:b]
+                    some = some[~named[some]]
+                    named[some] = True
+                    found += len(some)
+                if found >= target or length == 1:
                     break
-            else:
-                yield 0, None
+                length -= 1
+                begins, ends = (x[:, 0] for x in self.ranges(asked[:, q : q + 1], np.array([length])))
+            yield (length, np.flatnonzero(named)) if found >= min(least, self.n) else (0, None)
 
 
 def _nearest(x: np.ndarray, squares: np.ndarray, y: np.ndarray, at: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,22 +162,21 @@ def _nearest(x: np.ndarray, squares: np.ndarray, y: np.ndarray, at: np.ndarray |
     return (close if at is None else at[close])[best], score[best]
 
 
-def _checked(centre: np.ndarray, seed: int, trees: int, k: int, share: float, fallback: bool):
+def _checked(centre: np.ndarray, seed: int, trees: int, k: int, share: float):
     """The k nearest of a part's vectors, of those its trees name, for each query; ties with the last one stay."""
 
     def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        forest = Forest(centre, seed, trees)
         out: tuple[list, list, list] = ([], [], [])
         if vectors.num_rows and asked.num_rows:
+            forest = Forest(centre, seed, trees)
             node = np.asarray(vectors.column("node").combine_chunks())
             x = _matrix(vectors.column("vector").combine_chunks(), forest.dim)
             squares = (x * x).sum(axis=1)
-            own = Trees(np.concatenate([forest.keys(x[a : a + 4096]) for a in range(0, len(x), 4096)]), forest.bits, forest.symbols)
+            own = Trees(np.concatenate([forest.keys(x[a : a + 4096]) for a in range(0, len(x), 4096)], axis=1), forest.head)
             for start in range(0, asked.num_rows, 1024):
                 some = asked.slice(start, 1024)
                 query, ys = np.asarray(some.column("query").combine_chunks()), _matrix(some.column("vector").combine_chunks(), forest.dim)
-                keys = np.asarray(some.column("keys").combine_chunks().flatten()).reshape(-1, trees)
-                for i, (_, at) in enumerate(own.candidates(keys, share * len(x), fallback)):
+                for i, (_, at) in enumerate(own.candidates(forest.keys(ys), max(share * len(x), 3 * k), k)):
                     best, score = _nearest(x, squares, ys[i], at, k)
                     out[0].append(np.full(len(best), query[i]))
                     out[1].append(node[best])
@@ -165,8 +187,13 @@ def _checked(centre: np.ndarray, seed: int, trees: int, k: int, share: float, fa
     return run
 
 
+def due_share(n: int, wide: float = WIDE, fall: float = FALL) -> float:
+    """The share of ``n`` vectors that a query is compared with."""
+    return min(1.0, wide * max(1, n) ** -fall)
+
+
 def search(
-    vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, trees: int = TREES, candidates: int = CANDIDATES, seed: int = 7, share: float = SHARE, fallback: bool = True
+    vectors: DataFrame, asked: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, trees: int = TREES, seed: int = 7, wide: float = WIDE, fall: float = FALL
 ) -> DataFrame:
     """The ``k`` nearest rows (Euclidean) to each row of ``vectors`` for which ``asked`` holds: query_id, rank, vec_id, score.
 
@@ -176,10 +203,10 @@ def search(
     are ignored.
 
     Equal vectors are one node, of which the k + 1 smallest ids are kept: no more can be in a result. Nodes are dealt
-    out by chance to parts, and each part has trees of its own. Its trees are ascended in step to the longest prefix at
-    which they hold the part's due of ``candidates`` and of ``share`` of all nodes, counted as distinct nodes; every node
-    under it is compared exactly, none is dropped. Where one symbol holds too few, all nodes of the part are compared,
-    or with ``fallback`` off those few.
+    out by chance to parts, and each part has trees of its own, so that no prefix, however common, gathers in one task.
+    A part's trees are ascended in step until they hold the due share of its nodes (``due_share`` of all of them),
+    three times ``k`` at least, counted as distinct nodes, or down to one symbol; every node found is compared exactly. An empty table, and one
+    without a query, gives no row.
     """
     valid = F.col("asked").isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull() & F.expr("NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf')) AND exists(v, x -> x <> 0)")
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked")).where(valid)
@@ -206,10 +233,9 @@ def search(
     wanted = queries.select("node").distinct().join(nodes.select("node", "vector"), "node")
     parts = max(1, -(-n // PART_MOST), min(FEW, -(-n // PART_ROWS)))
     sets = max(1, -(-wanted.count() // SET_ROWS))
-    least = max(share, candidates / max(1, n))
-    requests = wanted.transform(in_arrow, _asked(centre, seed, trees, parts, sets), "part int, set int, query bigint, vector array<double>, keys array<bigint>")
+    requests = wanted.transform(in_arrow, _asked(parts, sets), "part int, set int, query bigint, vector array<double>")
     dealt = nodes.select("node", "vector").transform(in_arrow, _dealt(parts, sets), "part int, set int, node bigint, vector array<double>")
-    checked = dealt.groupBy("part", "set").cogroup(requests.groupBy("part", "set")).applyInArrow(_checked(centre, seed, trees, k + 1, least, fallback), "query bigint, node bigint, score double")
+    checked = dealt.groupBy("part", "set").cogroup(requests.groupBy("part", "set")).applyInArrow(_checked(centre, seed, trees, k + 1, due_share(n, wide, fall)), "query bigint, node bigint, score double")
 
     near = checked.join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("id"))
     top = near.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("score", "id"))).where(F.col("r") <= k + 1)
