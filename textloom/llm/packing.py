@@ -2,28 +2,27 @@
 
 from __future__ import annotations
 
-import json
-import re
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import blocks, in_arrow
 
-CAPACITY = 2048
-SEGMENTS = 256
+#: Limits of a sequence: tokens, pieces of documents, and tokens that bear loss. The first PROMPT ids of a document are
+#: its prompt and bear none.
+CAPACITY, SEGMENTS, LOSS, PROMPT = 2048, 16, 2032, 16
 #: Ends of documents that wait for a place in one task; it bounds a task's memory.
 WAITING = 4096
 #: Gaps below this many tokens are padded, not filled by cutting another document.
 LEAST_PIECE = 16
-#: A run of so much white space (as the pattern's ``\s`` has it) is cut out before the pattern sees it: the pattern's
-#: look-ahead needs a stack that grows with the run, and ends the process at a million.
-LONG_RUN = 10_000
-_WHITE = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}")
+#: Distinct stretches of text whose ids a task remembers, and the longest one that it does.
+REMEMBERED, SHORT = 200_000, 64
 
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
@@ -31,10 +30,10 @@ _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 class Packer:
     """Places pieces in sequences; one instance for each task.
 
-    Items are (key, start, ids, loss), where ``loss`` is a 0/1 array of ids that bear loss. A bin is filled item by
-    item: of the waiting items that fit in all three remaining limits, the one with the largest dot product of its
-    share of each limit and the bin's remaining share goes in; ties go to the item that came first. What is left when
-    nothing fits is filled by cutting an item, if the gap is worth it.
+    Items are stretches of documents (ids, and a 0/1 array of those that bear loss). A bin is filled item by item: of
+    the waiting items that fit in all three remaining limits, the one with the largest dot product of its share of each
+    limit and the bin's remaining share goes in; ties go to the item that came first. What is left when nothing fits is
+    filled by cutting the item that fills most of it, if the gap is worth it.
     """
 
     def __init__(self, capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None, waiting: int = WAITING, least: int = LEAST_PIECE):
@@ -42,20 +41,21 @@ class Packer:
         if min(self.capacity, self.segments, self.loss) < 1:
             raise ValueError("each limit of a sequence has to be 1 at least")
         self.waiting, self.least = waiting, least
-        self.items: list[tuple] = []
+        self.items: list[tuple] = []  # key, ids, loss, its sums, from, to
         self.next = 0
 
     def add(self, key, ids: np.ndarray, loss: np.ndarray) -> Iterator[tuple]:
         """Take a document; yields the pieces (sequence, offset, key, start, ids, loss) of the bins that are closed."""
-        at = 0
-        while len(ids) - at >= self.capacity and int(loss[at : at + self.capacity].sum()) <= self.loss:
+        sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(loss)))
+        at, n = 0, len(ids)
+        while n - at >= self.capacity and sums[at + self.capacity] - sums[at] <= self.loss:
             yield self.next, 0, key, at, ids[at : at + self.capacity], loss[at : at + self.capacity]
             self.next += 1
             at += self.capacity
-        while at < len(ids):
-            take = self._fitting(loss[at:], self.capacity, self.loss)
-            self.items.append((key, at, ids[at : at + take], loss[at : at + take]))
-            at += take
+        while at < n:
+            to = max(at + 1, self._end(sums, at, min(n, at + self.capacity), self.loss))
+            self.items.append((key, ids, loss, sums, at, to))
+            at = to
         if len(self.items) >= self.waiting:
             yield from self._close(self.waiting // 2)
 
@@ -63,87 +63,102 @@ class Packer:
         yield from self._close(0)
 
     @staticmethod
-    def _fitting(loss: np.ndarray, tokens: int, most: int) -> int:
-        """The longest prefix within both limits; one token at least where there is room for one."""
-        head = np.cumsum(loss[:tokens])
-        return max(1, int(np.searchsorted(head, most, side="right")))
+    def _end(sums: np.ndarray, at: int, to: int, most: int) -> int:
+        """How far, up to ``to``, ids from ``at`` on bear loss ``most`` times at most."""
+        return at + int(np.searchsorted(sums[at + 1 : to + 1], sums[at] + most, side="right"))
+
+    def _lead(self, item: tuple) -> int:
+        """Ids without loss that the item begins with."""
+        return self._end(item[3], item[4], item[5], 0) - item[4]
 
     def _close(self, left: int) -> Iterator[tuple]:
         items = self.items
-        size = np.array([(len(ids), 1, int(loss.sum())) for _, _, ids, loss in items], dtype=np.int64).reshape(-1, 3)
-        limits = np.array([self.capacity, self.segments, max(1, self.loss)], dtype=np.int64)
-        share = size / limits
+        tokens = np.array([x[5] - x[4] for x in items], dtype=np.int64)
+        bears = np.array([x[3][x[5]] - x[3][x[4]] for x in items], dtype=np.int64)
+        lead = np.array([self._lead(x) for x in items], dtype=np.int64)
         open_ = np.ones(len(items), dtype=bool)
-        while open_.sum() > left:
-            room, offset = np.array([self.capacity, self.segments, self.loss], dtype=np.int64), 0
+        waiting = len(items)
+        while waiting > left:
+            room, segments, loss, offset = self.capacity, self.segments, self.loss, 0
             while True:
-                fits = open_ & (size <= room).all(axis=1)
+                fits = open_ & (tokens <= room) & (bears <= loss) if segments else np.zeros(0, bool)
                 if fits.any():
-                    at = int(np.argmax(np.where(fits, share @ (room / limits), -1.0)))
-                    taken = items[at]
+                    value = tokens * (room / self.capacity**2) + bears * (loss / self.loss**2) + segments / self.segments**2
+                    at = int(np.argmax(np.where(fits, value, -1.0)))
+                    key, ids, mark, _, start, to = items[at]
                     open_[at] = False
+                    waiting -= 1
                 else:
-                    if room[0] < self.least or room[1] < 1 or room[2] < 1 or not open_.any():
+                    if room < self.least or segments < 1 or not waiting:
                         break
-                    at = int(np.argmax(np.where(open_, size[:, 0], -1)))
-                    key, start, ids, loss = items[at]
-                    n = self._fitting(loss, int(room[0]), int(room[2]))
-                    if n >= len(ids) or int(loss[:n].sum()) > room[2]:
+                    # About as much as each item would fill of the room; of those alike the longest one is cut.
+                    fill = np.where(open_, np.minimum(np.minimum(room, lead + loss), tokens), -1)
+                    at = int(np.argmax(fill + tokens / (1.0 + 2 * self.capacity)))
+                    key, ids, mark, sums, start, end = items[at]
+                    to = self._end(sums, start, min(end, start + room), loss)
+                    if to - start < self.least or to >= end:
                         break
-                    taken = (key, start, ids[:n], loss[:n])
-                    items[at] = (key, start + n, ids[n:], loss[n:])
-                    size[at] = len(ids) - n, 1, int(loss[n:].sum())
-                    share[at] = size[at] / limits
-                yield self.next, offset, *taken
-                offset += len(taken[2])
-                room = room - (len(taken[2]), 1, int(taken[3].sum()))
+                    items[at] = (key, ids, mark, sums, to, end)
+                    tokens[at], bears[at], lead[at] = end - to, sums[end] - sums[to], self._lead(items[at])
+                yield self.next, offset, key, start, ids[start:to], mark[start:to]
+                offset += to - start
+                room, segments, loss = room - (to - start), segments - 1, loss - int(mark[start:to].sum())
             self.next += 1
         self.items = [x for x, o in zip(items, open_, strict=True) if o]
 
 
-def encoder(lines: bytes, pattern: str):
-    """A byte-level BPE from the lines of a ranks file, with no special tokens: every text is ordinary text."""
-    import base64
-
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
-    return tiktoken.Encoding("textloom", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def special_tokens(path: str) -> dict[str, int]:
-    """The added tokens of a ``tokenizers`` file, with their ids; only plain ones are known here."""
-    with open(path, encoding="utf-8") as file:
-        told = json.load(file)
-    if told.get("normalizer") or any(x[k] for x in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
-        raise ValueError("only added tokens that stand as they are written are supported")
-    return {x["content"]: x["id"] for x in told["added_tokens"]}
-
+def stretches(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The texts (none null) cut before each blank or line feed that follows a character that surely isn't white space,
+    and the row of each part.
 
-def text_encoder(encoding, special: dict[str, int]):
-    """A function from a text to its ids: special tokens where they are written, the pattern and the merges between them.
-
-    The pattern splits a run of white space before its last character, or at the text's end not at all; so long runs
-    are merged as pieces of their own, with the same ids.
+    No token of a byte-level BPE whose pattern keeps white space before other characters goes over such a place, nor
+    does a special token without white space in it: the parts have the ids that they have in the whole. What may be
+    white space to some pattern (code points below U+0021, U+0080 to U+00BF, U+1000 to U+2FFF, U+3000) isn't cut after.
     """
-    at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-
-    def plain(text: str) -> list[int]:
-        if len(text) < LONG_RUN:
-            return encoding.encode_ordinary(text)
-        out, start = [], 0
-        for run in _WHITE.finditer(text):
-            out += encoding.encode_ordinary(text[start : run.start()])
-            start = run.end() - (run.end() < len(text))
-            out += encoding._encode_single_piece(text[run.start() : start])
-        return out + encoding.encode_ordinary(text[start:])
-
-    def encode(text: str) -> list[int]:
-        if at is None or not any(x in text for x in special):
-            return plain(text)
-        return [i for part in at.split(text) for i in ([special[part]] if part in special else plain(part))]
-
-    return encode
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    start = offsets - offsets[0]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    before = np.concatenate((np.zeros(4, np.uint8), data))
+    one, two, three, four = (before[4 - k : len(data) + 4 - k] for k in (1, 2, 3, 4))
+    high, leads = one >= 0x80, two >= 0xC0
+    of_two = leads & (two >= 0xC3)
+    of_three = ~leads & (three >= 0xE3) & ~((three == 0xE3) & (two == 0x80) & (one == 0x80))
+    of_four = ~leads & (three < 0xC0) & (four >= 0xF0)
+    solid = ((one > 0x20) & (one < 0x7F)) | (high & (of_two | of_three | of_four))
+    cuts = np.flatnonzero(((data == 0x20) | (data == 0x0A)) & solid)
+    cuts = np.unique(np.concatenate((cuts, start[:-1][np.diff(start) > 0])))
+    ends = np.append(cuts, len(data)).astype(np.int64) if len(cuts) else np.zeros(1, np.int64)
+    return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(ends), pa.py_buffer(data)), np.searchsorted(start, cuts, side="right") - 1
+
+
+class Encoder:
+    """Ids of texts by a ``tokenizers`` file, each distinct stretch of a block once."""
+
+    def __init__(self, told: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.known = Tokenizer.from_str(told), {}
+        state = self.tokenizer.pre_tokenizer.__class__.__name__, self.tokenizer.normalizer
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if state != ("ByteLevel", None) or any(c.isspace() for x in special for c in x):
+            raise ValueError("only byte-level vocabularies without a normalizer, and special tokens without white space, are supported")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), one after the other, and how many each has."""
+        parts, rows = stretches(pc.fill_null(texts.cast("large_string"), ""))
+        found = parts.dictionary_encode()
+        names, index = found.dictionary.to_pylist(), np.asarray(found.indices)
+        new = [x for x in names if x not in self.known]
+        told = {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        lists = [self.known.get(x) or told[x] for x in names]
+        if len(self.known) < REMEMBERED:
+            self.known |= {x: ids for x, ids in told.items() if len(x) <= SHORT}
+        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(size.sum()))
+        begins, own = np.cumsum(size) - size, size[index]
+        at = np.repeat(begins[index] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+        return ids[at], np.bincount(rows, weights=own, minlength=len(texts)).astype(np.int64)
 
 
 def packed_rows(pieces: Iterable[tuple], partition: int, totals: dict) -> Iterator[tuple]:
@@ -152,28 +167,30 @@ def packed_rows(pieces: Iterable[tuple], partition: int, totals: dict) -> Iterat
 
 
 def pack_documents(
-    docs: DataFrame, ranks: str, pattern: str, end_id: int = 1, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = None, loss_from: int = 0, tokenizer: str | None = None
+    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_limit: int | None = LOSS, loss_from: int = PROMPT
 ) -> DataFrame:
     """Tokenise ``docs`` (doc_id, text) and pack them into sequences; one row a piece.
 
     A document's ids are those of its whole text, then ``end_id``; a null or empty text is ``end_id`` alone. The ids
-    before ``loss_from`` (a prompt) bear no loss. Each task packs what it reads: full sequences go out at once, ends
-    wait in a bounded pool, so no shuffle is needed and a lost task is packed again alike. Sequence ids hold the
-    partition number in their upper bits. Repeated rows are packed once each; a null doc_id stays null; an empty table
-    gives no rows; other columns are ignored.
-
-    ``ranks`` is the path of a ranks file; the driver reads it (about 1 MB) and sends it to the tasks. ``tokenizer`` is
-    the path of the same vocabulary as a file of ``tokenizers``, whose special tokens count as such in a text, as they
-    do there by default; without it every text is ordinary text.
+    before ``loss_from`` (a prompt) bear no loss. A sequence holds ``capacity`` tokens, ``segments`` pieces and
+    ``loss_limit`` tokens that bear loss at most (None: as many as tokens). Each task packs what it reads: full sequences
+    go out at once, ends wait in a bounded pool, so no shuffle is needed and a lost task is packed again alike. Sequence
+    ids hold the partition number in their upper bits. Repeated rows are packed once each; a null doc_id stays null; an
+    empty table gives no rows; other columns are ignored, whatever their names.
+
+    ``tokenizer`` is the path of a file of ``tokenizers`` for a byte-level BPE, used as it is loaded (its special tokens
+    count in a text); the driver reads it (some MB) and sends it to the tasks.
     """
-    special = special_tokens(tokenizer) if tokenizer else {}
-    with open(ranks, "rb") as file:
+    with open(tokenizer, encoding="utf-8") as file:
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
         from pyspark import TaskContext
 
-        encode = text_encoder(encoder(sent.value, pattern), special)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        encoder = Encoder(sent.value)
         packer, totals, number = Packer(capacity, segments, loss_limit), {}, 0
         partition = TaskContext.get().partitionId()
         names = [x.split()[0] for x in _PIECE.split(", ")]
@@ -187,10 +204,12 @@ def pack_documents(
 
         for block in blocks(batches):
             pieces = []
-            for key, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], dtype=np.int64)
-                totals[number] = len(ids)
-                pieces += packer.add((key, number), ids, (np.arange(len(ids)) >= loss_from).astype(np.int64))
+            ids, count = encoder.encode(block.column("text"))
+            ends = np.cumsum(count)
+            for key, a, b in zip(block.column("doc_id").to_pylist(), (ends - count).tolist(), ends.tolist(), strict=True):
+                own = np.append(ids[a:b], end_id)
+                totals[number] = len(own)
+                pieces += packer.add((key, number), own, (np.arange(len(own)) >= loss_from).astype(np.int64))
                 number += 1
             yield batch_of(pieces)
         yield batch_of(list(packer.finish()))
