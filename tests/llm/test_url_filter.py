@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -62,3 +63,26 @@ def test_probabilities_sum_to_less_than_one(spark):
     grams = [x.gram for x in url_filter.ratios(texts, 2).collect()]
     assert len(grams) == len(set(grams)) and all(re.fullmatch(r".{3}", g) for g in grams)
     assert url_filter.ratios(texts, 2).where(F.isnan("ratio") | F.col("ratio").isNull()).count() == 0
+
+
+def test_query_and_scheme_count(spark):
+    """URLs that differ behind ``?`` only, or hold no ``://``, are told apart by what they hold."""
+    urls = [f"http://a{i}.org/x?from=reader{i}" for i in range(60)] + [f"http://b{i}.com/de/x?from=casino{i}" for i in range(60)] + ["http://c.net/x?from=reader7", "http://c.net/x?from=casino7", "reader8", "casino8"]
+    rows = url_filter.judge(frame(spark, urls)).orderBy("page_id").collect()
+    assert [x.verdict for x in rows[120:]] == ["allow", "block", "allow", "block"]
+    assert [(x.host, x.path) for x in rows[122:]] == [("", "")] * 2
+
+
+def test_calibration_of_left_out_urls(spark):
+    rows = [("a", 3, 0, False, 1.0), ("b", 1, 0, False, 2.0), ("c", 0, 2, False, -1.0), ("d", 0, 2, True, 50.0), ("e", 5, 0, True, -50.0)]
+    base, slope = url_filter.calibration(spark.createDataFrame(rows, "text string, accepted bigint, rejected bigint, taught boolean, score double"))
+    ma, mr, var = 1.25, -1.0, (3 * 0.25**2 + 0.75**2) / 6
+    assert slope == pytest.approx((ma - mr) / var) and base == pytest.approx(math.log(4 / 2) - slope * (ma + mr) / 2)
+
+
+def test_clashing_names_and_one_hot_url(spark):
+    rows = [(i, "http://hot.net/same" if i % 3 else f"http://x{i}.org/", "t", "r", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, text string, ruled string, Score int")
+    got = url_filter.judge(df)
+    assert got.columns == ["page_id", "url", "text", "ruled", "host", "path", "rule", "verdict", "score"]
+    assert sorted((x.page_id, x.url, x.text, x.ruled) for x in got.collect()) == [x[:4] for x in rows]

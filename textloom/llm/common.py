@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from textloom.session import checkpoint_dir, cut
 
-__all__ = ["BLOCK_BYTES", "blocks", "bounds", "checkpoint_dir", "coded", "cut", "fields", "flat", "in_arrow", "read", "remainder", "words"]
+__all__ = ["BLOCK_BYTES", "blocks", "bounds", "checkpoint_dir", "coded", "cut", "fields", "flat", "fresh", "in_arrow", "mapped", "read", "remainder", "words"]
 
 #: Texts are handled in blocks of about this many bytes, so memory doesn't follow the batch size.
-BLOCK_BYTES = 4 << 20
-#: Rows of an Arrow batch between Spark and Python.
-BATCH_ROWS = 2_000
+BLOCK_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFrame:
@@ -27,13 +25,40 @@ def read(spark: SparkSession, folder: str, table: str, *columns: str) -> DataFra
 
 
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` in batches of BATCH_ROWS, as texts may be long; a session's own setting other than the default stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key, "10000") == "10000":
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """``df.mapInArrow``; functions take their batches apart by ``blocks``, as texts may be long."""
     return df.mapInArrow(function, schema)
 
 
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """The names ``wanted``, each with as many underscores before it as make it differ from all columns of ``df``."""
+    taken, out = {x.lower() for x in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def mapped(docs: DataFrame, keys: list[str], inputs: dict[str, Column], start: Callable, results: dict[str, str]) -> DataFrame:
+    """``keys`` of each row and ``results`` (name: type), the arrays that ``start()`` makes of a block of ``inputs``.
+
+    ``start`` is called once a task and returns the function for its blocks. Among the inputs is a ``text``. A key that
+    has the name of a result gives way to it; other names clash with nothing, as keys are renamed on the way.
+    """
+    keys = [x for x in keys if x.lower() not in {y.lower() for y in results}]
+    inner = docs.select(*(F.col(f"`{x}`").alias(f"key{i}") for i, x in enumerate(keys)), *(c.alias(x) for x, c in inputs.items()))
+    n, names = len(keys), [*(f"key{i}" for i in range(len(keys))), *results]
+    schema = ", ".join([*(f"key{i} {inner.schema[i].dataType.simpleString()}" for i in range(n)), *(f"`{x}` {kind}" for x, kind in results.items())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([*(block.column(i) for i in range(n)), *function(block)], names=names)
+
+    return in_arrow(inner, run, schema).select(*(F.col(f"key{i}").alias(x) for i, x in enumerate(keys)), *(f"`{x}`" for x in results))
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
