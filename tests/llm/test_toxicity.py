@@ -1,6 +1,10 @@
+import collections
 import itertools
+import math
 import random
+import re
 
+import numpy as np
 import pytest
 from helpers import ODD_IDS, keys, no_documents, odd_documents
 from pyspark.sql import functions as F
@@ -26,23 +30,9 @@ def test_segments_are_all_maximal_ones():
     rng = random.Random(3)
     for _ in range(300):
         scores = [rng.choice((-3, -2, -1, 1, 2, 3)) + rng.random() / 100 for _ in range(rng.randrange(14))]
-        import numpy as np
-
         assert [(a, b) for a, b, _ in toxicity.segments(np.array(scores))] == brute_segments(scores)
 
 
-def test_sparse_segments_agree_with_dense():
-    import numpy as np
-
-    rng = random.Random(4)
-    for _ in range(200):
-        at = np.array(sorted(rng.sample(range(40), rng.randrange(1, 9))))
-        score = np.array([rng.random() * 3 + 0.1 for _ in at])
-        dense = np.full(40, -0.2)
-        dense[at] = score
-        assert [(a, b) for a, b, _ in toxicity.sparse_segments(at, score, 0.2)] == [(a, b) for a, b, _ in toxicity.segments(dense)]
-
-
 def clean_and_toxic(n=120):
     rng = random.Random(5)
     common = ["".join(x) for x in itertools.product("bdfg", "aeiou", "lmnr")]
@@ -94,14 +84,85 @@ def test_labels_of_held_out_rows_are_not_read(spark):
 
 
 def test_extreme_value_root():
-    import numpy as np
-
-    rate, scale = toxicity.extreme_values(np.array([5.0, 2.0]), np.array([1.0, 3.0]), 1000.0)
+    rate, scale = toxicity.extreme_values(np.array([5.0, 2.0, 993.0]), np.array([1.0, 3.0, -0.02]))
     p = np.array([0.005, 0.002])
-    assert (p * np.exp(rate * np.array([1.0, 3.0]))).sum() + 0.993 * np.exp(-rate * toxicity.DRIFT) == pytest.approx(1.0, abs=1e-6)
+    assert (p * np.exp(rate * np.array([1.0, 3.0]))).sum() + 0.993 * np.exp(-rate * 0.02) == pytest.approx(1.0, abs=1e-6)
     assert scale == pytest.approx(max(0.007 * np.exp(rate), 0.002 * np.exp(3 * rate)))
 
 
+def brute_scores(docs, labels, keep):
+    """Feature scores by plain counting over documents, of the folds in ``keep``."""
+    ones, zeros, n = collections.Counter(), collections.Counter(), [0, 0]
+    for text, label, fold in zip(docs, labels, keep, strict=True):
+        if fold:
+            got = set(re.findall(r"\w+", text.lower()))
+            got |= {x[:k] + "*" for x in got for k in toxicity.STEMS if len(x) > k}
+            (ones if label else zeros).update(got)
+            n[label] += 1
+    out = {}
+    for f in set(ones) | set(zeros):
+        a, b = ones[f], zeros[f]
+        prior = toxicity.PRIOR * (a + b) / (n[0] + n[1])
+        ratio = math.log((a + prior) / (n[1] + toxicity.PRIOR - a - prior)) - math.log((b + prior) / (n[0] + toxicity.PRIOR - b - prior))
+        sure = abs(ratio) - toxicity.ERRORS * math.sqrt(1 / (a + prior) + 1 / (b + prior))
+        if sure > 0:
+            out[f] = math.copysign(min(sure, toxicity.MOST), ratio)
+    return out
+
+
+def brute_evidence(text, model):
+    """Evidence and segments of a text by the recursive definition over all its tokens."""
+    tokens = re.findall(r"\w+", text.lower())
+    scores = []
+    for x in tokens:
+        known = [x, *(x[:k] + "*" for k in reversed(toxicity.STEMS) if len(x) > k)]
+        scores.append(next((model.scores[f] for f in known if f in model.scores), 0.0) - toxicity.DRIFT)
+    found, normal, joint, everywhere = [], [], [], collections.Counter()
+    for a, b in brute_segments(scores):
+        if model.rate * sum(scores[a:b]) <= math.log(model.scale * len(tokens)):
+            continue
+        within, now, sums = collections.Counter(), [0.0, 0.0], [0.0, 0.0]
+        for x, s in zip(tokens[a:b], scores[a:b], strict=True):
+            if s > 0:
+                within[x] += 1
+                everywhere[x] += 1
+            now = [max(0.0, now[0] + (s / within[x] if s > 0 else s)), max(0.0, now[1] + (s / everywhere[x] if s > 0 else s))]
+            sums = [max(x) for x in zip(sums, now, strict=True)]
+        found.append((a, b - a))
+        normal.append(model.rate * sums[0] - math.log(model.scale * len(tokens)))
+        joint.append(model.rate * sums[1] - math.log(model.scale * len(tokens)))
+    if not found:
+        return 0.0, []
+    evidence, chosen = toxicity.significant(normal, joint)
+    return evidence, [found[k] for k in chosen]
+
+
+def test_whole_scores_agree_with_brute_force(spark):
+    """The query's model and results at its own parameters: features counted, scored and scanned in plain Python."""
+    rng = random.Random(6)
+    texts = [f"{x} {rng.choice(('fine', 'vilewords', 'Vilewording'))} {' '.join(rng.choices(('kind', 'gentle', 'peace'), k=i % 4))}" for i, x in enumerate(clean_and_toxic(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), "x") for i in range(len(texts))], LABELS)
+    model = toxicity.fit(docs, labels)
+    expected = brute_scores(texts, [int(i % 4 == 0) for i in range(len(texts))], [True] * len(texts))
+    assert model.scores.keys() == expected.keys() and all(model.scores[f] == pytest.approx(x) for f, x in expected.items())
+    assert min(expected.values()) < 0 < max(expected.values())
+    a, b = model.line
+    for r in toxicity.detect(docs, model, ["doc_id", "text"]).collect():
+        evidence, found = brute_evidence(r.text, model)
+        assert r.evidence == pytest.approx(evidence, abs=1e-9) and [(x.first_word, x.words) for x in r.segments] == found
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(a + b * math.log1p(evidence)))))
+
+
+def test_calibration_is_out_of_fold(spark):
+    """Words that only single documents hold can't make the calibration surer: each is scored without its own counts."""
+    rng = random.Random(2)
+    texts = [" ".join(f"own{i}x{k}" for k in range(30)) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, rng.randrange(2), "x") for i in range(len(texts))], LABELS)
+    assert toxicity.detect(docs, toxicity.fit(docs, labels), ["doc_id"]).where("score > 0.7").count() == 0
+
+
 def test_joint_evidence():
     assert toxicity.joint_evidence([]) == (0.0, 0) and toxicity.joint_evidence([-1.0]) == (0.0, 0)
     assert toxicity.joint_evidence([1e6]) == (1e6, 1)  # no underflow
@@ -119,18 +180,6 @@ def test_very_long_toxic_text(spark):
     assert row.score > 0.7 and row.segments
 
 
-def test_passages_are_the_segments_where_no_word_is_repeated():
-    import numpy as np
-
-    rng = np.random.default_rng(8)
-    for _ in range(50):
-        at = np.sort(rng.choice(400, size=rng.integers(1, 60), replace=False))
-        score = rng.uniform(0.1, 2.0, len(at))
-        got = toxicity.passages(at, np.arange(len(at)), score, 0.2)
-        assert [x[:2] for x in got] == [x[:2] for x in toxicity.sparse_segments(at, score, 0.2)]
-        assert [x[2] for x in got] == pytest.approx([x[2] for x in toxicity.sparse_segments(at, score, 0.2)])
-
-
 def test_each_significant_passage_is_found():
     """One that is significant alone stays beside a much stronger one, and repeats far away count in full."""
     import pyarrow as pa
@@ -140,6 +189,6 @@ def test_each_significant_passage_is_found():
     model = toxicity.ToxicModel({"vile": 4.0, "foul": 4.0, "rank": 4.0}, rate=1.0, scale=0.1)
     passage, clean = "vile foul rank ", "fine " * 1000
     text = (passage + clean) * 30
-    _, found = toxicity._scored(model, pa.RecordBatch.from_pydict({"text": [text, passage + "fine " * 3 + passage]}))
-    assert [x["first_word"] for x in found[0]] == [1003 * k for k in range(30)] and {x["score"] for x in found[0]} == {12.0}
-    assert [x["score"] for x in found[1]] == [pytest.approx(18.0 - 3 * toxicity.DRIFT)]  # within a segment they count half
+    _, found = toxicity._scored(model, pa.array([text, passage + "fine " * 3 + passage]))
+    assert [x["first_word"] for x in found[0]] == [1003 * k for k in range(30)] and {round(x["score"], 9) for x in found[0]} == {12.0 - 3 * toxicity.DRIFT}
+    assert [x["score"] for x in found[1]] == [pytest.approx(18.0 - (1.5 * 3 + 3) * toxicity.DRIFT)]  # within a segment they count half

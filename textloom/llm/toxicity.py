@@ -8,26 +8,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, words
+from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, mapped, words
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their id.
 LABELLED = 30_000
 #: Word beginnings of these lengths are features besides the words, so an unseen form of a known stem counts.
 STEMS = (4, 5, 6, 7)
-#: A feature has to stand in this share of the toxic documents and in LEAST of them: at most 1/SHARE times the mean
-#: number of features a document are kept, however large the corpus is.
-SHARE, LEAST = 1e-3, 3
-#: Standard errors taken off a log-odds ratio; mass of the prior; most a token may score; what any other token costs.
+#: Standard errors that a log-odds ratio is drawn to 0 by; mass of the prior; most a token may score; what each token costs.
 ERRORS, PRIOR, MOST, DRIFT = 2.0, 10.0, 6.0, 0.02
-#: A feature has to raise the odds so much, in nats: weaker ones are left out.
-STRENGTH = 0.7
+#: Parts of the labelled rows: each part's evidence, for the calibration, comes from the counts of the others.
+FOLDS = 4
 #: Segments that are, alone and together, likelier than this in a clean document of the length aren't significant.
 CHANCE = 0.1
-_RAW = "evidence double, segments array<struct<first_word:int,words:int,score:double,expect:double>>"
+RESULTS = {"evidence": "double", "segments": "array<struct<first_word:int,words:int,score:double,expect:double>>"}
+_SEGMENTS = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("score", pa.float64()), ("expect", pa.float64())]))
 
 
 def _features(uniq: list[str]) -> list[tuple[list[str], np.ndarray]]:
@@ -41,22 +38,26 @@ def _features(uniq: list[str]) -> list[tuple[list[str], np.ndarray]]:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each feature in how many documents of label 1 and 0 it stands; the empty feature counts documents."""
+    """For each feature and fold in how many documents of label 1 and 0 it stands; the empty feature counts documents."""
     for block in blocks(batches):
+        toxic, fold = (np.asarray(block.column(x)).astype(np.int64) for x in ("toxic", "fold"))
         items, rows = words(block.column("text"))
-        toxic = np.asarray(block.column("toxic")).astype(np.int64)
         uniq, index = coded(items)
-        names, ones, zeros = [""], [int(toxic.sum())], [int((1 - toxic).sum())]
-        for found, place in _features(uniq):
-            at = place[index] if len(index) else index
-            pair = np.unique(rows[at >= 0] * max(1, len(found)) + at[at >= 0])
-            row, feature = np.divmod(pair, max(1, len(found)))
-            one = np.bincount(feature, weights=toxic[row], minlength=len(found)).astype(np.int64)
-            every = np.bincount(feature, minlength=len(found))
-            names += found
-            ones += one.tolist()
-            zeros += (every - one).tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ones, pa.int64()), pa.array(zeros, pa.int64())], names=["feature", "ones", "zeros"])
+        names, folds, ones, zeros = [], [], [], []
+        for found, place in [([""], None), *_features(uniq)]:
+            width = max(1, len(found))
+            if place is None:
+                row, feature = np.arange(block.num_rows), np.zeros(block.num_rows, np.int64)
+            else:
+                at = place[index] if len(index) else index
+                row, feature = np.divmod(np.unique(rows[at >= 0] * width + at[at >= 0]), width)
+            cell, inverse = np.unique(feature * FOLDS + fold[row], return_inverse=True)
+            one = np.bincount(inverse, weights=toxic[row], minlength=len(cell)).astype(np.int64)
+            names.append(pa.array(found, pa.string()).take(pa.array(cell // FOLDS)))
+            folds.append(cell % FOLDS)
+            ones.append(one)
+            zeros.append(np.bincount(inverse, minlength=len(cell)) - one)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(names), *(pa.array(np.concatenate(x), t) for x, t in ((folds, pa.int32()), (ones, pa.int64()), (zeros, pa.int64())))], names=["feature", "fold", "ones", "zeros"])
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -80,43 +81,6 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right in held]
 
 
-def sparse_segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """As ``segments`` where tokens ``at`` have ``score`` > 0 and each other one ``-drift``; the time follows ``at``."""
-    if not len(at):
-        return []
-    gaps = np.diff(at, prepend=at[0] - 1) - 1
-    joined = np.empty(2 * len(at))
-    joined[0::2], joined[1::2] = -drift * gaps, score
-    return [(int(at[a // 2]), int(at[(b - 1) // 2]) + 1, x) for a, b, x in segments(joined)]
-
-
-def passages(at: np.ndarray, code: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float, int, int]]:
-    """As ``sparse_segments``, where the k-th token of a ``code`` in a segment counts 1/k: begin, end, score, and the tokens from and to.
-
-    What stands before a segment has no part in its score, so a passage counts the same wherever a text repeats it. A
-    segment goes on while its sum is above 0 and ends where the sum is highest.
-    """
-    out, i = [], 0
-    gaps = (drift * (np.diff(at, prepend=at[:1] - 1) - 1)).tolist()
-    codes, scores = code.tolist(), score.tolist()
-    while i < len(scores):
-        seen: dict[int, int] = {}
-        total = best = 0.0
-        end = i
-        for j in range(i, len(scores)):
-            if j > i:
-                total -= gaps[j]
-                if total <= 0:
-                    break
-            seen[codes[j]] = seen.get(codes[j], 0) + 1
-            total += scores[j] / seen[codes[j]]
-            if total > best:
-                best, end = total, j
-        out.append((int(at[i]), int(at[end]) + 1, best, i, end + 1))
-        i = end + 1
-    return out
-
-
 @dataclass
 class ToxicModel:
     """Scores of features, the extreme-value parameters (lambda, K) and the calibration (intercept, slope)."""
@@ -126,33 +90,30 @@ class ToxicModel:
     scale: float = 0.1
     line: tuple[float, float] = (0.0, 1.0)
 
-    def word_scores(self, uniq: list[str]) -> np.ndarray:
-        """The best score of each word and its stems, 0 if none has one."""
-        return np.array([max(self.scores.get(x, 0.0), *(self.scores.get(x[:n] + "*", 0.0) for n in STEMS if len(x) > n), 0.0) for x in uniq])
-
-    def hot(self, items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the items that score above 0, their codes (alike for equal items) and their scores."""
-        heads = pa.array(sorted({x.rstrip("*")[: min(STEMS)] for x in self.scores}), items.type)
-        at = np.flatnonzero(np.asarray(pc.is_in(pc.utf8_slice_codeunits(items, 0, min(STEMS)), heads)))
-        uniq, index = coded(items.take(pa.array(at)))
-        score = self.word_scores(uniq)[index] if uniq else np.empty(0)
-        return at[score > 0], index[score > 0], score[score > 0]
-
-
-def log_odds(frame, share: float = SHARE, least: int = LEAST) -> dict[str, float]:
-    """Log-odds ratios with an informative Dirichlet prior, less ERRORS standard errors, of the features above STRENGTH.
-
-    ``frame`` holds feature, ones and zeros, the empty feature the documents. The prior has mass PRIOR, shared as the
-    features are in both classes together.
+    def token_scores(self, uniq: list[str]) -> np.ndarray:
+        """Of each word the score of itself, or else of its longest beginning that has one, or else 0; each costs DRIFT."""
+        get, out = self.scores.get, np.full(len(uniq), -DRIFT)
+        for i, x in enumerate(uniq):
+            score = get(x)
+            if score is None:
+                for n in reversed(STEMS):
+                    if len(x) > n and (score := get(x[:n] + "*")) is not None:
+                        break
+            if score is not None:
+                out[i] += score
+        return out
+
+
+def log_odds(a: Column, b: Column, one: float, zero: float) -> Column:
+    """The log-odds ratio with an informative Dirichlet prior of a feature that stands in ``a`` of ``one`` toxic documents
+    and ``b`` of ``zero`` others, drawn to 0 by ERRORS standard errors, within MOST; 0 where it may as well be 0.
+
+    The prior has mass PRIOR, shared as the features are in both classes together.
     """
-    docs = frame[frame["feature"] == ""]
-    one, zero = float(docs["ones"].sum()), float(docs["zeros"].sum())
-    rest = frame[(frame["feature"] != "") & (frame["ones"] >= max(least, share * one))]
-    a, b = rest["ones"].to_numpy(float), rest["zeros"].to_numpy(float)
-    prior = PRIOR * (a + b) / max(1.0, one + zero)
-    ratio = np.log((a + prior) / (one + PRIOR - a - prior)) - np.log((b + prior) / (zero + PRIOR - b - prior))
-    lower = np.minimum(ratio - ERRORS * np.sqrt(1 / (a + prior) + 1 / (b + prior)), MOST)
-    return {k: float(v) for k, v in zip(rest["feature"], lower, strict=True) if v >= STRENGTH}
+    prior = F.lit(PRIOR / max(1.0, one + zero)) * (a + b)
+    ratio = F.log((a + prior) / (F.lit(one + PRIOR) - a - prior)) - F.log((b + prior) / (F.lit(zero + PRIOR) - b - prior))
+    sure = F.abs(ratio) - F.lit(ERRORS) * F.sqrt(1 / (a + prior) + 1 / (b + prior))
+    return F.when(a + b > 0, F.signum(ratio) * F.least(F.greatest(sure, F.lit(0.0)), F.lit(MOST))).otherwise(F.lit(0.0))
 
 
 def _occurrence(key: np.ndarray) -> np.ndarray:
@@ -199,38 +160,67 @@ def significant(normal: list[float], joint: list[float]) -> tuple[float, list[in
     return max([evidence, *single]), sorted(chosen)
 
 
-def _scored(model: ToxicModel, block: pa.RecordBatch) -> tuple[list[float], list[list[dict]]]:
-    items, rows = words(block.column("text"))
-    evidence, out = [0.0] * block.num_rows, [[] for _ in range(block.num_rows)]
-    hot, code, score = model.hot(items)
-    begins = bounds(rows, block.num_rows)
-    less = score / _occurrence(rows[hot] * (code.max(initial=0) + 1) + code)
-    by_row = bounds(rows[hot], block.num_rows)
-    for row in np.flatnonzero(np.diff(by_row)):
-        own = slice(by_row[row], by_row[row + 1])
-        length = begins[row + 1] - begins[row]
-        found = passages(hot[own] - begins[row], code[own], score[own], DRIFT)
-        normal = [model.rate * x[2] - math.log(model.scale * length) for x in found]
-        through = np.cumsum(np.append(0.0, less[own]))
-        joint = [model.rate * (through[j] - through[i] - DRIFT * (b - a - (j - i))) - math.log(model.scale * length) for a, b, _, i, j in found]
-        evidence[row], chosen = significant(normal, joint)
-        out[row] = [{"first_word": found[k][0], "words": found[k][1] - found[k][0], "score": float(found[k][2]), "expect": math.exp(-normal[k])} for k in chosen]
+def _scored(model: ToxicModel, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+    """The evidence of each text and its significant segments."""
+    n = len(texts)
+    items, rows = words(texts)
+    evidence, out = np.zeros(n), [[] for _ in range(n)]
+    uniq, code = coded(items)
+    if not uniq:
+        return evidence, out
+    score = model.token_scores(uniq)[code]
+    begins = bounds(rows, n)
+    offset = np.log(np.maximum(model.scale * np.diff(begins), 1e-300))
+    up = np.maximum(score, 0.0)
+    # Only a segment whose normalised score is above 0 is evidence; a text without so much can't hold one.
+    may = np.flatnonzero(model.rate * np.bincount(rows, weights=up, minlength=n) > offset)
+    # Tokens alike in sign and text stay together in every maximal segment.
+    turn = np.flatnonzero(np.concatenate(([True], (np.diff(score > 0) != 0) | (np.diff(rows) != 0))))
+    run = np.add.reduceat(score, turn)
+    turns = np.append(turn, len(score))
+    found: list[tuple[int, int, int]] = []
+    first, last = np.searchsorted(turn, begins[may]), np.searchsorted(turn, begins[may + 1])
+    for row, a, b in zip(may.tolist(), first.tolist(), last.tolist(), strict=True):
+        found += [(row, int(turns[a + x]), int(turns[a + y])) for x, y, s in segments(run[a:b]) if model.rate * s > offset[row]]
+    if not found:
+        return evidence, out
+    row, a, b = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+    size = b - a
+    at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    own = np.repeat(np.arange(len(a)), size)
+    width = len(uniq) + 1
+
+    ends = np.cumsum(size)
+
+    def highest(group: np.ndarray) -> np.ndarray:
+        """The highest sum within each segment where the k-th token of a word that scores above 0 counts 1/k in its group."""
+        less = np.where(score[at] > 0, score[at] / _occurrence(group * width + code[at]), score[at])
+        out = np.empty(len(a))
+        for k, (i, j) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
+            through = np.cumsum(np.append(0.0, less[i:j]))
+            out[k] = (through - np.minimum.accumulate(through)).max()
+        return out
+
+    alone = highest(own)
+    normal, joint = (model.rate * x - offset[row] for x in (alone, highest(row[own])))
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(row) != 0)))
+    for i, j in zip(edges, np.append(edges[1:], len(row)), strict=True):
+        r = int(row[i])
+        evidence[r], chosen = significant(normal[i:j].tolist(), joint[i:j].tolist())
+        out[r] = [{"first_word": int(a[i + k] - begins[r]), "words": int(size[i + k]), "score": float(alone[i + k]), "expect": math.exp(min(-normal[i + k], 700.0))} for k in chosen]
     return evidence, out
 
 
-def extreme_values(counts: np.ndarray, score: np.ndarray, words_: float) -> tuple[float, float]:
+def extreme_values(counts: np.ndarray, score: np.ndarray) -> tuple[float, float]:
     """Lambda: the root of sum p exp(lambda s) = 1 for the tokens of clean documents, seen ``counts`` times with ``score``.
 
-    K is the least at which K exp(-lambda s) is no less than the share of tokens that score s or more, for each s: no
+    K is the least at which K exp(-lambda s) is no less than the share of tokens that score s or more, for each s > 0: no
     segment is called rarer than the single tokens of its score are in clean text.
     """
-    p = counts / words_
-    rest = max(1e-9, 1.0 - p.sum())
-
-    def excess(x: float) -> float:
-        return float((p * np.exp(x * score)).sum() + rest * np.exp(-x * DRIFT) - 1.0)
-
+    every = counts.sum()
+    p = counts / every
     low, high = 1e-3, 1e-3
+    excess = lambda x: float((p * np.exp(np.minimum(x * score, 700.0))).sum() - 1.0)
     while excess(high) < 0 and high < 50:
         low, high = high, high * 2
     for _ in range(60):
@@ -238,48 +228,85 @@ def extreme_values(counts: np.ndarray, score: np.ndarray, words_: float) -> tupl
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
     rate = max(low, 0.05)
     order = np.argsort(-score)
-    reached = np.cumsum(p[order]) * np.exp(rate * score[order])
-    return rate, max(float(reached.max(initial=0.0)), 1 / words_)
+    reached = np.where(score[order] > 0, np.cumsum(p[order]) * np.exp(np.minimum(rate * score[order], 700.0)), 0.0)
+    return rate, max(float(reached.max(initial=0.0)), 1 / every)
 
 
-def _tokens(model: ToxicModel):
-    """For each score how many tokens have it, and under -1 all tokens."""
+def _folded(block: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """The folds of a block's rows, with their texts and labels."""
+    fold, toxic = np.asarray(block.column("fold")), np.asarray(block.column("toxic"))
+    for k in np.unique(fold):
+        at = np.flatnonzero(fold == k)
+        yield int(k), block.column("text").take(pa.array(at)), toxic[at]
+
+
+def _tokens(sent):
+    """For each rounded score how many tokens of clean documents have it, by the model that hasn't seen the document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [ToxicModel(x) for x in sent.value]
         for block in blocks(batches):
-            items, _ = words(block.column("text"))
-            value, n = np.unique(np.maximum(np.round(model.hot(items)[2], 2), 0.01), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([-1.0, *value], pa.float64()), pa.array([len(items), *n], pa.int64())], names=["score", "n"])
+            for k, texts, toxic in _folded(block):
+                uniq, code = coded(words(texts.filter(pa.array(toxic == 0)))[0])
+                score = np.round(models[k].token_scores(uniq), 2)[code] if uniq else np.empty(0)
+                value, n = np.unique(score, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value, pa.float64()), pa.array(n, pa.int64())], names=["score", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labelled: int = LABELLED, share: float = SHARE, least: int = LEAST) -> ToxicModel:
+def _evidence(sent, rate: float, scale: float):
+    """The evidence of each document, by the model that hasn't seen it, with its label."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [ToxicModel(x, rate, scale) for x in sent.value]
+        for block in blocks(batches):
+            for k, texts, toxic in _folded(block):
+                yield pa.RecordBatch.from_arrays([pa.array(_scored(models[k], texts)[0]), pa.array(toxic, pa.int32())], names=["evidence", "toxic"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labelled: int = LABELLED) -> ToxicModel:
     """Learn from at most ``labelled`` rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) labels 0 or 1.
 
-    ``usable`` is a rule on doc_id that both have to meet. They are the rows with the smallest hashes of their id, the same each time; being so few (16 bytes each), they are
-    sent to all tasks, and no text is shuffled. Rows with a null id, text or label teach nothing; a document with several labels counts once for each. With no
-    label 1 the model finds nothing toxic.
+    ``usable`` is a rule on doc_id that both have to meet. They are the rows with the smallest hashes of their id, the
+    same each time; being so few (16 bytes each), they are sent to all tasks, and no text is shuffled. Rows with a null
+    id, text or label teach nothing; a document with several labels counts once for each; an empty table, and one without
+    label 1, gives a model that finds nothing toxic. Other columns are ignored.
+
+    Extreme-value parameters and calibration come from documents that the counts in use don't hold: the labelled rows
+    are dealt to FOLDS parts by their id, and each part is scored by the counts of the others.
     """
     usable = F.lit(True) if usable is None else usable
     known = labels.where(F.col("toxic").isin(0, 1) & usable).select("doc_id", F.col("toxic").cast("int"))
     known = cut(known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "toxic").limit(labelled))
-    joined = cut(docs.where(F.col("text").isNotNull() & usable).select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("text", "toxic"))
-    counted = joined.transform(in_arrow, _count, "feature string, ones bigint, zeros bigint").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    counted = cut(counted)
-    totals = counted.where("feature = ''").toPandas()
-    one = float(totals["ones"].sum())
-    frame = counted.where((F.col("feature") == "") | (F.col("ones") >= max(float(least), share * one))).toPandas()
-    model = ToxicModel(log_odds(frame, share, least))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int").alias("fold")
+    joined = cut(docs.where(F.col("text").isNotNull() & usable).select("doc_id", F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("text", "toxic", fold))
+    counted = joined.transform(in_arrow, _count, "feature string, fold int, ones bigint, zeros bigint")
+    of = lambda x, k: F.sum(F.when(F.col("fold") == k, F.col(x)).otherwise(0))
+    counted = cut(counted.groupBy("feature").agg(*(of(x, k).alias(f"{x}{k}") for x in ("ones", "zeros") for k in range(FOLDS))))
+    docs_of = counted.where("feature = ''").first()
+    if docs_of is None:
+        return ToxicModel({})
+    # Model k is of all folds but k, the last one of all.
+    scores = []
+    for k in range(FOLDS + 1):
+        used = [j for j in range(FOLDS) if j != k]
+        a, b = (sum((F.col(f"{x}{j}") for j in used[1:]), F.col(f"{x}{used[0]}")).cast("double") for x in ("ones", "zeros"))
+        scores.append(log_odds(a, b, *(float(sum(docs_of[f"{x}{j}"] for j in used)) for x in ("ones", "zeros"))).alias(f"s{k}"))
+    frame = counted.where("feature <> ''").select("feature", *scores).where(" OR ".join(f"s{k} <> 0" for k in range(FOLDS + 1))).toPandas()
+    if not sum(docs_of[f"ones{k}"] for k in range(FOLDS)):
+        return ToxicModel({})
+    *parts, whole = ({f: float(v) for f, v in zip(frame["feature"], frame[f"s{k}"], strict=True) if v} for k in range(FOLDS + 1))
+    model, sent = ToxicModel(whole), docs.sparkSession.sparkContext.broadcast(parts)
     if not model.scores:
         return model
-    clean = joined.where("toxic = 0").select("text").transform(in_arrow, _tokens(model), "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
-    total = float(clean.loc[clean["score"] < 0, "n"].sum())
-    if total:
-        some = clean[clean["score"] > 0]
-        model.rate, model.scale = extreme_values(some["n"].to_numpy(float), some["score"].to_numpy(float), total)
+    clean = joined.where("toxic = 0").transform(in_arrow, _tokens(sent), "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
+    if len(clean):
+        model.rate, model.scale = extreme_values(clean["n"].to_numpy(float), clean["score"].to_numpy(float))
     # Platt scaling of the evidence, from its histogram: at most a few thousand rows come to the driver.
-    scored = score_texts(joined.select("text", "toxic"), model, ["toxic"])
+    scored = joined.transform(in_arrow, _evidence(sent, model.rate, model.scale), "evidence double, toxic int")
     bins = scored.groupBy(F.round(F.least(F.col("evidence"), F.lit(200.0)), 1).alias("x"), "toxic").count().toPandas()
     model.line = _platt(bins["x"].to_numpy(float), bins["toxic"].to_numpy(float), bins["count"].to_numpy(float))
     return model
@@ -306,23 +333,24 @@ def _platt(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
 def score_texts(docs: DataFrame, model: ToxicModel, keys: list[str]) -> DataFrame:
     """``keys`` of each row of ``docs`` with its evidence and the significant segments of its whole text.
 
-    A text that is null, empty or without a word has evidence 0 and no segment. Repeated rows give repeated results.
+    A text that is null, empty or without a word has evidence 0 and no segment. Repeated rows give repeated results, an
+    empty table none; a key that has the name of a result gives way to it.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.scores, model.rate, model.scale, model.line))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("first_word", pa.int32()), ("words", pa.int32()), ("score", pa.float64()), ("expect", pa.float64())]))
-        for block in blocks(batches, "__text"):
-            evidence, found = _scored(ToxicModel(*sent.value), block.rename_columns([*block.schema.names[:-1], "text"]))
-            kept = [block.column(k) for k in range(block.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(evidence, pa.float64()), pa.array(found, kind)], names=[*block.schema.names[:-1], "evidence", "segments"])
+    def start():
+        model = ToxicModel(*sent.value)
+
+        def run(block: pa.RecordBatch) -> list[pa.Array]:
+            evidence, found = _scored(model, block.column("text"))
+            return [pa.array(evidence, pa.float64()), pa.array(found, _SEGMENTS)]
+
+        return run
 
-    kept = docs.select(*keys, F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), _RAW])
-    return kept.transform(in_arrow, run, schema)
+    return mapped(docs, keys, {"text": F.col("text").cast("string")}, start, RESULTS)
 
 
 def detect(docs: DataFrame, model: ToxicModel, keys: list[str]) -> DataFrame:
     """As ``score_texts``, with ``score``: the calibrated probability of label 1."""
     a, b = model.line
-    return score_texts(docs, model, keys).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("evidence")))))
+    return score_texts(docs, model, [x for x in keys if x.lower() != "score"]).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("evidence")))))
