@@ -2,130 +2,179 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, in_arrow, words
+from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, words
 
-#: Shortest tile, in words; also the length of the seeds that a text and an item have to share.
+#: Shortest tile, in words; also the length of the seeds that a text and an item have to share. An item of fewer words
+#: can't be told from common speech and matches nothing (``short_items`` lists them).
 LEAST_TILE = 5
 #: Share of an item's words that tiles have to cover.
 COVERAGE = 0.6
-#: Items are sent to the tasks in blocks of at most this many bytes of text, one pass over the documents each.
-ITEM_BYTES = 64 << 20
+#: lg of the bits by which windows without a seed are kept from the join: 8 MB, whatever the benchmark's size.
+LG_BITS = 26
+#: A seed's rows, and an item's, are dealt out to this many tasks: one passage may stand in a third of all documents.
+SALTS = 16
 
-_PRIME = np.uint64(1099511628211)
-_OUT = "doc_id bigint, item_id bigint, coverage double, covered_words int, item_words int, tiles int"
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_OUT = {"doc_id": "bigint", "item_id": "bigint", "coverage": "double", "covered_words": "int", "item_words": "int", "tiles": "int"}
+
+
+class Running:
+    """Karp-Rabin values, modulo 2**64, of the windows of a sequence of codes, all from one set of prefix sums."""
+
+    def __init__(self, codes: np.ndarray):
+        n = len(codes)
+        power = np.full(n + 1, _BASE, dtype=np.uint64)
+        back = np.full(n + 1, _INVERSE, dtype=np.uint64)
+        power[0] = back[0] = 1
+        self.back = np.cumprod(back, dtype=np.uint64)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.cumprod(power, dtype=np.uint64)[:n], dtype=np.uint64)))
+
+    def windows(self, length: int) -> np.ndarray:
+        """The values of all windows of ``length`` codes (none where the codes are fewer)."""
+        n = max(0, len(self.sums) - length)
+        return (self.sums[length:] - self.sums[:n]) * self.back[:n]
 
 
 def running_hash(codes: np.ndarray, length: int) -> np.ndarray:
-    """Karp-Rabin values, modulo 2**64, of all windows of ``length`` codes (of none where the codes are fewer)."""
-    n = len(codes) - length + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(length):
-        out = out * _PRIME + codes[k : k + n].astype(np.uint64) + np.uint64(1)
-    return out
+    return Running(codes).windows(length)
 
 
 def tile(text: np.ndarray, item: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in item, start in text, length) of non-overlapping matches, longest first.
 
-    Codes below 0 match nothing. Each round looks for the longest match of unmarked codes by hashing all unmarked
-    windows of a search length that falls from the longest possible to ``least``; windows whose hashes agree are
-    compared code by code, so equal hashes of unequal windows do no harm. Ties go to the first in the item, then text.
+    Codes below 0 match nothing. Each round looks, by halving, for the longest length at which unmarked windows of both
+    have equal hashes (a match of n codes holds matches of all shorter lengths), and marks its matches; windows are
+    compared code by code before, so equal hashes of unequal windows do no harm. Ties go to the first in the item, then
+    in the text. A window of the text is passed by once it is marked, so the time follows the lengths, not their pairs.
     """
     free_item, free_text = item >= 0, text >= 0
+    of_item, of_text = Running(item), Running(text)
     tiles: list[tuple[int, int, int]] = []
 
-    def free_windows(free: np.ndarray, length: int) -> np.ndarray:
+    def unmarked(free: np.ndarray, length: int) -> np.ndarray:
         marked = np.concatenate(([0], np.cumsum(~free)))
-        return marked[length:] == marked[:-length] if len(free) >= length else np.empty(0, dtype=bool)
-
-    def matches(length: int) -> list[tuple[int, int]]:
-        a, b = running_hash(item, length), running_hash(text, length)
-        at = np.flatnonzero(free_windows(free_item, length))
-        bt = np.flatnonzero(free_windows(free_text, length))
-        bt = bt[np.isin(b[bt], a[at])]
-        where = defaultdict(list)
-        for j in bt:
-            where[b[j]].append(j)
-        return [(i, j) for i in at for j in where.get(a[i], ()) if np.array_equal(item[i : i + length], text[j : j + length])]
-
-    low = least
-    while True:
-        # The longest common unmarked length: by halving, as a match of n codes holds matches of all shorter lengths.
-        if not matches(low):
-            return tiles
-        fit, out = low, len(item) + 1
+        return np.flatnonzero(marked[length:] == marked[:-length]) if len(free) >= length else np.empty(0, np.int64)
+
+    def common(length: int) -> bool:
+        a, b = unmarked(free_item, length), unmarked(free_text, length)
+        return bool(len(a) and len(b) and np.isin(of_item.windows(length)[a], of_text.windows(length)[b]).any())
+
+    most = min(len(item), len(text))
+    while most >= least and common(least):
+        fit, out = least, most + 1
         while out - fit > 1:
             mid = (fit + out) // 2
-            fit, out = (mid, out) if matches(mid) else (fit, mid)
-        for i, j in matches(fit):
-            if free_item[i : i + fit].all() and free_text[j : j + fit].all():
-                free_item[i : i + fit] = free_text[j : j + fit] = False
-                tiles.append((int(i), int(j), int(fit)))
-
-
-class Items:
-    """The benchmark items of one block: word codes, seeds and their places."""
-
-    def __init__(self, ids: list[int], texts: list[str], least: int):
-        found, rows = words(pa.array(texts, pa.string()))
-        self.vocabulary, self.ids = found.unique(), ids
-        codes = np.asarray(found.dictionary_encode().indices).astype(np.int64)
-        at = bounds(rows, len(texts))
-        self.codes = [codes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        # An item of fewer words than a tile is its own seed.
-        self.seeds: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, code in enumerate(self.codes):
-            if n := min(least, len(code)):
-                for h in set(running_hash(code, n).tolist()):
-                    self.seeds[n][h].append(k)
-        self.sorted = {n: np.array(sorted(x), dtype=np.uint64) for n, x in self.seeds.items()}
-
-
-def _find(items: Items, block: pa.RecordBatch, least: int, coverage: float) -> Iterator[tuple]:
-    import pyarrow.compute as pc
-
-    found, rows = words(block.column("text"))
-    codes = np.asarray(pc.fill_null(pc.index_in(found.cast("string"), items.vocabulary.cast("string")), -1)).astype(np.int64)
-    hits: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for n, known in items.sorted.items():
-        if len(codes) < n:
-            continue
-        bad = np.concatenate(([0], np.cumsum(codes < 0)))
-        whole = (bad[n:] == bad[:-n]) & (rows[n - 1 :] == rows[: len(rows) - n + 1])
-        at = np.flatnonzero(whole)
-        if not len(at):
-            continue
-        seed = running_hash(codes, n)[at]
-        place = np.minimum(np.searchsorted(known, seed), len(known) - 1)
-        here = known[place] == seed
-        for position, h in zip(at[here], seed[here].tolist(), strict=True):
-            for k in items.seeds[n][h]:
-                hits[int(rows[position])][k].add(h)
-    doc_ids, at = block.column("doc_id").to_pylist(), bounds(rows, block.num_rows)
-    for row, by_item in hits.items():
-        for k, seeds in by_item.items():
-            item = items.codes[k]
-            n = min(least, len(item))
-            # A tile covers at most n words for each window it holds, so fewer shared windows can't reach the threshold.
-            if np.isin(running_hash(item, n), np.array(list(seeds), dtype=np.uint64)).sum() * n < coverage * len(item):
+            fit, out = (mid, out) if common(mid) else (fit, mid)
+        hash_item, hash_text = of_item.windows(fit), of_text.windows(fit)
+        at = unmarked(free_text, fit)
+        at = at[np.argsort(hash_text[at], kind="stable")]
+        keys = hash_text[at]
+        next_: dict[int, int] = {}
+        for i in unmarked(free_item, fit).tolist():
+            if not free_item[i : i + fit].all():
                 continue
-            text = codes[at[row] : at[row + 1]]
-            mine = np.where(np.isin(text, item), text, -1)
-            near = _windows(mine, n)
-            tiles = tile(near, item, n)
-            covered = sum(x[2] for x in tiles)
-            if covered >= coverage * len(item):
-                yield doc_ids[row], items.ids[k], covered / len(item), covered, len(item), len(tiles)
+            h = hash_item[i]
+            k = next_.get(int(h), int(np.searchsorted(keys, h)))
+            while k < len(at) and keys[k] == h and not free_text[at[k] : at[k] + fit].all():
+                k += 1
+            next_[int(h)] = k
+            while k < len(at) and keys[k] == h:
+                j = int(at[k])
+                if free_text[j : j + fit].all() and np.array_equal(item[i : i + fit], text[j : j + fit]):
+                    free_item[i : i + fit] = free_text[j : j + fit] = False
+                    tiles.append((i, j, fit))
+                    break
+                k += 1
+        most = fit - 1
+    return tiles
+
+
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the rows."""
+    found, rows = words(texts)
+    uniq, index = coded(found)
+    return (np.fromiter((xxhash.xxh3_64_intdigest(x) for x in uniq), dtype=np.uint64, count=len(uniq))[index] if uniq else np.empty(0, np.uint64)), rows
+
+
+def _seeds(least: int, bits: np.ndarray | None = None):
+    """For each text with a seed (whose bit is set in ``bits``, if they are given) its words, seeds and how often each occurs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        set_ = None if bits is None else bits.value
+        for block in blocks(batches):
+            hashes, rows = _word_hashes(block.column("text"))
+            at = bounds(rows, block.num_rows)
+            seed = running_hash(hashes, least)
+            whole = np.flatnonzero(rows[least - 1 :] == rows[: len(seed)]) if len(seed) else np.empty(0, np.int64)
+            if set_ is not None and len(whole):
+                bit = seed[whole] & np.uint64((1 << LG_BITS) - 1)
+                whole = whole[(set_[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+            own = rows[whole]
+            some = np.unique(own)
+            begins = np.searchsorted(own, some)
+            lists, counts = [], []
+            for a, b in zip(begins, np.append(begins[1:], len(own))[: len(begins)], strict=True):
+                value, n = np.unique(seed[whole[a:b]].view(np.int64), return_counts=True)
+                lists.append(value)
+                counts.append(n)
+            keep = pa.array(some)
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number + some), block.column("id").take(keep), block.column("text").take(keep), pa.array(np.diff(at)[some]), pa.array(lists, kind), pa.array(counts, kind)],
+                names=["row", "id", "text", "words", "seeds", "times"],
+            )
+            number += block.num_rows
+
+    return run
+
+
+_SEEDED = "row bigint, id bigint, text string, words bigint, seeds array<bigint>, times array<bigint>"
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The set bits as words of 64; at most 2**LG_BITS / 64 rows come to the driver."""
+    bit = seeds.select(F.col("seed").bitwiseAND(F.lit((1 << LG_BITS) - 1)).alias("bit"))
+    rows = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")).toPandas()
+    out = np.zeros(1 << (LG_BITS - 6), dtype=np.uint64)
+    out[rows["at"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _tiled(least: int, coverage: float):
+    """The pairs of a text and an item whose tiles cover enough of the item."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            found = []
+            texts, text_rows = words(block.column("text"))
+            items, item_rows = words(block.column("item"))
+            code = pa.chunked_array([texts.cast("large_string"), items.cast("large_string")]).combine_chunks().dictionary_encode().indices
+            code = np.asarray(code).astype(np.int64)
+            text, item = code[: len(texts)], code[len(texts) :]
+            a, b = bounds(text_rows, block.num_rows), bounds(item_rows, block.num_rows)
+            for k, (doc, target) in enumerate(zip(block.column("id").to_pylist(), block.column("item_id").to_pylist(), strict=True)):
+                mine, own = text[a[k] : a[k + 1]], item[b[k] : b[k + 1]]
+                tiles = tile(_windows(np.where(np.isin(mine, own), mine, -1), least), own, least)
+                covered = sum(x[2] for x in tiles)
+                if covered >= coverage * len(own):
+                    found.append((doc, target, covered / len(own), covered, len(own), len(tiles)))
+            columns = list(zip(*found, strict=True)) or [()] * len(_OUT)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=list(_OUT))
+
+    return run
 
 
 def _windows(codes: np.ndarray, least: int) -> np.ndarray:
@@ -136,49 +185,51 @@ def _windows(codes: np.ndarray, least: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def short_items(benchmark: DataFrame, least: int = LEAST_TILE) -> DataFrame:
+    """The items (item_id, text) of fewer than ``least`` words, null and empty ones too: nothing is matched with them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            keep = pa.array(np.diff(bounds(words(block.column("text"))[1], block.num_rows)) < least)
+            yield pa.RecordBatch.from_arrays([block.column(x).filter(keep) for x in ("item_id", "text")], names=["item_id", "text"])
+
+    return in_arrow(benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")), run, "item_id bigint, text string")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:
     """Pairs of documents (doc_id, text) and benchmark items (item_id, text) where tiles cover the item's words.
 
-    The benchmark is a stated query set: it is read in blocks of at most ``item_bytes`` of text, one pass over the
-    documents each, so its size is no limit. Items and documents that are null, empty or without a word match nothing;
-    an item of fewer than ``least`` words has to occur whole. Repeated documents give repeated rows, repeated items a
-    row each; a null id stays null; an empty table gives no rows; other columns are ignored.
+    Seeds are windows of ``least`` words. Those of the documents that may be an item's (by a bitmap of bounded size) are
+    joined with those of the items; a pair that shares so many that its tiles could cover the item is tiled. A tile covers
+    at most ``least`` words for each window it holds, so no other pair can reach the threshold.
+
+    Items and documents that are null, empty or of fewer than ``least`` words match nothing. Repeated documents give
+    repeated rows, repeated items a row each; a null id stays null; an empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    result = spark.createDataFrame([], _OUT)
-    for ids, texts in _item_blocks(benchmark, item_bytes):
-        sent = spark.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = Items(*sent.value, least)
-            for block in blocks(batches):
-                rows = list(_find(items, block, least, coverage))
-                if rows:
-                    columns = zip(*rows, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
-
-        result = result.unionAll(source.transform(in_arrow, run, _OUT))
-    return result
-
-
-def _item_blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Blocks of items; rows come to the driver one partition at a time."""
-    ids, texts, size = [], [], 0
-    rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
-    for item, text in rows.toLocalIterator():
-        if texts and size + len(text.encode()) > limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(item)
-        texts.append(text)
-        size += len(text.encode())
-    if texts:
-        yield ids, texts
+    targets = benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.col("text").cast("string"))
+    targets = cut(targets.transform(in_arrow, _seeds(least), _SEEDED))
+    known = targets.select(F.col("row").alias("item"), F.col("words"), F.explode(F.arrays_zip("seeds", "times")).alias("x")).select("item", "words", F.col("x.seeds").alias("seed"), F.col("x.times").alias("times"))
+    bits = spark.sparkContext.broadcast(_bitmap(known))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
+    seeded = cut(source.transform(in_arrow, _seeds(least, bits), _SEEDED))
+
+    salt = lambda x: F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    here = seeded.select("row", salt("row"), F.explode("seeds").alias("seed"))
+    shared = here.join(known.select("*", salts), ["seed", "salt"]).groupBy("row", "item", "words").agg(F.sum("times").alias("windows"))
+    pairs = shared.where(F.col("windows") * least >= F.lit(coverage) * F.col("words")).select("row", "item", salt("row"))
+    texts = seeded.select("row", "id", "text").join(pairs, "row")
+    wanted = targets.select(F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("text").alias("target"), salts)
+    both = texts.join(wanted, ["item", "salt"]).select("id", "text", "item_id", F.col("target").alias("item"))
+    return both.transform(in_arrow, _tiled(least, coverage), ", ".join(f"{x} {kind}" for x, kind in _OUT.items()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; documents with a null doc_id are kept."""
+    """``docs`` without those that hold a benchmark item; documents with a null doc_id are kept.
+
+    All columns are handed on; empty tables and items are as in ``find_contamination``.
+    """
     found = find_contamination(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
