@@ -21,8 +21,8 @@ CAPACITY, SEGMENTS, LOSS, PROMPT = 2048, 16, 2032, 16
 WAITING = 4096
 #: Gaps below this many tokens are padded, not filled by cutting another document.
 LEAST_PIECE = 16
-#: Distinct stretches of text whose ids a task remembers, and the longest one that it does.
-REMEMBERED, SHORT = 200_000, 64
+#: Distinct stretches of text whose ids a task remembers, and the bytes of the longest one that it does.
+REMEMBERED, SHORT = 500_000, 64
 
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
@@ -119,15 +119,17 @@ def stretches(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarr
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
     start = offsets - offsets[0]
     data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
     before = np.concatenate((np.zeros(4, np.uint8), data))
-    one, two, three, four = (before[4 - k : len(data) + 4 - k] for k in (1, 2, 3, 4))
+    one, two, three, four = (before[at + 4 - k] for k in (1, 2, 3, 4))
     high, leads = one >= 0x80, two >= 0xC0
     of_two = leads & (two >= 0xC3)
     of_three = ~leads & (three >= 0xE3) & ~((three == 0xE3) & (two == 0x80) & (one == 0x80))
     of_four = ~leads & (three < 0xC0) & (four >= 0xF0)
-    solid = ((one > 0x20) & (one < 0x7F)) | (high & (of_two | of_three | of_four))
-    cuts = np.flatnonzero(((data == 0x20) | (data == 0x0A)) & solid)
-    cuts = np.unique(np.concatenate((cuts, start[:-1][np.diff(start) > 0])))
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[at[((one > 0x20) & (one < 0x7F)) | (high & (of_two | of_three | of_four))]] = True
+    begins[start] = True
+    cuts = np.flatnonzero(begins[:-1])
     ends = np.append(cuts, len(data)).astype(np.int64) if len(cuts) else np.zeros(1, np.int64)
     return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(ends), pa.py_buffer(data)), np.searchsorted(start, cuts, side="right") - 1
 
@@ -138,7 +140,10 @@ class Encoder:
     def __init__(self, told: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(told), {}
+        self.tokenizer = Tokenizer.from_str(told)
+        # The remembered stretches, their ids (all in one array) and how many each has.
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.size = np.empty(0, np.int32), np.empty(0, np.int64)
         state = self.tokenizer.pre_tokenizer.__class__.__name__, self.tokenizer.normalizer
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         if state != ("ByteLevel", None) or any(c.isspace() for x in special for c in x):
@@ -148,17 +153,25 @@ class Encoder:
         """The ids of all texts (null: none), one after the other, and how many each has."""
         parts, rows = stretches(pc.fill_null(texts.cast("large_string"), ""))
         found = parts.dictionary_encode()
-        names, index = found.dictionary.to_pylist(), np.asarray(found.indices)
-        new = [x for x in names if x not in self.known]
-        told = {x: e.ids for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        lists = [self.known.get(x) or told[x] for x in names]
-        if len(self.known) < REMEMBERED:
-            self.known |= {x: ids for x, ids in told.items() if len(x) <= SHORT}
+        names, index = found.dictionary, np.asarray(found.indices)
+        place = np.asarray(pc.fill_null(pc.index_in(names, self.known), -1)).astype(np.int64)
+        unknown = np.flatnonzero(place < 0)
+        fresh = names.take(pa.array(unknown))
+        new = fresh.to_pylist()
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        ids = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(size.sum()))
-        begins, own = np.cumsum(size) - size, size[index]
-        at = np.repeat(begins[index] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
-        return ids[at], np.bincount(rows, weights=own, minlength=len(texts)).astype(np.int64)
+        place[unknown] = len(self.size) + np.arange(len(new))
+        every = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(size.sum()))))
+        sizes = np.concatenate((self.size, size))
+        own, begins = sizes[place][index], (np.cumsum(sizes) - sizes)[place][index]
+        ids = every[np.repeat(begins - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
+        kept = np.flatnonzero(np.asarray(pc.binary_length(fresh)) <= SHORT)[: REMEMBERED - len(self.known)]
+        self.known = pa.concat_arrays([self.known, fresh.take(pa.array(kept))])
+        mask = np.zeros(len(new), bool)
+        mask[kept] = True
+        self.ids = np.concatenate((self.ids, every[len(self.ids) :][np.repeat(mask, size)]))
+        self.size = np.concatenate((self.size, size[mask]))
+        return ids, np.bincount(rows, weights=own, minlength=len(texts)).astype(np.int64)
 
 
 def packed_rows(pieces: Iterable[tuple], partition: int, totals: dict) -> Iterator[tuple]:
@@ -205,6 +218,7 @@ def pack_documents(
         for block in blocks(batches):
             pieces = []
             ids, count = encoder.encode(block.column("text"))
+            ids = ids.astype(np.int64)
             ends = np.cumsum(count)
             for key, a, b in zip(block.column("doc_id").to_pylist(), (ends - count).tolist(), ends.tolist(), strict=True):
                 own = np.append(ids[a:b], end_id)
