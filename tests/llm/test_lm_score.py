@@ -1,5 +1,6 @@
 import collections
 import math
+import re
 
 import pytest
 from helpers import ODD_IDS, keys, no_documents, odd_documents
@@ -7,55 +8,62 @@ from helpers import ODD_IDS, keys, no_documents, odd_documents
 from textloom.llm import lm_score, queries
 
 
-def brute(target, background, docs):
-    """Witten-Bell bigram losses with every word in the vocabulary and every bigram held."""
-    vocabulary = sorted({w for t in (*target, *background) for w in t.split()})
-    size = len(vocabulary) + 2
+def brute(docs, good):
+    """Losses by plain counting of all words and bigrams, at the operator's own parameters: n_tokens, target, background."""
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
 
     def model(texts):
-        follow, after = collections.defaultdict(collections.Counter), collections.Counter()
+        pairs, lone = collections.Counter(), collections.Counter()
         for t in texts:
-            chain = ["<edge>", *t.split(), "<edge>"]
-            for u, v in zip(chain, chain[1:], strict=False):
-                follow[u][v] += 1
-                after[v] += 1
-        total = sum(after.values())
-        lone = lambda v: (after[v] + 1 / size) / (total + 1)
+            chain = ["\n", *split(t), "\n"]
+            lone.update(chain[1:])
+            pairs.update(zip(chain, chain[1:], strict=False))
+        total = sum(lone.values())
+        share = lambda v: (lone[v] + lm_score.SEEN) / (total + lm_score.SEEN * lm_score.VOCABULARY)
+        return lambda u, v: -math.log((pairs[u, v] + lm_score.WEIGHT * share(v)) / (lone[u] + lm_score.WEIGHT))
 
-        def loss(u, v):
-            n, kinds = sum(follow[u].values()), len(follow[u]) or 1
-            return -math.log((follow[u][v] + kinds * lone(v)) / (n + kinds))
-
-        return loss
-
-    a, b = model(target), model(background)
+    a, b = model([t for i, t in docs if i in good]), model([t for _, t in docs])
     out = []
-    for t in docs:
-        chain = ["<edge>", *t.split(), "<edge>"]
+    for _, t in docs:
+        chain = ["\n", *split(t), "\n"]
         pairs = list(zip(chain, chain[1:], strict=False))
-        out.append(sum(a(u, v) - b(u, v) for u, v in pairs) / len(pairs))
+        out.append((len(pairs) - 1, *(sum(m(u, v) for u, v in pairs) / len(pairs) for m in (a, b))))
     return out
 
 
-def test_against_brute_force(spark):
-    target = ["red green red blue", "red red green", "blue"]
-    background = [*target, "one two three one", "two red one", "three three"]
-    frame = lambda x: spark.createDataFrame(list(enumerate(x)), "doc_id int, text string")
-    models = lm_score.fit(frame(target), frame(background), 0.0, 0.0)
-    docs = [*background, "red one blue", ""]
-    got = [x.score for x in lm_score.score(frame(docs), models, ["doc_id"]).orderBy("doc_id").collect()]
-    assert got == pytest.approx(brute(target, background, docs), abs=1e-5)
+def compare(rows, docs, good):
+    expected = sorted(brute(docs, good))
+    got = sorted((x.n_tokens, x.ce_target, x.ce_background) for x in rows)
+    assert len(got) == len(expected)
+    for x, y in zip(got, expected, strict=True):
+        assert x == pytest.approx(y, abs=1e-9)
+    assert all(x.score == pytest.approx(x.ce_target - x.ce_background) for x in rows)
+
+
+@pytest.mark.parametrize("chunk_bytes", [lm_score.CHUNK_BYTES, 40])
+def test_against_brute_force(spark, chunk_bytes):
+    texts = ["red green red blue", "red red green", "blue", "one two three one", "Two red one", "three three", "red one blue", "", None, "rare red"] + ["red red red " * 30] * 5
+    docs = [(None if i % 7 == 3 else i % 11, t) for i, t in enumerate(texts)]
+    good = {0, 1, 2, 9}
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    rows = lm_score.score(frame, spark.createDataFrame([(x, 1) for x in [*good, 1, None]], "doc_id bigint, q int"), ["doc_id"], chunk_bytes).collect()
+    compare(rows, docs, good)
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    good = {x.doc_id for x in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    compare(queries.op3_lm_score(spark, sf_dir).collect(), docs, good)
 
 
 def test_odd_rows_and_empty_tables(spark):
     docs = odd_documents(spark)
-    models = lm_score.fit(docs, docs)
-    rows = lm_score.score(docs, models, ["doc_id"]).collect()
-    assert keys(rows) == ODD_IDS and all(math.isfinite(x.score) and abs(x.score) < 1e-6 for x in rows)
+    rows = lm_score.score(docs, docs, ["doc_id", "score", "label", "node"]).collect()
+    assert rows[0].__fields__ == ["doc_id", "label", "node", *lm_score.RESULTS]
+    assert keys(rows) == ODD_IDS and all(math.isfinite(x.score) for x in rows)
     assert {x.doc_id: x.n_tokens for x in rows}[5] == 40_000
-    empty = lm_score.fit(no_documents(spark), no_documents(spark))
-    assert lm_score.score(no_documents(spark), empty, ["doc_id"]).count() == 0
-    assert all(math.isfinite(x.score) for x in lm_score.score(docs, empty, ["doc_id"]).collect())
+    assert lm_score.score(no_documents(spark), no_documents(spark), ["doc_id"]).count() == 0
+    assert all(math.isfinite(x.score) for x in lm_score.score(docs, no_documents(spark), ["doc_id"]).collect())
 
 
 def test_target_like_texts_score_lower(spark, sf_dir):

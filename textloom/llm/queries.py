@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import cotrain, language, line_spread, lm_score, ngram_join, packing, prefix_forest, tiling, toxicity, url_filter
-from textloom.llm.common import cut, read, remainder
+from textloom.llm.common import read, remainder
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +28,8 @@ def op2_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document: target are those labelled good, background are all."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    good = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1").select("doc_id")
-    # The labels grow with the corpus: the same join at every size, done once for both counts.
-    target = cut(docs.join(good.hint("merge"), "doc_id", "left_semi").select("text"))
-    return lm_score.score(docs, lm_score.fit(target, docs), ["doc_id"])
+    good = read(spark, sf_dir, "labels", "doc_id", "quality").where("quality = 1")
+    return lm_score.score(docs, good, ["doc_id"])
 
 
 def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
