@@ -106,7 +106,7 @@ def test_jsonl(spark, tmp_path):
         jsonl.read_strict(spark, str(path), "a int").collect()
     assert jsonl.read_whole(spark, str(tmp_path / "none.txt")).first()[0] == jsonl.FALLBACK
     with pytest.raises(ValueError, match="unknown language"):
-        jsonl.default_path("cobol", str(tmp_path))
+        jsonl.default_path(spark, "cobol", str(tmp_path))
 
 
 def test_early_stopping(spark):
@@ -166,11 +166,11 @@ def test_configs_and_summary(spark, tmp_path):
         block: int = 128
         rate: float = 1e-3
 
-    sinks.save_config(Config(64), str(tmp_path / "c.json"))
-    assert sinks.load_config(Config, str(tmp_path / "c.json")) == Config(64)
+    sinks.save_config(spark, Config(64), str(tmp_path / "c.json"))
+    assert sinks.load_config(spark, Config, str(tmp_path / "c.json")) == Config(64)
     (tmp_path / "d.json").write_text('{"other": 1}')
     with pytest.raises(ValueError, match="unknown"):
-        sinks.load_config(Config, str(tmp_path / "d.json"))
+        sinks.load_config(spark, Config, str(tmp_path / "d.json"))
     sinks.write_summary(spark.createDataFrame([("a", 1.0)], "tool string, accuracy double"), str(tmp_path / "s.json"))
     assert '"accuracy": 1.0' in (tmp_path / "s.json").read_text()
 

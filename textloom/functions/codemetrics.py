@@ -14,11 +14,11 @@ _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 #: What an empty or unparsable source has.
 DEFAULTS = {
     "max_loop_depth": 0, "total_loops": 0, "for_loops": 0, "while_loops": 0, "loops_at_depth": {}, "has_recursion": False, "recursive_functions": [],
-    "nested_block_depth": 0, "cyclomatic": 1, "functions_count": 0, "token_cyclomatic": 1, "nloc": 0, "token_count": 0, "parameters": 0, "path_cyclomatic": 1, "cognitive": 0,
+    "function_names": [], "nested_block_depth": 0, "cyclomatic": 1, "functions_count": 0, "token_cyclomatic": 1, "nloc": 0, "token_count": 0, "parameters": 0, "path_cyclomatic": 1, "cognitive": 0,
     "halstead_difficulty": 1.0, "halstead_volume": 0.0, "halstead_effort": 0.0, "halstead_bugs": 0.0, "halstead_time": 0.0, "maintainability": 100.0, "blocks": [],
 }
 SCHEMA = (
-    "max_loop_depth int, total_loops int, for_loops int, while_loops int, loops_at_depth map<int,int>, has_recursion boolean, recursive_functions array<string>, "
+    "max_loop_depth int, total_loops int, for_loops int, while_loops int, loops_at_depth map<int,int>, has_recursion boolean, recursive_functions array<string>, function_names array<string>, "
     "nested_block_depth int, cyclomatic int, functions_count int, token_cyclomatic int, nloc int, token_count int, parameters int, path_cyclomatic int, cognitive int, "
     "halstead_difficulty double, halstead_volume double, halstead_effort double, halstead_bugs double, halstead_time double, maintainability double, "
     "blocks array<struct<name:string,complexity:int,lineno:int,type:string>>, error string"
@@ -117,10 +117,20 @@ def token_metrics(tree: ast.AST, source: str) -> dict:
     tokens = [t for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type not in (tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.COMMENT, tokenize.ENDMARKER)]
     spans = [(x.lineno, x.end_lineno, x) for x in ast.walk(tree) if isinstance(x, _FUNCTIONS)]
     out = {"token_cyclomatic": 1, "nloc": 0, "token_count": 0, "parameters": 0}
-    for first, last, node in spans:
-        inner = [(a, b) for a, b, x in spans if x is not node and first <= a and b <= last]
-        own = [t for t in tokens if first <= t.start[0] <= last and not any(a <= t.start[0] <= b for a, b in inner)]
-        args = node.args
+    # A line's tokens belong to the function that begins last of those it stands in: one sweep over lines and functions.
+    mine: dict[int, list] = {i: [] for i in range(len(spans))}
+    order, open_, at = sorted(range(len(spans)), key=lambda i: (spans[i][0], -spans[i][1])), [], 0
+    for t in tokens:
+        line = t.start[0]
+        while at < len(order) and spans[order[at]][0] <= line:
+            open_.append(order[at])
+            at += 1
+        while open_ and spans[open_[-1]][1] < line:
+            open_.pop()
+        if open_:
+            mine[open_[-1]].append(t)
+    for i, (_, _, node) in enumerate(spans):
+        own, args = mine[i], node.args
         out["token_cyclomatic"] = max(out["token_cyclomatic"], 1 + sum(t.type == tokenize.NAME and t.string in words for t in own))
         out["nloc"] = max(out["nloc"], len({t.start[0] for t in own}))
         out["token_count"] = max(out["token_count"], len(own))
@@ -259,7 +269,7 @@ def measure(source: str | None) -> dict:
         blocks = cyclomatic_blocks(tree)
         effort = halstead(tree)
         return {
-            **loops(tree), **recursion(tree), "nested_block_depth": nesting(tree), "cyclomatic": max([1, *(b["complexity"] for b in blocks)]), "functions_count": len(blocks), **token_metrics(tree, source),
+            **loops(tree), **recursion(tree), "function_names": sorted({x.name for x in ast.walk(tree) if isinstance(x, _FUNCTIONS)}), "nested_block_depth": nesting(tree), "cyclomatic": max([1, *(b["complexity"] for b in blocks)]), "functions_count": len(blocks), **token_metrics(tree, source),
             "path_cyclomatic": path_cyclomatic(tree), "cognitive": cognitive(tree), **effort, "maintainability": maintainability(tree, source, effort["halstead_volume"]), "blocks": blocks, "error": None,
         }
     except (SyntaxError, ValueError, RecursionError, MemoryError, tokenize.TokenError) as error:

@@ -96,6 +96,13 @@ ENHANCED: dict[str, Callable[[], Column]] = {
 TOOLS = {**dict.fromkeys(BASELINE, True), "big_o": False, "trend_profiler": False}
 
 
+def register(tool: str, baseline: Callable[[], Column], enhanced: Callable[[], Column] | None = None, enabled: bool = True) -> None:
+    """Another tool: its class by its metric alone, and by the structural tree (the same, if it isn't given)."""
+    if tool in TOOLS:
+        raise ValueError(f"tool is known: {tool}")
+    BASELINE[tool], ENHANCED[tool], TOOLS[tool] = baseline, enhanced or baseline, enabled
+
+
 def enabled_tools(names=None) -> list[str]:
     """The enabled ones of ``names`` (all, if None); none at all is an error."""
     found = [x for x in (TOOLS if names is None else names) if TOOLS.get(x)]

@@ -11,7 +11,7 @@ MISSING = ("", "Unknown", "UNKNOWN")
 
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def code_of(primary: Column, alternative: Column) -> Column:
@@ -56,6 +56,12 @@ def milliseconds(seconds: Column) -> Column:
     return seconds * F.lit(1000.0)
 
 
+def number_formats(value: Column) -> dict[str, Column]:
+    """A number as reports show it: four and two places, powers of ten, and whole with thousands set apart."""
+    value = value.cast("double")
+    return {"places4": F.format_string("%.4f", value), "places2": F.format_string("%.2f", value), "power": F.format_string("%.2e", value), "thousands": F.format_string("%,d", F.floor(value))}
+
+
 def run_name(moment: Column, prefix: str = "run") -> Column:
     """``prefix_yyyyMMdd_HHmmss``."""
     return F.concat(F.lit(f"{prefix}_"), F.date_format(moment, "yyyyMMdd_HHmmss"))

@@ -18,8 +18,11 @@ from textloom.functions.ladders import BASELINE, ENHANCED, enabled_tools
 def code_metrics(samples: DataFrame, source: str = "src") -> DataFrame:
     """``samples`` with the metrics of ``source`` and ``execution_time``, the seconds that its analysis took.
 
-    Errors in a source don't fail the job: it has the default metrics and ``error``.
+    Errors in a source don't fail the job: it has the default metrics and ``error``. A column of ``samples`` that has the
+    name of a result gives way to it.
     """
+    results = {x.lower() for x in StructType.fromDDL(SCHEMA).names} | {"execution_time"}
+    samples = samples.select(*(F.col(f"`{x}`") for x in samples.columns if x.lower() not in results))
     names = [x.split(" ")[0] for x in StructType.fromDDL(SCHEMA).names]
     schema = StructType([*samples.schema.fields, *StructType.fromDDL(SCHEMA).fields, *StructType.fromDDL("execution_time double").fields])
     arrow, place = to_arrow_schema(schema), samples.columns.index(source)
@@ -37,8 +40,11 @@ def code_metrics(samples: DataFrame, source: str = "src") -> DataFrame:
     return samples.mapInArrow(run, schema)
 
 
-def predictions(measured: DataFrame, mode: str = "enhanced", tools=None) -> DataFrame:
-    """A row for each sample and tool, with the tool's class; the ``baseline`` mode uses the tool's metric alone."""
-    registry = BASELINE if mode == "baseline" else ENHANCED
+def predictions(measured: DataFrame, mode: str = "enhanced", tools=None, mappers: dict | None = None) -> DataFrame:
+    """A row for each sample and tool, with the tool's class; the ``baseline`` mode uses the tool's metric alone.
+
+    ``mappers`` gives some tools another function from the columns of ``measured`` to a class.
+    """
+    registry = {**(BASELINE if mode == "baseline" else ENHANCED), **(mappers or {})}
     rows = [F.struct(F.lit(x).alias("tool"), registry[x]().alias("predicted_complexity")) for x in enabled_tools(tools)]
     return measured.withColumn("__t", F.explode(F.array(*rows))).select("*", "__t.tool", "__t.predicted_complexity").drop("__t")

@@ -53,11 +53,15 @@ def exact_split(samples: DataFrame, share: float, seed: int, key: str) -> DataFr
 def ordinals(rows: DataFrame, order: str, width: int = 4096, tie: str | None = None) -> DataFrame:
     """``rows`` with ``ordinal``: 1 to n by an integer ``order`` column (then ``tie``), ranked in ranges of ``width`` values.
 
-    The table of ranges has a row for every ``width`` values, so one window over it is small next to the rows.
+    The ranges' offsets are summed up in ranges of ``width`` ranges, and those by one window: it has a row for every
+    ``width`` squared values, 16 million by default, so no task sees more than a sliver of a large table.
     """
     ranged = rows.withColumn("__g", F.floor(F.col(order) / F.lit(width)))
-    groups = ranged.groupBy("__g").agg(F.count("*").alias("__c"))
-    before = groups.select("__g", F.coalesce(F.sum("__c").over(W.orderBy("__g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
+    groups = ranged.groupBy("__g").agg(F.count("*").alias("__c")).withColumn("__f", F.floor(F.col("__g") / F.lit(width)))
+    sums = groups.groupBy("__f").agg(F.sum("__c").alias("__c"))
+    preceding = lambda w: F.coalesce(F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    far = sums.select("__f", preceding(W.orderBy("__f")).alias("__p"))
+    before = groups.select("__f", "__g", preceding(W.partitionBy("__f").orderBy("__g")).alias("__q")).join(far, "__f").select("__g", (F.col("__p") + F.col("__q")).alias("__o"))
     return ranged.join(before, "__g").withColumn("ordinal", F.row_number().over(W.partitionBy("__g").orderBy(order, *([tie] if tie else []))) + F.col("__o")).drop("__g", "__o")
 
 

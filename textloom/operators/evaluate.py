@@ -51,9 +51,14 @@ def averages(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def confusion(counts: DataFrame, keys: list[str] = (), labels=CLASSES) -> DataFrame:
-    """A row for each true label that occurs, a column for each label; pairs with another label are left out."""
+    """A row and a column for each label, whether it occurs or not; pairs with another label are left out."""
+    frame = counts.select(*keys).distinct().withColumn("t", F.explode(F.array(*map(F.lit, labels)))) if keys else counts.sparkSession.createDataFrame([(x,) for x in labels], "t string")
     inside = counts.where(F.col("t").isin(*labels) & F.col("p").isin(*labels))
-    return inside.groupBy(*keys, "t").pivot("p", list(labels)).agg(F.sum("n")).na.fill(0)
+    named = inside.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("t").alias("__t")).pivot("p", list(labels)).agg(F.sum("n"))
+    same = F.col("t") == F.col("__t")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return frame.join(named, same, "left").select(*keys, "t", *labels).na.fill(0, list(labels))
 
 
 def report(counts: DataFrame, labels=CLASSES) -> DataFrame:

@@ -66,3 +66,17 @@ def session_records(turns: DataFrame, key: str = "conv_id", order: str = "turn",
 def metric_table(rows: DataFrame, name: str, value: str, width: int = 24, digits: int = 4) -> DataFrame:
     """Fixed-width lines of named values; long names stay whole, and thousands are grouped."""
     return rows.select(F.concat(pad_right(F.col(name), width), F.lit(" | "), F.format_number(F.col(value), digits)).alias("line"))
+
+
+def call_back(rows: DataFrame, callback, step: str = "step", names: list[str] | None = None) -> int:
+    """``callback(step, metrics)`` for each row, by rising step: rows come to the driver a partition at a time. How many."""
+    names, n = names or [x for x in rows.columns if x != step], 0
+    for n, row in enumerate(rows.select(step, *names).orderBy(step).toLocalIterator(), 1):  # noqa: B007
+        callback(row[step], {x: row[x] for x in names})
+    return n
+
+
+def parameter_counts(parameters: DataFrame, kind: str = "kind", size: str = "numel", trainable: str = "trainable", embedding: str = "embedding") -> DataFrame:
+    """A row for each kind of module and one for all (kind null): weights, those trained, and those outside embeddings."""
+    some = lambda rule: F.coalesce(F.sum(F.when(rule, F.col(size))), F.lit(0)).cast("bigint")
+    return parameters.rollup(F.col(kind).alias("kind")).agg(some(F.lit(True)).alias("total"), some(F.col(trainable)).alias("trained"), some(F.col(kind) != embedding).alias("without_embedding"))

@@ -66,11 +66,34 @@ def windows(docs: DataFrame, ids: str, block: int) -> DataFrame:
     return out.withColumns({"x": F.slice(F.col(ids), F.col("start") + 1, F.lit(block)), "y": F.slice(F.col(ids), F.col("start") + 2, F.lit(block))})
 
 
-def random_windows(docs: DataFrame, ids: str, block: int, batch: int, seed: int) -> DataFrame:
-    """``batch`` windows of each row, their starts drawn by a seeded hash; rows without room for one give none."""
+def drawn_number(seed: int, *parts: Column) -> Column:
+    """A number from 0 to 2**32 - 1 by the md5 sum of the seed and the parts: the same on every engine."""
+    said = F.concat_ws(":", F.lit(str(seed)), *(x.cast("string") for x in parts))
+    return F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("bigint")
+
+
+def softmax(logits: Column) -> Column:
+    """Probabilities of an array of logits."""
+    top = F.array_max(logits)
+    powers = F.transform(logits, lambda x: F.exp((x - top).cast("double")))
+    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+
+
+def multinomial(probabilities: Column, seed: int, *parts: Column) -> Column:
+    """A place, from 0, drawn by the probabilities: the first at which their running sum exceeds a seeded uniform number."""
+    uniform = drawn_number(seed, *parts) / F.lit(2.0**32)
+    running = F.aggregate(
+        probabilities, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("place")),
+        lambda a, p: F.struct((a["sum"] + p).alias("sum"), (a["place"] + F.when(a["sum"] + p <= uniform, 1).otherwise(0)).alias("place")),
+    )
+    return F.when(F.size(probabilities) > 0, F.least(running["place"], F.size(probabilities) - 1))
+
+
+def random_windows(docs: DataFrame, ids: str, block: int, batch: int, seed: int, key: str) -> DataFrame:
+    """``batch`` windows of each row, their starts drawn by a seeded hash of ``key``; rows without room for one give none."""
     room = F.size(ids) - F.lit(block)
     drawn = docs.where(room > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(ids)), room).cast("int")
+    start = F.pmod(drawn_number(seed, F.col("draw"), F.col(key)), room).cast("int")
     return drawn.withColumn("start", start).withColumns({"x": F.slice(F.col(ids), F.col("start") + 1, F.lit(block)), "y": F.slice(F.col(ids), F.col("start") + 2, F.lit(block))})
 
 
@@ -117,7 +140,7 @@ SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 
 
 def train_bpe(texts: list[str], vocab_size: int) -> str:
-    """A serialized byte-pair tokenizer fitted on a bounded list of texts, line by line with line ends.
+    """A serialized byte-pair tokenizer fitted on a bounded list of texts, joined by line feeds, line by line with line ends.
 
     The pre-tokenizer's pattern is a literal text, so pieces aren't split at white space and merges may cross it.
     """
@@ -126,7 +149,8 @@ def train_bpe(texts: list[str], vocab_size: int) -> str:
     tokenizer = Tokenizer(models.BPE())
     tokenizer.pre_tokenizer = pre_tokenizers.Split(pattern=r"(\s)", behavior="merged_with_previous")
     trainer = trainers.BpeTrainer(vocab_size=vocab_size, special_tokens=list(SPECIALS), show_progress=False)
-    tokenizer.train_from_iterator((line for text in texts for line in text.splitlines(keepends=True)), trainer)
+    joined = (text + "\n" * (k < len(texts) - 1) for k, text in enumerate(texts))  # not one string: only its lines are needed
+    tokenizer.train_from_iterator((line for text in joined for line in text.splitlines(keepends=True)), trainer)
     return tokenizer.to_str()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import ratio
 from textloom.operators import evaluate
+from textloom.schema import CLASSES
 
 
 #: Accuracy of the sketch that brackets a percentile; smaller groups are bracketed by their least and largest value.
@@ -89,3 +90,22 @@ def report_lines(summary: DataFrame, tool: str = "tool") -> DataFrame:
     ranked = evaluate.rank_by_time(summary, tool)
     line = F.format_string("%-24s %.4f %.4f %10.3f ms", F.col(tool), F.col("accuracy"), F.col("f1_weighted"), F.col("mean_time") * 1000)
     return ranked.select("rank", line.alias("line")).orderBy("rank")
+
+
+def report_blocks(predictions: DataFrame, tool: str = "tool", labels=CLASSES) -> DataFrame:
+    """(tool, ord, line): a block for each tool, of scores, times (in milliseconds a sample) and a table of classes."""
+    counts = evaluate.pair_counts(predictions, [tool])
+    rows = timing(predictions, [tool]).join(evaluate.accuracy(counts, [tool]).withColumnRenamed("n", "valid"), tool, "left").join(evaluate.averages(counts, [tool]), tool, "left").na.fill(0)
+    ms = lambda x: F.col(x) * 1000
+    said = [
+        ("%s", F.upper(tool)), ("Accuracy             %.4f", F.col("accuracy")), ("F1 (weighted)        %.4f", F.col("f1_weighted")), ("Precision (weighted) %.4f", F.col("precision_weighted")),
+        ("Recall (weighted)    %.4f", F.col("recall_weighted")), ("Valid                %d/%d", F.col("valid"), F.col("total_samples")), ("Total time           %.2f s", F.col("total_time")),
+        ("Mean time            %.2f ms", ms("mean_time")), ("Median time          %.2f ms", ms("median_time")), ("Least time           %.2f ms", ms("min_time")), ("Most time            %.2f ms", ms("max_time")),
+        ("Samples a second     %.2f", F.col("samples_per_second")), ("%s", F.format_string("%-12s %-10s %-12s %-10s %s", *map(F.lit, ("Class", "True", "Predicted", "Right", "Accuracy")))),
+    ]
+    lines = F.array(*(F.struct(F.lit(i).alias("ord"), F.format_string(form, *values).alias("line")) for i, (form, *values) in enumerate(said)))
+    head = rows.select(tool, F.inline(lines))
+    scores = evaluate.per_class(counts, [tool], labels).where("support > 0 OR predicted > 0")
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") + len(said) - 1
+    table = scores.select(tool, place.alias("ord"), F.format_string("%-12s %-10d %-12d %-10d %.1f%%", F.col("label"), F.col("support"), F.col("predicted"), F.col("hits"), F.col("recall") * 100).alias("line"))
+    return head.unionByName(table)

@@ -96,7 +96,7 @@ def char_roundtrip(spark, sf_dir):
     docs = _docs(spark, sf_dir, "doc_id", "text")
     vocabulary = sequences.char_vocabulary(docs)
     back = sequences.decode(sequences.encode(docs, vocabulary), vocabulary)
-    return back.select("doc_id", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+    return back.select("doc_id", F.md5("decoded").alias("decoded_md5"))
 
 
 def token_density(spark, sf_dir):
@@ -156,19 +156,38 @@ def embedding_argmax(spark, sf_dir):
 def line_split(spark, sf_dir):
     """Lines with their ends."""
     lines = T.lines(F.col("text"))
-    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), (F.array_join(lines, "") == F.col("text")).alias("whole"))
+    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), F.md5(F.array_join(lines, "|")).alias("lines_md5"))
 
 
 def random_windows(spark, sf_dir):
-    """Four seeded windows of each text: their number and the range of their starts."""
-    rows = sequences.random_windows(_encoded(spark, sf_dir).select("doc_id", "ids"), "ids", BLOCK, 4, SEED)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("windows"), F.bool_and((F.col("start") >= 0) & (F.col("start") < F.size("ids") - BLOCK)).alias("inside"), F.bool_and((F.size("x") == BLOCK) & (F.size("y") == BLOCK)).alias("full"))
+    """Four seeded windows of each text: where they start, and the ends of inputs and targets."""
+    rows = sequences.random_windows(_encoded(spark, sf_dir).select("doc_id", "ids"), "ids", BLOCK, 4, SEED, "doc_id")
+    end = lambda c, k: F.element_at(c, k).cast("bigint")
+    return rows.select("doc_id", F.col("draw").cast("bigint").alias("draw"), F.col("start").cast("bigint").alias("start"), F.size("x").cast("bigint").alias("n"), end("x", 1).alias("x_first"), end("y", -1).alias("y_last"))
+
+
+def multinomial_sample(spark, sf_dir):
+    """A seeded draw from the softmax of each embedding (times 8)."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("logits"))
+    return vectors.select("vec_id", sequences.multinomial(sequences.softmax(F.col("logits")), SEED, F.col("vec_id")).cast("bigint").alias("place"))
+
+
+def number_formats(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("value") * 1234).alias("v"))
+    return rows.select("event_id", *(c.alias(x) for x, c in T.number_formats(F.col("v")).items()))
+
+
+def padded_names(spark, sf_dir):
+    """Fixed-width names, trimmed texts with separators of every kind, and their cases."""
+    docs = _docs(spark, sf_dir, "doc_id", "source", "lang")
+    return docs.select("doc_id", T.pad_right(F.col("source"), 6).alias("padded"), T.strip(F.concat(F.lit("\x1c \x1f\u00a0"), F.col("source"), F.lit("\u2003\x1d\n"))).alias("bare"), F.upper("lang").alias("upper"), F.lower(F.upper("source")).alias("lower"))
 
 
 def bpe_encode(spark, sf_dir):
-    """Byte-pair ids by a tokenizer fitted on the first 1,000 texts; the limit is the fit's own."""
+    """Byte-pair ids by a tokenizer fitted on those of the first 1,000 texts that are long enough; the limit is the fit's own."""
     docs = _docs(spark, sf_dir, "doc_id", "text")
-    sample = [x["text"] for x in docs.where(T.long_enough(F.col("text"), strict=True)).orderBy("doc_id").limit(1000).select("text").toLocalIterator()]
+    first = docs.orderBy("doc_id").limit(1000).where(T.long_enough(F.col("text"), strict=True))
+    sample = [x["text"] for x in first.orderBy("doc_id").select("text").toLocalIterator()]
     tokenizer = sequences.train_bpe(sample, 500)
     coded = sequences.bpe_decode(sequences.bpe_encode(docs, tokenizer), tokenizer)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.md5(_joined(F.col("ids"))).alias("ids_md5"), F.md5("decoded").alias("decoded_md5"))
@@ -176,7 +195,7 @@ def bpe_encode(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     strict_projection, complexity_present_filter, code_fallback, min_length_filter, dataset_length_stats, value_counts, limit_semantics, seeded_split, sequential_split, char_vocab, char_encode, char_roundtrip,
-    token_density, truncate_shift, pad_and_mask, sliding_windows, context_crop, batches_drop_last, collated_batches, accumulation, embedding_argmax, line_split, random_windows, bpe_encode,
+    token_density, truncate_shift, pad_and_mask, sliding_windows, context_crop, batches_drop_last, collated_batches, accumulation, embedding_argmax, line_split, random_windows, multinomial_sample, number_formats, padded_names, bpe_encode,
 )}
 
 _VOCAB = """voc AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM documents WHERE text <> '')),
@@ -184,6 +203,9 @@ enc AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM (SELECT doc_id, unnest(
 _CUT = f"cut AS (SELECT doc_id, ids[1:{BLOCK}] AS ids FROM enc)"
 _SHIFT = "sh AS (SELECT doc_id, CASE WHEN len(ids) <= 1 THEN ids ELSE ids[1:len(ids) - 1] END AS x, CASE WHEN len(ids) <= 1 THEN ids ELSE ids[2:len(ids)] END AS y FROM cut)"
 
+#: The number that the first eight digits of an md5 sum give.
+_HEX = "list_sum(list_transform(range(1, 9), lambda k: CAST(instr('0123456789abcdef', substring(md5({text}), CAST(k AS BIGINT), 1)) - 1 AS BIGINT) * (CAST(1 AS BIGINT) << (4 * (8 - k)))))"
+
 ORACLES = {
     "strict_projection": "SELECT doc_id, coalesce(lang, 'unknown') AS problem, coalesce(source, '') AS solution_id, coalesce(n_chars, 0) AS n_chars FROM documents",
     "complexity_present_filter": """SELECT doc_id, time, space FROM (SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 'Unknown' ELSE CAST(quality AS VARCHAR) END AS time,
@@ -200,7 +222,7 @@ UNION ALL SELECT 'raw', doc_id FROM (SELECT doc_id, n_chars FROM documents ORDER
     "sequential_split": f"SELECT doc_id, r AS ordinal, r <= floor((SELECT count(*) FROM documents) * CAST({SHARE} AS DOUBLE)) AS train FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)",
     "char_vocab": f"WITH {_VOCAB} SELECT token, id FROM voc",
     "char_encode": f"WITH {_VOCAB} SELECT d.doc_id, coalesce(len(ids), 0) AS n, md5(coalesce(array_to_string(ids, ','), '')) AS ids_md5 FROM documents d LEFT JOIN enc ON d.doc_id = enc.doc_id",
-    "char_roundtrip": "SELECT doc_id, true AS same FROM documents",
+    "char_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS decoded_md5 FROM documents",
     "token_density": "SELECT lang, CAST(sum(c) AS BIGINT) AS chars, CAST(sum(t) AS BIGINT) AS tokens, round(CAST(sum(t) AS DOUBLE) / sum(c), 6) AS density FROM (SELECT lang, length(text) AS c, len(string_split(text, ' ')) AS t FROM documents) GROUP BY lang",
     "truncate_shift": f"WITH {_VOCAB}, {_CUT}, {_SHIFT} SELECT d.doc_id, coalesce(array_to_string(x, ','), '') AS input_ids, coalesce(array_to_string(y, ','), '') AS target_ids FROM documents d LEFT JOIN sh ON d.doc_id = sh.doc_id",
     "pad_and_mask": f"WITH {_VOCAB}, {_CUT}, {_SHIFT} SELECT d.doc_id, array_to_string(list_concat(coalesce(x, []), list_transform(range({BLOCK} - coalesce(len(x), 0)), lambda i: 0)), ',') AS input_ids, coalesce(len(x), 0) AS real FROM documents d LEFT JOIN sh ON d.doc_id = sh.doc_id",
@@ -213,6 +235,14 @@ WHERE b < (SELECT count(*) FROM documents) // {BATCH} GROUP BY b""",
 SELECT batch, count(*) AS rows, CAST(sum(coalesce(list_sum(x), 0)) AS BIGINT) AS input_sum, CAST(sum(coalesce(list_sum(y), 0)) AS BIGINT) AS target_sum, CAST(sum(len(x)) AS BIGINT) AS real FROM r GROUP BY batch""",
     "accumulation": "SELECT doc_id, CASE WHEN s < (SELECT count(*) FROM documents) // 7 THEN s END AS optimizer_step FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 7 AS s FROM documents)",
     "embedding_argmax": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS place FROM embeddings",
-    "random_windows": f"SELECT doc_id, CAST(4 AS BIGINT) AS windows, true AS inside, true AS full FROM documents WHERE length(text) > {BLOCK}",
-    "line_split": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS n_lines, true AS whole FROM documents WHERE text IS NOT NULL",
+    "random_windows": f"""WITH {_VOCAB}, d AS (SELECT doc_id, unnest(range(4)) AS draw, ids, len(ids) - {BLOCK} AS room FROM enc WHERE len(ids) > {BLOCK}),
+s AS (SELECT *, CAST({_HEX.format(text=f"'{SEED}:' || draw || ':' || doc_id")} % room AS BIGINT) AS start FROM d)
+SELECT doc_id, draw, start, CAST({BLOCK} AS BIGINT) AS n, ids[start + 1] AS x_first, ids[start + {BLOCK} + 1] AS y_last FROM s""",
+    "multinomial_sample": f"""WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+p AS (SELECT vec_id, i, exp((CAST(x AS DOUBLE) - max(CAST(x AS DOUBLE)) OVER (PARTITION BY vec_id)) * 8) AS w FROM e),
+c AS (SELECT vec_id, i, sum(w) OVER (PARTITION BY vec_id ORDER BY i) / sum(w) OVER (PARTITION BY vec_id) AS through, CAST({_HEX.format(text=f"'{SEED}:' || vec_id")} AS DOUBLE) / 4294967296 AS u FROM p)
+SELECT vec_id, least(count(*) FILTER (WHERE through <= u), max(i) - 1) AS place FROM c GROUP BY vec_id""",
+    "number_formats": "SELECT event_id, printf('%.4f', v) AS places4, printf('%.2f', v) AS places2, printf('%.2e', v) AS power, format('{:,}', CAST(floor(v) AS BIGINT)) AS thousands FROM (SELECT event_id, CAST(value AS DOUBLE) * 1234 AS v FROM events)",
+    "padded_names": "SELECT doc_id, CASE WHEN length(source) < 6 THEN rpad(source, 6, ' ') ELSE source END AS padded, source AS bare, upper(lang) AS upper, source AS lower FROM documents",
+    "line_split": "SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS n_lines, md5(CASE WHEN ends_with(text, chr(10)) THEN left(r, -1) ELSE r END) AS lines_md5 FROM (SELECT doc_id, text, replace(text, chr(10), chr(10) || '|') AS r FROM documents WHERE text IS NOT NULL)",
 }

@@ -106,6 +106,18 @@ def tool_report(spark, sf_dir):
     return _rounded(stats.report_lines(stats.tool_summary(predictions(spark, sf_dir)).where("tool IS NOT NULL")))
 
 
+def console_report(spark, sf_dir):
+    """Lines of the report's blocks, by tool and place."""
+    return _rounded(stats.report_blocks(predictions(spark, sf_dir).where("tool IS NOT NULL")))
+
+
+def custom_mapper(spark, sf_dir):
+    """Classes of one tool by a caller's function from the metrics, of another by the registry."""
+    measured = code.code_metrics(programs(spark, sf_dir))
+    mine = {"mccabe": lambda: F.when(F.col("total_loops") > 1, "quadratic").otherwise("constant")}
+    return code.predictions(measured, "baseline", ["radon", "mccabe"], mine).select("doc_id", "tool", "predicted_complexity")
+
+
 def _events(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("tool"), F.col("value").alias("execution_time"))
 
@@ -126,10 +138,28 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir, "doc_id").select("doc_id", F.concat(F.lit("def f(n):\n"), heads, body).alias("src"))
 
 
+#: Programs of every kind of statement that a metric knows; what is expected of them was worked out by hand.
+PROGRAMS = (
+    "def fact(n):\n    if n < 2:\n        return 1\n    return n * fact(n - 1)\n",
+    "def scan(a):\n    i = 0\n    while i < len(a) and a[i]:\n        for x in a:\n            i += 1\n    else:\n        i = 2\n    return i\n",
+    "class Box:\n    def get(self, k):\n        try:\n            return self.d[k]\n        except KeyError:\n            return None\n\n    def put(self, k, v=0, *r):\n        self.d[k] = v if v else r\n",
+    "def pick(xs, y):\n    out = [x for x in xs if x > y or x == 0]\n    def inner(z):\n        return -z\n    for q in out:\n        if q:\n            with q:\n                inner(q)\n    return out\n",
+    "x = 1\ny = x + 2 * x\n",
+    "def f(:\n",
+)
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of PROGRAMS for each document."""
+    return _docs(spark, sf_dir, "doc_id").withColumn("src", F.element_at(F.array(*map(F.lit, PROGRAMS)), (F.col("doc_id") % len(PROGRAMS) + 1).cast("int")))
+
+
 def code_structure(spark, sf_dir):
-    """Loops, recursion and nesting of one program a document."""
-    kept = ["doc_id", "max_loop_depth", "total_loops", "for_loops", "while_loops", "has_recursion", "nested_block_depth"]
-    return _rounded(code.code_metrics(sources(spark, sf_dir)).select(*kept))
+    """All counts of one program a document: loops by depth, recursion, names, nesting, the complexities, Halstead's difficulty."""
+    loops = F.array_join(F.transform(F.array_sort(F.map_entries("loops_at_depth")), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"].cast("string"))), ",")
+    kept = ["doc_id", "max_loop_depth", "total_loops", "for_loops", "while_loops", "has_recursion", "nested_block_depth", "cyclomatic", "functions_count", "token_cyclomatic", "parameters", "path_cyclomatic", "cognitive", "halstead_difficulty", "halstead_volume"]
+    named = [loops.alias("loops"), F.array_join("recursive_functions", ",").alias("recursive"), F.array_join("function_names", ",").alias("names"), F.col("error").isNotNull().alias("failed")]
+    return _rounded(code.code_metrics(programs(spark, sf_dir)).select(*kept, *named))
 
 
 def code_metrics_baseline(spark, sf_dir):
@@ -150,7 +180,7 @@ def code_metrics_prose(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     class_ladder, halstead_mi_nbd_ladders, structural_tree, accuracy, per_class_prf, weighted_macro_prf, confusion_matrix, classification_report, class_distribution, error_distribution, ordinal_distance,
-    tool_summary, tool_report, timing_stats, tool_speed_rank, code_structure, code_metrics_baseline, code_metrics_enhanced, code_metrics_prose,
+    tool_summary, tool_report, console_report, custom_mapper, timing_stats, tool_speed_rank, code_structure, code_metrics_baseline, code_metrics_enhanced, code_metrics_prose,
 )}
 
 
@@ -179,7 +209,9 @@ _TIME = """count(*) AS total_samples, count(*) FILTER (WHERE s > 0) AS timed, ro
   round(coalesce(quantile_cont(s, 0.5) FILTER (WHERE s > 0), 0), 6) AS median_time"""
 
 ORACLES = {
-    "class_ladder": f"SELECT doc_id, {_ladder('(n_chars // 150)', ladders.CYCLOMATIC)} AS cyclomatic_class, {_ladder(f'({_LINES})', ladders.COGNITIVE)} AS cognitive_class FROM documents",
+    "class_ladder": f"""SELECT doc_id, CASE WHEN c BETWEEN 1 AND 4 THEN 'constant' WHEN c BETWEEN 6 AND 9 THEN 'linear' WHEN c BETWEEN 11 AND 19 THEN 'quadratic' WHEN c BETWEEN 21 AND 49 THEN 'cubic' ELSE 'exponential' END AS cyclomatic_class,
+  CASE WHEN n BETWEEN 0 AND 4 THEN 'constant' WHEN n BETWEEN 6 AND 14 THEN 'linear' WHEN n BETWEEN 16 AND 29 THEN 'quadratic' WHEN n BETWEEN 31 AND 59 THEN 'cubic' ELSE 'exponential' END AS cognitive_class
+  FROM (SELECT doc_id, n_chars // 150 AS c, {_LINES} AS n FROM documents)""",
     "halstead_mi_nbd_ladders": f"""SELECT doc_id, CASE WHEN x < 5 THEN 'constant' WHEN x < 10 THEN 'linear' WHEN x < 20 THEN 'quadratic' WHEN x < 40 THEN 'cubic' ELSE 'exponential' END AS halstead_class,
   CASE WHEN x >= 80 THEN 'constant' WHEN x >= 60 THEN 'linear' WHEN x >= 40 THEN 'quadratic' WHEN x >= 20 THEN 'cubic' ELSE 'exponential' END AS mi_class,
   CASE WHEN x >= 80 THEN 'A' WHEN x >= 60 THEN 'B' WHEN x >= 40 THEN 'C' WHEN x >= 20 THEN 'D' ELSE 'F' END AS mi_rank,
@@ -190,7 +222,7 @@ ORACLES = {
     "accuracy": f"WITH {_PRED} SELECT count(*) AS n, {_R('coalesce(avg(CASE WHEN t = p THEN 1 ELSE 0 END), 0)', 'accuracy')} FROM v",
     "per_class_prf": f"WITH {_PRED}, {_SEVEN} SELECT label, {_R('precision', 'precision')}, {_R('recall', 'recall')}, {_R('f1', 'f1')}, support FROM sf",
     "weighted_macro_prf": f"WITH {_PRED}, {_UNION} SELECT " + ", ".join(_R(f"sum({x} * support) / sum(support)", f"{x}_weighted") + ", " + _R(f"avg({x})", f"{x}_macro") for x in ("precision", "recall", "f1")) + " FROM sf",
-    "confusion_matrix": f"WITH {_PRED} SELECT t, " + ", ".join(f"count(*) FILTER (WHERE p = '{x}') AS {x}" for x in CLASSES) + " FROM v WHERE t IN (SELECT label FROM cls) AND p IN (SELECT label FROM cls) GROUP BY t",
+    "confusion_matrix": f"WITH {_PRED} SELECT label AS t, " + ", ".join(f"count(*) FILTER (WHERE p = '{x}') AS {x}" for x in CLASSES) + " FROM cls LEFT JOIN v ON t = label GROUP BY label",
     "classification_report": f"""WITH {_PRED}, {_SEVEN}, al AS (
   SELECT label, precision, recall, f1, support FROM sf UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM sf
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM sf
@@ -214,7 +246,16 @@ av AS (SELECT tool, {', '.join(_R(f'sum({y} * support) / sum(support)', f'{x}_we
 ds AS (SELECT tool, {_R('avg(abs(a.ord - b.ord))', 'mean_distance')} FROM v JOIN cls a ON t = a.label JOIN cls b ON p = b.label GROUP BY tool)
 SELECT tool, total_samples, total_time, mean_time, median_time, samples_per_second, valid_predictions, accuracy, f1_weighted, precision_weighted, recall_weighted, coalesce(mean_distance, 0) AS mean_distance
 FROM tm JOIN ac USING (tool) JOIN av USING (tool) LEFT JOIN ds USING (tool)""",
-    "code_structure": """SELECT doc_id, doc_id % 6 AS max_loop_depth, doc_id % 6 AS total_loops, doc_id % 6 AS for_loops, CAST(0 AS BIGINT) AS while_loops, doc_id % 4 = 0 AS has_recursion, doc_id % 6 AS nested_block_depth FROM documents""",
+    "code_structure": """SELECT doc_id, p.* EXCLUDE (k, halstead_difficulty, halstead_volume), round(CAST(halstead_difficulty AS DOUBLE), 6) AS halstead_difficulty, round(CAST(halstead_volume AS DOUBLE), 6) AS halstead_volume FROM documents JOIN (VALUES
+  (0, 0, 0, 0, 0, true, 1, 2, 1, 2, 1, 2, 1, 3 * 6 / (2.0 * 4), 9 * log2(7), '', 'fact', 'fact', false),
+  (1, 2, 2, 1, 1, false, 2, 5, 1, 4, 1, 3, 5, 3 * 6 / (2.0 * 5), 9 * log2(8), '1:1,2:1', '', 'scan', false),
+  (2, 0, 0, 0, 0, false, 0, 3, 3, 2, 4, 3, 2, 1.0, 0.0, '', '', 'get,put', false),
+  (3, 1, 1, 1, 0, false, 3, 6, 1, 6, 2, 4, 4, 4 * 7 / (2.0 * 6), 11 * log2(10), '1:1', '', 'inner,pick', false),
+  (4, 0, 0, 0, 0, false, 0, 1, 0, 1, 0, 1, 0, 2 * 4 / (2.0 * 3), 6 * log2(5), '', '', '', false),
+  (5, 0, 0, 0, 0, false, 0, 1, 0, 1, 0, 1, 0, 1.0, 0.0, '', '', '', true)
+) p(k, max_loop_depth, total_loops, for_loops, while_loops, has_recursion, nested_block_depth, cyclomatic, functions_count, token_cyclomatic, parameters, path_cyclomatic, cognitive, halstead_difficulty, halstead_volume, loops, recursive, names, failed) ON doc_id % 6 = k""",
+    "custom_mapper": """SELECT doc_id, tool, CASE WHEN tool = 'mccabe' THEN CASE WHEN doc_id % 6 = 1 THEN 'quadratic' ELSE 'constant' END WHEN doc_id % 6 = 1 THEN 'exponential' WHEN doc_id % 6 = 3 THEN 'linear' ELSE 'constant' END AS predicted_complexity
+FROM documents, (SELECT unnest(['radon', 'mccabe']) AS tool)""",
     "code_metrics_baseline": f"""WITH s AS (SELECT doc_id, doc_id % 6 AS d FROM documents)
 SELECT doc_id, tool, CASE WHEN tool IN ('radon', 'lizard', 'mccabe') THEN {_ladder('(1 + d)', ladders.CYCLOMATIC)} WHEN tool = 'complexipy' THEN {_ladder('(d * (d + 1) // 2)', ladders.COGNITIVE)}
   WHEN tool = 'nbd' THEN CASE d WHEN 0 THEN 'constant' WHEN 1 THEN 'linear' WHEN 2 THEN 'quadratic' WHEN 3 THEN 'cubic' ELSE 'exponential' END ELSE 'constant' END AS predicted_complexity
@@ -225,3 +266,9 @@ SELECT doc_id, tool, {_TREE.format(r='r', d='d', l='d', b='b')} AS predicted_com
     "code_metrics_prose": "SELECT doc_id, CAST(1 AS BIGINT) AS cyclomatic, CAST(0 AS BIGINT) AS cognitive, CAST(0 AS BIGINT) AS nested_block_depth, true AS failed FROM documents",
 }
 ORACLES["tool_report"] = f"""WITH s AS ({ORACLES['tool_summary']}) SELECT row_number() OVER (ORDER BY mean_time, tool) AS rank, printf('%-24s %.4f %.4f %10.3f ms', tool, accuracy, f1_weighted, mean_time * 1000) AS line FROM s"""
+ORACLES["console_report"] = f"""WITH s AS ({ORACLES['tool_summary']}), {_PRED}, m AS (SELECT tool, min(secs) FILTER (WHERE secs > 0) AS a, max(secs) FILTER (WHERE secs > 0) AS z FROM pred GROUP BY tool),
+h AS (SELECT tool, unnest([upper(tool), printf('Accuracy             %.4f', accuracy), printf('F1 (weighted)        %.4f', f1_weighted), printf('Precision (weighted) %.4f', precision_weighted), printf('Recall (weighted)    %.4f', recall_weighted),
+  printf('Valid                %d/%d', valid_predictions, total_samples), printf('Total time           %.2f s', total_time), printf('Mean time            %.2f ms', mean_time * 1000), printf('Median time          %.2f ms', median_time * 1000),
+  printf('Least time           %.2f ms', a * 1000), printf('Most time            %.2f ms', z * 1000), printf('Samples a second     %.2f', samples_per_second), 'Class        True       Predicted    Right      Accuracy']) AS line, unnest(range(13)) AS ord FROM s JOIN m USING (tool)),
+k AS (SELECT tool, label, ord, count(*) FILTER (WHERE t = label) AS support, count(*) FILTER (WHERE p = label) AS predicted, count(*) FILTER (WHERE t = label AND p = label) AS hits FROM v, cls GROUP BY ALL)
+SELECT tool, ord, line FROM h UNION ALL SELECT tool, ord + 13, printf('%-12s %-10d %-12d %-10d %.1f%%', label, support, predicted, hits, coalesce(100.0 * hits / nullif(support, 0), 0)) FROM k WHERE tool IS NOT NULL AND (support > 0 OR predicted > 0)"""

@@ -9,14 +9,14 @@ from textloom.operators import code, curate, evaluate, sequences, stats
 from textloom.session import cut
 
 
-def analyse(samples: DataFrame, mode: str = "enhanced", tools=None, limit: int | None = None, order: str = "ord") -> dict[str, DataFrame]:
+def analyse(samples: DataFrame, mode: str = "enhanced", tools=None, limit: int | None = None, order: str = "ord", mappers: dict | None = None) -> dict[str, DataFrame]:
     """All results for ``samples`` (src, complexity, ...): predictions, scores, errors, distances, timing, summary.
 
     The predictions are computed once and checkpointed, so each source is parsed once whatever results are read; all
     scores come from one table of counts.
     """
     chosen = curate.head(samples, limit, order) if limit else samples
-    rows = code.predictions(code.code_metrics(chosen), mode, tools).withColumnRenamed("complexity", "true_complexity")
+    rows = code.predictions(code.code_metrics(chosen), mode, tools, mappers).withColumnRenamed("complexity", "true_complexity")
     rows = cut(rows.withColumns({x: F.coalesce(F.col(x), F.lit("unknown")) for x in ("problem",) if x in rows.columns}))
     counts = cut(evaluate.pair_counts(rows, ["tool"]))
     return {

@@ -16,6 +16,7 @@ from textloom.operators import runs
 from textloom.plans.evaluation import _rounded
 from textloom.session import shared_folder
 from textloom.sources import runstore
+from textloom.sources.files import write_text
 
 WINDOW, PATIENCE, EVERY, STEPS, RATE = 5, 4, 3, 1000, 3e-4
 
@@ -59,6 +60,22 @@ def param_estimate(spark, sf_dir):
     return sizes.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), schedule.transformer_parameters(F.lit(500).cast("bigint"), F.col("width"), F.col("layers")).alias("parameters"))
 
 
+def param_formulas(spark, sf_dir):
+    """The counts that go by other formulas, for the same sizes."""
+    big = lambda c: c.cast("bigint")
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(big(F.col("n_nationkey")).alias("n_nationkey"), big(F.col("n_nationkey") + 1).alias("l"), big((F.col("n_regionkey") + 1) * 64).alias("w"))
+    v, b, w, layers = F.lit(500).cast("bigint"), F.lit(256).cast("bigint"), F.col("w"), F.col("l")
+    tied = schedule.tied_parameters(v, b, w, layers, 4 * w)
+    rotary = schedule.tied_parameters(v, b, w, layers, 4 * w, rotary=True)
+    return n.select("n_nationkey", big(tied).alias("tied"), big(schedule.adapted_parameters(rotary, w, layers, 2, 16, 4, 32)).alias("adapted"), big(schedule.estimated_parameters(v, b, w, layers, 4, 0.5, 7)).alias("estimated"))
+
+
+def parameter_counts(spark, sf_dir):
+    """Weights by kind of module: regions of ``nation`` are the kinds, the first one the embeddings."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").cast("string").alias("kind"), (F.col("n_nationkey") * 100 + 7).cast("bigint").alias("numel"), (F.col("n_nationkey") % 3 != 0).alias("trainable"))
+    return runs.parameter_counts(rows, embedding="0")
+
+
 def generation_sessions(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return _rounded(runs.sessions(turns))
@@ -80,15 +97,11 @@ def _write_store(spark: SparkSession, path: str) -> None:
         "1/c/meta.yaml": "run_name: c\nstart_time: 3\nend_time: 7\nstatus: 3\nlifecycle_stage: deleted\ndeleted_time: 8\n", "1/a/metrics/loss": "1 3.5 0\n2 2.5 10\n2 2.5 10\n3 2.0 20\n1 3.5 0\n",
         "1/b/metrics/loss": "1 9.0 0\n", "1/c/metrics/loss": "1 8.0 0\n", "1/a/params/vocab_size": "500", "1/a/params/n_layer": "6", "1/b/params/vocab_size": "100", "1/c/params/n_layer": "2", "1/models/m-1/metrics/final": "5 1.25 20 a\n",
     }
-    jvm = spark._jvm
-    system = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for name, text in files.items():
-        out = system.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
-        out.write(bytearray(text.encode()))
-        out.close()
+        write_text(spark, f"{path}/{name}", text)
 
 
-QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, generation_sessions, run_params_pivot)}
+QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, param_formulas, parameter_counts, generation_sessions, run_params_pivot)}
 
 _LOSS = "loss AS (SELECT event_type AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS step, round(avg(value), 6) AS loss FROM events GROUP BY ALL)"
 _BEST = "b AS (SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM loss)"
@@ -105,6 +118,11 @@ SELECT w.run_id, step, waited, coalesce(step = stop, false) AS stopped FROM w LE
 FROM (SELECT CAST(event_id % {STEPS + 1} AS DOUBLE) AS s, event_id % {STEPS + 1} AS step FROM events)""",
     "param_estimate": """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(2 * 500 * w + l * (4 * w * w + 8 * w * w + 5 * w + 4 * w) + 2 * w AS BIGINT) AS parameters
 FROM (SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT) AS l, CAST((n_regionkey + 1) * 64 AS BIGINT) AS w FROM nation)""",
+    "param_formulas": """SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(500 * w + 256 * w + l * (2 * w + 4 * w * w + 2 * w + 2 * w * 4 * w) + 2 * w AS BIGINT) AS tied,
+  CAST(500 * w + l * (2 * w + 4 * w * w + 2 * w + 2 * w * 4 * w) + 2 * w + l * 2 * (w * 16 * 2) + 4 * 32 + w * 4 AS BIGINT) AS adapted, CAST(500 * w + 256 * w + floor(0.75 * l * (4 * w * w + 2 * w * 4 * w)) + w * 500 + w * 7 AS BIGINT) AS estimated
+FROM (SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT) AS l, CAST((n_regionkey + 1) * 64 AS BIGINT) AS w FROM nation)""",
+    "parameter_counts": """SELECT CAST(n_regionkey AS VARCHAR) AS kind, CAST(sum(n_nationkey * 100 + 7) AS BIGINT) AS total, CAST(coalesce(sum(n_nationkey * 100 + 7) FILTER (WHERE n_nationkey % 3 <> 0), 0) AS BIGINT) AS trained,
+  CAST(coalesce(sum(n_nationkey * 100 + 7) FILTER (WHERE n_regionkey <> 0), 0) AS BIGINT) AS without_embedding FROM nation GROUP BY ROLLUP (n_regionkey)""",
     "generation_sessions": """SELECT conv_id, count(*) AS steps, CAST(sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS BIGINT) AS prompt_length, CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END) AS BIGINT) AS generated_length,
   round(count(*) * CAST(0.5 AS DOUBLE), 6) AS total_time, round(sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END) / (count(*) * CAST(0.5 AS DOUBLE)), 6) AS per_second,
   CASE WHEN length(arg_min(text, turn)) > 200 THEN substring(arg_min(text, turn), 1, 200) || '...' ELSE arg_min(text, turn) END AS preview FROM conversations GROUP BY conv_id""",

@@ -10,11 +10,6 @@ CLASSES = ("constant", "logn", "linear", "nlogn", "quadratic", "cubic", "exponen
 
 CODE_SAMPLE = "src string, complexity string, problem string, tags array<string>"
 SOLUTION_SAMPLE = "query_code string, query_dataclass_code string, problem_id string, solution_id string, time_complexity_inferred string, space_complexity_inferred string"
-TRAINING_EXAMPLE = "input_ids array<int>, target_ids array<int>, metadata struct<idx:bigint,code_length:int,token_length:int,problem_id:string,solution_id:string,time_complexity:string,space_complexity:string>"
-STRUCTURE = "max_loop_depth int, total_loops int, for_loops int, while_loops int, loops_at_depth map<int,int>, has_recursion boolean, recursive_functions array<string>"
-PREDICTION = "true_complexity string, predicted_complexity string, problem string, tags array<string>, tool string, execution_time double, error string"
-RUN_METRIC = "experiment string, run_id string, key string, ts bigint, value double, step bigint"
-VOCABULARY = "token string, id int"
 
 
 def ordinal(label: Column) -> Column:
@@ -22,7 +17,3 @@ def ordinal(label: Column) -> Column:
     place = F.array_position(F.array(*map(F.lit, CLASSES)), label)
     return F.when(place > 0, (place - 1).cast("int"))
 
-
-def in_classes(label: Column) -> Column:
-    """Whether the label is one of the classes."""
-    return label.isin(*CLASSES)

@@ -18,8 +18,12 @@ def session(name: str = "textloom", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints; a temporary one only where it names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
+    """The folder that the session names for checkpoints; a temporary one only in local mode where it names none (tests)."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

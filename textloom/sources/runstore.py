@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources import files
+
 _PLACE = r"([^/]+)/([^/]+)/{}/([^/]+)$"
 
 
@@ -20,7 +24,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     Lines with another number of parts are skipped; repeated and out-of-order lines are kept.
     """
     parts = _files(spark, path, "metrics").withColumn("w", F.split("value", " "))
-    model = spark.read.text(f"{path}/*/models/*/metrics/*") if _exists(spark, f"{path}/*/models/*/metrics") else None
+    model = spark.read.text(f"{path}/*/models/*/metrics/*") if files.exists(spark, f"{path}/*/models/*/metrics") else None
     made = (F.col("w")[0].cast("bigint").alias("ts"), F.col("w")[1].cast("double").alias("value"), F.col("w")[2].cast("bigint").alias("step"))
     out = parts.where(F.size("w") == 3).select("experiment", "run_id", "key", *made)
     if model is None:
@@ -30,12 +34,6 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return out.unionByName(model.select(F.regexp_extract("__p", place, 1).alias("experiment"), F.col("w")[3].alias("run_id"), F.regexp_extract("__p", place, 2).alias("key"), *made))
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
-
-
 def read_params(spark: SparkSession, path: str, kind: str = "params") -> DataFrame:
     """(experiment, run_id, key, value) of parameters or ``tags``; values are texts."""
     return _files(spark, path, kind)
@@ -60,3 +58,46 @@ def pivot_params(params: DataFrame, keys: list[str]) -> DataFrame:
 def append_metrics(metrics: DataFrame, path: str) -> None:
     """Append (run_id, key, ts, step, value) rows to a table, a folder a key."""
     metrics.select("run_id", "ts", "step", "value", "key").write.mode("append").partitionBy("key").parquet(path)
+
+
+#: Codes of a run's status (fixed values of the file layout).
+STATUS = {"running": 1, "finished": 3, "failed": 4}
+
+
+class RunLog:
+    """Writes one run of the store: parameters, tags and metric points as they come, then how it ended.
+
+    What can't be written is told to ``report`` and does not end the run.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, experiment: str, run_id: str, name: str, report=lambda error: None, clock=lambda: int(time.time() * 1000)):
+        self.spark, self.folder, self.run_id, self.name, self.report, self.clock = spark, f"{path}/{experiment}/{run_id}", run_id, name, report, clock
+        self.began = clock()
+        self._meta("running", None)
+
+    def _write(self, place: str, text: str, more: bool = False) -> None:
+        try:
+            (files.append_text if more else files.write_text)(self.spark, f"{self.folder}/{place}", text)
+        except Exception as error:  # a log must not end what it logs
+            self.report(error)
+
+    def _meta(self, status: str, ended: int | None) -> None:
+        lines = {"run_id": self.run_id, "run_name": self.name, "start_time": self.began, "end_time": "null" if ended is None else ended, "status": STATUS[status], "lifecycle_stage": "active"}
+        self._write("meta.yaml", "".join(f"{k}: {v}\n" for k, v in lines.items()))
+
+    def params(self, **values) -> None:
+        for key, value in values.items():
+            self._write(f"params/{key}", str(value))
+
+    def tags(self, **values) -> None:
+        for key, value in values.items():
+            self._write(f"tags/{key}", str(value))
+
+    def metrics(self, step: int, **values: float) -> None:
+        """A line ``ts value step`` for each metric."""
+        now = self.clock()
+        for key, value in values.items():
+            self._write(f"metrics/{key}", f"{now} {float(value)} {step}\n", more=True)
+
+    def end(self, status: str = "finished") -> None:
+        self._meta(status, self.clock())
