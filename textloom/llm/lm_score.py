@@ -17,7 +17,7 @@ from textloom.llm.common import bounds, coded, words
 #: words the shared vocabulary is taken to hold.
 WEIGHT, SEEN, VOCABULARY = 4.0, 0.1, 1 << 24
 #: Bytes of text in a chunk, about: it asks once for each word and bigram that it holds. Rows of one id go to SPREAD chunks.
-CHUNK_BYTES, SPREAD = 16 << 20, 8
+CHUNK_BYTES, SPREAD = 8 << 20, 8
 RESULTS = {"n_tokens": "bigint", "ce_target": "double", "ce_background": "double", "score": "double"}
 
 _EDGE = np.uint64(xxhash.xxh3_64_intdigest("\n"))
@@ -48,16 +48,20 @@ class Chunk:
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in uniq), dtype=np.uint64, count=len(uniq))
         n = len(texts)
         size = np.diff(bounds(rows, n)) + 2
-        code = np.full(int(size.sum()), len(uniq), dtype=np.int64)
+        code = np.full(int(size.sum()), len(uniq), dtype=np.int32)
         code[np.arange(len(index)) + 2 * rows + 1] = index
-        row = np.repeat(np.arange(n), size)
+        row = np.repeat(np.arange(n, dtype=np.int32), size)
+        del items, uniq, index
         hashes = np.append(hashes, _EDGE)
         after = np.flatnonzero(row[1:] == row[:-1]) + 1 if len(row) else np.empty(0, np.int64)
         first, last = code[after - 1], code[after]
-        pairs, pair = np.unique(first * len(hashes) + last, return_inverse=True)
+        pairs, pair = np.unique(first.astype(np.int64) * len(hashes) + last, return_inverse=True)
+        pair = pair.astype(np.int32)
         u, v = np.divmod(pairs, len(hashes))
         told = np.concatenate((_mixed(hashes), _mixed(hashes[u] * _ODD + (hashes[v] ^ (hashes[v] >> np.uint64(31))) + np.uint64(1))))
         keys, place = np.unique(told, return_inverse=True)
+        place = place.astype(np.int32)
+        del pairs, u, v, told
         return cls(row[after], keys, place[len(hashes) :][pair], place[: len(hashes)][last], place[: len(hashes)][first])
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
@@ -156,8 +160,8 @@ def score(docs: DataFrame, target: DataFrame, keys: list[str], chunk_bytes: int
     # Words as ``words`` finds them, and one end for each text.
     sized = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[\p{L}\p{M}\p{N}]+")), F.lit(0)).alias("n"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).alias("b"))
     tokens = lambda x: float(x or 0)
-    every = sized.agg(F.sum(F.col("n") + 1).alias("n"), F.sum(F.col("b") + 64).alias("b")).first()
-    mine = sized.select("id", "n").join(good.hint("merge"), "id", "left_semi").agg(F.sum(F.col("n") + 1).alias("n")).first()
+    known = sized.join(good.withColumn("good", F.lit(1)).hint("merge"), "id", "left")
+    every = known.agg(F.sum(F.col("n") + 1).alias("n"), F.sum(F.when(F.col("good") == 1, F.col("n") + 1)).alias("mine"), F.sum(F.col("b") + 64).alias("b")).first()
     base = max(1, -(-int(every["b"] or 0) // (chunk_bytes * SPREAD)))
     parts = base * SPREAD
 
@@ -170,5 +174,5 @@ def score(docs: DataFrame, target: DataFrame, keys: list[str], chunk_bytes: int
     asked = dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(parts), "part int, chunk int, keys binary, target binary, every binary")
     told = asked.groupBy("part").applyInArrow(_answer, "chunk int, part int, target binary, every binary")
     kinds = [*(f"key{i} {dealt.schema[i].dataType.simpleString()}" for i in range(len(keys))), *(f"{x} {kind}" for x, kind in RESULTS.items())]
-    found = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_tell((tokens(mine["n"]), tokens(every["n"])), len(keys)), ", ".join(kinds))
+    found = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_tell((tokens(every["mine"]), tokens(every["n"])), len(keys)), ", ".join(kinds))
     return found.select(*(F.col(f"key{i}").alias(x) for i, x in enumerate(keys)), *RESULTS)
