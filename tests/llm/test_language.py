@@ -1,7 +1,9 @@
 import itertools
 import random
+import unicodedata
 
 import numpy as np
+import pytest
 from helpers import ODD_IDS, keys, no_documents, odd_documents
 from pyspark.sql import functions as F
 
@@ -71,3 +73,37 @@ def test_held_out(spark):
     assert got.count() == docs.count()
     share = got.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert share > 0.98
+
+
+def test_many_languages_share_a_bounded_table(spark, monkeypatch):
+    """With fewer buckets languages are still told apart; with too many values ``lang`` is no language."""
+    monkeypatch.setattr(language, "CELLS", 3 * 4096)
+    monkeypatch.setattr(language, "HELD", 1)
+    model = language.train(training(spark))
+    assert model.table.shape == (4096, 3)
+    docs = spark.createDataFrame([(lang, " ".join(words)) for lang, words in WORDS.items()], "spans string, text string")
+    assert [x.lang_pred for x in language.identify(docs.withColumnRenamed("spans", "k"), model, ["k"]).orderBy("k").collect()] == ["aa", "bb", "ru"]
+    monkeypatch.setattr(language, "LANGS", 2)
+    with pytest.raises(ValueError, match="languages"):
+        language.train(training(spark))
+
+
+def test_keys_named_as_results_give_way(spark):
+    docs = odd_documents(spark, ["bana lona"])
+    got = language.identify(docs, language.train(training(spark)), ["doc_id", "score", "node", "__text", "text"])
+    assert got.columns == ["doc_id", "node", "__text", "text", "lang_pred", "score", "spans"]
+    assert {(x.node, x["__text"]) for x in got.collect()} == {(1, "y")} and got.where("text = 'bana lona'").first().lang_pred == "aa"
+
+
+def test_scripts():
+    """Each group's names are those that Unicode gives its letters."""
+    names = {"GURMUKHI": "gurmukhi", "GUJARATI": "gujarati", "TELUGU": "telugu", "KANNADA": "kannada", "MALAYALAM": "malayalam", "LAO": "lao", "TIBETAN": "tibetan", "KHMER": "khmer", "CJK": "han", "FULLWIDTH LATIN": "latin", "HALFWIDTH KATAKANA": "kana", "HANGUL": "hangul", "CYRILLIC": "cyrillic", "GREEK": "greek", "LATIN": "latin", "HEBREW": "hebrew", "ARABIC": "arabic", "THAI": "thai", "MYANMAR": "myanmar", "GOTHIC": "gothic", "ADLAM": "adlam", "TANGUT": "tangut", "SINHALA": "sinhala", "ETHIOPIC": "ethiopic", "DEVANAGARI": "devanagari", "BENGALI": "bengali", "TAMIL": "tamil", "GEORGIAN": "georgian", "ARMENIAN": "armenian", "HIRAGANA": "kana", "KATAKANA": "kana", "BOPOMOFO": "bopomofo"}
+    assert list(language.SCRIPTS) == sorted(language.SCRIPTS) and len(language.SCRIPTS) < 200
+    missed = 0
+    for point in range(0x41, 0x32400):
+        name = unicodedata.name(chr(point), "")
+        script = next((v for k, v in names.items() if name.startswith(k + " ") and "LETTER" in name + " LETTER" * (k in ("CJK", "HANGUL", "TANGUT"))), None)
+        if script and unicodedata.category(chr(point)).startswith("L"):
+            points, begins = language._points([chr(point)])
+            missed += language._NAMES[language._scripts(points, begins)[0]] != script
+    assert missed < 150  # letters in blocks of another script, or of none

@@ -47,14 +47,17 @@ def mapped(docs: DataFrame, keys: list[str], inputs: dict[str, Column], start: C
     has the name of a result gives way to it; other names clash with nothing, as keys are renamed on the way.
     """
     keys = [x for x in keys if x.lower() not in {y.lower() for y in results}]
-    inner = docs.select(*(F.col(f"`{x}`").alias(f"key{i}") for i, x in enumerate(keys)), *(c.alias(x) for x, c in inputs.items()))
-    n, names = len(keys), [*(f"key{i}" for i in range(len(keys))), *results]
-    schema = ", ".join([*(f"key{i} {inner.schema[i].dataType.simpleString()}" for i in range(n)), *(f"`{x}` {kind}" for x, kind in results.items())])
+    kinds = [docs.select(F.col(f"`{x}`")).schema[0].dataType.simpleString() for x in keys]
+    # A text that is also a key goes to Python once.
+    sent = ["text" if (x, kind) == ("text", "string") else f"key{i}" for i, (x, kind) in enumerate(zip(keys, kinds, strict=True))]
+    inner = docs.select(*(F.col(f"`{x}`").alias(y) for x, y in zip(keys, sent, strict=True) if y != "text"), *(c.alias(x) for x, c in inputs.items()))
+    names = [*(f"key{i}" for i in range(len(keys))), *results]
+    schema = ", ".join([*(f"key{i} {kind}" for i, kind in enumerate(kinds)), *(f"`{x}` {kind}" for x, kind in results.items())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
         for block in blocks(batches):
-            yield pa.RecordBatch.from_arrays([*(block.column(i) for i in range(n)), *function(block)], names=names)
+            yield pa.RecordBatch.from_arrays([*(block.column(x) for x in sent), *function(block)], names=names)
 
     return in_arrow(inner, run, schema).select(*(F.col(f"key{i}").alias(x) for i, x in enumerate(keys)), *(f"`{x}`" for x in results))
 
