@@ -94,3 +94,38 @@ def test_all_unlabelled_rows_may_be_named(spark):
         cotrain._surest = surest
     assert named[0][0] == n - 250 and abs(named[0][1] - 0.05 * (n - 250)) <= 2
     assert named[-1][0] < 0.9 * named[0][0]  # rounds name rows that weren't named before
+
+
+def test_words_count_where_style_is_alike(spark):
+    """Texts that differ only in which words they use: as many letters, no case, no marks."""
+    rng = random.Random(3)
+    kind = (("mono", "lake", "tree", "bird"), ("cash", "pill", "loan", "spam"))
+    texts = [" ".join(rng.choices(kind[i % 2], k=30)) for i in range(160)]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(80)], "doc_id bigint, quality int")
+    rows = cotrain.classify(docs, cotrain.fit(docs, labels), ["doc_id"]).where("doc_id >= 80").collect()
+    assert sum((x.text_score >= 0.5) == (x.doc_id % 2 == 0) for x in rows) >= 78
+
+
+def test_contradicting_labels_teach_nothing(spark):
+    docs = odd_documents(spark, corpus(60))
+    labels = [(100 + i, int(i % 3 != 0), "x") for i in range(60)]
+    plain = cotrain.fit(docs, spark.createDataFrame(labels[2:], LABELS))
+    again = cotrain.fit(docs, spark.createDataFrame([*labels, (100, 1, "x"), (101, 0, "x"), *labels[2:5]], LABELS))
+    assert all(np.allclose(a.weights, b.weights, atol=1e-6) for a, b in zip(plain[:2], again[:2], strict=True))
+
+
+def test_query_against_the_same_rows_in_memory(spark, sf_dir):
+    """All documents viewed at once and taught without Spark give the query's scores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").toArrow()
+    label = {x.doc_id: x.quality for x in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if x.quality in (0, 1)}
+    text = cotrain.text_view(docs.column("text").combine_chunks(), cotrain._classes())
+    meta = cotrain.meta_view(*(docs.column(x).to_pylist() for x in ("lang", "source", "n_chars")))
+    y = np.array([label.get(x, -1) for x in docs.column("doc_id").to_pylist()])
+    known, rest = np.flatnonzero(y >= 0), y < 0
+    turn = known[np.lexsort((*text[known][:, :4].T, y[known]))]
+    pool = cotrain.Pool((text[rest].astype(np.float16).astype(float), meta[rest].astype(np.float16).astype(float)))
+    a, b, mix = cotrain.co_train(text[turn], meta[turn], y[turn], pool=pool)
+    expected = 1 / (1 + np.exp(-np.clip(np.stack((np.ones(len(y)), a.logit(text), b.logit(meta)), axis=1) @ mix, -30, 30)))
+    got = {x.doc_id: x.score for x in queries.op6_cotraining(spark, sf_dir).collect()}
+    assert len(got) == len(y) and np.allclose([got[x] for x in docs.column("doc_id").to_pylist()], expected, atol=1e-4)

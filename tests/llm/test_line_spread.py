@@ -40,3 +40,12 @@ def test_hot_line_and_empty_table(spark):
     rows = [(i, "hot\n" * 3 + f"own {i}", "en", f"s{i % 9}", 1, "x", 0.5, 1, "y") for i in range(500)]
     got = line_spread.remove_boilerplate(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
     assert got[0].n_removed == 0 and all(x.n_removed == 3 and x.text == f"own {x.doc_id}" for x in got[1:])
+
+
+def test_columns_of_any_name_are_handed_on(spark):
+    rows = [(i, f"s{i}", "same line\nown line " + str(i), f"a{i}", f"b{i}", f"c{i}", 9, f"e{i}", f"f{i}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string, d string, t string, removed string, N_lines int, `__removed` string, h string")
+    got = line_spread.remove_boilerplate(docs)
+    assert got.columns == ["doc_id", "source", "text", "d", "t", "removed", "__removed", "h", "n_lines", "n_removed"]
+    assert sorted((x.doc_id, x.d, x.t, x.removed, x["__removed"], x.h) for x in got.collect()) == [(r[0], r[3], r[4], r[5], r[7], r[8]) for r in rows]
+    assert got.where("n_removed = 1").count() == 7

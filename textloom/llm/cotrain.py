@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, fields, in_arrow
+from textloom.llm.common import blocks, bounds, coded, cut, fields, in_arrow, mapped
 
 #: Labelled rows that the classifiers are fitted on, at most: those with the smallest hashes of their id.
 LABELLED = 20_000
@@ -21,14 +21,17 @@ ROUNDS, CONFIDENT = 5, 0.05
 #: The weight of a pseudo-label; bins of a logit; tasks whose sums (0.3 MB each) come to the driver as they are, at most,
 #: and rows that a task sums up at least.
 HALF, BINS, SUMS, SUM_ROWS = 0.5, 100, 64, 16_384
-#: Hash buckets of the text view's word shapes and of the metadata view's categories.
-SHAPES, CATEGORIES = 256, 64
+#: Hash buckets of the text view's word shapes, of its words and of its pairs of words, and of the metadata view's categories.
+SHAPES, WORDS, PAIRS, CATEGORIES = 256, 96, 32, 64
 #: Dense measures of a text, in order.
 MEASURES = (
     "log words", "distinct share", "repeat share", "mean length", "upper share", "digit share", "symbol share", "end marks",
     "bare symbols", "line repeat", "long words", "short words",
 )
 _META = 4
+#: Columns of style come first; those of words and pairs are scaled down by SHY, which is to say that they are penalised by
+#: its square more: there are many, and few rows say much about one.
+STYLE, SHY = len(MEASURES) + SHAPES, 5.0
 
 
 def _classes() -> np.ndarray:
@@ -64,7 +67,11 @@ def _word_measures(uniq: list[str], classes: np.ndarray) -> tuple[np.ndarray, ..
 
 
 def text_view(texts: pa.Array, classes: np.ndarray) -> np.ndarray:
-    """Rows x (measures + shapes): how a text is written, from its whole."""
+    """Rows x (measures + shapes + words + pairs of words): how a text is written and what it says, from its whole.
+
+    Words are hashed in lower case without marks at their ends; each bucket's share of the words has the sign that most of
+    its hashes give, so that words in one bucket don't add up.
+    """
     texts = pc.fill_null(texts.cast("large_string"), "")
     n = len(texts)
     items, rows = fields(texts)
@@ -93,7 +100,21 @@ def text_view(texts: pa.Array, classes: np.ndarray) -> np.ndarray:
         total((length > 20).astype(float)) / some, total((length < 3).astype(float)) / some,
     ], axis=1)
     shapes = np.bincount(rows * SHAPES + bucket[index], minlength=n * SHAPES).reshape(n, SHAPES) / some[:, None] if len(uniq) else np.zeros((n, SHAPES))
-    return np.concatenate((dense, np.sqrt(shapes)), axis=1).astype(np.float32)
+    said = np.fromiter((xxhash.xxh3_64_intdigest(x.strip(_MARKS).lower()) for x in uniq), dtype=np.uint64, count=len(uniq))[index] if len(uniq) else np.empty(0, np.uint64)
+    inside = rows[1:] == rows[:-1]
+    pairs = ((said[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ said[1:])[inside] * np.uint64(0xD6E8FEB86659FD93)
+    content = [_signed(said, rows, n, WORDS), _signed(pairs, rows[1:][inside], n, PAIRS)]
+    return np.concatenate((dense, np.sqrt(shapes), *(np.sign(x) * np.sqrt(np.abs(x) / some[:, None]) for x in content)), axis=1).astype(np.float32)
+
+
+_MARKS = ".,;:!?()[]{}\"'"
+
+
+def _signed(hashes: np.ndarray, rows: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """Rows x buckets: the sums of the hashes' signs."""
+    place = (hashes >> np.uint64(20)) % np.uint64(buckets)
+    sign = np.where((hashes >> np.uint64(63)) == 1, 1.0, -1.0)
+    return np.bincount(rows * buckets + place.astype(np.int64), weights=sign, minlength=n * buckets).reshape(n, buckets)
 
 
 def meta_view(lang: list, source: list, n_chars: list) -> np.ndarray:
@@ -286,7 +307,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
     ``label`` is 1, 0 or -1 (unlabelled); ``pool`` holds the unlabelled rows if they aren't here. Every fifth labelled
     row is held back for calibration. In a round each view is fitted and names its surest rows of either class among all
     unlabelled ones, in the classes' proportion; they join the other view's training rows with half the weight. Features
-    are standardised by the labelled training rows.
+    are standardised by the labelled training rows, and those of words count less.
     """
     known = np.flatnonzero(label >= 0)
     held, train = known[::5], np.setdiff1d(known, known[::5])
@@ -295,7 +316,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
     pool = Pool((text[label < 0], meta[label < 0])) if pool is None else pool
     base = float(label[train].mean())
     views = (text[train].astype(float), meta[train].astype(float))
-    models = [Logistic(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), np.zeros(x.shape[1] + 1)) for x in views]
+    models = [Logistic(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3) * np.where(np.arange(x.shape[1]) < STYLE, 1.0, SHY), np.zeros(x.shape[1] + 1)) for x in views]
     rules: Rules = [[], []]
     for r in range(rounds + 1):
         _fit_both(views, label[train].astype(float), models, pool, rules)
@@ -329,10 +350,12 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[L
     """Fit on at most ``labelled`` rows that ``labels`` (doc_id, quality) labels, and all others; None if one class is missing.
 
     The labelled rows are those with the smallest hashes of their id, so the sample is bounded and the same each time.
-    All rows without a label may be pseudo-labelled; their views (about 700 bytes a row) are kept for the rounds. Rows
-    with a null id, or labelled but not in the sample, teach nothing.
+    All rows without a label may be pseudo-labelled; their views (about a kilobyte a row) are kept for the rounds. Rows
+    with a null id, or labelled but not in the sample, teach nothing; a document with labels that contradict each other
+    counts as one without. Other columns are ignored; with an empty table there is no model.
     """
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    said = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("other"))
+    known = said.where("label = other").drop("other")
     sample = cut(known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(labelled))
     # The sample is bounded (20,000 ids of 12 bytes by default), so it may be sent to every task.
     used = docs.select("doc_id", *(F.col(x).cast("string") for x in ("text", "lang", "source")), F.col("n_chars").cast("bigint")).where("doc_id IS NOT NULL")
@@ -355,25 +378,27 @@ def classify(docs: DataFrame, models: tuple[Logistic, Logistic, np.ndarray] | No
     """``keys`` of each row with text_score, meta_score and their combination ``score``: the probability of quality 1.
 
     Null and empty texts are scored by their (empty) views, nulls of the metadata as a category of their own. Without
-    a model every score is 0.5. Repeated rows are scored alike; texts are read whole.
+    a model every score is 0.5. Repeated rows are scored alike, an empty table gives none; texts are read whole. A key that
+    has the name of a result gives way to it.
     """
     plain = None if models is None else ([(m.mean, m.scale, m.weights, m.line) for m in models[:2]], models[2])
     sent = docs.sparkSession.sparkContext.broadcast(plain)
-    used = ["__text", "__lang", "__source", "__n"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         classes = _classes()
-        for block in blocks(batches, "__text"):
+        parts, mix = sent.value or (None, None)
+        models = [Logistic(*x) for x in parts or ()]
+
+        def run(block: pa.RecordBatch) -> list[pa.Array]:
             n = block.num_rows
             scores = [np.full(n, 0.5)] * 3
-            if sent.value is not None:
-                parts, mix = sent.value
-                a, b = (Logistic(*x) for x in parts)
-                z = np.stack((np.ones(n), a.logit(text_view(block.column("__text"), classes)), b.logit(meta_view(*(block.column(x).to_pylist() for x in used[1:])))), axis=1)
+            if models:
+                meta = meta_view(*(block.column(x).to_pylist() for x in ("lang", "source", "n_chars")))
+                z = np.stack((np.ones(n), models[0].logit(text_view(block.column("text"), classes)), models[1].logit(meta)), axis=1)
                 scores = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (z[:, 1], z[:, 2], z @ mix)]
-            kept = [block.column(x) for x in block.schema.names if x not in used]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.float64()) for x in scores)], names=[*(x for x in block.schema.names if x not in used), "text_score", "meta_score", "score"])
+            return [pa.array(x, pa.float64()) for x in scores]
+
+        return run
 
-    kept = docs.select(*keys, F.col("text").cast("string").alias("__text"), F.col("lang").cast("string").alias("__lang"), F.col("source").cast("string").alias("__source"), F.col("n_chars").cast("bigint").alias("__n"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in used), "text_score double, meta_score double, score double"])
-    return kept.transform(in_arrow, run, schema)
+    inputs = {x: F.col(x).cast("string") for x in ("text", "lang", "source")} | {"n_chars": F.col("n_chars").cast("bigint")}
+    return mapped(docs, keys, inputs, start, {"text_score": "double", "meta_score": "double", "score": "double"})

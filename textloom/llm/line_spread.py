@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, fresh
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 6
@@ -53,18 +53,19 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
 
     The document with the smallest id that has a line keeps it, so no text is lost from the corpus. A null site counts
     as one site of its own; blank lines stay; a null text stays null with no lines; an empty text has one blank line.
-    Rows with a null id keep nothing against rows with an id. Repeated rows are treated alike. Every other column is
-    handed on as it is, whatever its name.
+    Rows with a null id keep nothing against rows with an id. Repeated rows are treated alike; an empty table gives no
+    rows. Every other column is handed on as it is; one that is called n_lines or n_removed gives way to the result.
     """
+    d, t, removed_ = fresh(docs, "d", "t", "removed")
     lines = _lines(docs, site)
     hit = _meet(lines, boilerplate(docs, site, min_sites, lg)).where(F.col("keeper").isNotNull() & ~F.col("d").eqNullSafe(F.col("keeper")))
     # Repeated rows give the same places; the key is null-safe and holds the text's hash.
-    removed = hit.groupBy(F.coalesce(F.col("d").cast("string"), F.lit("null")).alias("__d"), F.col("t").alias("__t")).agg(F.collect_set("pos").alias("__removed"))
-    keyed = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__t": F.xxhash64("text")})
-    joined = keyed.join(removed, ["__d", "__t"], "left")
-    columns = [F.when(F.col("__removed").isNull(), F.col("text")).otherwise(_without("text", "__removed")).alias("text") if x == "text" else F.col(f"`{x}`") for x in docs.columns if x not in ("n_lines", "n_removed")]
+    removed = hit.groupBy(F.coalesce(F.col("d").cast("string"), F.lit("null")).alias(d), F.col("t").alias(t)).agg(F.collect_set("pos").alias(removed_))
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), t: F.xxhash64("text")})
+    joined = keyed.join(removed, [d, t], "left")
+    columns = [F.when(F.col(removed_).isNull(), F.col("text")).otherwise(_without("text", removed_)).alias("text") if x == "text" else F.col(f"`{x}`") for x in docs.columns if x.lower() not in ("n_lines", "n_removed")]
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return joined.select(*columns, count.cast("bigint").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("bigint").alias("n_removed"))
+    return joined.select(*columns, count.cast("bigint").alias("n_lines"), F.coalesce(F.size(removed_), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 ORACLE = f"""
