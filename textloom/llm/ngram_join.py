@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, fields, in_arrow
+from textloom.llm.common import blocks, bounds, coded, cut, fields, fresh, in_arrow
 
 #: Words in a shingle; least similarity; MinHash values (16 bits of each are kept: unequal ones agree once in 65,536),
 #: of which ROWS at a time make a band.
@@ -202,6 +202,83 @@ def _block_pair(threshold: float, tolerance: float):
     return run
 
 
+def _one_of_blocks(threshold: float, tolerance: float):
+    """Which rows of two blocks (or of one with itself) of a bucket are joined: each row's node with that of its group.
+
+    Rows with one ``label`` are joined already. Pairs within a group aren't compared any more, so that a block of near
+    copies costs about as many comparisons as it has rows.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        least = least_matches(threshold, tolerance)
+        node, side, known = (np.asarray(table.column(x).combine_chunks()) for x in ("node", "side", "label"))
+        band = int(table.column("band")[0].as_py())
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
+        lists = table.column("shingles").combine_chunks()
+        begins = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(lists)))))
+        codes = np.unique(np.asarray(lists.flatten()), return_inverse=True)[1]
+        size, mark = np.diff(begins), np.zeros(len(codes) + 1, dtype=bool)
+        root = np.unique(known, return_index=True)[1][np.unique(known, return_inverse=True)[1]]
+        alone = not side.any()
+        for i in range(len(node)):
+            others = np.arange(i + 1, len(node)) if alone else (np.flatnonzero(side == 1) if side[i] == 0 else np.empty(0, int))
+            others = others[root[others] != root[i]]
+            if len(others):
+                others = others[prune(sig, np.full(len(others), i), others, np.full(len(others), band), least)]
+            if not len(others):
+                continue
+            mark[codes[begins[i] : begins[i + 1]]] = True
+            for j in others.tolist():
+                if root[j] != root[i]:
+                    shared = int(mark[codes[begins[j] : begins[j + 1]]].sum())
+                    if shared >= threshold * (size[i] + size[j] - shared) - 1e-9:
+                        root[root == root[j]] = root[i]
+            mark[codes[begins[i] : begins[i + 1]]] = False
+        return pa.table({"key": table.column("key"), "node": pa.array(node), "root": pa.array(node[root])})
+
+    return run
+
+
+def _large_classes(large: DataFrame, nodes: DataFrame, sets: DataFrame, linked: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(node, component) of the nodes that links join, where buckets are too large to compare all their rows.
+
+    A bucket's blocks are grouped each by itself, then one row of each group is compared with the others'. What is joined
+    by then needs no more comparison. Last, the rows outside their bucket's largest group are compared with all rows of
+    other groups: so every pair was compared, or stands in one group.
+    """
+    kind = "key bigint, node bigint, root bigint"
+
+    def compared(rows: DataFrame) -> DataFrame:
+        loaded = rows.join(nodes.select("node", "sig"), "node").join(sets, "node")
+        return cut(loaded.groupBy("key", "i", "j").applyInArrow(_one_of_blocks(threshold, tolerance), kind))
+
+    def blocks_of(rows: DataFrame) -> DataFrame:
+        """``rows`` (node, key, band) with the number of blocks of their bucket and their own."""
+        sized = rows.join(nodes.select("node", "n"), "node")
+        of = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("of"))
+        return rows.join(of, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("of")).cast("int"))
+
+    own = compared(blocks_of(large.select("node", "key", "band")).select("node", "key", "band", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.col("node").alias("label")))
+    bands = large.select("key", "band").distinct()
+    heads = blocks_of(own.select("key", F.col("root").alias("node")).distinct().join(bands, "key"))
+    other = heads.select("node", "key", "band", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
+    between = compared(other.select("node", "key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), F.col("node").alias("label")))
+    edges = lambda x: x.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
+    label = cut(_join_labels(linked.unionAll(edges(own)).unionAll(edges(between))))
+
+    named = cut(large.select("node", "key", "band").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+    most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    placed = blocks_of(named.join(most, "key"))
+    rest = placed.where("label <> main")
+    parts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("key", "node"), F.col("parts")).cast("int")
+    members = placed.join(parts, "key").select("node", "key", "band", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), "label")
+    strangers = rest.join(parts, "key").select("node", "key", "band", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("i"), part.alias("j"), F.lit(1).alias("side"), "label")
+    last = edges(compared(members.unionByName(strangers)))
+    return label if last.isEmpty() else _join_labels(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(last))
+
+
 def _join_labels(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (a, b): the smallest label spreads, and labels jump to their own."""
     both = cut(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -216,22 +293,8 @@ def _join_labels(edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
-def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): class_id, n_links, copy_id and n_copies.
-
-    Texts with the same words (lower-cased, between white space) are copies: copy_id is the smallest id of such a
-    group, n_copies its size. Groups whose sets of ``size``-word shingles have a Jaccard similarity of ``threshold`` or
-    more are linked: n_links is how many other documents a document is linked to, copies included. class_id is the
-    smallest id of all that links join. A pair is compared in the first band that both share, so it counts once.
-
-    A text that is null, empty or without a word, and a row with a null id, is linked to nothing: its class is its own
-    id, with n_copies 1. Texts of fewer than ``size`` words have one shingle. Repeated rows count as copies. Other
-    columns are ignored.
-
-    Nodes are 64-bit hashes of the words: among 10**8 different texts one collision is to be expected in some 4,000
-    runs.
-    """
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+def _candidates(source: DataFrame, size: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents' nodes, the nodes, the members of large buckets, the shingles of all candidates, and the links of small buckets."""
     signed = cut(source.where("doc_id IS NOT NULL").transform(in_arrow, _signatures(size), "doc_id bigint, node bigint, n bigint, sig binary"))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
@@ -252,6 +315,26 @@ def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOL
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     linked = cut(left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").where(shared >= F.lit(threshold) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b"))
+    return signed, nodes, large, sets, linked
+
+
+def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): class_id, n_links, copy_id and n_copies.
+
+    Texts with the same words (lower-cased, between white space) are copies: copy_id is the smallest id of such a
+    group, n_copies its size. Groups whose sets of ``size``-word shingles have a Jaccard similarity of ``threshold`` or
+    more are linked: n_links is how many other documents a document is linked to, copies included. class_id is the
+    smallest id of all that links join. A pair is compared in the first band that both share, so it counts once.
+
+    A text that is null, empty or without a word, and a row with a null id, is linked to nothing: its class is its own
+    id, with n_copies 1. Texts of fewer than ``size`` words have one shingle. Repeated rows count as copies. Other
+    columns are ignored.
+
+    Nodes are 64-bit hashes of the words: among 10**8 different texts one collision is to be expected in some 4,000
+    runs.
+    """
+    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    signed, nodes, large, sets, linked = _candidates(source, size, threshold, tolerance)
 
     # Large buckets: each row goes to its block's pairs with all blocks, not to all other rows.
     n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
@@ -281,10 +364,30 @@ def link_classes(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOL
     return found.unionAll(rest.select(own, own.alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), own.alias("copy_id"), F.lit(1).cast("bigint").alias("n_copies")))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest id; rows with a null id stay."""
-    gone = link_classes(docs, **options).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, size: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """``docs`` (doc_id, text) with one document of each class of ``link_classes``, that with the smallest id.
+
+    Only classes are needed, so the rows of a large bucket are compared until they are joined, not all with all. Rows
+    with a null id and texts without a word stay. Of rows alike in id and text one stays (the least by its columns, so
+    these must be orderable). An empty table gives no rows; all columns are handed on, whatever their names.
+    """
+    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    signed, nodes, large, sets, linked = _candidates(source, size, threshold, tolerance)
+    label = _join_labels(linked) if large.isEmpty() else _large_classes(large, nodes, sets, linked, threshold, tolerance)
+    labelled = nodes.select("node", "copy_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = labelled.groupBy("component").agg(F.min("copy_id").alias("class_id"))
+    # One row for each node, so that the rows of a large group of copies can be split where they meet it.
+    known = cut(labelled.join(classes, "component").select("node", "class_id"))
+    rows = signed.select("doc_id", "node").join(known, "node")
+    id_, gone, again = fresh(docs, "id", "gone", "again")
+    told = rows.groupBy(F.col("doc_id").alias(id_)).agg(F.bool_and(F.col("doc_id") != F.col("class_id")).alias(gone), (F.count("*") > 1).alias(again))
+    told = cut(told.where(F.col(gone) | F.col(again)))
+    joined = docs.join(told.hint("merge"), F.col("doc_id") == F.col(id_), "left")
+    once = joined.where(F.col(id_).isNull()).select(*(F.col(f"`{x}`") for x in docs.columns))
+    repeated = docs.join(told.where(~F.col(gone)).hint("merge"), F.col("doc_id") == F.col(id_), "left_semi")
+    row = F.struct(*(F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)))
+    least = repeated.groupBy(F.col("doc_id").alias("a"), F.col("text").alias("b")).agg(F.min(row).alias("r"))
+    return once.unionByName(least.select(*(F.col(f"r.c{i}").alias(x) for i, x in enumerate(docs.columns))))
 
 
 ORACLE = f"""
