@@ -5,12 +5,16 @@ Stand-ins: a document's text is the code, its source the alternative field, its
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import curate, sequences, stats
 from textloom.plans.evaluation import _rounded
+from textloom.session import cut, shared_folder
+from textloom.sources import files, jsonl
 
 BLOCK, BATCH, SEED, SHARE = 128, 16, 42, 0.9
 
@@ -142,6 +146,33 @@ def collated_batches(spark, sf_dir):
     return made.select("batch", F.size("input_ids").cast("bigint").alias("rows"), total("input_ids").alias("input_sum"), total("target_ids").alias("target_sum"), total("attention_mask").alias("real"))
 
 
+def widest_batches(spark, sf_dir):
+    """Batches padded to their own longest sequence."""
+    rows = curate.ordinals(_encoded(spark, sf_dir).select("doc_id", sequences.truncate(F.col("ids"), F.col("doc_id").cast("int") % 50 + 1).alias("ids")), "doc_id")
+    made = sequences.collate(sequences.batched(rows, BATCH), "ids")
+    total = lambda c: F.aggregate(F.flatten(c), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return made.select("batch", F.size(F.col("input_ids")[0]).cast("bigint").alias("width"), F.size(F.flatten("input_ids")).cast("bigint").alias("cells"), total("attention_mask").alias("real"))
+
+
+def curated_samples(spark, sf_dir):
+    """Samples that a caller's predicate keeps, with their code and its length."""
+    docs = _docs(spark, sf_dir, "doc_id", "source", "lang", "n_chars", F.when(F.col("doc_id") % 5 != 0, F.col("text")).alias("text"))
+    kept = curate.curate(docs, "text", "source", keep=(F.col("lang") != "en") | (F.col("n_chars") > 2000), least=5)
+    return kept.select("doc_id", F.length("code").cast("bigint").alias("length"), F.md5("code").alias("code_md5"))
+
+
+def jsonl_scan(spark, sf_dir):
+    """JSON lines written and read back, of which every seventh is malformed and every eleventh blank."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    docs = _docs(spark, sf_dir, "doc_id", "n_chars", "text")
+    line = F.when(F.col("doc_id") % 7 == 0, "{malformed").when(F.col("doc_id") % 11 == 0, " ").otherwise(F.to_json(F.struct("doc_id", "n_chars", "text")))
+    docs.select(line.alias("value")).write.text(path)
+    good, bad = jsonl.read_skipping(spark, path, "doc_id bigint, n_chars bigint, text string")
+    rows = cut(good.select("doc_id", "n_chars", F.md5("text").alias("text_md5")).unionAll(bad.agg(F.lit(-1).cast("bigint"), F.count("*"), F.lit("malformed"))))
+    files.delete(spark, path)
+    return rows
+
+
 def accumulation(spark, sf_dir):
     """Optimizer steps of batches, the trailing group left out."""
     rows = sequences.accumulation_steps(curate.ordinals(_docs(spark, sf_dir, "doc_id"), "doc_id"), 7)
@@ -195,7 +226,7 @@ def bpe_encode(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     strict_projection, complexity_present_filter, code_fallback, min_length_filter, dataset_length_stats, value_counts, limit_semantics, seeded_split, sequential_split, char_vocab, char_encode, char_roundtrip,
-    token_density, truncate_shift, pad_and_mask, sliding_windows, context_crop, batches_drop_last, collated_batches, accumulation, embedding_argmax, line_split, random_windows, multinomial_sample, number_formats, padded_names, bpe_encode,
+    token_density, truncate_shift, pad_and_mask, sliding_windows, context_crop, batches_drop_last, collated_batches, widest_batches, curated_samples, jsonl_scan, accumulation, embedding_argmax, line_split, random_windows, multinomial_sample, number_formats, padded_names, bpe_encode,
 )}
 
 _VOCAB = """voc AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM documents WHERE text <> '')),
@@ -233,6 +264,11 @@ SELECT doc_id, max(n) - {BLOCK} AS n, CAST(sum(t) FILTER (WHERE i <= n - {BLOCK}
 WHERE b < (SELECT count(*) FROM documents) // {BATCH} GROUP BY b""",
     "collated_batches": f"""WITH {_VOCAB}, {_CUT}, {_SHIFT}, r AS (SELECT d.doc_id, (row_number() OVER (ORDER BY d.doc_id) - 1) // {BATCH} AS batch, coalesce(x, []) AS x, coalesce(y, []) AS y FROM documents d LEFT JOIN sh ON d.doc_id = sh.doc_id)
 SELECT batch, count(*) AS rows, CAST(sum(coalesce(list_sum(x), 0)) AS BIGINT) AS input_sum, CAST(sum(coalesce(list_sum(y), 0)) AS BIGINT) AS target_sum, CAST(sum(len(x)) AS BIGINT) AS real FROM r GROUP BY batch""",
+    "widest_batches": f"""WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH} AS batch, least(length(coalesce(text, '')), doc_id % 50 + 1) AS n FROM documents),
+x AS (SELECT batch, CASE WHEN n <= 1 THEN n ELSE n - 1 END AS k FROM r) SELECT batch, CAST(max(k) AS BIGINT) AS width, CAST(max(k) * count(*) AS BIGINT) AS cells, CAST(sum(k) AS BIGINT) AS real FROM x GROUP BY batch""",
+    "curated_samples": """SELECT doc_id, length(code) AS length, md5(code) AS code_md5 FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 OR coalesce(text, '') = '' THEN source ELSE text END AS code FROM documents WHERE lang <> 'en' OR n_chars > 2000)
+WHERE length(regexp_replace(code, '^[\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{3000}]+$', '', 'g')) >= 5""",
+    "jsonl_scan": "SELECT doc_id, n_chars, md5(text) AS text_md5 FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 UNION ALL SELECT -1, count(*), 'malformed' FROM documents WHERE doc_id % 7 = 0",
     "accumulation": "SELECT doc_id, CASE WHEN s < (SELECT count(*) FROM documents) // 7 THEN s END AS optimizer_step FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 7 AS s FROM documents)",
     "embedding_argmax": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS place FROM embeddings",
     "random_windows": f"""WITH {_VOCAB}, d AS (SELECT doc_id, unnest(range(4)) AS draw, ids, len(ids) - {BLOCK} AS room FROM enc WHERE len(ids) > {BLOCK}),

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import schedule
+from textloom.functions import schedule, text
 from textloom.operators import runs
 from textloom.plans.evaluation import _rounded
 from textloom.session import shared_folder
@@ -76,6 +76,12 @@ def parameter_counts(spark, sf_dir):
     return runs.parameter_counts(rows, embedding="0")
 
 
+def run_names(spark, sf_dir):
+    """Names of runs by the moment of an event."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    return rows.select("event_id", text.run_name(F.col("ts"), "model").alias("name"))
+
+
 def generation_sessions(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return _rounded(runs.sessions(turns))
@@ -101,7 +107,7 @@ def _write_store(spark: SparkSession, path: str) -> None:
         write_text(spark, f"{path}/{name}", text)
 
 
-QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, param_formulas, parameter_counts, generation_sessions, run_params_pivot)}
+QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, param_formulas, parameter_counts, run_names, generation_sessions, run_params_pivot)}
 
 _LOSS = "loss AS (SELECT event_type AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS step, round(avg(value), 6) AS loss FROM events GROUP BY ALL)"
 _BEST = "b AS (SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM loss)"
@@ -123,6 +129,8 @@ FROM (SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT) AS l, CAST((n_regionke
 FROM (SELECT n_nationkey, CAST(n_nationkey + 1 AS BIGINT) AS l, CAST((n_regionkey + 1) * 64 AS BIGINT) AS w FROM nation)""",
     "parameter_counts": """SELECT CAST(n_regionkey AS VARCHAR) AS kind, CAST(sum(n_nationkey * 100 + 7) AS BIGINT) AS total, CAST(coalesce(sum(n_nationkey * 100 + 7) FILTER (WHERE n_nationkey % 3 <> 0), 0) AS BIGINT) AS trained,
   CAST(coalesce(sum(n_nationkey * 100 + 7) FILTER (WHERE n_regionkey <> 0), 0) AS BIGINT) AS without_embedding FROM nation GROUP BY ROLLUP (n_regionkey)""",
+    "run_names": "SELECT event_id, 'model_' || strftime(ts, '%Y%m%d_%H%M%S') AS name FROM events",
+    "run_params_pivot": "SELECT * FROM (VALUES ('a', 'loss', CAST(3 AS BIGINT), CAST(2.0 AS DOUBLE), '500', '6'), ('a', 'final', 1, 1.25, '500', '6')) t(run_id, key, points, last_value, vocab_size, n_layer)",
     "generation_sessions": """SELECT conv_id, count(*) AS steps, CAST(sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END) AS BIGINT) AS prompt_length, CAST(sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END) AS BIGINT) AS generated_length,
   round(count(*) * CAST(0.5 AS DOUBLE), 6) AS total_time, round(sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END) / (count(*) * CAST(0.5 AS DOUBLE)), 6) AS per_second,
   CASE WHEN length(arg_min(text, turn)) > 200 THEN substring(arg_min(text, turn), 1, 200) || '...' ELSE arg_min(text, turn) END AS preview FROM conversations GROUP BY conv_id""",
