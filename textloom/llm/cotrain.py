@@ -21,6 +21,8 @@ ROUNDS, CONFIDENT = 5, 0.05
 #: The weight of a pseudo-label; bins of a logit; tasks whose sums (0.3 MB each) come to the driver as they are, at most,
 #: and rows that a task sums up at least.
 HALF, BINS, SUMS, SUM_ROWS = 0.5, 100, 64, 16_384
+#: Rows of the pool that a task handles at a time.
+POOL_ROWS = 2_000
 #: Hash buckets of the text view's word shapes, of its words and of its pairs of words, and of the metadata view's categories.
 SHAPES, WORDS, PAIRS, CATEGORIES = 256, 96, 32, 64
 #: Dense measures of a text, in order.
@@ -202,57 +204,89 @@ class Pool:
     def sums(self, bases: list[Logistic], rules: Rules, weights: list[np.ndarray]) -> np.ndarray:
         """Gradient and curvature (its upper triangle) of the pseudo-labels' likelihood, of both views in a row."""
         designs, labels = self.taught(bases, rules)
+        return self.likelihood([x[y >= 0] for x, y in zip(designs, labels, strict=True)], [y[y >= 0] for y in labels], weights)
+
+    @staticmethod
+    def likelihood(designs: list[np.ndarray], labels: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
         out = []
         for v in (0, 1):
-            x, y = designs[v][labels[v] >= 0], labels[v][labels[v] >= 0]
+            x, y = designs[v], labels[v]
             p = 1 / (1 + np.exp(-np.clip(x @ weights[v], -30, 30)))
             out += [x.T @ (HALF * (y - p)), ((x * (HALF * p * (1 - p))[:, None]).T @ x)[np.triu_indices(x.shape[1])]]
         return np.concatenate(out)
 
 
 class TablePool:
-    """The same over a table of features (text, meta: float16 as bytes); each task sends its counts or sums."""
+    """The same over a table of features (text, meta: float16 as bytes); each task sends its counts or sums.
+
+    The rows that a round's rules label are written once, so that each step of the fit reads those alone.
+    """
 
     def __init__(self, table: DataFrame, widths: tuple[int, int]):
         self.widths, self.size = widths, table.count()
         self.tasks = max(table.sparkSession.sparkContext.defaultParallelism, -(-self.size // SUM_ROWS))
         self.table = table.coalesce(self.tasks)
+        self.rounds, self.labelled = None, table
 
-    def _mapped(self, ask, bases, rules, weights, rows_of, schema: str) -> DataFrame:
+    def _mapped(self, table: DataFrame, of_views, rows_of, schema: str) -> DataFrame:
+        """What ``rows_of`` makes of each task's total (if there is any); ``of_views`` adds a slice's views and labels to it."""
         widths = self.widths
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                if batch.num_rows:
-                    x = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float16).reshape(-1, w).astype(np.float64) for c, w in zip(("text", "meta"), widths, strict=True)]
-                    total = rows_of(total, getattr(Pool((x[0], x[1])), ask)(bases, rules, weights))
+                for start in range(0, batch.num_rows, POOL_ROWS):
+                    some = batch.slice(start, POOL_ROWS)
+                    views = [np.frombuffer(b"".join(some.column(c).to_pylist()), dtype=np.float16).reshape(-1, w).astype(np.float64) for c, w in zip(("text", "meta"), widths, strict=True)]
+                    total = of_views(total, views, some)
             if total is not None:
-                yield rows_of(total, None)
+                yield rows_of(total)
 
-        return self.table.transform(in_arrow, run, schema)
+        return table.transform(in_arrow, run, schema)
 
     def counts(self, bases, rules, weights) -> dict[tuple[int, int], int]:
-        def rows_of(total, more):
-            if more is None:
-                return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["v", "z", "n"])
+        def of_views(total, views, _):
+            more = Pool(tuple(views)).counts(bases, rules, weights)
             return {k: (total or {}).get(k, 0) + more.get(k, 0) for k in {*(total or {}), *more}}
 
-        got = self._mapped("counts", bases, rules, weights, rows_of, "v int, z int, n bigint").groupBy("v", "z").agg(F.sum("n").alias("n"))
+        def rows_of(total):
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["v", "z", "n"])
+
+        got = self._mapped(self.table, of_views, rows_of, "v int, z int, n bigint").groupBy("v", "z").agg(F.sum("n").alias("n"))
         return {(x.v, x.z): x.n for x in got.collect()}
 
-    def sums(self, bases, rules, weights) -> np.ndarray:
-        def rows_of(total, more):
-            if more is None:
-                from pyspark import TaskContext
+    def _taught(self, bases, rules) -> DataFrame:
+        """The rows that the rules label for either view, with both labels (-1: none)."""
+        if self.rounds != [len(x) for x in rules]:
+            widths = self.widths
 
-                return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+            def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for start in range(0, batch.num_rows, POOL_ROWS):
+                        some = batch.slice(start, POOL_ROWS)
+                        views = [np.frombuffer(b"".join(some.column(c).to_pylist()), dtype=np.float16).reshape(-1, w).astype(np.float64) for c, w in zip(("text", "meta"), widths, strict=True)]
+                        labels = Pool(tuple(views)).taught(bases, rules)[1]
+                        keep = pa.array((labels[0] >= 0) | (labels[1] >= 0))
+                        yield pa.RecordBatch.from_arrays([*(x.filter(keep) for x in (some.column("text"), some.column("meta"), *(pa.array(y, pa.int32()) for y in labels)))], names=["text", "meta", "y0", "y1"])
+
+            self.rounds, self.labelled = [len(x) for x in rules], cut(self.table.transform(in_arrow, run, "text binary, meta binary, y0 int, y1 int"))
+        return self.labelled
+
+    def sums(self, bases, rules, weights) -> np.ndarray:
+        def of_views(total, views, some):
+            labels = [np.asarray(some.column(x)) for x in ("y0", "y1")]
+            more = Pool.likelihood([b._design(x[y >= 0]) for b, x, y in zip(bases, views, labels, strict=True)], [y[y >= 0] for y in labels], weights)
             return more if total is None else total + more
 
+        def rows_of(total):
+            from pyspark import TaskContext
+
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
         def added(group: pa.Table) -> pa.Table:
             return pa.table({"sums": pa.array([sum(np.frombuffer(x) for x in group.column("sums").to_pylist()).tobytes()], pa.binary())})
 
-        got = self._mapped("sums", bases, rules, weights, rows_of, "part int, sums binary")
+        got = self._mapped(self._taught(bases, rules), of_views, rows_of, "part int, sums binary")
         if self.tasks > SUMS:
             got = got.groupBy("part").applyInArrow(added, "sums binary")
         size = sum((w + 1) * (w + 4) // 2 for w in self.widths)
