@@ -252,24 +252,25 @@ def _large_classes(large: DataFrame, nodes: DataFrame, sets: DataFrame, linked:
         loaded = rows.join(nodes.select("node", "sig"), "node").join(sets, "node")
         return cut(loaded.groupBy("key", "i", "j").applyInArrow(_one_of_blocks(threshold, tolerance), kind))
 
-    def blocks_of(rows: DataFrame) -> DataFrame:
-        """``rows`` (node, key, band) with the number of blocks of their bucket and their own."""
-        sized = rows.join(nodes.select("node", "n"), "node")
-        of = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("of"))
-        return rows.join(of, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("of")).cast("int"))
-
-    own = compared(blocks_of(large.select("node", "key", "band")).select("node", "key", "band", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.col("node").alias("label")))
-    bands = large.select("key", "band").distinct()
-    heads = blocks_of(own.select("key", F.col("root").alias("node")).distinct().join(bands, "key"))
+    def blocked(rows: DataFrame) -> DataFrame:
+        """``rows`` (node, key, size and shingles of their bucket) with the number of blocks of the bucket and their own."""
+        of = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        return rows.withColumn("of", of).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("of")).cast("int"))
+
+    own = compared(blocked(large).select("node", "key", "band", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.col("node").alias("label")))
+    heads = own.select("key", F.col("root").alias("node")).distinct().join(nodes.select("node", "n"), "node")
+    sizes = heads.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).join(large.select("key", "band").distinct(), "key")
+    heads = blocked(heads.drop("n").join(sizes.where("size > 1"), "key"))
     other = heads.select("node", "key", "band", "block", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
     side = F.when(F.col("block") > F.col("other"), 1).otherwise(0)
     between = compared(other.select("node", "key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), F.col("node").alias("label")))
     edges = lambda x: x.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")
     label = cut(_join_labels(linked.unionAll(edges(own)).unionAll(edges(between))))
 
-    named = cut(large.select("node", "key", "band").join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-    most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    placed = blocks_of(named.join(most, "key"))
+    named = cut(large.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+    most = named.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"))
+    # Buckets of one group, as most are by now, need nothing more.
+    placed = blocked(named.join(most.where("labels > 1"), "key"))
     rest = placed.where("label <> main")
     parts = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("key", "node"), F.col("parts")).cast("int")
