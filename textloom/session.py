@@ -5,9 +5,12 @@ from __future__ import annotations
 import logging
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.sources import files
+
 
 def session(name: str = "textloom", **settings: str) -> SparkSession:
     """A session with UTC times, Arrow and adaptive execution; keyword arguments name settings with ``__`` for a dot."""
@@ -40,6 +43,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Workspace:
+    """Tables in the shared folder that a job needs on its way; they are deleted where the ``with`` block ends.
+
+    Tasks that are run again read the same rows. What leaves the block has to be cut (``cut``) within it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error) -> None:
+        files.delete(self.spark, self.folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, computed now and read from its table."""
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, kept: DataFrame) -> None:
+        """Without the table of ``kept``, which nothing may read any more."""
+        files.delete(self.spark, self.paths[id(kept)][1])
+
+
 def log_to(level: str = "INFO", path: str | None = None) -> logging.Logger:
     """The driver's root logger, set anew: to the console, and to a file if one is named."""
     root = logging.getLogger()
