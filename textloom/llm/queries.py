@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cotrain, elkan, language, line_spread, lm_score, ngram_join, packing, prefix_forest, tiling, toxicity, url_filter
+from textloom.llm import cotrain, elkan, language, line_spread, lm_score, ngram_join, packing, prefix_forest, tiling, token_count, toxicity, url_filter
 from textloom.llm.common import read, remainder
 
 
@@ -78,6 +78,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return token_count.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
+
+
 def op13_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 clusters of ``embeddings`` after three rounds, in integers."""
     return elkan.cluster(read(spark, sf_dir, "embeddings", "vec_id", "embedding")).drop("calculations")
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op12_token_count": op12_token_count,
     "op13_elkan": op13_elkan,
 }
 ORACLES: dict[str, str] = {"op2_line_spread": line_spread.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op10_url_filter": url_filter.ORACLE, "op13_elkan": elkan.ORACLE}
