@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import cotrain, elkan, language, line_spread, lm_score, ngram_join, packing, prefix_forest, tiling, token_count, toxicity, url_filter
+from textloom.llm import annulus, cotrain, elkan, language, line_spread, lm_score, ngram_join, packing, prefix_forest, tiling, token_count, toxicity, url_filter
 from textloom.llm.common import read, remainder
 
 
@@ -78,6 +78,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th row of ``embeddings``; every seventh row has another label first."""
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return annulus.mine(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def op12_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     import public_tokenizers
@@ -102,7 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_token_count": op12_token_count,
     "op13_elkan": op13_elkan,
 }
-ORACLES: dict[str, str] = {"op2_line_spread": line_spread.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op10_url_filter": url_filter.ORACLE, "op13_elkan": elkan.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_spread": line_spread.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_hard_negatives": annulus.ORACLE, "op13_elkan": elkan.ORACLE}
