@@ -5,6 +5,9 @@ from __future__ import annotations
 import dataclasses
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class TrainingConfig:
@@ -56,6 +59,40 @@ def rules(config: TrainingConfig) -> list[tuple[str, bool]]:
     ]
 
 
+def column_rules(columns: list[str]) -> list[tuple[str, Column]]:
+    """The same rules on columns of a table of configurations; members without a column, and null ones, have their default.
+
+    ``span_low`` and ``span_high`` stand for the span, ``targets`` is an array.
+    """
+    usual = {x.name: x.default for x in dataclasses.fields(TrainingConfig)}
+    had = {x.lower() for x in columns}
+    of = lambda x: F.coalesce(F.col(x), F.lit(usual[x])) if x in had else F.lit(usual[x])
+    sizes = F.least(*(of(x) for x in ("vocabulary", "block", "layers", "batch", "accumulate")))
+    out = [
+        (sizes > 0), (of("heads") > 0) & (F.pmod(of("width"), F.greatest(of("heads"), F.lit(1))) == 0), of("dropout").between(0.0, 1.0), (of("rank_ratio") > 0) & (of("rank_ratio") <= 1), (of("share") > 0) & (of("share") < 1), of("rate") > 0,
+    ]
+    span = [F.coalesce(F.col(x), F.lit(v)) if x in had else F.lit(v) for x, v in (("span_low", 0), ("span_high", 1))]
+    out.append((span[0] < span[1]) & (span[1] <= of("block")))
+    known = F.array(*map(F.lit, ("q", "k", "v", "o", "ffn")))
+    out.append(F.size(F.array_except(F.coalesce(F.col("targets"), F.array()), known)) == 0 if "targets" in had else F.lit(True))
+    return list(zip((text for text, _ in rules(TrainingConfig())), out, strict=True))
+
+
+def judged(configs: DataFrame) -> DataFrame:
+    """A table of configurations with ``broken``: the rules that each one breaks, in their order."""
+    said = F.array(*(F.when(~held, F.lit(text)) for text, held in column_rules(configs.columns)))
+    return configs.withColumn("broken", F.filter(said, lambda x: x.isNotNull()))
+
+
+def validated(configs: DataFrame, key: str) -> DataFrame:
+    """The configurations as they are; one that breaks a rule fails the job, which names it and all rules that it breaks."""
+    found = judged(configs)
+    text = F.concat(F.lit("configuration "), F.col(key).cast("string"), F.lit(": "), F.array_join("broken", "; "))
+    # A key that is read is a key that was judged: the check can't be optimised away.
+    checked = F.when(F.size("broken") == 0, F.col(key)).otherwise(F.raise_error(text).cast(configs.schema[key].dataType))
+    return found.withColumn(key, checked).select(*(f"`{x}`" for x in configs.columns))
+
+
 #: Sizes by name; a task's members stand over those of its size.
 SIZES = {"small": {"width": 128, "heads": 4, "layers": 4, "block": 128}, "medium": {}, "large": {"width": 768, "heads": 12, "layers": 12, "block": 1024}}
 TASKS = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from textloom.functions.text import code_of, has_complexity, long_enough
 
@@ -26,16 +27,44 @@ def metadata(samples: DataFrame) -> DataFrame:
 
 
 def head(samples: DataFrame, n: int | None, order: str, rule: Column | None = None, raw: bool = False) -> DataFrame:
-    """The first ``n`` rows by ``order``: of those that ``rule`` accepts, or (``raw``) of all rows before the rule; None, 0 or -1: all."""
+    """The first ``n`` rows by ``order``: of those that ``rule`` accepts, or (``raw``) of all rows before the rule; None, 0 or -1: all.
+
+    By an integer ``order`` only the blocks of a table are read that hold the first rows (``reached``).
+    """
     accepted = samples if rule is None else samples.where(rule)
     if not n or n < 0:
         return accepted
+    if samples.schema[order].dataType in (ByteType(), ShortType(), IntegerType(), LongType()):
+        last = reached(samples, n, order, None if raw else rule)
+        if last is not None:
+            samples = samples.where(F.col(order).isNull() | (F.col(order) <= last))
+            accepted = samples if rule is None else samples.where(rule)
     if raw:
         first = samples.orderBy(order).limit(n)
         return first if rule is None else first.where(rule)
     return accepted.orderBy(order).limit(n)
 
 
+def reached(samples: DataFrame, n: int, order: str, rule: Column | None = None) -> int | None:
+    """A value of ``order`` up to which ``n`` rows that ``rule`` accepts stand; None if there are fewer than that in all.
+
+    From the least value on (one column is read for it) a stretch of ``n`` values is tried, then each time one four times
+    as wide. The bound reaches the scan, which passes over all blocks whose statistics lie above it: where blocks are
+    sorted by ``order``, besides that column as much is read as holds the rows that are looked for, however large the
+    table is. Of other tables more is read, with the same result.
+    """
+    accepted = samples if rule is None else samples.where(rule)
+    least, width = samples.agg(F.min(order)).first()[0], n
+    while least is not None and least + width < 2**62:
+        last = least + width
+        if accepted.where(F.col(order).isNull() | (F.col(order) <= last)).limit(n).count() >= n:
+            return last
+        if samples.where(F.col(order) > last).select(order).limit(1).isEmpty():
+            return None
+        width *= 4
+    return None
+
+
 def exact_split(samples: DataFrame, share: float, seed: int, key: str) -> DataFrame:
     """``samples`` with ``train``: exactly int(n * share) rows, by the order of md5(seed:key).
 

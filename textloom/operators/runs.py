@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-from textloom.functions.text import pad_right, preview, ratio
+from textloom.functions.text import fixed, pad_right, preview, ratio
 
 
 def rolling_mean(rows: DataFrame, value: str, order: str, n: int, keys: list[str] = ()) -> DataFrame:
@@ -65,7 +69,7 @@ def session_records(turns: DataFrame, key: str = "conv_id", order: str = "turn",
 
 def metric_table(rows: DataFrame, name: str, value: str, width: int = 24, digits: int = 4) -> DataFrame:
     """Fixed-width lines of named values; long names stay whole, and thousands are grouped."""
-    return rows.select(F.concat(pad_right(F.col(name), width), F.lit(" | "), F.format_number(F.col(value), digits)).alias("line"))
+    return rows.select(F.concat(pad_right(F.col(name), width), F.lit(" | "), fixed(F.col(value), digits, grouped=True)).alias("line"))
 
 
 def call_back(rows: DataFrame, callback, step: str = "step", names: list[str] | None = None) -> int:
@@ -76,6 +80,76 @@ def call_back(rows: DataFrame, callback, step: str = "step", names: list[str] |
     return n
 
 
+def observed(rows: DataFrame, **metrics: Column) -> tuple[DataFrame, Callable[[], dict]]:
+    """``rows`` as they are, and a function that gives the metrics of them once a job has run over them.
+
+    Tasks gather the metrics while they do the job's own work; no row comes to the driver and nothing is computed twice.
+    """
+    watch = Observation()
+    return rows.observe(watch, *(c.alias(x) for x, c in metrics.items())), lambda: watch.get
+
+
+class _Steps(StreamingQueryListener):
+    def __init__(self, name: str, callback: Callable[[int, dict], None], names: list[str]):
+        self.name, self.callback, self.names = name, callback, names
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        found = event.progress.observedMetrics.get(self.name)
+        if found is not None:
+            self.callback(event.progress.batchId, {x: found[x] for x in self.names})
+
+
+@contextmanager
+def each_step(stream: DataFrame, callback: Callable[[int, dict], None], name: str = "steps", **metrics: Column) -> Iterator[DataFrame]:
+    """Within the block: ``stream`` as it is, where after each step (a micro-batch, from 0) ``callback(step, metrics)`` is called, in order.
+
+    Metrics are aggregates of the step's rows, gathered by the tasks; queries of the block have to have ended (or to have processed
+    all that was there) before it does.
+    """
+    listener = _Steps(name, callback, list(metrics))
+    stream.sparkSession.streams.addListener(listener)
+    try:
+        yield stream.observe(name, *(c.alias(x) for x, c in metrics.items()))
+    finally:
+        stream.sparkSession._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+        stream.sparkSession.streams.removeListener(listener)
+
+
+def held(points: DataFrame, run: str, step: str, value: str, grid: int) -> DataFrame:
+    """(``run``, ``step``, ``value``) at each multiple of ``grid`` from a run's first point to its last: the latest value at or before it.
+
+    Each point stands for the multiples up to the next one of its run, so nothing is joined and runs of other steps align.
+    Points without a step or value don't count; of several at one step the largest value does.
+    """
+    once = points.where(F.col(step).isNotNull() & F.col(value).isNotNull()).groupBy(run, step).agg(F.max(value).alias(value))
+    after = F.lead(step).over(W.partitionBy(run).orderBy(step))
+    first, last = F.ceil(F.col(step) / F.lit(grid)), F.floor((F.coalesce(after, F.col(step) + 1) - 1) / F.lit(grid))
+    spans = once.select(run, value, first.alias("__from"), last.alias("__to")).where(F.col("__from") <= F.col("__to"))
+    return spans.select(run, value, F.explode(F.sequence("__from", "__to")).alias("__at")).select(run, (F.col("__at") * grid).cast("bigint").alias(step), value)
+
+
+def compare(points: DataFrame, run: str, step: str, value: str, grid: int) -> DataFrame:
+    """A row a run: its value at the last step that all runs have reached, its rank by that (least first, then by name), and its best so far.
+
+    Steps are those of ``held``. Columns: ``run``, compared_step, final, best, steps, rank, behind (the difference to the first).
+    Runs that end before another begins have no common step: then there is no row.
+    """
+    aligned = held(points, run, step, value, grid)
+    ends = aligned.groupBy(run).agg(F.min(step).alias("a"), F.max(step).alias("z")).agg(F.max("a").alias("__a"), F.min("z").alias("__z"))
+    common = aligned.join(F.broadcast(ends), F.col(step) <= F.col("__z")).where(F.col("__a") <= F.col("__z"))
+    each = common.groupBy(run, "__z").agg(F.max_by(value, step).alias("final"), F.min(value).alias("best"), F.count("*").alias("steps"))
+    # Runs are configurations: some hundreds.
+    order = W.orderBy("final", run)
+    ranked = each.withColumns({"rank": F.row_number().over(order), "behind": F.col("final") - F.first("final").over(order)})
+    return ranked.select(run, F.col("__z").alias("compared_step"), "final", "best", "steps", "rank", "behind")
+
+
 def parameter_counts(parameters: DataFrame, kind: str = "kind", size: str = "numel", trainable: str = "trainable", embedding: str = "embedding") -> DataFrame:
     """A row for each kind of module and one for all (kind null): weights, those trained, and those outside embeddings."""
     some = lambda rule: F.coalesce(F.sum(F.when(rule, F.col(size))), F.lit(0)).cast("bigint")

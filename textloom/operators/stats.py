@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import ratio
+from textloom.functions.text import fixed, ratio
 from textloom.operators import evaluate
 from textloom.schema import CLASSES
 
@@ -88,24 +88,30 @@ def tool_summary(predictions: DataFrame, tool: str = "tool") -> DataFrame:
 def report_lines(summary: DataFrame, tool: str = "tool") -> DataFrame:
     """Fixed-width report lines, fastest tool first; times in milliseconds."""
     ranked = evaluate.rank_by_time(summary, tool)
-    line = F.format_string("%-24s %.4f %.4f %10.3f ms", F.col(tool), F.col("accuracy"), F.col("f1_weighted"), F.col("mean_time") * 1000)
+    line = F.format_string("%-24s %s %s %10s ms", F.col(tool), fixed(F.col("accuracy"), 4), fixed(F.col("f1_weighted"), 4), fixed(F.col("mean_time") * 1000, 3))
     return ranked.select("rank", line.alias("line")).orderBy("rank")
 
 
-def report_blocks(predictions: DataFrame, tool: str = "tool", labels=CLASSES) -> DataFrame:
-    """(tool, ord, line): a block for each tool, of scores, times (in milliseconds a sample) and a table of classes."""
+def report_blocks(predictions: DataFrame, tool: str = "tool", labels=CLASSES, places: int | None = None) -> DataFrame:
+    """(tool, ord, line): a block for each tool, of scores, times (in milliseconds a sample) and a table of classes.
+
+    ``places``: scores and times (in seconds) are rounded to so many places first, as a summary that was rounded has them.
+    """
     counts = evaluate.pair_counts(predictions, [tool])
     rows = timing(predictions, [tool]).join(evaluate.accuracy(counts, [tool]).withColumnRenamed("n", "valid"), tool, "left").join(evaluate.averages(counts, [tool]), tool, "left").na.fill(0)
+    if places is not None:
+        rows = rows.withColumns({c: F.round(c, places) for c, kind in rows.dtypes if kind == "double"})
     ms = lambda x: F.col(x) * 1000
+    scores = {"Accuracy": "accuracy", "F1 (weighted)": "f1_weighted", "Precision (weighted)": "precision_weighted", "Recall (weighted)": "recall_weighted"}
+    times = {"Mean time": "mean_time", "Median time": "median_time", "Least time": "min_time", "Most time": "max_time"}
     said = [
-        ("%s", F.upper(tool)), ("Accuracy             %.4f", F.col("accuracy")), ("F1 (weighted)        %.4f", F.col("f1_weighted")), ("Precision (weighted) %.4f", F.col("precision_weighted")),
-        ("Recall (weighted)    %.4f", F.col("recall_weighted")), ("Valid                %d/%d", F.col("valid"), F.col("total_samples")), ("Total time           %.2f s", F.col("total_time")),
-        ("Mean time            %.2f ms", ms("mean_time")), ("Median time          %.2f ms", ms("median_time")), ("Least time           %.2f ms", ms("min_time")), ("Most time            %.2f ms", ms("max_time")),
-        ("Samples a second     %.2f", F.col("samples_per_second")), ("%s", F.format_string("%-12s %-10s %-12s %-10s %s", *map(F.lit, ("Class", "True", "Predicted", "Right", "Accuracy")))),
+        F.upper(tool), *(F.concat(F.lit(f"{name:<21}"), fixed(F.col(c), 4)) for name, c in scores.items()), F.format_string("Valid                %d/%d", F.col("valid"), F.col("total_samples")),
+        F.concat(F.lit("Total time           "), fixed(F.col("total_time"), 2), F.lit(" s")), *(F.concat(F.lit(f"{name:<21}"), fixed(ms(c), 2), F.lit(" ms")) for name, c in times.items()),
+        F.concat(F.lit("Samples a second     "), fixed(F.col("samples_per_second"), 2)), F.lit(f"{'Class':<12} {'True':<10} {'Predicted':<12} {'Right':<10} Accuracy"),
     ]
-    lines = F.array(*(F.struct(F.lit(i).alias("ord"), F.format_string(form, *values).alias("line")) for i, (form, *values) in enumerate(said)))
+    lines = F.array(*(F.struct(F.lit(i).alias("ord"), line.alias("line")) for i, line in enumerate(said)))
     head = rows.select(tool, F.inline(lines))
     scores = evaluate.per_class(counts, [tool], labels).where("support > 0 OR predicted > 0")
     place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")).cast("int") + len(said) - 1
-    table = scores.select(tool, place.alias("ord"), F.format_string("%-12s %-10d %-12d %-10d %.1f%%", F.col("label"), F.col("support"), F.col("predicted"), F.col("hits"), F.col("recall") * 100).alias("line"))
+    table = scores.select(tool, place.alias("ord"), F.format_string("%-12s %-10d %-12d %-10d %s%%", F.col("label"), F.col("support"), F.col("predicted"), F.col("hits"), fixed(F.col("recall") * 100, 1)).alias("line"))
     return head.unionByName(table)

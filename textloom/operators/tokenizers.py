@@ -8,7 +8,7 @@ from abc import ABC, abstractmethod
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.operators import sequences
+from textloom.operators import merges, sequences
 from textloom.sources import files
 
 
@@ -78,6 +78,11 @@ class PairTokenizer(TextTokenizer):
     def fit(cls, texts: list[str], vocab_size: int) -> PairTokenizer:
         return cls(sequences.train_bpe(texts, vocab_size))
 
+    @classmethod
+    def learn(cls, docs: DataFrame, vocab_size: int, text: str = "text") -> PairTokenizer:
+        """Fitted by Spark on all texts of ``docs``; as ``fit`` on lines that have the same counts."""
+        return cls(merges.serialized(*merges.learn(merges.pieces_of(docs, text), vocab_size)))
+
     def encode(self, docs: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         return sequences.bpe_encode(docs, self.serialized, text, to)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import curate, sequences, stats
+from textloom.operators.tokenizers import PairTokenizer
 from textloom.plans.evaluation import _rounded
 from textloom.session import cut, shared_folder
 from textloom.sources import files, jsonl
@@ -217,9 +218,11 @@ def padded_names(spark, sf_dir):
 def bpe_encode(spark, sf_dir):
     """Byte-pair ids by a tokenizer fitted on those of the first 1,000 texts that are long enough; the limit is the fit's own."""
     docs = _docs(spark, sf_dir, "doc_id", "text")
-    first = docs.orderBy("doc_id").limit(1000).where(T.long_enough(F.col("text"), strict=True))
-    sample = [x["text"] for x in first.orderBy("doc_id").select("text").toLocalIterator()]
-    tokenizer = sequences.train_bpe(sample, 500)
+    first = curate.head(docs, 1000, "doc_id").where(T.long_enough(F.col("text"), strict=True))
+    # Texts are joined by line feeds, so each but the last one ends with one more.
+    last = first.agg(F.max("doc_id")).first()[0]
+    joined = first.select(F.when(F.col("doc_id") < last, F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"))
+    tokenizer = PairTokenizer.learn(joined, 500).serialized
     coded = sequences.bpe_decode(sequences.bpe_encode(docs, tokenizer), tokenizer)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.md5(_joined(F.col("ids"))).alias("ids_md5"), F.md5("decoded").alias("decoded_md5"))
 

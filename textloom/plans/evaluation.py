@@ -108,7 +108,7 @@ def tool_report(spark, sf_dir):
 
 def console_report(spark, sf_dir):
     """Lines of the report's blocks, by tool and place."""
-    return _rounded(stats.report_blocks(predictions(spark, sf_dir).where("tool IS NOT NULL")))
+    return _rounded(stats.report_blocks(predictions(spark, sf_dir).where("tool IS NOT NULL"), places=6))
 
 
 def custom_mapper(spark, sf_dir):

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom import config
 from textloom.functions import schedule, text
 from textloom.operators import runs
 from textloom.plans.evaluation import _rounded
@@ -87,6 +88,39 @@ def generation_sessions(spark, sf_dir):
     return _rounded(runs.sessions(turns))
 
 
+def config_comparison(spark, sf_dir):
+    """Runs whose steps differ (each lacks others of its days), aligned by the week and ranked."""
+    rows = losses(spark, sf_dir)
+    kept = rows.where(F.pmod(F.col("step") * 7 + F.length("run_id"), F.lit(5)) != 0)
+    return _rounded(runs.compare(kept, "run_id", "step", "loss", 7))
+
+
+def aligned_losses(spark, sf_dir):
+    """The same runs at each week: the latest loss."""
+    rows = losses(spark, sf_dir)
+    return runs.held(rows.where(F.pmod(F.col("step") * 7 + F.length("run_id"), F.lit(5)) != 0), "run_id", "step", "loss", 7)
+
+
+def _configs(spark, sf_dir) -> DataFrame:
+    """Configurations whose members follow from the keys of orders; many break rules."""
+    k = F.col("o_orderkey").cast("bigint")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        k.alias("key"), (k % 7 * 64).cast("int").alias("width"), (k % 5).cast("int").alias("heads"), (k % 11).cast("int").alias("layers"), ((k % 13) / F.lit(10.0)).alias("dropout"), ((k % 17) / F.lit(16.0)).alias("share"), (k % 3 - 1).cast("double").alias("rate"),
+        F.when(k % 6 == 0, "z").otherwise("q").alias("target"),
+    ).withColumn("targets", F.array("target")).drop("target")
+
+
+def judged_configs(spark, sf_dir):
+    """The rules that each configuration breaks."""
+    return config.judged(_configs(spark, sf_dir)).select("key", F.size("broken").cast("bigint").alias("n_broken"), F.array_join("broken", "; ").alias("broken"))
+
+
+def valid_configs(spark, sf_dir):
+    """Configurations that break none, checked within the plan."""
+    good = config.judged(_configs(spark, sf_dir)).where(F.size("broken") == 0).drop("broken")
+    return config.validated(good, "key").select("key", F.col("width").cast("bigint").alias("width"), F.col("heads").cast("bigint").alias("heads"), F.col("layers").cast("bigint").alias("layers"))
+
+
 def run_params_pivot(spark, sf_dir):
     """A run store written and read: clean metrics of finished active runs, with their parameters."""
     path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
@@ -107,12 +141,26 @@ def _write_store(spark: SparkSession, path: str) -> None:
         write_text(spark, f"{path}/{name}", text)
 
 
-QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, param_formulas, parameter_counts, run_names, generation_sessions, run_params_pivot)}
+QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, param_formulas, parameter_counts, run_names, generation_sessions, run_params_pivot, config_comparison, aligned_losses, judged_configs, valid_configs)}
 
 _LOSS = "loss AS (SELECT event_type AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS step, round(avg(value), 6) AS loss FROM events GROUP BY ALL)"
 _BEST = "b AS (SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM loss)"
 
+#: Runs without a fifth of their days, at the multiples of 7 from their first day to their last, by an as-of join.
+_HELD = f"""{_LOSS}, k AS (SELECT * FROM loss WHERE (step * 7 + length(run_id)) % 5 <> 0), r AS (SELECT run_id, min(step) AS a, max(step) AS z FROM k GROUP BY run_id),
+g AS (SELECT run_id, CAST(s * 7 AS BIGINT) AS step FROM (SELECT run_id, a, z, unnest(range(a // 7, z // 7 + 1)) AS s FROM r) WHERE s * 7 >= a), h AS (SELECT g.run_id, g.step, k.loss FROM g ASOF JOIN k ON g.run_id = k.run_id AND g.step >= k.step)"""
+_CONFIGS = """c AS (SELECT o_orderkey AS key, o_orderkey % 7 * 64 AS width, o_orderkey % 5 AS heads, o_orderkey % 11 AS layers, o_orderkey % 13 AS dropout10, o_orderkey % 17 AS share16, o_orderkey % 3 - 1 AS rate, o_orderkey % 6 = 0 AS odd FROM orders),
+b AS (SELECT key, width, heads, layers, list_filter([CASE WHEN layers <= 0 THEN 'vocabulary, block, layers and batch have to be above 0' END, CASE WHEN heads = 0 OR width % greatest(heads, 1) <> 0 THEN 'width has to be a multiple of heads' END,
+  CASE WHEN dropout10 > 10 THEN 'dropout has to be from 0 to 1' END, CASE WHEN share16 = 0 OR share16 >= 16 THEN 'share has to be between 0 and 1' END, CASE WHEN rate <= 0 THEN 'rate has to be above 0' END,
+  CASE WHEN odd THEN 'targets have to be of q, k, v, o and ffn' END], lambda x: x IS NOT NULL) AS broken FROM c)"""
+
 ORACLES = {
+    "aligned_losses": f"WITH {_HELD} SELECT run_id, step, loss FROM h",
+    "config_comparison": f"""WITH {_HELD}, e AS (SELECT max(a) AS a, min(z) AS z FROM (SELECT run_id, min(step) AS a, max(step) AS z FROM h GROUP BY run_id)),
+f AS (SELECT run_id, max(e.z) AS compared_step, arg_max(loss, step) AS final, min(loss) AS best, count(*) AS steps FROM h, e WHERE step <= e.z AND e.a <= e.z GROUP BY run_id)
+SELECT run_id, compared_step, round(final, 6) AS final, round(best, 6) AS best, steps, row_number() OVER w AS rank, round(final - first_value(final) OVER w, 6) AS behind FROM f WINDOW w AS (ORDER BY final, run_id)""",
+    "judged_configs": f"WITH {_CONFIGS} SELECT key, len(broken) AS n_broken, array_to_string(broken, '; ') AS broken FROM b",
+    "valid_configs": f"WITH {_CONFIGS} SELECT key, width, heads, layers FROM b WHERE len(broken) = 0",
     "rolling_train_loss": f"WITH {_LOSS} SELECT run_id, step, round(avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM loss",
     "best_val_loss": f"WITH {_LOSS}, {_BEST} SELECT run_id, step, round(least(loss, coalesce(prev, loss)), 6) AS best, prev IS NULL OR loss < prev AS improved FROM b",
     "early_stopping": f"""WITH {_LOSS}, {_BEST}, g AS (SELECT *, sum(CASE WHEN prev IS NULL OR loss < prev THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY step) AS island FROM b),

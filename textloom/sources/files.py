@@ -27,9 +27,39 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def append_text(spark: SparkSession, path: str, text: str) -> None:
-    """The file with ``text`` after what it holds; it is read and written anew, as stores needn't be able to append."""
-    write_text(spark, path, (read_text(spark, path) if exists(spark, path) else "") + text)
+class Appended:
+    """A text file to which lines are added, through one open stream: what it held before is copied once.
+
+    What was added is handed on to the store with each ``add``; stores that show a file only once it is whole do so at ``close``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        before = read_text(spark, path) if exists(spark, path) else ""
+        where, system = _place(spark, path)
+        self.out = system.create(where, True)
+        self.add(before)
+
+    def add(self, text: str) -> None:
+        self.out.write(text.encode("utf-8"))
+        self.out.hflush()
+
+    def close(self) -> None:
+        self.out.close()
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The data files that match a pattern or stand in folders that do, in the order of their names; none is opened."""
+    where, system = _place(spark, pattern)
+    out, open_ = [], list(system.globStatus(where) or [])
+    while open_:
+        found = open_.pop()
+        if found.getPath().getName().startswith(("_", ".")):
+            continue
+        if found.isDirectory():
+            open_ += list(system.listStatus(found.getPath()))
+        else:
+            out.append(found.getPath().toString())
+    return sorted(out)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +24,29 @@ def read_strict(spark: SparkSession, path: str, schema: str = CODE_SAMPLE) -> Da
 
 
 def read_skipping(spark: SparkSession, path: str, schema: str, n: int = -1, corrupt: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """The first ``n`` well-formed rows (-1: all, 0: none), and all malformed lines."""
-    parsed = _parsed(numbered_lines(spark, path).where(F.trim("value") != ""), schema, corrupt)
+    """The first ``n`` well-formed rows (-1: all, 0: none), and all malformed lines of the files that were read for them."""
+    shown = lambda lines: _parsed(lines.where(F.trim("value") != ""), schema, corrupt)
+    lines = numbered_lines(spark, path) if n < 0 else enough(spark, path, n, lambda lines: shown(lines).where("ok"))
+    parsed = shown(lines)
     good = parsed.where("ok").select("line", "r.*").drop(corrupt)
     return (good if n < 0 else good.orderBy("line").limit(n)), parsed.where("NOT ok").select("line", "value")
 
 
+def enough(spark: SparkSession, path: str, n: int, accepted: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The numbered lines of the first files, by name, that hold ``n`` rows which ``accepted`` makes of them; else of all files.
+
+    One file is tried, then four times as many each time, so what is read follows ``n`` and the size of a file, not the
+    number of files.
+    """
+    paths, k = files.listed(spark, path), 1
+    while k < len(paths):
+        lines = numbered_lines(spark, paths[:k])
+        if accepted(lines).limit(max(n, 1)).count() >= n:
+            return lines
+        k *= 4
+    return numbered_lines(spark, path)
+
+
 def _parsed(lines: DataFrame, schema: str, corrupt: str = "_corrupt_record") -> DataFrame:
     parsed = lines.withColumn("r", F.from_json("value", f"{schema}, {corrupt} string", {"columnNameOfCorruptRecord": corrupt}))
     return parsed.withColumn("ok", F.col("r").isNotNull() & F.col(f"r.{corrupt}").isNull())
@@ -38,8 +57,9 @@ def read_accepted(spark: SparkSession, path: str, schema: str = SOLUTION_SAMPLE,
 
     No row at all is an error. Blank lines aren't counted.
     """
-    lines = numbered_lines(spark, path).where(F.trim("value") != "")
-    rows = curate(_parsed(lines, schema).where("ok").select("line", "r.*").drop("_corrupt_record"), **rules)
+    shown = lambda lines: curate(_parsed(lines.where(F.trim("value") != ""), schema).where("ok").select("line", "r.*").drop("_corrupt_record"), **rules)
+    lines = numbered_lines(spark, path) if n is None else enough(spark, path, n, shown)
+    rows, lines = shown(lines), lines.where(F.trim("value") != "")
     rows = cut(rows if n is None else rows.orderBy("line").limit(n))
     told = rows.agg(F.count("*").alias("n"), F.max("line").alias("last")).first()
     if not told["n"]:
@@ -58,21 +78,23 @@ def tokenizer_texts(spark: SparkSession, path: str, n: int = 1000, primary: str
     return [x["code"] for x in lines.select("line", code).where(long_enough(F.col("code"), strict=True)).orderBy("line").collect()]
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(line, value): all lines, blank ones too, numbered from 0 in the order of file names and of places in them.
 
-    Blocks of files are counted first (a row for each), so that the numbers don't hang on how blocks are dealt to tasks.
+    Blocks of files are counted first (a row for each), so that the numbers don't hang on how blocks are dealt to tasks;
+    they are summed up file by file, and a window over all sees a row for each file.
     """
     read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
     blocks = read.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return read.join(blocks.withColumn("before", before), ["f", "b"]).select((F.col("before") + F.col("i") - F.col("first")).alias("line"), "value")
+    preceding = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    far = blocks.groupBy("f").agg(F.sum("n").alias("n")).select("f", preceding(W.orderBy("f")).alias("far"))
+    before = blocks.withColumn("near", preceding(W.partitionBy("f").orderBy("b"))).join(far, "f").select("f", "b", "first", (F.col("near") + F.col("far")).alias("before"))
+    return read.join(before, ["f", "b"]).select((F.col("before") + F.col("i") - F.col("first")).alias("line"), "value")
 
 
 def head_raw(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The first ``n`` physical lines, blank and malformed ones included."""
-    lines = numbered_lines(spark, path)
-    return lines.where(F.col("line") < n) if n >= 0 else lines
+    return enough(spark, path, n, lambda lines: lines).where(F.col("line") < n) if n >= 0 else numbered_lines(spark, path)
 
 
 def read_whole(spark: SparkSession, path: str, fallback: str = FALLBACK) -> DataFrame:

@@ -67,20 +67,28 @@ STATUS = {"running": 1, "finished": 3, "failed": 4}
 class RunLog:
     """Writes one run of the store: parameters, tags and metric points as they come, then how it ended.
 
-    What can't be written is told to ``report`` and does not end the run.
+    What can't be written is told to ``report`` and does not end the run. Each metric has one open file up to the end.
     """
 
     def __init__(self, spark: SparkSession, path: str, experiment: str, run_id: str, name: str, report=lambda error: None, clock=lambda: int(time.time() * 1000)):
         self.spark, self.folder, self.run_id, self.name, self.report, self.clock = spark, f"{path}/{experiment}/{run_id}", run_id, name, report, clock
-        self.began = clock()
+        self.began, self.open = clock(), {}
         self._meta("running", None)
 
-    def _write(self, place: str, text: str, more: bool = False) -> None:
+    def _tried(self, action) -> None:
         try:
-            (files.append_text if more else files.write_text)(self.spark, f"{self.folder}/{place}", text)
+            action()
         except Exception as error:  # a log must not end what it logs
             self.report(error)
 
+    def _write(self, place: str, text: str) -> None:
+        self._tried(lambda: files.write_text(self.spark, f"{self.folder}/{place}", text))
+
+    def _add(self, place: str, text: str) -> None:
+        if place not in self.open:
+            self.open[place] = files.Appended(self.spark, f"{self.folder}/{place}")
+        self.open[place].add(text)
+
     def _meta(self, status: str, ended: int | None) -> None:
         lines = {"run_id": self.run_id, "run_name": self.name, "start_time": self.began, "end_time": "null" if ended is None else ended, "status": STATUS[status], "lifecycle_stage": "active"}
         self._write("meta.yaml", "".join(f"{k}: {v}\n" for k, v in lines.items()))
@@ -97,7 +105,10 @@ class RunLog:
         """A line ``ts value step`` for each metric."""
         now = self.clock()
         for key, value in values.items():
-            self._write(f"metrics/{key}", f"{now} {float(value)} {step}\n", more=True)
+            self._tried(lambda key=key, value=value: self._add(f"metrics/{key}", f"{now} {float(value)} {step}\n"))
 
     def end(self, status: str = "finished") -> None:
+        for file in self.open.values():
+            self._tried(file.close)
+        self.open = {}
         self._meta(status, self.clock())
