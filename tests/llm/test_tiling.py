@@ -127,3 +127,42 @@ def test_query_against_all_pairs(spark, sf_dir):
             if len(item) >= n and np.isin(tiling.running_hash(item, n), tiling.running_hash(text, n)).any() and sum(x[2] for x in tiling.tile(text, item, n)) >= tiling.COVERAGE * len(item):
                 expected.add((d.doc_id, k))
     assert {(x.doc_id, x.item_id) for x in queries.op9_decontamination(spark, sf_dir).collect()} == expected and expected
+
+
+def test_what_most_texts_hold_does_not_tell():
+    """Whatever is left out covers too little; each text that could reach the threshold holds a telling seed."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        windows, needed = rng.integers(0, 12, size=n), float(rng.integers(1, n + 6))
+        rate = rng.integers(0, 9, size=12)
+        told = set(tiling.telling(windows, rate[windows], 5, needed).tolist())
+        cover = lambda some: len({i + k for i, x in enumerate(windows) if x in some for k in range(5)})
+        left = set(windows.tolist()) - told
+        assert cover(left) < needed and (not told or cover(set(windows.tolist())) >= needed)
+        assert not told or not left or min(rate[list(left)]) >= max(rate[list(told)])
+
+
+def test_a_prompt_that_all_share_makes_no_pairs(spark):
+    """1,000 items and 100,000 documents begin with one prompt of seven words: the planted copies are found, within two minutes (10 seconds alone)."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def texts(n, parts, name):
+        body = F.concat_ws(" ", *(F.substring(F.sha2(F.concat_ws("/", F.lit(name), "id", F.lit(k)), 256), 1, 7) for k in range(14)))
+        return spark.range(0, n, 1, parts).select("id", F.concat(F.lit("Which of the following statements is true? "), body).alias("text"))
+
+    items = texts(1_000, 2, "item").withColumnRenamed("id", "item_id")
+    docs = texts(100_000, 8, "doc").withColumnRenamed("id", "doc_id")
+    planted = items.where("item_id % 100 = 0").select((F.col("item_id") + 1_000_000).alias("doc_id"), F.concat(F.lit("so they ask: "), "text", F.lit(" and no more")).alias("text"))
+    began = time.perf_counter()
+    got = sorted((x.doc_id, x.item_id) for x in tiling.find_contamination(docs.unionAll(planted), items).collect())
+    assert got == [(1_000_000 + i, i) for i in range(0, 1_000, 100)] and time.perf_counter() - began < 120
+
+
+def test_an_item_that_is_mostly_prompt_matches_all(spark):
+    prompt = "which of the following statements is true about it"
+    docs = spark.createDataFrame([(i, f"{prompt} number{i}") for i in range(40)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, f"{prompt} or"), (2, f"{prompt} one two three four five six seven eight nine")], "item_id bigint, text string")
+    assert sorted((x.doc_id, x.item_id) for x in tiling.find_contamination(docs, items).collect()) == [(i, 1) for i in range(40)]

@@ -141,6 +141,56 @@ def _seeds(least: int, bits: np.ndarray | None = None):
 
 
 _SEEDED = "row bigint, id bigint, text string, words bigint, seeds array<bigint>, times array<bigint>"
+_TARGET = "row bigint, id bigint, text string, words bigint, windows array<bigint>"
+
+
+def _targets(least: int):
+    """For each item of enough words its seeds, in the order of their places."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        for block in blocks(batches):
+            hashes, rows = _word_hashes(block.column("text"))
+            at = bounds(rows, block.num_rows)
+            some = np.flatnonzero(np.diff(at) >= least)
+            lists = pa.array([running_hash(hashes[at[i] : at[i + 1]], least).view(np.int64) for i in some], pa.list_(pa.int64()))
+            keep = pa.array(some)
+            yield pa.RecordBatch.from_arrays([pa.array(number + some), block.column("id").take(keep), block.column("text").take(keep), pa.array(np.diff(at)[some]), lists], names=[x.split()[0] for x in _TARGET.split(", ")])
+            number += block.num_rows
+
+    return run
+
+
+def telling(windows: np.ndarray, often: np.ndarray, least: int, needed: float) -> np.ndarray:
+    """The seeds of an item of which a text has to hold one, if tiles are to cover ``needed`` of its words.
+
+    ``often`` says how many texts hold the seed at each place. Seeds that most texts hold are left out, one after the other,
+    as long as all that are left out cover too few words together: a text that holds no other can't reach the threshold.
+    """
+    seeds, first, which = np.unique(windows, return_index=True, return_inverse=True)
+    places = np.argsort(which, kind="stable")
+    begins = np.searchsorted(which[places], np.arange(len(seeds) + 1))
+    covered, total = np.zeros(len(windows) + least - 1, dtype=bool), 0
+    order = np.lexsort((seeds, -often[first]))
+    for k, j in enumerate(order):
+        for i in places[begins[j] : begins[j + 1]]:
+            total += least - int(covered[i : i + least].sum())
+            covered[i : i + least] = True
+        if total >= needed:
+            return seeds[order[k:]]
+    return seeds[:0]
+
+
+def _telling(least: int, coverage: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(x).to_pylist() for x in ("item", "words", "windows", "often")]
+            found = [(item, x) for item, words_, windows, often in zip(*columns, strict=True) for x in telling(np.array(windows, dtype=np.int64), np.array(often, dtype=np.int64), least, coverage * words_).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["item", "seed"])
+
+    return run
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
@@ -200,8 +250,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST
     """Pairs of documents (doc_id, text) and benchmark items (item_id, text) where tiles cover the item's words.
 
     Seeds are windows of ``least`` words. Those of the documents that may be an item's (by a bitmap of bounded size) are
-    joined with those of the items; a pair that shares so many that its tiles could cover the item is tiled. A tile covers
-    at most ``least`` words for each window it holds, so no other pair can reach the threshold.
+    counted, and joined with the ones of each item that tell it from others (``telling``): what most documents hold, like
+    a common prompt, makes no pairs unless it covers enough of the item by itself. Of the pairs found those are tiled whose shared seeds
+    cover enough of the item's words. Words of a tile all stand in shared seeds, so no other pair can reach the threshold.
 
     Items and documents that are null, empty or of fewer than ``least`` words match nothing. Repeated documents give
     repeated rows, repeated items a row each; a null id stays null; an empty table gives no rows; other columns are
@@ -209,17 +260,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST
     """
     spark = docs.sparkSession
     targets = benchmark.select(F.col("item_id").cast("bigint").alias("id"), F.col("text").cast("string"))
-    targets = cut(targets.transform(in_arrow, _seeds(least), _SEEDED))
-    known = targets.select(F.col("row").alias("item"), F.col("words"), F.explode(F.arrays_zip("seeds", "times")).alias("x")).select("item", "words", F.col("x.seeds").alias("seed"), F.col("x.times").alias("times"))
-    bits = spark.sparkContext.broadcast(_bitmap(known))
+    targets = cut(targets.transform(in_arrow, _targets(least), _TARGET))
+    places = targets.select(F.col("row").alias("item"), "words", F.posexplode("windows").alias("place", "seed"))
+    bits = spark.sparkContext.broadcast(_bitmap(places))
     source = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
     seeded = cut(source.transform(in_arrow, _seeds(least, bits), _SEEDED))
 
     salt = lambda x: F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int").alias("salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     here = seeded.select("row", salt("row"), F.explode("seeds").alias("seed"))
-    shared = here.join(known.select("*", salts), ["seed", "salt"]).groupBy("row", "item", "words").agg(F.sum("times").alias("windows"))
-    pairs = shared.where(F.col("windows") * least >= F.lit(coverage) * F.col("words")).select("row", "item", salt("row"))
+    counts = here.groupBy("seed").count()
+    dated = places.join(counts, "seed", "left").groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("place", "seed", F.coalesce("count", F.lit(0)).alias("often")))).alias("x"))
+    told = dated.select("item", "words", F.col("x.seed").alias("windows"), F.col("x.often").alias("often")).transform(in_arrow, _telling(least, coverage), "item bigint, seed bigint")
+    found = here.join(told.select("*", salts), ["seed", "salt"]).select("row", "item").distinct()
+    # What the shared seeds cover, place by place.
+    held = found.join(seeded.select("row", "seeds"), "row").join(targets.select(F.col("row").alias("item"), "words", "windows"), "item")
+    common = F.array_intersect("windows", "seeds")
+    at = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda i: F.array_contains("common", F.get("windows", i)))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + least - 1)))))
+    pairs = held.withColumn("common", common).where(covered >= F.lit(coverage) * F.col("words")).select("row", "item", salt("row"))
     texts = seeded.select("row", "id", "text").join(pairs, "row")
     wanted = targets.select(F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("text").alias("target"), salts)
     both = texts.join(wanted, ["item", "salt"]).select("id", "text", "item_id", F.col("target").alias("item"))
