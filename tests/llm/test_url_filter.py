@@ -57,6 +57,19 @@ def test_long_url(spark):
     assert url_filter.judge(frame(spark, ["http://a.net/" + "ab" * 20_000, "http://a.org/", "http://a.com/de/"])).count() == 3
 
 
+def test_long_random_urls_take_time_by_their_length(spark):
+    """A URL of a million random characters, none of whose grams is hot."""
+    import random
+    import string
+    import time
+
+    rng = random.Random(3)
+    long = "http://a.org/" + "".join(rng.choices(string.ascii_letters + string.digits + "é中\U0001f600", k=1_000_000))
+    began = time.perf_counter()
+    rows = url_filter.judge(frame(spark, [long, *(f"http://b{i}.com/{'fr' if i % 2 else 'de'}/{i}" for i in range(250))])).collect()
+    assert time.perf_counter() - began < 120 and len(rows) == 251 and [r.verdict for r in rows if r.page_id == 0] == ["allow"]
+
+
 def test_probabilities_sum_to_less_than_one(spark):
     """Smoothing leaves mass to unseen characters; the seen ones of a context hold the rest."""
     texts = spark.createDataFrame([("abcab", 3, 1), ("abd", 1, 2)], "text string, accepted bigint, rejected bigint")

@@ -43,10 +43,15 @@ def rule_for(host: str, path: str, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _grams(texts: DataFrame, order: int) -> DataFrame:
-    """Each character of ``text`` with the ``order`` before it, ``^`` before the first; ``$`` ends the text."""
+def _grams(texts: DataFrame, order: int, *kept: str) -> DataFrame:
+    """``kept`` columns and each character of ``text`` with the ``order`` before it, ``^`` before the first; ``$`` ends the text.
+
+    Characters are split once and taken by their place, so the time follows the length.
+    """
     padded = F.concat(F.lit("^" * order), F.col("text"), F.lit("$"))
-    return texts.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") + 1), lambda i: F.substring(padded, i, F.lit(order + 1)))).alias("gram"))
+    from_ = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - order - 1), lambda i: F.concat(*(F.get(c, i + k) for k in range(order + 1))))
+    # The split stands in a lambda's variable: it isn't made again for each character.
+    return texts.select(*kept, F.explode(F.flatten(F.transform(F.array(F.split(padded, "")), from_))).alias("gram"))
 
 
 def ratios(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -55,7 +60,7 @@ def ratios(texts: DataFrame, order: int = ORDER) -> DataFrame:
     Both models interpolate orders 0 to ``order`` by Witten-Bell: a context seen n times with t distinct followers
     gives (count + t * lower order) / (n + t); a context that a class lacks gives the lower order alone.
     """
-    grams = cut(_grams(texts, order).groupBy("gram").agg(F.sum("accepted").cast("double").alias("a"), F.sum("rejected").cast("double").alias("r")))
+    grams = cut(_grams(texts, order, "accepted", "rejected").groupBy("gram").agg(F.sum("accepted").cast("double").alias("a"), F.sum("rejected").cast("double").alias("r")))
     lower = None
     for k in range(order + 1):
         seen = grams.groupBy(F.substring("gram", order + 1 - k, k + 1).alias("s")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
@@ -74,19 +79,21 @@ def ratios(texts: DataFrame, order: int = ORDER) -> DataFrame:
 def mean_ratios(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """``texts`` (text, accepted, rejected, taught: whether it teaches the models) with the mean log-ratio of its characters.
 
-    Grams that many texts share are looked up in a bounded table that all tasks have, so none gathers in one task.
+    Grams that many texts share are looked up in a bounded table that all tasks have, so none gathers in one task. With
+    each gram goes a key of its text (two hashes of 64 bits), not the text, and each text has a gram once, with its count.
     """
+    texts = texts.withColumns({"k": F.xxhash64("text"), "l": F.xxhash64(F.lit(1), "text")})
     taught = lambda x: F.when(F.col("taught"), F.col(x)).otherwise(0).alias(x)
     table = cut(ratios(texts.select("text", taught("accepted"), taught("rejected")), order))
-    grams = _grams(texts.select("text"), order)
-    counted = cut(grams.groupBy("gram").count())
+    grams = _grams(texts, order, "k", "l").groupBy("k", "l", "gram").agg(F.count("*").alias("n"))
+    counted = cut(grams.groupBy("gram").agg(F.sum("n").alias("count")))
     every = counted.agg(F.sum("count").alias("n")).first()["n"] or 0
     hot = table.join(counted.where(F.col("count") >= HOT * every).select("gram"), "gram", "left_semi")
     known = grams.join(F.broadcast(hot), "gram", "left")
-    summed = lambda x: x.groupBy("text").agg(F.sum("ratio").alias("ratio"), F.count("*").alias("n"))
+    summed = lambda x: x.groupBy("k", "l").agg(F.sum(F.col("ratio") * F.col("n")).alias("ratio"), F.sum("n").alias("n"))
     both = summed(known.where("ratio IS NOT NULL")).unionByName(summed(known.where("ratio IS NULL").drop("ratio").join(table, "gram")))
-    means = both.groupBy("text").agg((F.sum("ratio") / F.sum("n")).alias("score"))
-    return texts.join(means, "text")
+    means = both.groupBy("k", "l").agg((F.sum("ratio") / F.sum("n")).alias("score"))
+    return texts.join(means, ["k", "l"]).drop("k", "l")
 
 
 def calibration(scored: DataFrame) -> tuple[float, float] | None:
