@@ -128,6 +128,7 @@ def test_sequences(spark):
     assert {r.i: (r.a, r.m) for r in coded.select("i", ids.alias("a"), mask.alias("m")).collect()} == {0: ([0, 1, 2], [1, 1, 1]), 1: ([0, 0, 0], [0, 0, 0]), 2: ([0, 0, 0], [0, 0, 0]), 3: ([1, 0, 0], [1, 0, 0])}
     assert {r.i: r.c for r in coded.select("i", sequences.crop(F.col("ids"), 2).alias("c")).collect()} == {0: [2, 1], 1: [], 2: [], 3: [1]}
     assert [tuple(r) for r in sequences.windows(coded, "ids", 2).select("start", "x", "y").orderBy("start").collect()] == [(0, [0, 1], [1, 2]), (1, [1, 2], [2, 1])]
+    assert [tuple(r) for r in sequences.window_ends(coded, "ids", 2).select("i", "start", "x_first", "x_last", "y_last").orderBy("start").collect()] == [(0, 0, 0, 1, 2), (0, 1, 1, 2, 1)]
 
 
 def test_bpe_is_lossy(spark):

@@ -58,12 +58,27 @@ def pad(ids: Column, length: Column | int, by: int = 0) -> tuple[Column, Column]
     return F.concat(kept, F.array_repeat(F.lit(by), rest)), F.concat(F.array_repeat(F.lit(1), F.size(kept)), F.array_repeat(F.lit(0), rest))
 
 
-def windows(docs: DataFrame, ids: str, block: int) -> DataFrame:
-    """A row for each start i of a window of ``block`` ids with a next id: x = [i, i+block), y = [i+1, i+block+1)."""
+def _starts(ids: Column, block: int) -> Column:
+    """From 0 on, where a window of ``block`` ids with a next id begins."""
     last = F.size(ids) - F.lit(block) - 1
-    starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    out = docs.withColumn("start", F.explode(starts))
-    return out.withColumns({"x": F.slice(F.col(ids), F.col("start") + 1, F.lit(block)), "y": F.slice(F.col(ids), F.col("start") + 2, F.lit(block))})
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def windows(docs: DataFrame, ids: str, block: int) -> DataFrame:
+    """A row for each start i of a window of ``block`` ids with a next id: x = [i, i+block), y = [i+1, i+block+1).
+
+    The columns of ``docs`` but ``ids`` stay: a row holds its window, not all ids.
+    """
+    made = F.transform(_starts(F.col(ids), block), lambda i: F.struct(i.alias("start"), F.slice(F.col(ids), i + 1, F.lit(block)).alias("x"), F.slice(F.col(ids), i + 2, F.lit(block)).alias("y")))
+    return docs.select(*(f"`{c}`" for c in docs.columns if c != ids), F.inline(made))
+
+
+def window_ends(docs: DataFrame, ids: str, block: int) -> DataFrame:
+    """The same windows by their ends: start, x_first, x_last and y_last (y begins with the second id of x). Nothing is copied."""
+    n = F.greatest(F.size(ids) - F.lit(block), F.lit(0))
+    part = lambda at: F.slice(F.col(ids), F.lit(at), n)
+    made = F.inline(F.arrays_zip(_starts(F.col(ids), block), part(1), part(block), part(block + 1))).alias("start", "x_first", "x_last", "y_last")
+    return docs.select(*(f"`{c}`" for c in docs.columns if c != ids), made)
 
 
 def drawn_number(seed: int, *parts: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import fixed, ratio
+from textloom.functions.text import fixed, pad_right, ratio
 from textloom.operators import evaluate
 from textloom.schema import CLASSES
 
@@ -92,6 +92,14 @@ def report_lines(summary: DataFrame, tool: str = "tool") -> DataFrame:
     return ranked.select("rank", line.alias("line")).orderBy("rank")
 
 
+def speed_lines(summary: DataFrame, tool: str = "tool") -> DataFrame:
+    """(rank, line): total time in seconds, mean time in milliseconds and samples a second, fastest tool first; wider figures stay whole."""
+    right = lambda text, width: F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+    total, mean, rate = fixed(F.col("total_time"), 2), fixed(F.col("mean_time") * 1000, 2), fixed(F.col("samples_per_second"), 2)
+    line = F.concat(pad_right(F.col(tool), 15), F.lit(" "), right(total, 12), F.lit(" s  "), right(mean, 12), F.lit(" ms "), right(rate, 14))
+    return evaluate.rank_by_time(summary, tool).select("rank", line.alias("line"))
+
+
 def report_blocks(predictions: DataFrame, tool: str = "tool", labels=CLASSES, places: int | None = None) -> DataFrame:
     """(tool, ord, line): a block for each tool, of scores, times (in milliseconds a sample) and a table of classes.
 

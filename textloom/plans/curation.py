@@ -123,9 +123,8 @@ def pad_and_mask(spark, sf_dir):
 
 def sliding_windows(spark, sf_dir):
     """All windows of each text, summed up: how many, and the sums of their first and last inputs and last targets."""
-    rows = sequences.windows(_encoded(spark, sf_dir).select("doc_id", "ids"), "ids", BLOCK)
-    total = lambda c, place: F.sum(F.element_at(c, place).cast("bigint"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), total("x", 1).alias("x_first"), total("x", -1).alias("x_last"), total("y", -1).alias("y_last"))
+    rows = sequences.window_ends(_encoded(spark, sf_dir).select("doc_id", "ids"), "ids", BLOCK)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(F.col(x).cast("bigint")).alias(x) for x in ("x_first", "x_last", "y_last")))
 
 
 def context_crop(spark, sf_dir):

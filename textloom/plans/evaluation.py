@@ -111,6 +111,11 @@ def console_report(spark, sf_dir):
     return _rounded(stats.report_blocks(predictions(spark, sf_dir).where("tool IS NOT NULL"), places=6))
 
 
+def speed_report(spark, sf_dir):
+    """The table of tools by speed."""
+    return _rounded(stats.speed_lines(tool_summary(spark, sf_dir).where("tool IS NOT NULL")))
+
+
 def custom_mapper(spark, sf_dir):
     """Classes of one tool by a caller's function from the metrics, of another by the registry."""
     measured = code.code_metrics(programs(spark, sf_dir))
@@ -180,7 +185,7 @@ def code_metrics_prose(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     class_ladder, halstead_mi_nbd_ladders, structural_tree, accuracy, per_class_prf, weighted_macro_prf, confusion_matrix, classification_report, class_distribution, error_distribution, ordinal_distance,
-    tool_summary, tool_report, console_report, custom_mapper, timing_stats, tool_speed_rank, code_structure, code_metrics_baseline, code_metrics_enhanced, code_metrics_prose,
+    tool_summary, tool_report, speed_report, console_report, custom_mapper, timing_stats, tool_speed_rank, code_structure, code_metrics_baseline, code_metrics_enhanced, code_metrics_prose,
 )}
 
 
@@ -266,6 +271,7 @@ SELECT doc_id, tool, {_TREE.format(r='r', d='d', l='d', b='b')} AS predicted_com
     "code_metrics_prose": "SELECT doc_id, CAST(1 AS BIGINT) AS cyclomatic, CAST(0 AS BIGINT) AS cognitive, CAST(0 AS BIGINT) AS nested_block_depth, true AS failed FROM documents",
 }
 ORACLES["tool_report"] = f"""WITH s AS ({ORACLES['tool_summary']}) SELECT row_number() OVER (ORDER BY mean_time, tool) AS rank, printf('%-24s %.4f %.4f %10.3f ms', tool, accuracy, f1_weighted, mean_time * 1000) AS line FROM s"""
+ORACLES["speed_report"] = f"""WITH s AS ({ORACLES['tool_summary']}) SELECT row_number() OVER (ORDER BY mean_time, tool) AS rank, printf('%-15s %12.2f s  %12.2f ms %14.2f', tool, total_time, mean_time * 1000, samples_per_second) AS line FROM s WHERE tool IS NOT NULL"""
 ORACLES["console_report"] = f"""WITH s AS ({ORACLES['tool_summary']}), {_PRED}, m AS (SELECT tool, min(secs) FILTER (WHERE secs > 0) AS a, max(secs) FILTER (WHERE secs > 0) AS z FROM pred GROUP BY tool),
 h AS (SELECT tool, unnest([upper(tool), printf('Accuracy             %.4f', accuracy), printf('F1 (weighted)        %.4f', f1_weighted), printf('Precision (weighted) %.4f', precision_weighted), printf('Recall (weighted)    %.4f', recall_weighted),
   printf('Valid                %d/%d', valid_predictions, total_samples), printf('Total time           %.2f s', total_time), printf('Mean time            %.2f ms', mean_time * 1000), printf('Median time          %.2f ms', median_time * 1000),

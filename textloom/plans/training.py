@@ -15,9 +15,9 @@ from textloom import config
 from textloom.functions import schedule, text
 from textloom.operators import runs
 from textloom.plans.evaluation import _rounded
-from textloom.session import shared_folder
+from textloom.session import cut, shared_folder
 from textloom.sources import runstore
-from textloom.sources.files import write_text
+from textloom.sources.files import delete, write_text
 
 WINDOW, PATIENCE, EVERY, STEPS, RATE = 5, 4, 3, 1000, 3e-4
 
@@ -130,6 +130,19 @@ def run_params_pivot(spark, sf_dir):
     return last.join(runstore.pivot_params(runstore.read_params(spark, path), ["vocab_size", "n_layer"]), "run_id")
 
 
+def logged_metrics(spark, sf_dir):
+    """Losses logged twice to a table of metrics, with one point repeated at a later time; read, cleaned, and summed up by run."""
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    points = losses(spark, sf_dir).select("run_id", F.lit("loss").alias("key"), (F.col("step").cast("bigint") * 86_400_000).alias("ts"), "step", F.col("loss").alias("value"))
+    later = points.where("step % 10 = 0").select("run_id", "key", (F.col("ts") + 1).alias("ts"), "step", "value")
+    for rows in (points, points, later):
+        runstore.append_metrics(rows, path)
+    clean = runs.clean_metrics(spark.read.parquet(path))
+    rows = cut(clean.groupBy("run_id", "key").agg(F.count("*").alias("points"), F.count_distinct("step").alias("steps"), F.max_by("value", "ts").alias("last_value"), F.min("value").alias("best_value")))
+    delete(spark, path)
+    return _rounded(rows)
+
+
 def _write_store(spark: SparkSession, path: str) -> None:
     """A small store with repeated and out-of-order lines, a failed run and a deleted one."""
     files = {
@@ -141,7 +154,7 @@ def _write_store(spark: SparkSession, path: str) -> None:
         write_text(spark, f"{path}/{name}", text)
 
 
-QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, param_formulas, parameter_counts, run_names, generation_sessions, run_params_pivot, config_comparison, aligned_losses, judged_configs, valid_configs)}
+QUERIES = {f.__name__: f for f in (rolling_train_loss, best_val_loss, early_stopping, periodic_checkpoints, perplexity, lr_schedule, param_estimate, param_formulas, parameter_counts, run_names, generation_sessions, run_params_pivot, logged_metrics, config_comparison, aligned_losses, judged_configs, valid_configs)}
 
 _LOSS = "loss AS (SELECT event_type AS run_id, CAST(date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS step, round(avg(value), 6) AS loss FROM events GROUP BY ALL)"
 _BEST = "b AS (SELECT *, min(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM loss)"
@@ -159,6 +172,7 @@ ORACLES = {
     "config_comparison": f"""WITH {_HELD}, e AS (SELECT max(a) AS a, min(z) AS z FROM (SELECT run_id, min(step) AS a, max(step) AS z FROM h GROUP BY run_id)),
 f AS (SELECT run_id, max(e.z) AS compared_step, arg_max(loss, step) AS final, min(loss) AS best, count(*) AS steps FROM h, e WHERE step <= e.z AND e.a <= e.z GROUP BY run_id)
 SELECT run_id, compared_step, round(final, 6) AS final, round(best, 6) AS best, steps, row_number() OVER w AS rank, round(final - first_value(final) OVER w, 6) AS behind FROM f WINDOW w AS (ORDER BY final, run_id)""",
+    "logged_metrics": f"""WITH {_LOSS} SELECT run_id, 'loss' AS key, count(*) + count(*) FILTER (WHERE step % 10 = 0) AS points, count(*) AS steps, round(arg_max(loss, step), 6) AS last_value, round(min(loss), 6) AS best_value FROM loss GROUP BY run_id""",
     "judged_configs": f"WITH {_CONFIGS} SELECT key, len(broken) AS n_broken, array_to_string(broken, '; ') AS broken FROM b",
     "valid_configs": f"WITH {_CONFIGS} SELECT key, width, heads, layers FROM b WHERE len(broken) = 0",
     "rolling_train_loss": f"WITH {_LOSS} SELECT run_id, step, round(avg(loss) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW), 6) AS rolling_mean FROM loss",
