@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.session import checkpoint_dir, cut
 
-__all__ = ["BLOCK_BYTES", "blocks", "bounds", "checkpoint_dir", "coded", "cut", "fields", "flat", "fresh", "in_arrow", "mapped", "read", "remainder", "words"]
+__all__ = ["BLOCK_BYTES", "blocks", "bounds", "checkpoint_dir", "coded", "cut", "fields", "flat", "fresh", "in_arrow", "mapped", "read", "remainder", "tidied", "words"]
 
 #: Texts are handled in blocks of about this many bytes, so memory doesn't follow the batch size.
 BLOCK_BYTES = 2 << 20
@@ -29,6 +29,23 @@ def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def tidied(function):
+    """``function`` of a task's batches, after which the worker, which stays for other tasks, gives free memory back."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """The names ``wanted``, each with as many underscores before it as make it differ from all columns of ``df``."""
     taken, out = {x.lower() for x in df.columns}, []
@@ -40,11 +57,12 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def mapped(docs: DataFrame, keys: list[str], inputs: dict[str, Column], start: Callable, results: dict[str, str]) -> DataFrame:
+def mapped(docs: DataFrame, keys: list[str], inputs: dict[str, Column], start: Callable, results: dict[str, str], tidy: bool = False) -> DataFrame:
     """``keys`` of each row and ``results`` (name: type), the arrays that ``start()`` makes of a block of ``inputs``.
 
     ``start`` is called once a task and returns the function for its blocks. Among the inputs is a ``text``. A key that
-    has the name of a result gives way to it; other names clash with nothing, as keys are renamed on the way.
+    has the name of a result gives way to it; other names clash with nothing, as keys are renamed on the way. With
+    ``tidy`` workers give free memory back after each task.
     """
     keys = [x for x in keys if x.lower() not in {y.lower() for y in results}]
     kinds = [docs.select(F.col(f"`{x}`")).schema[0].dataType.simpleString() for x in keys]
@@ -59,7 +77,7 @@ def mapped(docs: DataFrame, keys: list[str], inputs: dict[str, Column], start: C
         for block in blocks(batches):
             yield pa.RecordBatch.from_arrays([*(block.column(x) for x in sent), *function(block)], names=names)
 
-    return in_arrow(inner, run, schema).select(*(F.col(f"key{i}").alias(x) for i, x in enumerate(keys)), *(f"`{x}`" for x in results))
+    return in_arrow(inner, tidied(run) if tidy else run, schema).select(*(F.col(f"key{i}").alias(x) for i, x in enumerate(keys)), *(f"`{x}`" for x in results))
 
 
 def remainder(doc_id: Column | str, modulus: int) -> Column:

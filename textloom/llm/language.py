@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, mapped, words
+from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, mapped, tidied, words
 
 UNKNOWN = "und"
 #: Character n-grams (within ``^word$``) are counted in this many hash buckets, or in fewer, so that the model of all
@@ -174,7 +174,7 @@ def train(docs: DataFrame, share: float = 1e-4) -> LanguageModel:
     Other columns are ignored.
     """
     counted = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    sums = cut(counted.transform(in_arrow, _count, _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+    sums = cut(counted.transform(in_arrow, tidied(_count), _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
     langs = [x.lang for x in sums.select("lang").distinct().orderBy("lang").limit(LANGS + 1).collect()]
     if len(langs) > LANGS:
         raise ValueError(f"more than {LANGS} languages")
@@ -288,7 +288,7 @@ def identify(docs: DataFrame, model: LanguageModel, keys: list[str], switch: flo
         model = LanguageModel(*sent.value)
         return lambda block: _label(model, block.column("text"), switch, spans)
 
-    return mapped(docs, keys, {"text": F.col("text").cast("string")}, start, RESULTS)
+    return mapped(docs, keys, {"text": F.col("text").cast("string")}, start, RESULTS, tidy=True)
 
 
 def learnable(docs: DataFrame, rule: Column) -> DataFrame:

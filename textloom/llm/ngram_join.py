@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, fields, fresh, in_arrow
+from textloom.llm.common import blocks, bounds, coded, cut, fields, fresh, in_arrow, tidied
 
 #: Words in a shingle; least similarity; MinHash values (16 bits of each are kept: unequal ones agree once in 65,536),
 #: of which ROWS at a time make a band.
@@ -296,7 +296,7 @@ def _join_labels(edges: DataFrame) -> DataFrame:
 
 def _candidates(source: DataFrame, size: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents' nodes, the nodes, the members of large buckets, the shingles of all candidates, and the links of small buckets."""
-    signed = cut(source.where("doc_id IS NOT NULL").transform(in_arrow, _signatures(size), "doc_id bigint, node bigint, n bigint, sig binary"))
+    signed = cut(source.where("doc_id IS NOT NULL").transform(in_arrow, tidied(_signatures(size)), "doc_id bigint, node bigint, n bigint, sig binary"))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     keys = nodes.select("node", "n", F.posexplode(F.expr(f"transform(sequence(0, {HASHES // ROWS - 1}), b -> xxhash64(b, substring(sig, b * {ROWS * 2} + 1, {ROWS * 2})))")).alias("band", "key"))
@@ -305,13 +305,13 @@ def _candidates(source: DataFrame, size: int, threshold: float, tolerance: float
     small, large = members.where(f"size <= {SMALL}"), members.where(f"size > {SMALL}")
 
     sorted_ = small.select("node", "band", "key").join(nodes.select("node", "sig"), "node").repartition("key").sortWithinPartitions("key").select("key", "band", "node", "sig")
-    pairs = cut(sorted_.transform(in_arrow, _small_buckets(threshold, tolerance), "a bigint, b bigint"))
+    pairs = cut(sorted_.transform(in_arrow, tidied(_small_buckets(threshold, tolerance)), "a bigint, b bigint"))
 
     wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(large.select("node")).distinct()
     wanted = cut(nodes.join(wanted, "node", "left_semi").select("node", "copy_id"))
     # The ids grow with the corpus: the same join at every size.
     texts = source.join(wanted.select(F.col("copy_id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    sets = cut(texts.transform(in_arrow, _sets(size), "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut(texts.transform(in_arrow, tidied(_sets(size)), "node bigint, shingles array<bigint>").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, words
+from textloom.llm.common import blocks, bounds, coded, cut, in_arrow, tidied, words
 
 #: Shortest tile, in words; also the length of the seeds that a text and an item have to share. An item of fewer words
 #: can't be told from common speech and matches nothing (``short_items`` lists them).
@@ -264,7 +264,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST
     places = targets.select(F.col("row").alias("item"), "words", F.posexplode("windows").alias("place", "seed"))
     bits = spark.sparkContext.broadcast(_bitmap(places))
     source = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
-    seeded = cut(source.transform(in_arrow, _seeds(least, bits), _SEEDED))
+    seeded = cut(source.transform(in_arrow, tidied(_seeds(least, bits)), _SEEDED))
 
     salt = lambda x: F.pmod(F.xxhash64(x), F.lit(SALTS)).cast("int").alias("salt")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
@@ -282,7 +282,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST
     texts = seeded.select("row", "id", "text").join(pairs, "row")
     wanted = targets.select(F.col("row").alias("item"), F.col("id").alias("item_id"), F.col("text").alias("target"), salts)
     both = texts.join(wanted, ["item", "salt"]).select("id", "text", "item_id", F.col("target").alias("item"))
-    return both.transform(in_arrow, _tiled(least, coverage), ", ".join(f"{x} {kind}" for x, kind in _OUT.items()))
+    return both.transform(in_arrow, tidied(_tiled(least, coverage)), ", ".join(f"{x} {kind}" for x, kind in _OUT.items()))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
