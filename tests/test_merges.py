@@ -59,7 +59,7 @@ def test_wrong_guesses_are_mended(spark, monkeypatch):
     passes = []
     check = merges.verified
     monkeypatch.setattr(merges, "verified", lambda *a: passes.append(check(*a)) or passes[-1])
-    for name, value in (("SAMPLE", 3), ("LONGEST", 6), ("AHEAD", 8), ("BLOCK_IDS", 50)):
+    for name, value in (("WHOLE", 0), ("SAMPLE", 3), ("LONGEST", 6), ("AHEAD", 8), ("BLOCK_IDS", 50)):
         monkeypatch.setattr(merges, name, value)
     pieces = random_pieces(7, "abc", 50, 20)
     assert merges.learn(frame(spark, pieces), 30) == plain(pieces, 30) and min(passes) >= 1 and len(passes) > 3

@@ -16,9 +16,10 @@ from textloom.functions.text import lines
 from textloom.operators.sequences import SPECIALS, char_vocabulary, encode
 from textloom.session import Workspace
 
-#: Pieces of which the next merges are guessed, ids of each, and true counts of pairs that guide the guess.
-SAMPLE, LONGEST, KNOWN = 4_096, 512, 8_192
-#: Merges that are guessed at once, and ids that a task holds at once (one piece stays whole).
+#: Pieces of which the next merges are guessed, ids of each, and true counts of pairs that guide the guess; up to WHOLE ids
+#: in all are taken as they are, and then every guess is right.
+SAMPLE, LONGEST, KNOWN, WHOLE = 32_768, 1_024, 8_192, 1 << 22
+#: Merges that are guessed at once, at most, and ids that a task holds at once (one piece stays whole).
 AHEAD, BLOCK_IDS = 256, 1 << 20
 
 #: Between two pieces; no pair goes over it.
@@ -30,19 +31,19 @@ def merged(ids: np.ndarray, weight: np.ndarray, a: int, b: int, c: int) -> tuple
 
     A pair is ``left << 32 | right``. Pairs that only moved don't count as changed.
     """
-    at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+    at = np.flatnonzero(ids[:-1] == a)
+    at = at[ids[at + 1] == b]
     if a == b and len(at):  # in a run every second one
         first = np.concatenate(([True], np.diff(at) != 1))
         at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))) % 2 == 0]
     if not len(at):
         return ids, weight, np.empty(0, np.int64), np.empty(0, np.int64)
     lost = np.unique(np.concatenate((at - 1, at, at + 1)))
-    after = ids.copy()
-    after[at] = c
     kept = np.ones(len(ids), dtype=bool)
     kept[at + 1] = False
-    place = (np.cumsum(kept) - 1)[at]
-    after, new_weight = after[kept], weight[kept]
+    after, new_weight = ids[kept], weight[kept]
+    place = at - np.arange(len(at))  # each merge before one moves it by a place
+    after[place] = c
     gained = np.unique(np.concatenate((place - 1, place)))
     pairs, change = zip(_pairs(ids, weight, lost, -1), _pairs(after, new_weight, gained, 1), strict=True)
     return after, new_weight, *_added(np.concatenate(pairs), np.concatenate(change))
@@ -67,7 +68,7 @@ def _added(pairs: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _flat(lists: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces with ends between them, and how often the piece of each stands in the corpus."""
     size = np.diff(np.asarray(lists.offsets))
-    ids = np.insert(np.asarray(lists.flatten()).astype(np.int64), np.cumsum(size), _END)
+    ids = np.insert(np.asarray(lists.flatten()).astype(np.int32), np.cumsum(size), _END)
     return ids, np.repeat(n.astype(np.int64), size + 1)
 
 
@@ -209,7 +210,7 @@ def learn(pieces: DataFrame, size: int, specials: tuple[str, ...] = SPECIALS) ->
     Pieces stand as ids in a table of the shared folder. In each pass the driver guesses up to AHEAD merges on SAMPLE pieces,
     tasks make them one after the other and tell which pairs each one changes, and the counts so gained decide how many
     of the guesses were right; the first always is. So the result doesn't hang on the sample, whose quality only decides how
-    many passes are needed: one for each AHEAD merges where it holds all. The driver holds merges, tokens and the sample.
+    many passes are needed: one for each AHEAD merges where it holds all (WHOLE ids or fewer). The driver holds merges, tokens and the sample.
     """
     spark = pieces.sparkSession
     with Workspace(spark) as tables:
@@ -221,16 +222,22 @@ def learn(pieces: DataFrame, size: int, specials: tuple[str, ...] = SPECIALS) ->
         summed = lambda df: df.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
         counts = tables.keep(summed(state.mapInArrow(_changes([]), "step int, pair bigint, change bigint").select("pair", F.col("change").alias("n"))))
         done: list[tuple[str, str, int]] = []
+        ahead = AHEAD
         while len(words.tokens) < size:
             true = {x["pair"]: x["n"] for x in counts.orderBy(F.desc("n"), "pair").limit(KNOWN).collect()}
             if not true:
                 break
-            sample = state.orderBy(F.desc(F.col("n") * F.least(F.size("ids"), F.lit(LONGEST))), F.xxhash64("ids")).limit(SAMPLE).select(F.slice("ids", 1, LONGEST).alias("ids"), "n").toArrow().combine_chunks()
+            sample = state
+            if state.agg(F.sum(F.size("ids"))).first()[0] > WHOLE:
+                longest = F.least(F.size("ids"), F.lit(LONGEST))
+                sample = state.orderBy(F.desc(F.col("n") * longest), F.xxhash64("ids")).limit(SAMPLE).select(F.slice("ids", 1, LONGEST).alias("ids"), "n")
+            sample = sample.select("ids", "n").toArrow().combine_chunks()
             flat = [_flat(b.column("ids"), np.asarray(b.column("n"))) for b in sample.to_batches()]
-            merges = guessed(*(np.concatenate(x) for x in zip(*flat, strict=True)), true, words.copy(), size, AHEAD)
+            merges = guessed(*(np.concatenate(x) for x in zip(*flat, strict=True)), true, words.copy(), size, ahead)
             changes = tables.keep(state.mapInArrow(_changes(merges), "step int, pair bigint, change bigint").groupBy("step", "pair").agg(F.sum("change").alias("change")).where("change <> 0"))
             right = verified(counts, changes, merges)
             merges = merges[:right]
+            ahead = min(AHEAD, max(16, 4 * right))  # fewer where most guesses fail
             pairs = [(a << 32) | b for a, b, _ in merges]
             base = {x["pair"]: x["n"] for x in counts.where(F.col("pair").isin(pairs)).collect()}
             had = {(x["pair"], x["step"]): x["change"] for x in changes.where(F.col("pair").isin(pairs) & (F.col("step") <= right)).collect()}
