@@ -74,6 +74,30 @@ def test_held_out(spark):
     assert whole.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 
+def chance_of_order(rows):
+    """The chance that a row of label 1 has the higher score than one of label 0; a half where alike."""
+    one, zero = ([x.score for x in rows if x.toxic == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in one for b in zero) / (len(one) * len(zero))
+
+
+@pytest.mark.parametrize(("folder", "least"), [("/root/testdata/sf0.001", 0.6), ("/root/testdata/sf0.01", 0.9)])
+def test_held_out_labels_are_ranked(spark, folder, least):
+    """Also where six toxic documents teach and their evidence, out of fold, tells nothing."""
+    rows = queries.op1_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").select("toxic", "score").collect()
+    assert chance_of_order(rows) > least
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_few_toxic_documents_teach(spark, n):
+    """After two standard errors no word of so few documents would score."""
+    texts = [x.replace("vileword", "fine").replace("foulterm", "fine") for x in clean_and_toxic(60)]
+    texts = [x + " vileword foulterm rankphrase" if i < n or i % 10 == 9 else x for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < n), "x") for i in range(60) if i % 10 != 9], LABELS)
+    rows = toxicity.detect(docs, toxicity.fit(docs, labels), ["doc_id"]).where("doc_id >= 3").withColumn("toxic", (F.col("doc_id") % 10 == 9).cast("int")).collect()
+    assert chance_of_order(rows) > 0.9
+
+
 def test_labels_of_held_out_rows_are_not_read(spark):
     texts = clean_and_toxic()
     docs = odd_documents(spark, texts)

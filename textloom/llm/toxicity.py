@@ -19,6 +19,10 @@ LABELLED = 30_000
 STEMS = (4, 5, 6, 7)
 #: Standard errors that a log-odds ratio is drawn to 0 by; mass of the prior; most a token may score; what each token costs.
 ERRORS, PRIOR, MOST, DRIFT = 2.0, 10.0, 6.0, 0.02
+#: Fewer standard errors, tried in turn where labels are so few that after ERRORS nothing scores above 0.
+LESS = (1.5, 1.0, 0.5)
+#: The least slope of the calibration: evidence is -log of a chance, so a score rises with it even where few labels, out of fold, don't say so.
+RISING = 0.1
 #: Parts of the labelled rows: each part's evidence, for the calibration, comes from the counts of the others.
 FOLDS = 4
 #: Segments that are, alone and together, likelier than this in a clean document of the length aren't significant.
@@ -89,10 +93,11 @@ class ToxicModel:
     rate: float = 1.0
     scale: float = 0.1
     line: tuple[float, float] = (0.0, 1.0)
+    drift: float = DRIFT
 
     def token_scores(self, uniq: list[str]) -> np.ndarray:
-        """Of each word the score of itself, or else of its longest beginning that has one, or else 0; each costs DRIFT."""
-        get, out = self.scores.get, np.full(len(uniq), -DRIFT)
+        """Of each word the score of itself, or else of its longest beginning that has one, or else 0; each costs ``drift``."""
+        get, out = self.scores.get, np.full(len(uniq), -self.drift)
         for i, x in enumerate(uniq):
             score = get(x)
             if score is None:
@@ -104,15 +109,15 @@ class ToxicModel:
         return out
 
 
-def log_odds(a: Column, b: Column, one: float, zero: float) -> Column:
+def log_odds(a: Column, b: Column, one: float, zero: float, errors: float = ERRORS) -> Column:
     """The log-odds ratio with an informative Dirichlet prior of a feature that stands in ``a`` of ``one`` toxic documents
-    and ``b`` of ``zero`` others, drawn to 0 by ERRORS standard errors, within MOST; 0 where it may as well be 0.
+    and ``b`` of ``zero`` others, drawn to 0 by ``errors`` standard errors, within MOST; 0 where it may as well be 0.
 
     The prior has mass PRIOR, shared as the features are in both classes together.
     """
     prior = F.lit(PRIOR / max(1.0, one + zero)) * (a + b)
     ratio = F.log((a + prior) / (F.lit(one + PRIOR) - a - prior)) - F.log((b + prior) / (F.lit(zero + PRIOR) - b - prior))
-    sure = F.abs(ratio) - F.lit(ERRORS) * F.sqrt(1 / (a + prior) + 1 / (b + prior))
+    sure = F.abs(ratio) - F.lit(errors) * F.sqrt(1 / (a + prior) + 1 / (b + prior))
     return F.when(a + b > 0, F.signum(ratio) * F.least(F.greatest(sure, F.lit(0.0)), F.lit(MOST))).otherwise(F.lit(0.0))
 
 
@@ -255,11 +260,11 @@ def _tokens(sent):
     return run
 
 
-def _evidence(sent, rate: float, scale: float):
+def _evidence(sent, rate: float, scale: float, drift: float):
     """The evidence of each document, by the model that hasn't seen it, with its label."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [ToxicModel(x, rate, scale) for x in sent.value]
+        models = [ToxicModel(x, rate, scale, drift=drift) for x in sent.value]
         for block in blocks(batches):
             for k, texts, toxic in _folded(block):
                 yield pa.RecordBatch.from_arrays([pa.array(_scored(models[k], texts)[0]), pa.array(toxic, pa.int32())], names=["evidence", "toxic"])
@@ -276,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labell
     label 1, gives a model that finds nothing toxic. Other columns are ignored.
 
     Extreme-value parameters and calibration come from documents that the counts in use don't hold: the labelled rows
-    are dealt to FOLDS parts by their id, and each part is scored by the counts of the others.
+    are dealt to FOLDS parts by their id, and each part is scored by the counts of the others. Where labels are so few that
+    nothing scores above 0 after ERRORS standard errors, those of LESS are tried.
     """
     usable = F.lit(True) if usable is None else usable
     known = labels.where(F.col("toxic").isin(0, 1) & usable).select("doc_id", F.col("toxic").cast("int"))
@@ -289,45 +295,66 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, labell
     docs_of = counted.where("feature = ''").first()
     if docs_of is None:
         return ToxicModel({})
+    if not sum(docs_of[f"ones{k}"] for k in range(FOLDS)):
+        return ToxicModel({})
+    for errors in (ERRORS, *LESS):
+        model = _fitted(joined, counted, docs_of, errors)
+        if max(model.scores.values(), default=0.0) > 0:
+            break
+    return model
+
+
+def _fitted(joined: DataFrame, counted: DataFrame, docs_of, errors: float) -> ToxicModel:
+    """The model whose features are drawn to 0 by ``errors`` standard errors."""
     # Model k is of all folds but k, the last one of all.
     scores = []
     for k in range(FOLDS + 1):
         used = [j for j in range(FOLDS) if j != k]
         a, b = (sum((F.col(f"{x}{j}") for j in used[1:]), F.col(f"{x}{used[0]}")).cast("double") for x in ("ones", "zeros"))
-        scores.append(log_odds(a, b, *(float(sum(docs_of[f"{x}{j}"] for j in used)) for x in ("ones", "zeros"))).alias(f"s{k}"))
+        scores.append(log_odds(a, b, *(float(sum(docs_of[f"{x}{j}"] for j in used)) for x in ("ones", "zeros")), errors).alias(f"s{k}"))
     frame = counted.where("feature <> ''").select("feature", *scores).where(" OR ".join(f"s{k} <> 0" for k in range(FOLDS + 1))).toPandas()
-    if not sum(docs_of[f"ones{k}"] for k in range(FOLDS)):
-        return ToxicModel({})
     *parts, whole = ({f: float(v) for f, v in zip(frame["feature"], frame[f"s{k}"], strict=True) if v} for k in range(FOLDS + 1))
-    model, sent = ToxicModel(whole), docs.sparkSession.sparkContext.broadcast(parts)
-    if not model.scores:
+    model, sent = ToxicModel(whole), joined.sparkSession.sparkContext.broadcast(parts)
+    if max(whole.values(), default=0.0) <= 0:
         return model
     clean = joined.where("toxic = 0").transform(in_arrow, _tokens(sent), "score double, n bigint").groupBy("score").agg(F.sum("n").alias("n")).toPandas()
     if len(clean):
-        model.rate, model.scale = extreme_values(clean["n"].to_numpy(float), clean["score"].to_numpy(float))
+        n, score = clean["n"].to_numpy(float), clean["score"].to_numpy(float)
+        mean = float((n * score).sum() / n.sum())
+        if mean >= 0:  # segments of clean text would have no end: each token costs so much more that they have
+            model.drift += mean + DRIFT
+        model.rate, model.scale = extreme_values(n, score - (model.drift - DRIFT))
     # Platt scaling of the evidence, from its histogram: at most a few thousand rows come to the driver.
-    scored = joined.transform(in_arrow, _evidence(sent, model.rate, model.scale), "evidence double, toxic int")
+    scored = joined.transform(in_arrow, _evidence(sent, model.rate, model.scale, model.drift), "evidence double, toxic int")
     bins = scored.groupBy(F.round(F.least(F.col("evidence"), F.lit(200.0)), 1).alias("x"), "toxic").count().toPandas()
     model.line = _platt(bins["x"].to_numpy(float), bins["toxic"].to_numpy(float), bins["count"].to_numpy(float))
     return model
 
 
 def _platt(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression on ln(1 + x), with a small ridge on the slope and smoothed targets."""
+    """Weighted logistic regression on ln(1 + x), with a small ridge on the slope, which is RISING at least, and smoothed targets."""
     z = np.log1p(x)
     one, zero = n[y == 1].sum(), n[y == 0].sum()
     target = np.where(y == 1, (one + 1) / (one + 2), 1 / (zero + 2))
-    w = np.zeros(2)
     design = np.stack([np.ones_like(z), z], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (n * (target - p)) - np.array([0.0, 1e-3]) * w
-        hess = (design * (n * p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag([1e-9, 1e-3])
-        step = np.linalg.solve(hess, grad)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0]), float(max(w[1], 0.0))
+
+    def solved(w: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """By Newton's steps; only the ``free`` ones of intercept and slope move."""
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+            grad = design.T @ (n * (target - p)) - np.array([0.0, 1e-3]) * w
+            hess = (design * (n * p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag([1e-9, 1e-3])
+            step = np.zeros(2)
+            step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+            w = w + step
+            if np.abs(step).max() < 1e-9:
+                break
+        return w
+
+    w = solved(np.zeros(2), np.array([0, 1]))
+    if w[1] < RISING:
+        w = solved(np.array([0.0, RISING]), np.array([0]))
+    return float(w[0]), float(w[1])
 
 
 def score_texts(docs: DataFrame, model: ToxicModel, keys: list[str]) -> DataFrame:
@@ -336,7 +363,7 @@ def score_texts(docs: DataFrame, model: ToxicModel, keys: list[str]) -> DataFram
     A text that is null, empty or without a word has evidence 0 and no segment. Repeated rows give repeated results, an
     empty table none; a key that has the name of a result gives way to it.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((model.scores, model.rate, model.scale, model.line))
+    sent = docs.sparkSession.sparkContext.broadcast((model.scores, model.rate, model.scale, model.line, model.drift))
 
     def start():
         model = ToxicModel(*sent.value)
