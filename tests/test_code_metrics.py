@@ -75,3 +75,14 @@ def test_errors_give_defaults():
     for source in (None, "", "  \n", "def f(:\n", "x = 1\0"):
         m = C.measure(source)
         assert m["error"] and {k: m[k] for k in C.DEFAULTS} == C.DEFAULTS
+
+
+@pytest.mark.parametrize("source", ["Word### other.&&& words%%%", "one, two### three", "this or that, not those### x\nif_### y", "Word # rest"])
+def test_words_that_parse_are_no_program(source):
+    m = C.measure(source)
+    assert m.pop("error") == "no program: bare words" and m == C.DEFAULTS
+
+
+@pytest.mark.parametrize("source", ["x = 1", "f()", "a + b", "a < b", "pass", "import x", "'text'", "a.b", "x: int", "# only a comment", "1", "[a]", "a\nf(b)"])
+def test_other_sources_are(source):
+    assert C.measure(source)["error"] is None
