@@ -93,3 +93,15 @@ def test_mixture(spark):
     assert (x.task, x.share, x.mixed[0]) == ("a", pytest.approx(p), pytest.approx(20 - 10 * p)) and (y.task, y.mixed[0]) == ("a", pytest.approx(15.0))
     with pytest.raises(ValueError, match="each task"):
         vectors.mixture(F.col("v"), [[1.0]], [], [])
+
+
+def test_mixture_computes_each_part_once(spark):
+    """As many exponentials stand in the plan whatever the width: one for the softmax and one for its scale, a column."""
+    unit = lambda i, n: [float(i == j) for j in range(n)]
+    for width in (2, 64):
+        rows = spark.createDataFrame([(unit(0, width),)], "v array<double>")
+        made = vectors.mixture(F.col("v"), [unit(0, width), unit(1, width)], [unit(0, width), unit(1, width)], ["a", "b"])
+        for name, column in made.items():
+            assert rows.select(column.alias(name))._jdf.queryExecution().analyzed().toString().count("exp(") == 2
+        plan = rows.select(F.inline(F.array(vectors.mixed(F.col("v"), [unit(0, width)], [unit(1, width)], ["a"]))))
+        assert plan._jdf.queryExecution().analyzed().toString().count("exp(") == 2 and plan.first().mixed == unit(1, width)

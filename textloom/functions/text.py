@@ -73,7 +73,7 @@ def _nearest(whole: Column, sign: Column, odd: Column | None = None) -> Column:
     return whole + F.when((sign > 0) | ((sign == 0) & (whole % 2 == 1 if odd is None else odd)), 1).otherwise(0)
 
 
-def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is computed once, however often it is used there."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -96,16 +96,16 @@ def fixed(value: Column, places: int, grouped: bool = False) -> Column:
 
     def rounded(part: Column, low: Column) -> Column:
         up = F.lit(10.0**places)
-        return _bound(F.floor(part * up), lambda count: _nearest(count, _halves(part, up, count.cast("double") + 0.5), None if places else low % 2 == 1))
+        return bound(F.floor(part * up), lambda count: _nearest(count, _halves(part, up, count.cast("double") + 0.5), None if places else low % 2 == 1))
 
     def split(v: Column) -> Column:
         # The whole part, exactly, from two stretches of 63 bits; what is left of the number is exact too.
         high = F.lit(2.0**63)
-        by_low = lambda top, rest, low: _bound(rounded(rest - low.cast("double"), low), lambda digits: shown(v, top, low, digits))
-        by_rest = lambda top, rest: _bound(F.floor(rest), lambda low: by_low(top, rest, low))
-        return _bound(F.floor(F.abs(v) / high), lambda top: _bound(F.abs(v) - top.cast("double") * high, lambda rest: by_rest(top, rest)))
+        by_low = lambda top, rest, low: bound(rounded(rest - low.cast("double"), low), lambda digits: shown(v, top, low, digits))
+        by_rest = lambda top, rest: bound(F.floor(rest), lambda low: by_low(top, rest, low))
+        return bound(F.floor(F.abs(v) / high), lambda top: bound(F.abs(v) - top.cast("double") * high, lambda rest: by_rest(top, rest)))
 
-    return _bound(value.cast("double"), lambda v: F.when(F.abs(v) < 2.0**126, split(v)).when(v.isNotNull(), F.format_string(f"%.{places}f", v)))
+    return bound(value.cast("double"), lambda v: F.when(F.abs(v) < 2.0**126, split(v)).when(v.isNotNull(), F.format_string(f"%.{places}f", v)))
 
 
 def power(value: Column, places: int = 2) -> Column:
@@ -126,15 +126,15 @@ def power(value: Column, places: int = 2) -> Column:
     def rounded(a: Column, e: Column) -> Column:
         up, down = ten(F.greatest(places - e, F.lit(0))), ten(F.greatest(e - places, F.lit(0)))
         sign = lambda half: F.when(e <= places, _halves(a, up, half)).otherwise(F.signum(a - half * down))
-        return _bound(F.floor(a * up / down), lambda count: _nearest(count, sign(count.cast("double") + 0.5)))
+        return bound(F.floor(a * up / down), lambda count: _nearest(count, sign(count.cast("double") + 0.5)))
 
     def split(v: Column) -> Column:
         a = F.abs(v)
         exponent = lambda near: near + F.when(a >= ten(near + 1), 1).when(a < ten(near), -1).otherwise(0)
-        return _bound(_bound(F.floor(F.log10(a)), exponent), lambda e: _bound(rounded(a, e), lambda digits: shown(v, e, digits)))
+        return bound(bound(F.floor(F.log10(a)), exponent), lambda e: bound(rounded(a, e), lambda digits: shown(v, e, digits)))
 
     exact = lambda v: F.abs(v).between(1e-8, float(f"{1e17 - 16:.0f}"))
-    return _bound(value.cast("double"), lambda v: F.when(exact(v), split(v)).when(v.isNotNull(), F.format_string(f"%.{places}e", v)))
+    return bound(value.cast("double"), lambda v: F.when(exact(v), split(v)).when(v.isNotNull(), F.format_string(f"%.{places}e", v)))
 
 
 def number_formats(value: Column) -> dict[str, Column]:

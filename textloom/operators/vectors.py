@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import bound
+
 #: A token is hot if it is at more than this share of all places; at most 1 / HOT tokens are.
 HOT = 1 / 256
 
@@ -138,18 +140,28 @@ def low_rank(rows: DataFrame, down: DataFrame, up: DataFrame, key: str, vector:
     return made if bias is None else made.select(key, F.zip_with(out, F.array(*map(F.lit, bias)), lambda x, b: x + b).alias(out))
 
 
-def mixture(vector: Column, detectors: list[list[float]], experts: list[list[float]], tasks: list[str]) -> dict[str, Column]:
-    """The task that a vector looks like and the experts' vectors mixed by its probabilities, in one pass.
+def mixed(vector: Column, detectors: list[list[float]], experts: list[list[float]], tasks: list[str]) -> Column:
+    """The task that a vector looks like and the experts' vectors mixed by its probabilities: a struct of task, share and mixed.
 
     Logits are products with each detector, probabilities their softmax; the task is that of the largest logit (the first, in a tie).
-    All three tables have a row a task, some dozen, and stand in the plan.
+    All three tables have a row a task, some dozen, and stand in the plan. Vector, logits and probabilities are computed once a
+    row, however often they are used.
     """
     if not len(detectors) == len(experts) == len(tasks) > 0:
         raise ValueError("there has to be a detector and an expert for each task")
-    logits = head(vector, detectors)
-    scale = log_sum_exp(logits)
-    shares = F.transform(logits, lambda x: F.exp(x - scale))
-    columns = [F.array(*(F.lit(float(e[i])) for e in experts)) for i in range(len(experts[0]))]
+    columns = F.array(*(F.array(*(F.lit(float(e[i])) for e in experts)) for i in range(len(experts[0]))))
     names = F.array(*map(F.lit, tasks))
-    best = (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
-    return {"task": F.get(names, best), "share": F.array_max(shares), "mixed": F.array(*(dot(shares, c) for c in columns))}
+
+    def told(logits: Column, shares: Column) -> Column:
+        best = (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
+        return F.struct(F.get(names, best).alias("task"), F.array_max(shares).alias("share"), F.transform(columns, lambda c: dot(shares, c)).alias("mixed"))
+
+    softmax = lambda logits, scale: F.transform(logits, lambda x: F.exp(x - scale))
+    by_logits = lambda logits: bound(log_sum_exp(logits), lambda scale: bound(softmax(logits, scale), lambda shares: told(logits, shares)))
+    return bound(vector, lambda v: bound(head(v, detectors), by_logits))
+
+
+def mixture(vector: Column, detectors: list[list[float]], experts: list[list[float]], tasks: list[str]) -> dict[str, Column]:
+    """The fields of ``mixed``, each a column. Where more than one is taken, ``mixed`` itself costs less."""
+    made = mixed(vector, detectors, experts, tasks)
+    return {x: made.getField(x) for x in ("task", "share", "mixed")}

@@ -75,8 +75,9 @@ def low_rank_linear(spark, sf_dir):
 
 def expert_mixture(spark, sf_dir):
     """The task that each embedding looks like, by four detectors, and the mixture of four experts."""
-    made = vectors.mixture(F.transform("embedding", lambda x: x.cast("double") * SCALE), _matrix(spark, sf_dir, 0, 4), _matrix(spark, sf_dir, 4, 4), list(TASKS))
-    rows = _vectors(spark, sf_dir, "embedding").select("vec_id", *(c.alias(x) for x, c in made.items()))
+    made = vectors.mixed(F.transform("embedding", lambda x: x.cast("double") * SCALE), _matrix(spark, sf_dir, 0, 4), _matrix(spark, sf_dir, 4, 4), list(TASKS))
+    # By inline the struct is computed once a row, not once a field.
+    rows = _vectors(spark, sf_dir, "embedding").select("vec_id", F.inline(F.array(made)))
     return rows.select("vec_id", "task", F.round("share", 6).alias("share"), F.size("mixed").cast("bigint").alias("n"), F.round(F.col("mixed")[0], 6).alias("first"), F.round(F.col("mixed")[63], 6).alias("last"))
 
 
