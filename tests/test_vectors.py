@@ -102,6 +102,6 @@ def test_mixture_computes_each_part_once(spark):
         rows = spark.createDataFrame([(unit(0, width),)], "v array<double>")
         made = vectors.mixture(F.col("v"), [unit(0, width), unit(1, width)], [unit(0, width), unit(1, width)], ["a", "b"])
         for name, column in made.items():
-            assert rows.select(column.alias(name))._jdf.queryExecution().analyzed().toString().count("exp(") == 2
+            assert rows.select(column.alias(name))._jdf.queryExecution().analyzed().toString().count("EXP(") == 2
         plan = rows.select(F.inline(F.array(vectors.mixed(F.col("v"), [unit(0, width)], [unit(1, width)], ["a"]))))
-        assert plan._jdf.queryExecution().analyzed().toString().count("exp(") == 2 and plan.first().mixed == unit(1, width)
+        assert plan._jdf.queryExecution().analyzed().toString().count("EXP(") == 2 and plan.first().mixed == unit(1, width)
