@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom import config
 from textloom.functions import ladders
 from textloom.functions.codemetrics import measure, token_metrics
-from textloom.operators import code, curate, evaluate, runs, tokenizers
+from textloom.operators import code, curate, evaluate, runs, sequences, tokenizers
 from textloom.sources import files, jsonl, runstore, sinks
 
 
@@ -152,3 +152,21 @@ def test_many_functions_take_little_time():
     assert token_metrics(ast.parse(source), source)["token_cyclomatic"] == 3 and time.perf_counter() - began < 5
     nested = measure("def f(a):\n    if a:\n        def g(b):\n            for x in b:\n                if x or b:\n                    pass\n        return g\n    return 1\n")
     assert nested["token_cyclomatic"] == 4 and nested["function_names"] == ["f", "g"]
+
+
+def test_byte_pair_ids_by_portions(spark, monkeypatch):
+    """The library gets a bounded stretch of texts at once, whatever the batch holds, and the ids are those of all at once."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["ab" * k + " c\n" for k in range(60)] + [None, ""]
+    told = sequences.train_bpe([x for x in texts if x], 20)
+    monkeypatch.setattr(sequences, "PORTION", 200)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    portions = list(sequences._portions([batch], 0))
+    assert len(portions) > 10 and sum(x.num_rows for x in portions) == len(texts) and all(x.num_rows == 1 or x.nbytes < 1000 for x in portions)
+    monkeypatch.undo()
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = sequences.bpe_decode(sequences.bpe_encode(rows, told), told).orderBy("i").collect()
+    whole = Tokenizer.from_str(told)
+    assert [x.ids for x in got] == [whole.encode(x or "").ids for x in texts] and [x.decoded for x in got] == [whole.decode(x.ids) for x in got]

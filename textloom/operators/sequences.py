@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -169,6 +172,22 @@ def train_bpe(texts: list[str], vocab_size: int) -> str:
     return tokenizer.to_str()
 
 
+#: Bytes of text, or ids, that a task hands to the library at once: what it builds for each id is many times an id's size.
+PORTION = 1 << 20
+
+
+def _portions(batches: Iterable[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about PORTION bytes or items of a column; a longer row stays whole."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    for batch in batches:
+        column = batch.column(place)
+        size = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+        part = np.cumsum(np.asarray(pc.fill_null(size, 0)).astype(np.int64)) // PORTION
+        ends = (np.flatnonzero(np.diff(part)) + 1).tolist()
+        for a, b in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with the ids that a serialized tokenizer gives; characters that it doesn't know vanish."""
     place, names = docs.columns.index(text), [*docs.columns, to]
@@ -177,8 +196,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", to: str = "i
         from tokenizers import Tokenizer
 
         encoder = Tokenizer.from_str(tokenizer)
-        for batch in batches:
-            found = [x.ids for x in encoder.encode_batch([x or "" for x in batch.column(place).to_pylist()])]
+        for batch in _portions(batches, place):
+            found = [x.ids for x in encoder.encode_batch_fast([x or "" for x in batch.column(place).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -193,7 +212,7 @@ def bpe_decode(docs: DataFrame, tokenizer: str, ids: str = "ids", to: str = "dec
         from tokenizers import Tokenizer
 
         decoder = Tokenizer.from_str(tokenizer)
-        for batch in batches:
+        for batch in _portions(batches, place):
             found = decoder.decode_batch([x or [] for x in batch.column(place).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=names)
 

@@ -222,7 +222,7 @@ def bpe_encode(spark, sf_dir):
     last = first.agg(F.max("doc_id")).first()[0]
     joined = first.select(F.when(F.col("doc_id") < last, F.concat("text", F.lit("\n"))).otherwise(F.col("text")).alias("text"))
     tokenizer = PairTokenizer.learn(joined, 500).serialized
-    coded = sequences.bpe_decode(sequences.bpe_encode(docs, tokenizer), tokenizer)
+    coded = sequences.bpe_decode(sequences.bpe_encode(docs, tokenizer).select("doc_id", "ids"), tokenizer)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n"), F.md5(_joined(F.col("ids"))).alias("ids_md5"), F.md5("decoded").alias("decoded_md5"))
 
 
