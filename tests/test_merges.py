@@ -107,3 +107,23 @@ def test_same_tokenizer_as_the_library(spark, sf_dir):
 def test_the_literal_pattern_cuts(spark):
     docs = spark.createDataFrame([("a(\\s)b\nc(\\s)(\\s)",), (None,)], "text string")
     assert sorted(x["piece"] for x in merges.pieces_of(docs).collect()) == ["(\\s)", "a(\\s)", "b\n", "c(\\s)"]
+
+
+def test_cuts_go_where_no_merge_does(spark, monkeypatch):
+    """Pieces are cut at rare pairs, by a count that is too high at first as well; the result is that of whole pieces."""
+    pieces = random_pieces(9, "aaabbbccde ", 150, 60)
+    want = plain(pieces, 26)
+    cut = []
+    fragments = merges._fragments
+    monkeypatch.setattr(merges, "_fragments", lambda kept: cut.append(kept) or fragments(kept))
+    assert merges.learn(frame(spark, pieces), 26) == want and cut[0] is not None
+    cut.clear()
+    monkeypatch.setattr(merges, "_rare", lambda *a: 4 * want[1][0][2])  # not even the first merge occurs so often
+    assert merges.learn(frame(spark, pieces), 26) == want and len(cut) > 2
+    (block,) = fragments([(ord("a") << 32) | ord("b")])(frame(spark, {"xabé😀ab": 2, "ab": 3}).coalesce(1).toArrow().combine_chunks().to_batches())
+    assert dict(zip(*(c.to_pylist() for c in block.columns), strict=True)) == {"ab": 7}
+
+
+def test_repeated_pieces_add_up(spark):
+    rows = spark.createDataFrame([("abab", 1), ("ba", 1), ("abab", 1)], "piece string, n bigint")
+    assert merges.learn(rows, 12) == plain({"abab": 2, "ba": 1}, 12)

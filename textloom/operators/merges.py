@@ -1,4 +1,4 @@
-"""Byte-pair merges learnt by Spark: guessed on a bounded sample, verified over all pieces, exact merge by merge."""
+"""Byte-pair merges learnt by Spark: pieces cut where no merge can go, merges guessed on a bounded sample and verified over all."""
 
 from __future__ import annotations
 
@@ -8,17 +8,20 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from textloom.functions.text import lines
-from textloom.operators.sequences import SPECIALS, char_vocabulary, encode
+from textloom.operators.sequences import SPECIALS
 from textloom.session import Workspace
 
-#: Pieces of which the next merges are guessed, ids of each, and true counts of pairs that guide the guess; up to WHOLE ids
-#: in all are taken as they are, and then every guess is right.
-SAMPLE, LONGEST, KNOWN, WHOLE = 32_768, 1_024, 8_192, 1 << 22
+#: Up to WHOLE ids in all are taken as they are to guess the next merges, and then every guess is right; of more, a sample of
+#: about so many, of SAMPLE pieces at most and LONGEST ids of each. True counts of KNOWN pairs guide the guess.
+SAMPLE, LONGEST, KNOWN, WHOLE = 1 << 21, 4_096, 8_192, 1 << 23
+#: Pieces, and characters of each, that tell how rare the last merge may be; the share of its likely count that is taken for it.
+FIRST, FIRST_LONGEST, SURE = 4_096, 1_024, 0.8
 #: Merges that are guessed at once, at most, and ids that a task holds at once (one piece stays whole).
 AHEAD, BLOCK_IDS = 256, 1 << 20
 
@@ -73,9 +76,11 @@ def _flat(lists: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of about BLOCK_IDS ids, or bytes of text."""
     for batch in batches:
         if batch.num_rows:
-            part = np.cumsum(np.diff(np.asarray(batch.column("ids").offsets))) // BLOCK_IDS
+            size = pc.binary_length(batch.column("piece")) if "piece" in batch.schema.names else pc.list_value_length(batch.column("ids"))
+            part = np.cumsum(np.asarray(size)) // BLOCK_IDS
             ends = np.flatnonzero(np.diff(part)) + 1
             for a, b in zip([0, *ends], [*ends, batch.num_rows], strict=True):
                 yield batch.slice(a, b - a)
@@ -115,6 +120,66 @@ def _applied(merges: list[tuple[int, int, int]]) -> Callable:
     return run
 
 
+def _points(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all pieces with ends between them, and how many the piece has that each stands in, its end too."""
+    size = np.asarray(pc.utf8_length(pieces)).astype(np.int64)
+    points = np.frombuffer(b"".join(x.encode("utf-32-le") for x in pieces.to_pylist()), dtype=np.uint32).astype(np.int64)
+    return np.insert(points, np.cumsum(size), _END), size + 1
+
+
+def _characters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n) of the pairs of code points in all pieces; a character c that stands in one is the pair -1 - c, however often."""
+    for block in _blocks(batches):
+        points, size = _points(block.column("piece"))
+        weight = np.repeat(np.asarray(block.column("n")).astype(np.int64), size)
+        pairs, n = _added(*_pairs(points, weight, np.arange(len(points)), 1))
+        single = -1 - np.unique(points[points != _END])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((pairs, single))), pa.array(np.concatenate((n, np.ones(len(single), np.int64))))], names=["pair", "n"])
+
+
+def _fragments(kept: list[int] | None) -> Callable:
+    """(piece, n): the pieces cut between the characters of each pair that isn't kept (None: nowhere), alike ones of a block together."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = None if kept is None else np.array(sorted(kept), dtype=np.int64)
+        for block in _blocks(batches):
+            pieces, n = block.column("piece"), np.asarray(block.column("n")).astype(np.int64)
+            if some is not None:
+                points, size = _points(pieces)
+                pair = (points[:-1] << 32) | points[1:]
+                place = np.minimum(np.searchsorted(some, pair), max(0, len(some) - 1))
+                held = (some[place] == pair if len(some) else np.zeros(len(pair), bool)) & (points[:-1] != _END)
+                begins = np.flatnonzero(np.concatenate(([True], ~held)))
+                ends = np.append(begins[1:], len(points))
+                long = ends - begins > 1  # an end, or a character alone, has no pair
+                begins, ends = begins[long], ends[long]
+                width = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
+                width[points == _END] = 0
+                at = np.concatenate((np.zeros(1, np.int64), np.cumsum(width)))
+                data = b"".join(x.encode() for x in pieces.to_pylist())
+                n = np.repeat(n, size)[begins]
+                pieces = pa.array([data[a:b] for a, b in zip(at[begins].tolist(), at[ends].tolist(), strict=True)], pa.binary()).cast("string")
+            found = pieces.dictionary_encode()
+            sums = np.bincount(np.asarray(found.indices), weights=n, minlength=len(found.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(sums)], names=["piece", "n"])
+
+    return run
+
+
+def _coded(letters: list[int], first: int) -> Callable:
+    """(ids, n) of pieces: the place of each character among ``letters`` (rising), plus ``first``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.array(letters, dtype=np.int64)
+        for block in _blocks(batches):
+            points, size = _points(block.column("piece"))
+            ids = (np.searchsorted(every, points[points != _END]) + first).astype(np.int32)
+            offsets = np.concatenate(([0], np.cumsum(size - 1))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), block.column("n")], names=["ids", "n"])
+
+    return run
+
+
 class Vocabulary:
     """Tokens by id; a merge whose text is a token already gives that token's id."""
 
@@ -132,10 +197,11 @@ class Vocabulary:
         return Vocabulary(self.tokens)
 
 
-def guessed(ids: np.ndarray, weight: np.ndarray, true: dict[int, int], words: Vocabulary, size: int, most: int) -> list[tuple[int, int, int]]:
+def guessed(ids: np.ndarray, weight: np.ndarray, true: dict[int, int], words: Vocabulary, size: int, most: int, likely: list[float] | None = None) -> list[tuple[int, int, int]]:
     """Up to ``most`` merges as the greedy rule makes them on a sample, whose counts are scaled to those that are known.
 
-    The first one is the best of the known pairs. Pairs that a merge makes are scaled as the merged pair was.
+    The first one is the best of the known pairs. Pairs that a merge makes are scaled as the merged pair was. ``likely`` gets the scaled
+    count of each merge.
     """
     counts = dict(zip(*(x.tolist() for x in _added(*_pairs(ids, weight, np.arange(len(ids)), 1))), strict=True))
     scale = {p: true[p] / c for p, c in counts.items() if p in true}
@@ -148,6 +214,8 @@ def guessed(ids: np.ndarray, weight: np.ndarray, true: dict[int, int], words: Vo
         a, b = best >> 32, best & 0xFFFFFFFF
         c = words.of(a, b)
         out.append((a, b, c))
+        if likely is not None:
+            likely.append(true[best] if len(out) == 1 else told(best))
         ids, weight, pairs, change = merged(ids, weight, a, b, c)
         own = scale.get(best, usual)
         for p, x in zip(pairs.tolist(), change.tolist(), strict=True):
@@ -194,10 +262,15 @@ def literal_pieces(piece: Column) -> Column:
     return F.filter(F.split(piece, r"(?<=\(\\s\))"), lambda x: x != "")
 
 
-def pieces_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(piece, n): the distinct lines (with their ends) of all texts, cut by the literal pattern, and how often each occurs."""
+def each_piece(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(piece, n): the lines (with their ends) of all texts, cut by the literal pattern, a row each; n is 1."""
     split = docs.select(F.explode(lines(F.coalesce(F.col(text), F.lit("")))).alias("line"))
-    return split.select(F.explode(literal_pieces(F.col("line"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    return split.select(F.explode(literal_pieces(F.col("line"))).alias("piece"), F.lit(1).cast("bigint").alias("n"))
+
+
+def pieces_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(piece, n): the distinct pieces of all texts, and how often each occurs."""
+    return each_piece(docs, text).groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def learn(pieces: DataFrame, size: int, specials: tuple[str, ...] = SPECIALS) -> tuple[list[str], list[tuple[str, str, int]]]:
@@ -205,54 +278,106 @@ def learn(pieces: DataFrame, size: int, specials: tuple[str, ...] = SPECIALS) ->
 
     The greedy rule: specials and characters (in code-point order) have the first ids; then, until there are ``size`` tokens or no
     pair is left, the adjacent pair with the largest count over all pieces is merged, ties to the smaller pair of ids. A
-    pair that overlaps itself counts at each place. Null and empty pieces have no pair; no piece gives specials only.
+    pair that overlaps itself counts at each place. Null and empty pieces have no pair; no piece gives specials only. Pieces
+    may be repeated.
+
+    Pieces are cut between two characters whose pair occurs fewer than ``rare`` times: a pair of tokens that meet there, whatever
+    merges made them, can't occur more often, so while merges occur ``rare`` times or more none goes over a cut, and nothing is
+    lost. What is left is short and often alike, and alike ones count as one. A first sample tells a likely ``rare``; once a merge
+    is rarer, pieces are cut anew by a lower one, and the merges so far are made in them.
 
-    Pieces stand as ids in a table of the shared folder. In each pass the driver guesses up to AHEAD merges on SAMPLE pieces,
+    Pieces stand as ids in a table of the shared folder. In each pass the driver guesses up to AHEAD merges on a sample,
     tasks make them one after the other and tell which pairs each one changes, and the counts so gained decide how many
-    of the guesses were right; the first always is. So the result doesn't hang on the sample, whose quality only decides how
+    of the guesses were right. So the result doesn't hang on the samples, whose quality only decides how
     many passes are needed: one for each AHEAD merges where it holds all (WHOLE ids or fewer). The driver holds merges, tokens and the sample.
     """
     spark = pieces.sparkSession
     with Workspace(spark) as tables:
-        rows = pieces.where(F.coalesce(F.col("piece"), F.lit("")) != "").select("piece", "n")
-        letters = char_vocabulary(rows, "piece").orderBy("id")
-        words = Vocabulary([*specials, *(x["token"] for x in letters.collect())])
-        coded = encode(rows, letters, "piece").select(F.transform("ids", lambda i: i + len(specials)).alias("ids"), F.col("n").cast("bigint").alias("n"))
-        state = tables.keep(coded)
-        summed = lambda df: df.groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
-        counts = tables.keep(summed(state.mapInArrow(_changes([]), "step int, pair bigint, change bigint").select("pair", F.col("change").alias("n"))))
+        rows = pieces.where(F.coalesce(F.col("piece"), F.lit("")) != "").select("piece", F.col("n").cast("bigint").alias("n"))
+        summed = lambda df, key="pair": df.groupBy(key).agg(F.sum("n").alias("n")).where("n > 0")
+        found = tables.keep(summed(rows.mapInArrow(_characters, "pair bigint, n bigint")))
+        letters = sorted(-1 - x["pair"] for x in found.where("pair < 0").collect())
+        words = Vocabulary([*specials, *map(chr, letters)])
+        first = len(specials)
+
+        def begun(rare: int) -> tuple[DataFrame, DataFrame]:
+            """The pieces cut by ``rare`` after all merges so far, and their pairs."""
+            kept = None if rare <= 1 else [x["pair"] for x in found.where(F.col("pair") >= 0).where(F.col("n") >= rare).select("pair").collect()]
+            cut = summed(rows.mapInArrow(_fragments(kept), "piece string, n bigint"), "piece")
+            coded = cut.mapInArrow(_coded(letters, first), "ids array<int>, n bigint")
+            state = tables.keep(coded.mapInArrow(_applied(made), "ids array<int>, n bigint") if made else coded)
+            return state, tables.keep(summed(state.mapInArrow(_changes([]), "step int, pair bigint, change bigint").select("pair", F.col("change").alias("n"))))
+
         done: list[tuple[str, str, int]] = []
+        made: list[tuple[int, int, int]] = []
+        rare = _rare(rows, found, letters, words.copy(), first, size)
+        state, counts = begun(rare)
         ahead = AHEAD
         while len(words.tokens) < size:
             true = {x["pair"]: x["n"] for x in counts.orderBy(F.desc("n"), "pair").limit(KNOWN).collect()}
-            if not true:
+            enough = bool(true)
+            if true:
+                merges = guessed(*_sampled(state), true, words.copy(), size, ahead)
+                changes = tables.keep(state.mapInArrow(_changes(merges), "step int, pair bigint, change bigint").groupBy("step", "pair").agg(F.sum("change").alias("change")).where("change <> 0"))
+                right = verified(counts, changes, merges)
+                pairs = [(a << 32) | b for a, b, _ in merges[:right]]
+                base = {x["pair"]: x["n"] for x in counts.where(F.col("pair").isin(pairs)).collect()}
+                had = {(x["pair"], x["step"]): x["change"] for x in changes.where(F.col("pair").isin(pairs) & (F.col("step") <= right)).collect()}
+                times = [base.get(p, 0) + sum(had.get((p, k), 0) for k in range(1, i + 1)) for i, p in enumerate(pairs)]
+                known = next((i for i, n in enumerate(times) if n < rare), right)
+                enough = known == right and right > 0
+                merges = merges[:known]
+                ahead = min(AHEAD, max(16, 4 * right))  # fewer where most guesses fail
+                for (a, b, _), n in zip(merges, times, strict=False):
+                    done.append((words.tokens[a], words.tokens[b], n))
+                    words.of(a, b)
+                made += merges
+            if enough:
+                newer = tables.keep(state.mapInArrow(_applied(merges), "ids array<int>, n bigint"))
+                told = counts.unionAll(changes.where(F.col("step") <= right).select("pair", F.col("change").alias("n")))
+                fresh = tables.keep(summed(told))
+            elif rare <= 1:
                 break
-            sample = state
-            if state.agg(F.sum(F.size("ids"))).first()[0] > WHOLE:
-                longest = F.least(F.size("ids"), F.lit(LONGEST))
-                sample = state.orderBy(F.desc(F.col("n") * longest), F.xxhash64("ids")).limit(SAMPLE).select(F.slice("ids", 1, LONGEST).alias("ids"), "n")
-            sample = sample.select("ids", "n").toArrow().combine_chunks()
-            flat = [_flat(b.column("ids"), np.asarray(b.column("n"))) for b in sample.to_batches()]
-            merges = guessed(*(np.concatenate(x) for x in zip(*flat, strict=True)), true, words.copy(), size, ahead)
-            changes = tables.keep(state.mapInArrow(_changes(merges), "step int, pair bigint, change bigint").groupBy("step", "pair").agg(F.sum("change").alias("change")).where("change <> 0"))
-            right = verified(counts, changes, merges)
-            merges = merges[:right]
-            ahead = min(AHEAD, max(16, 4 * right))  # fewer where most guesses fail
-            pairs = [(a << 32) | b for a, b, _ in merges]
-            base = {x["pair"]: x["n"] for x in counts.where(F.col("pair").isin(pairs)).collect()}
-            had = {(x["pair"], x["step"]): x["change"] for x in changes.where(F.col("pair").isin(pairs) & (F.col("step") <= right)).collect()}
-            for i, (p, (a, b, _)) in enumerate(zip(pairs, merges, strict=True)):
-                done.append((words.tokens[a], words.tokens[b], base.get(p, 0) + sum(had.get((p, k), 0) for k in range(1, i + 1))))
-                words.of(a, b)
-            newer = tables.keep(state.mapInArrow(_applied(merges), "ids array<int>, n bigint"))
-            told = counts.unionAll(changes.where(F.col("step") <= right).select("pair", F.col("change").alias("n")))
-            fresh = tables.keep(summed(told))
-            for old in (state, counts, changes):
+            else:
+                rare = rare // 4
+                newer, fresh = begun(rare)
+            for old in (state, counts, *([changes] if true else [])):
                 tables.drop(old)
             state, counts = newer, fresh
     return words.tokens, done
 
 
+def _sampled(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and weights of all pieces, where they are WHOLE ids at most; or else of those that occur k times or more, and of the
+    others a share of n / k, by their hash, each counted k times, for the least power of two k that leaves about so many.
+    """
+    steps = range(32)
+    size, share = F.size("ids"), lambda j: F.least(F.lit(1.0), F.col("n") / F.lit(float(1 << j)))
+    left = state.agg(*(F.sum(size * share(j)).alias(f"k{j}") for j in steps)).first()
+    j = next((j for j in steps if (left[j] or 0) <= WHOLE), steps[-1])
+    if j:
+        k = F.lit(1 << j).cast("bigint")
+        state = state.where(F.pmod(F.xxhash64("ids"), k) < F.col("n")).limit(SAMPLE).select(F.slice("ids", 1, LONGEST).alias("ids"), F.greatest("n", k).alias("n"))
+    flat = [_flat(b.column("ids"), np.asarray(b.column("n"))) for b in state.select("ids", "n").toArrow().combine_chunks().to_batches()]
+    ids, weight = zip(*flat, strict=True) if flat else ([np.empty(0, np.int32)], [np.empty(0, np.int64)])
+    return np.concatenate(ids), np.concatenate(weight)
+
+
+def _rare(rows: DataFrame, found: DataFrame, letters: list[int], words: Vocabulary, first: int, size: int) -> int:
+    """A count that the last merge will likely reach; 1 if pairs run out before, or nothing is known of it."""
+    place = {x: first + i for i, x in enumerate(letters)}
+    pairs = found.where(F.col("pair") >= 0).orderBy(F.desc("n"), "pair").limit(KNOWN).collect()
+    true = {(place[x["pair"] >> 32] << 32) | place[x["pair"] & 0xFFFFFFFF]: x["n"] for x in pairs}
+    some = rows.limit(FIRST).select(F.substring("piece", 1, FIRST_LONGEST).alias("piece"), "n").toArrow().combine_chunks().to_batches()
+    coded = [_flat(b.column("ids"), np.asarray(b.column("n"))) for b in _coded(letters, first)(some)]
+    if not coded or not true:
+        return 1
+    likely: list[float] = []
+    ids, weight = zip(*coded, strict=True)
+    guessed(np.concatenate(ids), np.concatenate(weight), true, words, size, max(0, size - len(words.tokens)), likely)
+    return max(1, int(SURE * likely[-1])) if likely and len(words.tokens) >= size else 1
+
+
 def serialized(tokens: list[str], merges: list[tuple[str, str, int]], specials: tuple[str, ...] = SPECIALS) -> str:
     """The tokenizer as the document that the ``tokenizers`` library reads; its pre-tokenizer's pattern is a literal text."""
     model = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}

@@ -81,7 +81,7 @@ class PairTokenizer(TextTokenizer):
     @classmethod
     def learn(cls, docs: DataFrame, vocab_size: int, text: str = "text") -> PairTokenizer:
         """Fitted by Spark on all texts of ``docs``; as ``fit`` on lines that have the same counts."""
-        return cls(merges.serialized(*merges.learn(merges.pieces_of(docs, text), vocab_size)))
+        return cls(merges.serialized(*merges.learn(merges.each_piece(docs, text), vocab_size)))
 
     def encode(self, docs: DataFrame, text: str = "text", to: str = "ids") -> DataFrame:
         return sequences.bpe_encode(docs, self.serialized, text, to)

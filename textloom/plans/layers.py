@@ -83,7 +83,7 @@ def expert_mixture(spark, sf_dir):
 
 def bpe_merges(spark, sf_dir):
     """Byte-pair merges learnt from all texts, line by line, until there are 200 tokens."""
-    _, found = merges.learn(merges.pieces_of(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")), 200)
+    _, found = merges.learn(merges.each_piece(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")), 200)
     return spark.createDataFrame([(i + 1, *x) for i, x in enumerate(found)], "rank bigint, left string, right string, n bigint")
 
 
