@@ -133,6 +133,43 @@ def test_stretches_have_the_ids_of_the_whole(texts):
     assert ["".join(x for x, r in zip(parts.to_pylist(), rows, strict=True) if r == k) for k in range(len(texts))] == texts
 
 
+class Listening:
+    """The library, and the texts that it was given."""
+
+    def __init__(self):
+        self.texts = []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return TOKENIZER.encode_batch_fast(texts, **more)
+
+
+def test_the_library_gets_stretches_joined():
+    """Not each stretch by a call of its own, which took most of a task's time."""
+    encoder = packing.Encoder(open(FILE, encoding="utf-8").read())
+    encoder.tokenizer = library = Listening()
+    text = " ".join(f"w{k * 7919 % 10_007}é" for k in range(5_000))
+    ids, count = encoder.encode(pa.array([text]))
+    assert ids.tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids and count.tolist() == [len(ids)]
+    assert "".join(library.texts) == text and len(library.texts) <= 50
+    again, _ = encoder.encode(pa.array([text]))
+    assert again.tolist() == ids.tolist() and "".join(library.texts) == text
+
+
+@pytest.mark.parametrize("met", [True, False])
+def test_joined_stretches_keep_their_ids(met):
+    """Beginnings of texts and ends with white space among them; also where ends aren't met and stretches go one by one."""
+    rng = random.Random(5)
+    texts = ODD + ["".join(rng.choices(["a", " ", "\n", "é", "\u00a0", "漢", "'s", "1", ".", "<|endoftext|>", "\t"], k=30)) for _ in range(300)]
+    parts = sorted(set(packing.stretches(pa.array(texts, pa.large_string()))[0].to_pylist()))
+    rng.shuffle(parts)
+    encoder = packing.Encoder(open(FILE, encoding="utf-8").read())
+    if not met:
+        encoder.width[:] = 1
+    ids, size = encoder._ids(pa.array(["zz", *parts], pa.large_string())[1:])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [TOKENIZER.encode(x, add_special_tokens=False).ids for x in parts]
+
+
 def test_ids_of_the_unmodified_tokenizer(spark):
     """Special tokens and very long runs of white space, in the query and in the pipeline's stage."""
     import corpus_pipeline

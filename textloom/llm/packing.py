@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +22,10 @@ WAITING = 4096
 LEAST_PIECE = 16
 #: Distinct stretches of text whose ids a task remembers, and the bytes of the longest one that it does.
 REMEMBERED, SHORT = 500_000, 64
+#: Bytes of the joined stretches that the library gets as one text, and how many such texts it gets at once.
+JOINED, AT_ONCE = 2048, 64
+#: More tokens than any document has.
+FAR = 1e15
 
 _PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
@@ -73,27 +76,33 @@ class Packer:
 
     def _close(self, left: int) -> Iterator[tuple]:
         items = self.items
-        tokens = np.array([x[5] - x[4] for x in items], dtype=np.int64)
-        bears = np.array([x[3][x[5]] - x[3][x[4]] for x in items], dtype=np.int64)
-        lead = np.array([self._lead(x) for x in items], dtype=np.int64)
-        open_ = np.ones(len(items), dtype=bool)
+        # Floats hold these exactly and need no conversion for each piece. An item that is placed never fits again (FAR).
+        tokens = np.array([x[5] - x[4] for x in items], dtype=np.float64)
+        bears = np.array([x[3][x[5]] - x[3][x[4]] for x in items], dtype=np.float64)
+        lead = np.array([self._lead(x) for x in items], dtype=np.float64)
+        value, share = np.empty(len(items)), np.empty(len(items))
         waiting = len(items)
         while waiting > left:
             room, segments, loss, offset = self.capacity, self.segments, self.loss, 0
             while True:
-                fits = open_ & (tokens <= room) & (bears <= loss) if segments else np.zeros(0, bool)
-                if fits.any():
-                    value = tokens * (room / self.capacity**2) + bears * (loss / self.loss**2) + segments / self.segments**2
-                    at = int(np.argmax(np.where(fits, value, -1.0)))
+                if room < 1 or segments < 1 or not waiting:
+                    break
+                np.multiply(tokens, room / self.capacity**2, out=value)
+                np.multiply(bears, loss / self.loss**2, out=share)
+                value += share
+                value += segments / self.segments**2
+                np.putmask(value, (tokens > room) | (bears > loss), -1.0)
+                at = int(np.argmax(value))
+                if value[at] >= 0:
                     key, ids, mark, _, start, to = items[at]
-                    open_[at] = False
+                    tokens[at], bears[at] = -FAR, FAR
                     waiting -= 1
                 else:
-                    if room < self.least or segments < 1 or not waiting:
+                    if room < self.least:
                         break
                     # About as much as each item would fill of the room; of those alike the longest one is cut.
-                    fill = np.where(open_, np.minimum(np.minimum(room, lead + loss), tokens), -1)
-                    at = int(np.argmax(fill + tokens / (1.0 + 2 * self.capacity)))
+                    np.minimum(np.minimum(lead + loss, room), tokens, out=value)
+                    at = int(np.argmax(value + tokens / (1.0 + 2 * self.capacity)))
                     key, ids, mark, sums, start, end = items[at]
                     to = self._end(sums, start, min(end, start + room), loss)
                     if to - start < self.least or to >= end:
@@ -104,7 +113,7 @@ class Packer:
                 offset += to - start
                 room, segments, loss = room - (to - start), segments - 1, loss - int(mark[start:to].sum())
             self.next += 1
-        self.items = [x for x, o in zip(items, open_, strict=True) if o]
+        self.items = [x for x, n in zip(items, tokens.tolist(), strict=True) if n > 0]
 
 
 def stretches(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
@@ -115,23 +124,31 @@ def stretches(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarr
     does a special token without white space in it: the parts have the ids that they have in the whole. What may be
     white space to some pattern (code points below U+0021, U+0080 to U+00BF, U+1000 to U+2FFF, U+3000) isn't cut after.
     """
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
-    start = offsets - offsets[0]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    data, start = _bytes_of(texts)
+    begins = np.zeros(len(data) + 1, dtype=bool)
     at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    begins[at[_after_sure(data, at)]] = True
+    begins[start] = True
+    cuts = np.flatnonzero(begins[:-1])
+    ends = np.append(cuts, len(data)).astype(np.int64) if len(cuts) else np.zeros(1, np.int64)
+    return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(ends), pa.py_buffer(data)), np.searchsorted(start, cuts, side="right") - 1
+
+
+def _bytes_of(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, one after the other, and where each begins in them, and the end."""
+    offsets = np.frombuffer(texts.buffers()[1] or bytes(8), dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _after_sure(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` in UTF-8 follow a character that surely isn't white space (see ``stretches``)."""
     before = np.concatenate((np.zeros(4, np.uint8), data))
     one, two, three, four = (before[at + 4 - k] for k in (1, 2, 3, 4))
     high, leads = one >= 0x80, two >= 0xC0
     of_two = leads & (two >= 0xC3)
     of_three = ~leads & (three >= 0xE3) & ~((three == 0xE3) & (two == 0x80) & (one == 0x80))
     of_four = ~leads & (three < 0xC0) & (four >= 0xF0)
-    begins = np.zeros(len(data) + 1, dtype=bool)
-    begins[at[((one > 0x20) & (one < 0x7F)) | (high & (of_two | of_three | of_four))]] = True
-    begins[start] = True
-    cuts = np.flatnonzero(begins[:-1])
-    ends = np.append(cuts, len(data)).astype(np.int64) if len(cuts) else np.zeros(1, np.int64)
-    return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(ends), pa.py_buffer(data)), np.searchsorted(start, cuts, side="right") - 1
+    return ((one > 0x20) & (one < 0x7F)) | (high & (of_two | of_three | of_four))
 
 
 class Encoder:
@@ -145,34 +162,74 @@ class Encoder:
         self.known = pa.array([], pa.large_string())
         self.ids, self.size = np.empty(0, np.int32), np.empty(0, np.int64)
         state = self.tokenizer.pre_tokenizer.__class__.__name__, self.tokenizer.normalizer
-        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = [x.content for x in added.values()]
         if state != ("ByteLevel", None) or any(c.isspace() for x in special for c in x):
             raise ValueError("only byte-level vocabularies without a normalizer, and special tokens without white space, are supported")
+        # How many bytes each id stands for; a vocabulary of the byte level has a character for each.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(1 + max([*vocabulary.values(), *added], default=-1), np.int64)
+        self.width[np.fromiter(vocabulary.values(), np.int64, len(vocabulary))] = np.fromiter(map(len, vocabulary), np.int64, len(vocabulary))
+        for k, x in added.items():
+            self.width[k] = len(x.content.encode())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: none), one after the other, and how many each has."""
         parts, rows = stretches(pc.fill_null(texts.cast("large_string"), ""))
         found = parts.dictionary_encode()
         names, index = found.dictionary, np.asarray(found.indices)
-        place = np.asarray(pc.fill_null(pc.index_in(names, self.known), -1)).astype(np.int64)
+        # The block's stretches are fewer than the remembered ones: Arrow hashes what is searched in.
+        hits = np.asarray(pc.fill_null(pc.index_in(self.known, names), -1))
+        hit = np.flatnonzero(hits >= 0)
+        place = np.full(len(names), -1, dtype=np.int64)
+        place[hits[hit]] = hit
         unknown = np.flatnonzero(place < 0)
         fresh = names.take(pa.array(unknown))
-        new = fresh.to_pylist()
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        place[unknown] = len(self.size) + np.arange(len(new))
-        every = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int32, count=int(size.sum()))))
+        new, size = self._ids(fresh)
+        place[unknown] = len(self.size) + np.arange(len(fresh))
+        every = np.concatenate((self.ids, new))
         sizes = np.concatenate((self.size, size))
         own, begins = sizes[place][index], (np.cumsum(sizes) - sizes)[place][index]
         ids = every[np.repeat(begins - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))]
         kept = np.flatnonzero(np.asarray(pc.binary_length(fresh)) <= SHORT)[: REMEMBERED - len(self.known)]
         self.known = pa.concat_arrays([self.known, fresh.take(pa.array(kept))])
-        mask = np.zeros(len(new), bool)
+        mask = np.zeros(len(fresh), bool)
         mask[kept] = True
-        self.ids = np.concatenate((self.ids, every[len(self.ids) :][np.repeat(mask, size)]))
+        self.ids = np.concatenate((self.ids, new[np.repeat(mask, size)]))
         self.size = np.concatenate((self.size, size[mask]))
         return ids, np.bincount(rows, weights=own, minlength=len(texts)).astype(np.int64)
 
+    def _ids(self, parts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of stretches, one after the other, and how many each has.
+
+        A call costs more than a stretch, so the library gets them joined wherever ``stretches`` would cut them apart
+        again: there they have the ids that they have alone. Ends are found by the bytes that ids stand for; if they
+        aren't all met, which other settings of a file might cause, stretches go one by one.
+        """
+        if not len(parts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        data, start = _bytes_of(parts)
+        begins, ends, whole = start[:-1], start[1:], data.tobytes()
+        joins = ((data[begins] == 0x20) | (data[begins] == 0x0A)) & _after_sure(data, begins)
+        joins &= np.diff(begins // JOINED, prepend=-1) == 0
+        ids = self._library(whole, [*begins[~joins].tolist(), len(whole)])
+        reach = np.cumsum(self.width[ids])
+        if reach[-1:].tolist() == [len(data)]:
+            last = np.searchsorted(reach, ends)
+            if np.array_equal(reach[last], ends):
+                return ids, np.diff(last, prepend=-1)
+        each = [self._library(whole, [a, b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _library(self, data: bytes, ends: list[int]) -> np.ndarray:
+        """The ids of the texts between ``ends``."""
+        out = [np.empty(0, np.int32)]
+        for k in range(0, len(ends) - 1, AT_ONCE):
+            cut = ends[k : k + AT_ONCE + 1]
+            texts = [data[a:b].decode() for a, b in zip(cut, cut[1:], strict=False)]
+            out += [np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(out)
+
 
 def packed_rows(pieces: Iterable[tuple], partition: int, totals: dict) -> Iterator[tuple]:
     for sequence, offset, (key, number), start, ids, loss in pieces:
